@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprint, mixing, mtree
+from lodestone.llm import fingerprint, mixing, mtree, packing, simhash
 from lodestone.session import table
 
 
@@ -14,6 +14,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), end_id=1)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
 
@@ -24,7 +33,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op9_fingerprints": op9_fingerprints, "op10_topk": op10_topk}
+    return {"op1_mixing": op1_mixing, "op5_packing": op5_packing, "op8_simhash": op8_simhash, "op9_fingerprints": op9_fingerprints, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprint, mixing, mtree, packing, simhash
+from lodestone.llm import fingerprint, langid, mixing, mtree, packing, pii, simhash, token_file
 from lodestone.session import table
 
 
@@ -14,10 +14,25 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.read_shards(token_file.write_shards(table(spark, sf_dir, "documents"), end_id=2))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), end_id=1)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = langid.train(docs.filter(~langid.held_out()).select("doc_id", "text", "lang"))
+    found = langid.predict(docs, prototypes)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -33,7 +48,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op5_packing": op5_packing, "op8_simhash": op8_simhash, "op9_fingerprints": op9_fingerprints, "op10_topk": op10_topk}
+    return {"op1_mixing": op1_mixing, "op3_token_file": op3_token_file, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_language": op6_language, "op8_simhash": op8_simhash, "op9_fingerprints": op9_fingerprints, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprint, langid, mixing, mtree, packing, pii, simhash, token_file
+from lodestone.llm import fingerprint, langid, mixing, mtree, packing, pii, simhash, suffix_dedup, token_file
 from lodestone.session import table
 
 
@@ -14,6 +14,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), length=200, keep="none")
+
+
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_shards(token_file.write_shards(table(spark, sf_dir, "documents"), end_id=2))
 
@@ -48,7 +52,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op3_token_file": op3_token_file, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_language": op6_language, "op8_simhash": op8_simhash, "op9_fingerprints": op9_fingerprints, "op10_topk": op10_topk}
+    return {"op1_mixing": op1_mixing, "op2_suffix_dedup": op2_suffix_dedup, "op3_token_file": op3_token_file, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_language": op6_language, "op8_simhash": op8_simhash, "op9_fingerprints": op9_fingerprints, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprint, langid, mixing, mtree, packing, pii, simhash, suffix_dedup, token_file
+from lodestone.llm import fingerprint, langid, mixing, mtree, packing, pii, simhash, substring_dedup, suffix_dedup, token_file
 from lodestone.session import table
 
 
@@ -37,6 +37,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"), window=13)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -52,11 +56,29 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op2_suffix_dedup": op2_suffix_dedup, "op3_token_file": op3_token_file, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_language": op6_language, "op8_simhash": op8_simhash, "op9_fingerprints": op9_fingerprints, "op10_topk": op10_topk}
+    return {"op1_mixing": op1_mixing, "op2_suffix_dedup": op2_suffix_dedup, "op3_token_file": op3_token_file, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_language": op6_language, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op9_fingerprints": op9_fingerprints, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_substring_dedup": r"""
+            WITH d AS (
+                SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+            ), g AS (
+                SELECT doc_id, p, list_slice(w, p, p + 12) AS x FROM d, unnest(range(1, len(w) - 11)) AS t(p)
+            ), f AS (
+                SELECT x, min(doc_id) AS first FROM g GROUP BY x
+            ), r AS (
+                SELECT g.doc_id, g.p FROM g JOIN f ON g.x = f.x WHERE g.doc_id > f.first
+            ), c AS (
+                SELECT DISTINCT doc_id, q FROM r, unnest(range(p, p + 13)) AS t(q)
+            ), k AS (
+                SELECT doc_id, list(q) AS gone FROM c GROUP BY doc_id
+            )
+            SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+                   sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+            FROM d LEFT JOIN k USING (doc_id)
+        """,
         "op10_topk": """
             WITH v AS (
                 SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings

@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences: the stages, and what runs them one after another."""
+"""From raw documents to packed sequences: the stages, and what runs them one after another.
+
+Every stage but the last returns the columns of documents. Rows with null or empty texts are rejected by the first
+stage, for want of a letter; extra columns are carried up to the mix.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +10,38 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import mixing
+from lodestone.llm import langid, mixing, packing, pii, simhash
 from lodestone.llm.common import shared_dir
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned; the rest are rejected. The predicted language becomes theirs."""
+    prototypes = langid.train(docs.select("doc_id", "text", "lang"))
+    guessed = langid.predict(docs, prototypes, keep=tuple(docs.columns), out=("_lang", "_likeness")).filter("_lang <> 'und'")
+    return guessed.withColumn("lang", guessed["_lang"].cast(docs.schema["lang"].dataType)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates; shingles of three words, at most 3 differing bits."""
+    return simhash.representatives(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data masked in the texts."""
+    return pii.redact(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document taken twice is two rows."""
     return mixing.mix(docs)
 
 
-STAGES = [("mixing", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens: one row a piece."""
+    return packing.pack(docs, end_id=1)
+
+
+STAGES = [("language", language), ("near-duplicates", near_dedup), ("personal data", personal_data), ("mixing", mix), ("packing", pack)]
 
 #: Learned stages and tokenizers have no SQL form.
 ORACLE_SQL = None

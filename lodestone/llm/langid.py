@@ -123,7 +123,7 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, train_rows: int = T
     return dict(sorted(found.items()))
 
 
-def _guesser(prototypes: dict[str, np.ndarray], dimensions: int, names: list[str]):
+def _guesser(prototypes: dict[str, np.ndarray], dimensions: int, names: list[str], out: tuple[str, str]):
     langs, matrix = np.array([*prototypes, "und"], object), np.stack(list(prototypes.values())).T if prototypes else np.zeros((dimensions, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,17 +138,17 @@ def _guesser(prototypes: dict[str, np.ndarray], dimensions: int, names: list[str
                 full = norm > 0
                 best[lo:hi][full] = top[full]
                 score[lo:hi][full] = np.clip(cosine[np.arange(hi - lo), top], 0, 1)[full]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(langs[best], pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(langs[best], pa.string()), pa.array(score)], [*names, *out])
 
     return run
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",), dimensions: int = DIMENSIONS) -> DataFrame:
-    """The columns in ``keep``, lang_pred and score, for every row; only the text goes into the prediction."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",), dimensions: int = DIMENSIONS, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns in ``keep``, the language and the score, named as in ``out``, for every row; only the text goes into the prediction."""
     ensure_importable(docs.sparkSession)
     rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(_guesser(prototypes, dimensions, list(keep)), f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(_guesser(prototypes, dimensions, list(keep), out), f"{kinds}, {out[0]} string, {out[1]} double")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -21,7 +21,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import written
@@ -53,11 +53,11 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(words: int):
+def _fingerprints(words: int, keep: tuple[str, ...] = ("doc_id",)):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x, words) for x in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found.view(np.int64))], [*keep, "fp"])
 
     return run
 
@@ -152,13 +152,8 @@ def _compare(near: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, near: int = NEAR, share: int = SHARE) -> DataFrame:
-    """Per document: doc_id, fp (bigint), component_id."""
-    if near > 3:
-        raise ValueError("the anchors cover distances up to 3")
-    ensure_importable(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = written(rows.mapInArrow(_fingerprints(words), "doc_id long, fp long"), "simhash")
+def _classes(marked: DataFrame, near: int, share: int) -> DataFrame:
+    """``marked``: doc_id, fp. Per fingerprint: fp, root, component_id."""
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     spread = nodes.select("fp").mapInArrow(_spread, "anchor long, home boolean, fp long")
     # Only anchors with over a share of homes, if any, need more shares.
@@ -172,12 +167,45 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, near: int = NEAR, share
         # A home is compared within its share; as a copy it goes to all the others too.
         dealt = joined.withColumn("share", F.explode(every)).withColumn("home", F.col("home") & (F.col("share") == own)).drop("shares")
     grouped = dealt.repartition("anchor", "share").sortWithinPartitions("anchor", "share", F.col("home").desc())
-    links = grouped.select("anchor", "share", "home", "fp").mapInArrow(_compare(near), "a long, b long")
-    roots = components(links)
+    roots = components(grouped.select("anchor", "share", "home", "fp").mapInArrow(_compare(near), "a long, b long"))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = written(placed, "simhash-roots")
-    named = placed.select("fp", "root").join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return placed.select("fp", "root").join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
+def _marked(docs: DataFrame, words: int) -> DataFrame:
+    ensure_importable(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(rows.mapInArrow(_fingerprints(words), "doc_id long, fp long"), "simhash")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, near: int = NEAR, share: int = SHARE) -> DataFrame:
+    """Per document: doc_id, fp (bigint), component_id."""
+    if near > 3:
+        raise ValueError("the anchors cover distances up to 3")
+    marked = _marked(docs, words)
+    return marked.join(_classes(marked, near, share), "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, words: int = WORDS, near: int = NEAR, share: int = SHARE) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component, one with its smallest doc_id, whole.
+
+    Of rows with that id, the one with the smallest hash of its text stays; of equal rows, one. A component whose ids
+    are all null keeps one row.
+    """
+    words_of = docs.select("doc_id", "text", F.xxhash64("text").alias("_t"))
+    ensure_importable(docs.sparkSession)
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _t long, fp long"
+    marked = written(words_of.mapInArrow(_fingerprints(words, ("doc_id", "_t")), kind), "simhash")
+    classes = _classes(marked.select(F.col("doc_id").cast("long").alias("doc_id"), "fp"), near, share)
+    lead = marked.join(classes, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = written(lead.groupBy("root", "doc_id").agg(F.min("_t").alias("_t"), F.count(F.lit(1)).alias("n")), "simhash-stay")
+    left = docs.withColumn("_t", F.xxhash64("text")).alias("d")
+    kept = left.join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._t") == F.col("s._t"))).select("d.*")
+    if not stay.filter("n > 1").isEmpty():  # an id repeats: of equal rows, one
+        same = Window.partitionBy("doc_id", "_t").orderBy(F.lit(0))
+        kept = kept.withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_n")
+    return kept.drop("_t")
 
 
 def hex_digits(column: str):

@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; shingles of three words, at most 3 differing bits."""
+    """One document of each group of near-duplicates; shingles of five words, at most 3 of 64 bits differ."""
     return simhash.representatives(docs)
 
 

@@ -28,7 +28,7 @@ from lodestone.llm.common import written
 from lodestone.llm.components import components
 from lodestone.session import ensure_importable
 
-WORDS, SEED, NEAR = 3, 42, 3
+WORDS, SEED, NEAR = 5, 42, 3
 #: Homes of an anchor that one task compares at once.
 SHARE = 4096
 _SYNDROME = np.arange(1, 32, dtype=np.uint32)  # the check word of each of the 31 coded bits

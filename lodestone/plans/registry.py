@@ -1,15 +1,625 @@
-"""All queries outside the corpus operators."""
+"""All queries outside the corpus operators, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodestone import schemas
+from lodestone.functions import text as X
+from lodestone.operators import chunking, kg_build, kg_store, retrieval, vectors
+from lodestone.plans import adapters as A
+from lodestone.session import ensure_importable, table
 
-def queries() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+# --- SQL shared by several oracles -------------------------------------------------------------------------------
+
+CHUNKS = r"""
+    clean AS (SELECT source AS paper_id, doc_id AS page, trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f]+', ' ', 'g')) AS t FROM documents),
+    toks AS (SELECT paper_id, page, string_split(t, ' ') AS w FROM clean WHERE t <> ''),
+    cut AS (SELECT paper_id, page, w, i, i * 180 AS s, least(i * 180 + 220, len(w)) AS e FROM toks, unnest(range(CAST(greatest(ceil((len(w) - 220) / 180.0), 0) AS BIGINT) + 1)) AS u(i)),
+    chunks AS (
+        SELECT format('{}_p{:03d}_c{:03d}', paper_id, page, i + 1) AS chunk_id, paper_id, paper_id || '.pdf' AS source_file, CAST(page AS INTEGER) AS page, CAST(i + 1 AS INTEGER) AS chunk_index,
+               CAST(s AS INTEGER) AS token_start, CAST(e AS INTEGER) AS token_end, CAST(e - s AS INTEGER) AS token_count,
+               CAST(CASE WHEN s = 0 THEN 0 ELSE length(array_to_string(w[1:s], ' ')) + 1 END AS INTEGER) AS char_start, array_to_string(w[s + 1:e], ' ') AS text
+        FROM cut)
+"""
+EDGES = """
+    li AS (SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+    pair AS (SELECT DISTINCT l_orderkey, l_suppkey, s_name FROM li),
+    ev AS (
+        SELECT s_name AS source, 'USES' AS relation, p_brand AS target, 'Concept' AS target_type, l_orderkey AS chunk_id FROM li JOIN part ON l_partkey = p_partkey
+        UNION ALL SELECT s_name, 'EVALUATES_ON', c_mktsegment, 'Dataset', l_orderkey FROM li JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+        UNION ALL SELECT s_name, 'MEASURED_BY', l_returnflag, 'Metric', l_orderkey FROM li
+        UNION ALL SELECT s_name, 'ADDRESSES', o_orderpriority, 'Task', l_orderkey FROM li JOIN orders ON l_orderkey = o_orderkey
+        UNION ALL SELECT a.s_name, 'COMPARED_WITH', b.s_name, 'Method', a.l_orderkey FROM pair a JOIN pair b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey),
+    edges AS (
+        SELECT 'Method::' || lower(source) AS source_key, source, 'Method' AS source_type, relation, target_type || '::' || lower(target) AS target_key, target, target_type, count(DISTINCT chunk_id) AS evidence_count
+        FROM ev GROUP BY source, relation, target, target_type)
+"""
+NODES = """
+    nodes AS (
+        SELECT type || '::' || lower(name) AS key, name, type AS entity_type, CASE WHEN type = 'Concept' THEN [replace(lower(name), '#', ' ')] ELSE CAST([] AS VARCHAR[]) END AS aliases FROM (
+            SELECT DISTINCT s_name AS name, 'Method' AS type FROM supplier UNION ALL SELECT DISTINCT p_brand, 'Concept' FROM part UNION ALL SELECT DISTINCT c_mktsegment, 'Dataset' FROM customer
+            UNION ALL SELECT DISTINCT l_returnflag, 'Metric' FROM lineitem UNION ALL SELECT DISTINCT o_orderpriority, 'Task' FROM orders) WHERE name IS NOT NULL)
+"""
+SUPPORT = """
+    sup AS (
+        SELECT 'Method::' || lower(s_name) AS entity_key, l_orderkey AS chunk_id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+        UNION SELECT 'Concept::' || lower(p_brand), l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey)
+"""
+HITS = """
+    q AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id = 0),
+    scored AS (SELECT vec_id, label, round(list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), q.v), 6) AS cosine FROM embeddings, q),
+    hits AS (SELECT vec_id, label, cosine, CAST(row_number() OVER (ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank FROM scored QUALIFY rank <= {k})
+"""
+PRIORITY = "CASE relation WHEN 'USES' THEN 0 WHEN 'PRODUCES' THEN 1 WHEN 'ADDRESSES' THEN 2 WHEN 'SOLVES' THEN 3 WHEN 'EVALUATES_ON' THEN 4 WHEN 'MEASURED_BY' THEN 5 WHEN 'IMPROVES' THEN 6 WHEN 'COMPARED_WITH' THEN 7 ELSE 99 END"
+ORDER = f"{PRIORITY}, evidence_count DESC, lower(source), lower(target), source_key, target_key"
+LEXICAL = f"""
+    spelled AS (SELECT key, name, entity_type, unnest(list_distinct(list_concat([name], aliases))) AS m FROM nodes),
+    met AS (SELECT * FROM spelled WHERE regexp_matches(lower('{A.QUESTION}'), '(^|[^a-z0-9])' || regexp_escape(lower(m)) || '([^a-z0-9]|$)')),
+    lex AS (SELECT key, name, entity_type, 'lexical' AS seed_source, arg_max(m, (length(m), m)) AS matched_text FROM met GROUP BY key, name, entity_type),
+    lexical AS (SELECT *, CAST(row_number() OVER (ORDER BY length(matched_text) DESC, key) AS INTEGER) AS rank FROM lex QUALIFY rank <= 8)
+"""
+BRIDGE = """
+    counted AS (SELECT entity_key, count(DISTINCT chunk_id) AS support_count FROM sup WHERE chunk_id IN (SELECT vec_id FROM hits) GROUP BY entity_key),
+    bridge AS (SELECT key, name, entity_type, 'vector_bridge' AS seed_source, support_count, CAST(row_number() OVER (ORDER BY support_count DESC, name, key) AS INTEGER) AS rank FROM counted JOIN nodes ON entity_key = key QUALIFY rank <= 6)
+"""
+MERGED = """
+    both_seeds AS (SELECT key, name, entity_type, seed_source, 0 AS c, rank AS r FROM lexical UNION ALL SELECT key, name, entity_type, seed_source, 1, rank FROM bridge),
+    once AS (SELECT * FROM both_seeds QUALIFY row_number() OVER (PARTITION BY key ORDER BY c, r) = 1),
+    merged AS (SELECT key, name, entity_type, seed_source, CAST(row_number() OVER (ORDER BY c, r) AS INTEGER) AS rank FROM once QUALIFY rank <= 10)
+"""
+
+
+def _hop(name: str, seeds: str, cap: int) -> str:
+    return f"""
+    {name} AS (SELECT *, CAST(row_number() OVER (ORDER BY {ORDER}) AS INTEGER) AS rank FROM edges WHERE source_key IN (SELECT key FROM {seeds}) OR target_key IN (SELECT key FROM {seeds}) QUALIFY rank <= {cap})
+"""
+
+
+SECONDARY = """
+    ends AS (SELECT rank AS r, 0 AS side, source_key AS key, source AS name, source_type AS entity_type FROM hop1 UNION ALL SELECT rank, 1, target_key, target, target_type FROM hop1),
+    fresh AS (SELECT key, name, entity_type, min((r, side)) AS o FROM ends WHERE entity_type IN ('Method', 'Model') AND key IN (SELECT 'Method::' || lower(s_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey) AND key NOT IN (SELECT key FROM {seeds}) GROUP BY key, name, entity_type),
+    secondary AS (SELECT key, name, entity_type, 'graph_neighbor' AS seed_source, CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS rank FROM fresh QUALIFY rank <= 6)
+"""
+ALL_FACTS = f"""
+    either AS (SELECT * EXCLUDE (rank) FROM hop1 UNION SELECT * EXCLUDE (rank) FROM hop2),
+    facts AS (SELECT *, CAST(row_number() OVER (ORDER BY {ORDER}) AS INTEGER) AS rank FROM either QUALIFY rank <= 60)
+"""
+FIXED_SEEDS = "seeds AS (SELECT key, name, entity_type FROM nodes WHERE key IN ('Method::supplier#000000000', 'Method::supplier#000000001', 'Method::supplier#000000002'))"
+HYBRID = ",".join([EDGES, NODES, SUPPORT, HITS.format(k=6), LEXICAL, BRIDGE, MERGED, _hop("hop1", "merged", 32), SECONDARY.format(seeds="merged"), _hop("hop2", "secondary", 28), ALL_FACTS])
+MENTIONS = """
+    mentions AS (
+        SELECT lower(p_name) AS key, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS name, ['Method', 'Concept', 'Task', 'Dataset', 'Metric', 'Gadget'][CAST(p_size % 6 + 1 AS INTEGER)] AS type,
+               p_brand AS alias, 'c' || CAST(p_partkey % 50 AS VARCHAR) AS chunk_id, CAST(p_size AS INTEGER) AS page, 'src' || CAST(p_partkey % 6 AS VARCHAR) AS source_file, p_partkey AS seq FROM part)
+"""
+RELATIONS = """
+    rel0 AS (
+        SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'Paper' ELSE 'Entity' END AS source_kind, 'M' || CAST(l_suppkey % 20 AS VARCHAR) AS source, ['USES', 'EVALUATES_ON', 'COMPARED_WITH', 'INTRODUCES', 'IMPROVES', 'RELATED_TO', ''][CAST(l_linenumber % 7 + 1 AS INTEGER)] AS relation,
+               CASE l_orderkey % 11 WHEN 0 THEN 'Smith et al.' WHEN 1 THEN '3D scene' WHEN 2 THEN 'Poisson-based methods' WHEN 3 THEN 'PyTorch' ELSE p_name END AS target,
+               ['Method', 'Concept', 'Task', 'Dataset', 'Metric', 'Model'][CAST(p_size % 6 + 1 AS INTEGER)] AS target_type, CASE WHEN l_suppkey % 20 < 15 THEN 'm' || CAST(l_suppkey % 20 AS VARCHAR) END AS source_key,
+               l_partkey % 13 > 0 AS known, CAST(l_orderkey AS VARCHAR) AS chunk_id, CAST(l_linenumber AS INTEGER) AS page, 'src' || CAST(l_orderkey % 6 AS VARCHAR) AS source_file, l_orderkey * 100 + l_linenumber AS seq
+        FROM lineitem JOIN part ON l_partkey = p_partkey),
+    rel AS (SELECT *, CASE WHEN known THEN lower(target) END AS target_key FROM rel0),
+    judged AS (
+        SELECT *, CASE
+            WHEN relation = '' THEN 'missing_fields' WHEN target_key IS NULL THEN 'target_unresolved' WHEN regexp_matches(lower(target), '\\bet al\\.?\\b') THEN 'citation_like'
+            WHEN relation = 'EVALUATES_ON' AND lower(target) IN ('surface reconstruction benchmarks', '3d scene', 'garment') THEN 'generic_dataset'
+            WHEN relation = 'COMPARED_WITH' AND lower(target) IN ('poisson-based methods') THEN 'generic_comparison' WHEN relation = 'USES' AND lower(target) IN ('pytorch', 'adam') THEN 'implementation_tool'
+            WHEN relation = 'USES' AND target_type NOT IN ('Concept', 'Method', 'Model') OR relation = 'EVALUATES_ON' AND target_type <> 'Dataset' OR relation IN ('COMPARED_WITH', 'INTRODUCES', 'IMPROVES') AND target_type NOT IN ('Method', 'Model') THEN 'type_mismatch_' || relation
+            WHEN source_kind = 'Paper' AND relation <> 'INTRODUCES' THEN 'paper_source' WHEN source_kind <> 'Paper' AND source_key IS NULL THEN 'source_unresolved' END AS drop_reason
+        FROM rel)
+"""
+FACT_COLUMNS = ["rank", "source_key", "source", "source_type", "relation", "target_key", "target", "target_type", "evidence_count"]
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        name = f.__name__.lstrip("_")
+        _queries[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return add
+
+
+def with_(*parts: str, then: str) -> str:
+    return "WITH " + ",".join(parts) + then
+
+
+# --- ingest ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT source AS paper_id, count(*) AS n_pages, CAST(count_if(coalesce(text, '') <> '') AS BIGINT) AS n_filled, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars FROM documents GROUP BY source")
+def corpus_stats(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    return A.pages(spark, d).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(t != "").alias("n_filled"), F.sum(F.length(t).cast("long")).alias("n_chars"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS text FROM pages""")
+def extract_pages(spark, d):
+    return table(spark, d, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
+
+
+@query(r"SELECT source || '.pdf' AS source_file, CAST(doc_id AS INTEGER) AS page, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL AND trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) <> ''")
+def parse_pages(spark, d):
+    from lodestone.sources.page_text import parsed, rendered
+
+    pages = A.pages(spark, d).filter("text is not null")
+    return parsed(rendered(pages), pattern=X.ASCII_SPACE).filter("text <> ''").select("source_file", "page", "text")
+
+
+@query(with_(CHUNKS, then="SELECT *, CAST(char_start + length(text) AS INTEGER) AS char_end FROM chunks"))
+def chunk_windows(spark, d):
+    return A.chunks(spark, d)
+
+
+@query(with_(CHUNKS, then="SELECT paper_id, count(*) AS n_chunks, count(DISTINCT page) AS n_pages FROM chunks GROUP BY paper_id"))
+def chunks_per_paper(spark, d):
+    return chunking.per_paper(A.chunks(spark, d))
+
+
+@query(with_(CHUNKS, then="SELECT count(DISTINCT paper_id) AS n_papers, count(DISTINCT chunk_id) AS n_chunks FROM chunks"))
+def corpus_counts(spark, d):
+    return A.chunks(spark, d).agg(F.countDistinct("paper_id").alias("n_papers"), F.countDistinct("chunk_id").alias("n_chunks"))
+
+
+@query(with_(CHUNKS, then="SELECT paper_id, page, chunk_id, left(text, 500) AS preview FROM chunks ORDER BY paper_id, page, chunk_id LIMIT 3"))
+def chunk_preview(spark, d):
+    return A.chunks(spark, d).select("paper_id", "page", "chunk_id", F.substring("text", 1, 500).alias("preview")).orderBy("paper_id", "page", "chunk_id").limit(3)
+
+
+@query(with_(CHUNKS, then="SELECT paper_id, chunk_id, CAST(floor((row_number() OVER (PARTITION BY paper_id ORDER BY page, chunk_index) - 1) / 12) + 1 AS INTEGER) AS batch_number FROM chunks"))
+def batches(spark, d):
+    return chunking.batches(A.chunks(spark, d)).select("paper_id", "chunk_id", "batch_number")
+
+
+@query(with_(CHUNKS, then="SELECT paper_id, chunk_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY page, chunk_index) AS INTEGER) AS position FROM chunks QUALIFY position <= 8"))
+def profile_heads(spark, d):
+    return chunking.heads(A.chunks(spark, d)).select("paper_id", "chunk_id", "position")
+
+
+@query(with_(CHUNKS, then="SELECT CAST(sum(n) AS BIGINT) AS n_batches FROM (SELECT ceil(count(*) / 12.0) AS n FROM chunks GROUP BY paper_id)"))
+def expected_batches(spark, d):
+    return chunking.expected_batches(A.chunks(spark, d))
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def upsert_latest(spark, d):
+    return chunking.latest(table(spark, d, "events").select("user_id", "event_id", "event_type", "value", "ts"), ["user_id"], ["ts", "event_id"]).drop("ts")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def resume_antijoin(spark, d):
+    return chunking.pending(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels"), ["doc_id"])
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(source || '.pdf'), lower('SRC1'))")
+def keyword_filter(spark, d):
+    return table(spark, d, "documents").filter(F.contains(F.lower(F.concat("source", F.lit(".pdf"))), F.lower(F.lit("SRC1")))).select("doc_id", "source")
+
+
+@query()
+def embed_hash(spark, d):
+    ensure_importable(spark)
+    return vectors.embed(table(spark, d, "benchmark").select("item_id", "text"), vectors.hashing_model(), 64).drop("text")
+
+
+# --- vectors -----------------------------------------------------------------------------------------------------
+
+
+def _hits(spark, d, k=vectors.TOP_K):
+    return vectors.top_k(table(spark, d, "embeddings"), A.query_vector(spark, d), "vec_id", k)
+
+
+@query(with_(HITS.format(k=6), then="SELECT rank, vec_id, label, cosine, (1 + cosine) / 2 AS score FROM hits"))
+def vector_topk(spark, d):
+    return _hits(spark, d)
+
+
+@query()
+def vector_lsh(spark, d):
+    return vectors.lsh_top_k(table(spark, d, "embeddings"), A.query_vector(spark, d), "vec_id")
+
+
+@query(with_(HITS.format(k=10), then="SELECT h.rank, h.vec_id, round((1 + h.cosine) / 2, 4) AS score, replace(left(d.text, 180), chr(10), ' ') AS preview FROM hits h JOIN documents d ON d.doc_id = h.vec_id"))
+def hits_view(spark, d):
+    hits = _hits(spark, d, 10)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return docs.join(F.broadcast(hits), "vec_id").select("rank", "vec_id", F.round("score", 4).alias("score"), F.replace(F.substring("text", 1, 180), F.lit("\n"), F.lit(" ")).alias("preview"))
+
+
+@query(with_(HITS.format(k=5), then="SELECT string_agg('[' || CAST(h.rank AS VARCHAR) || '] ' || d.text, chr(10) || chr(10) ORDER BY h.rank) AS context FROM hits h JOIN documents d ON d.doc_id = h.vec_id"))
+def context_concat(spark, d):
+    hits = _hits(spark, d, 5)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return retrieval.context(docs.join(F.broadcast(hits), "vec_id"), F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("text")))
+
+
+# --- graph building ----------------------------------------------------------------------------------------------
+
+
+@query(with_(NODES, then="SELECT key, name, entity_type FROM nodes"))
+def kg_nodes(spark, d):
+    return A.nodes(spark, d).select("key", "name", "entity_type")
+
+
+@query(with_(EDGES, then="SELECT * FROM edges"))
+def kg_edges(spark, d):
+    return kg_store.edges(A.evidence(spark, d))
+
+
+@query(with_(SUPPORT, then="SELECT * FROM sup"))
+def kg_support(spark, d):
+    return A.support(spark, d)
+
+
+@query(with_(NODES, EDGES, SUPPORT, then="SELECT 'nodes' AS what, count(*) AS n FROM nodes UNION ALL SELECT 'introduces', count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'support', count(*) FROM sup"))
+def kg_counts(spark, d):
+    parts = {"nodes": A.nodes(spark, d), "introduces": A.introduces(spark, d), "edges": kg_store.edges(A.evidence(spark, d)), "support": A.support(spark, d)}
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(with_(NODES, then="SELECT key, count(*) AS n FROM nodes GROUP BY key HAVING count(*) > 1"))
+def key_uniqueness(spark, d):
+    return kg_store.repeated_keys(A.nodes(spark, d), "key")
+
+
+@query(with_(MENTIONS, then="""
+    SELECT m.key, arg_min(m.name, m.seq) AS name, any_value(a.aliases) AS aliases, array_to_string(list_sort(list_distinct(list(m.chunk_id || ':' || CAST(m.page AS VARCHAR)))), ',') AS evidence, array_to_string(list_sort(list_distinct(list(m.source_file))), ',') AS source_files
+    FROM mentions m JOIN (SELECT key, array_to_string(list(alias ORDER BY lower(alias)), ',') AS aliases FROM (SELECT key, arg_min(alias, seq) AS alias FROM mentions WHERE lower(alias) <> key GROUP BY key, lower(alias)) GROUP BY key) a ON a.key = m.key GROUP BY m.key"""))
+def entity_pool(spark, d):
+    pool = kg_build.entity_pool(A.mentions(spark, d))
+    spelled = F.sort_array(F.transform("evidence", lambda e: F.concat(e["chunk_id"], F.lit(":"), e["page"].cast("string"))))
+    return pool.select("key", "name", F.array_join("aliases", ",").alias("aliases"), F.array_join(spelled, ",").alias("evidence"), F.array_join("source_files", ",").alias("source_files"))
+
+
+@query(with_(RELATIONS, then="""
+    SELECT source_kind, lower(source) AS source_key, relation, lower(target) AS target_key, arg_min(source, seq) AS source, arg_min(target, seq) AS target, arg_min(target_type, seq) AS target_type,
+           count(DISTINCT (chunk_id, page)) AS n_evidence, array_to_string(list_sort(list_distinct(list(source_file))), ',') AS source_files
+    FROM judged WHERE drop_reason IS NULL GROUP BY 1, 2, 3, 4"""))
+def relation_pool(spark, d):
+    kept = A.relation_mentions(spark, d).filter(kg_build.drop_reason().isNull())
+    pool = kg_build.relation_pool(kept)
+    return pool.select("source_kind", "source_key", "relation", "target_key", "source", "target", "target_type", F.size("evidence").cast("long").alias("n_evidence"), F.array_join("source_files", ",").alias("source_files"))
+
+
+@query(with_(MENTIONS, then="SELECT key, array_to_string(list_sort(list_distinct(list(chunk_id || ':' || CAST(page AS VARCHAR)))), ',') AS evidence FROM mentions GROUP BY key"))
+def evidence_merge(spark, d):
+    each = A.mentions(spark, d).select("key", F.explode(kg_build.clean_evidence(F.col("evidence"))).alias("e")).select("key", F.concat("e.chunk_id", F.lit(":"), F.col("e.page").cast("string")).alias("e"))
+    return each.groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("e")), ",").alias("evidence"))
+
+
+@query(with_(MENTIONS, then="SELECT key, count(DISTINCT chunk_id) AS evidence_count, count(DISTINCT page) AS n_pages FROM mentions GROUP BY key"))
+def evidence_lists(spark, d):
+    merged = A.mentions(spark, d).select("key", F.explode("evidence").alias("e")).groupBy("key").agg(F.collect_set("e").alias("evidence"))
+    chunks, pages, count = kg_build.evidence_lists(F.col("evidence"))
+    return merged.select("key", chunks, pages, count).select("key", "evidence_count", F.size("evidence_pages").cast("long").alias("n_pages"))
+
+
+@query(with_(MENTIONS, then="""
+    , votes AS (SELECT key, type, count(*) AS n, min(seq) AS first_seq FROM mentions WHERE type <> 'Gadget' GROUP BY key, type),
+    won AS (SELECT key, type FROM votes QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, first_seq) = 1)
+    SELECT m.key, arg_min(m.name, m.seq) AS name, coalesce(any_value(won.type), 'Concept') AS type FROM mentions m LEFT JOIN won ON won.key = m.key GROUP BY m.key"""))
+def type_vote(spark, d):
+    return kg_build.type_votes(A.mentions(spark, d))
+
+
+@query(with_(MENTIONS, then="SELECT type, count(*) AS n FROM mentions WHERE type IN ('Method', 'Model', 'Concept', 'Task', 'Dataset', 'Metric') GROUP BY type"))
+def type_filter(spark, d):
+    return A.mentions(spark, d).filter(F.col("type").isin(schemas.ENTITY_TYPES)).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_(RELATIONS, then="SELECT relation, target_type, count(*) AS n FROM rel WHERE NOT (relation = 'USES' AND target_type NOT IN ('Concept', 'Method', 'Model') OR relation = 'EVALUATES_ON' AND target_type <> 'Dataset' OR relation IN ('COMPARED_WITH', 'INTRODUCES', 'IMPROVES') AND target_type NOT IN ('Method', 'Model')) GROUP BY 1, 2"))
+def type_constraint(spark, d):
+    rows = [(r, t) for r, kinds in schemas.TARGET_TYPES.items() for t in kinds]
+    rules = spark.createDataFrame(rows, "relation string, target_type string")
+    rel = A.relation_mentions(spark, d)
+    known = rel.filter(F.col("relation").isin(list(schemas.TARGET_TYPES))).join(F.broadcast(rules), ["relation", "target_type"], "left_semi")
+    free = rel.filter(~F.col("relation").isin(list(schemas.TARGET_TYPES)))
+    return known.select("relation", "target_type").unionByName(free.select("relation", "target_type")).groupBy("relation", "target_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_(RELATIONS, then="SELECT coalesce(drop_reason, 'kept') AS reason, count(*) AS n FROM judged GROUP BY 1"))
+def drop_reasons(spark, d):
+    return A.relation_mentions(spark, d).groupBy(F.coalesce(kg_build.drop_reason(), F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_(RELATIONS, then="SELECT target, count(*) AS n FROM rel WHERE target <> '' AND NOT regexp_matches(lower(target), '\\bet al\\.?\\b') GROUP BY target"))
+def noise_filter(spark, d):
+    return A.relation_mentions(spark, d).filter(~X.is_noise(F.col("target"))).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_(MENTIONS, then="""
+    , pool AS (SELECT key, min(seq) AS seq, list(DISTINCT lower(alias)) AS aliases FROM mentions GROUP BY key),
+    spelled AS (SELECT seq, 0 AS b, key AS alias, key FROM pool UNION ALL SELECT seq, 1, unnest(aliases), key FROM pool),
+    last AS (SELECT alias, key FROM spelled QUALIFY row_number() OVER (PARTITION BY alias ORDER BY seq DESC, b DESC) = 1)
+    SELECT p_brand AS spelled, last.key AS key, count(*) AS n FROM part LEFT JOIN last ON last.alias = lower(p_brand) GROUP BY 1, 2"""))
+def resolve_entities(spark, d):
+    m = A.mentions(spark, d)
+    pool = m.groupBy("key").agg(F.min("seq").alias("seq"), F.collect_set(F.lower(F.col("aliases")[0])).alias("aliases"))
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("spelled"))
+    return kg_build.resolved(rows, "spelled", kg_build.alias_table(pool), pool, "key").groupBy("spelled", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_(MENTIONS, RELATIONS, then="SELECT DISTINCT key FROM mentions WHERE key IN (SELECT target_key FROM judged WHERE drop_reason IS NULL)"))
+def orphan_prune(spark, d):
+    used = A.relation_mentions(spark, d).filter(kg_build.drop_reason().isNull()).select(F.col("target_key").alias("key"))
+    return kg_build.without_orphans(A.mentions(spark, d).select("key").distinct(), used)
+
+
+@query(with_(MENTIONS, then="SELECT count(*) AS n_mentions, count(DISTINCT key) AS n_entities, count(DISTINCT key) / count(*) AS ratio FROM mentions"))
+def dedup_ratio(spark, d):
+    return A.mentions(spark, d).agg(F.count(F.lit(1)).alias("n_mentions"), F.countDistinct("key").alias("n_entities"), (F.countDistinct("key") / F.count(F.lit(1))).alias("ratio"))
+
+
+@query("SELECT n_name AS source_file, 'Method::' || lower(s_name) AS target_key, true AS generated_from_profile FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def introduces_repair(spark, d):
+    intro = A.introduces(spark, d)
+    focal = F.array(F.struct(F.col("target").alias("name"), F.lit("Method").alias("type")))
+    profiles = intro.select(F.col("paper").alias("source_file"), focal.alias("focal"))
+    nodes = A.nodes(spark, d)
+    lookup = kg_store.load_lookup(nodes.select("key", "name", "aliases", F.lit(0).alias("seq")))
+    return kg_store.introductions_of(profiles, lookup, table(spark, d, "nation").select(F.col("n_name").alias("source_file")), nodes)
+
+
+@query(with_(NODES, then="SELECT CAST(row_number() OVER (ORDER BY entity_type, lower(name), name) AS INTEGER) AS rank, key FROM nodes QUALIFY rank <= 1000"))
+def entities_sorted(spark, d):
+    order = [F.col("entity_type"), F.lower("name"), F.col("name")]
+    return vectors.ranked(A.nodes(spark, d).orderBy(*order).limit(1000), *order).select("rank", "key")
+
+
+@query(with_(EDGES, then="SELECT CAST(row_number() OVER (ORDER BY lower(source), relation, lower(target), source_key, target_key) AS INTEGER) AS rank, source_key, relation, target_key FROM edges QUALIFY rank <= 1000"))
+def relations_sorted(spark, d):
+    order = [F.lower("source"), F.col("relation"), F.lower("target"), F.col("source_key"), F.col("target_key")]
+    return vectors.ranked(kg_store.edges(A.evidence(spark, d)).orderBy(*order).limit(1000), *order).select("rank", "source_key", "relation", "target_key")
+
+
+@query("SELECT p_name, regexp_full_match(p_name, '[A-Za-z_][A-Za-z0-9_]*') AS safe, count(*) AS n FROM part GROUP BY 1")
+def identifier_check(spark, d):
+    return table(spark, d, "part").groupBy("p_name", X.is_identifier(F.col("p_name")).alias("safe")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def fence_strip(spark, d):
+    fenced = table(spark, d, "events").select("event_id", F.concat(F.lit("```json\n"), "props", F.lit("\n```")).alias("answer"))
+    return kg_build.parsed(fenced, "answer", "k BIGINT").select("event_id", "record.k")
+
+
+def _profiles(spark):
+    one = '{"focal_entities": [{"name": "  Deep  Field ", "type": "Method", "aliases": ["DF", "deep field", ""]}, {"name": "x", "type": "Task", "aliases": []}]}'
+    return spark.createDataFrame([("a.pdf", "```json\n" + one + "\n```"), ("b.pdf", "[]"), ("c.pdf", '{"focal_entities": 3}'), ("d.pdf", None)], "source_file string, answer string")
+
+
+@query()
+def profile_validate(spark, d):
+    rows = kg_build.parsed(_profiles(spark), "answer", f"focal_entities {schemas.FOCAL}")
+    return rows.select("source_file", kg_build.valid_profile(F.col("record.focal_entities")).alias("focal"))
+
+
+@query()
+def profile_cache(spark, d):
+    """Papers without a cached, non-empty profile."""
+    cached = profile_validate(spark, d).filter(F.size("focal") > 0)
+    return chunking.pending(_profiles(spark).select("source_file"), cached, ["source_file"])
+
+
+def _raw(spark):
+    e = lambda c, p: {"chunk_id": c, "page": p}
+    rows = [
+        ("a.pdf", "a", 1, ["c1", "c2"], [{"name": "Deep Field", "type": "Method", "aliases": ["DF"]}],
+         [{"name": "deep field", "type": "Method", "aliases": [], "evidence": [e("c1", 1)]}, {"name": "Loss", "type": "Concept", "aliases": ["objective"], "evidence": [e("c1", 1)]}, {"name": "Speed", "type": "Metric", "aliases": [], "evidence": []}],
+         [{"source": "PAPER", "type": "INTRODUCES", "target": "DF", "evidence": [e("c1", 1)]}, {"source": "DF", "type": "USES", "target": "Objective", "evidence": [e("c9", 2)]}, {"source": "df", "type": "USES", "target": "loss", "evidence": [e("c2", 2)]},
+          {"source": "PAPER", "type": "USES", "target": "Loss", "evidence": []}, {"source": "Loss", "type": "USES", "target": "Deep Field", "evidence": []}, {"source": "DF", "type": "USES", "target": "Speed", "evidence": []}, {"source": "DF", "type": "BASED_ON", "target": "Loss", "evidence": []}]),
+        ("b.pdf", "b", 1, ["c3"], [], [], []),
+    ]
+    return spark.createDataFrame(rows, schemas.RAW)
+
+
+@query()
+def batch_validate(spark, d):
+    return kg_build.validated(_raw(spark))
+
+
+@query()
+def batch_validate_v3(spark, d):
+    return kg_build.validated(_raw(spark), policy="v3")
+
+
+# --- retrieval ---------------------------------------------------------------------------------------------------
+
+
+def _bridge(spark, d):
+    hits = retrieval.settled(_hits(spark, d), vectors.TOP_K).select(F.col("vec_id").alias("chunk_id"))
+    return retrieval.bridge_seeds(hits, A.support(spark, d), A.nodes(spark, d))
+
+
+def _merged(spark, d):
+    lexical = retrieval.settled(retrieval.lexical_seeds(F.lit(A.QUESTION), A.nodes(spark, d)), retrieval.LEXICAL)
+    return retrieval.merge_seeds(lexical, retrieval.settled(_bridge(spark, d), retrieval.BRIDGE))
+
+
+def _fixed_seeds(spark, d):
+    return A.nodes(spark, d).filter(F.col("key").isin([f"Method::supplier#00000000{i}" for i in range(3)]))
+
+
+def _focal(spark, d):
+    return A.introduces(spark, d).select(F.col("target_key").alias("key"))
+
+
+@query(with_(NODES, LEXICAL, then="SELECT * FROM lexical"))
+def lexical_seeds(spark, d):
+    return retrieval.lexical_seeds(F.lit(A.QUESTION), A.nodes(spark, d))
+
+
+@query(with_(NODES, then=f"SELECT key, name, entity_type, CAST(row_number() OVER (ORDER BY length(name) DESC, key) AS INTEGER) AS rank FROM nodes WHERE name <> '' AND (contains(lower('{A.QUESTION}'), lower(name)) OR len(list_filter(aliases, lambda a: length(a) >= 4 AND contains(lower('{A.QUESTION}'), lower(a)))) > 0) QUALIFY rank <= 8"))
+def lexical_seeds_v1(spark, d):
+    return retrieval.lexical_seeds_v1(F.lit(A.QUESTION), A.nodes(spark, d))
+
+
+@query(with_(NODES, SUPPORT, HITS.format(k=6), BRIDGE, then="SELECT * FROM bridge"))
+def bridge_seeds(spark, d):
+    return _bridge(spark, d)
+
+
+@query(with_(NODES, SUPPORT, HITS.format(k=6), LEXICAL, BRIDGE, MERGED, then="SELECT * FROM merged"))
+def merge_seeds(spark, d):
+    return _merged(spark, d)
+
+
+@query(with_(EDGES, NODES, FIXED_SEEDS, _hop("hop1", "seeds", 32), then=f"SELECT {', '.join(FACT_COLUMNS)} FROM hop1"))
+def expand_1hop(spark, d):
+    return retrieval.expand(A.evidence(spark, d), _fixed_seeds(spark, d)).select(FACT_COLUMNS)
+
+
+@query(with_(EDGES, NODES, FIXED_SEEDS, _hop("hop1", "seeds", 32), SECONDARY.format(seeds="seeds"), then="SELECT * FROM secondary"))
+def secondary_seeds(spark, d):
+    seeds = _fixed_seeds(spark, d)
+    return retrieval.secondary_seeds(retrieval.expand(A.evidence(spark, d), seeds), seeds, _focal(spark, d))
+
+
+@query(with_(EDGES, NODES, FIXED_SEEDS, _hop("hop1", "seeds", 32), SECONDARY.format(seeds="seeds"), _hop("hop2", "secondary", 28), ALL_FACTS, then=f"SELECT {', '.join(FACT_COLUMNS)} FROM facts"))
+def expand_2hop(spark, d):
+    return retrieval.two_hops(A.evidence(spark, d), _fixed_seeds(spark, d), _focal(spark, d))[2].select(FACT_COLUMNS)
+
+
+@query(with_(EDGES, then="SELECT source_key, relation, target_key, max(evidence_count) AS evidence_count FROM edges GROUP BY 1, 2, 3"))
+def fact_dedup(spark, d):
+    edges = kg_store.edges(A.evidence(spark, d)).select("source_key", "relation", "target_key", "evidence_count")
+    weaker = edges.withColumn("evidence_count", F.col("evidence_count") - 1)
+    both = edges.withColumn("hop", F.lit(1)).unionByName(weaker.withColumn("hop", F.lit(2)))
+    return retrieval.dedupe_facts(both).drop("hop")
+
+
+@query(with_(EDGES, then=f"SELECT CAST(row_number() OVER (ORDER BY {ORDER}) AS INTEGER) AS rank, source_key, relation, target_key, evidence_count FROM edges QUALIFY rank <= 60"))
+def rank_facts(spark, d):
+    return retrieval.rank_facts(kg_store.edges(A.evidence(spark, d)), 60).select("rank", "source_key", "relation", "target_key", "evidence_count")
+
+
+@query(with_(EDGES, then="SELECT CAST(row_number() OVER (ORDER BY evidence_count DESC, source, relation, target, source_key, target_key) AS INTEGER) AS rank, source_key, relation, target_key, evidence_count FROM edges QUALIFY rank <= 30"))
+def rank_facts_v1(spark, d):
+    return retrieval.rank_facts_v1(kg_store.edges(A.evidence(spark, d))).select("rank", "source_key", "relation", "target_key", "evidence_count")
+
+
+@query(with_(NODES, FIXED_SEEDS, then="SELECT n_name AS paper, 'Method::' || lower(s_name) AS target_key, s_name AS target, CAST(row_number() OVER (ORDER BY n_name, s_name) AS INTEGER) AS rank FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE 'Method::' || lower(s_name) IN (SELECT key FROM seeds)"))
+def introductions(spark, d):
+    return retrieval.introductions(_fixed_seeds(spark, d), A.introduces(spark, d))
+
+
+@query(with_(EDGES, NODES, FIXED_SEEDS, _hop("hop1", "seeds", 32), then="""
+    , each AS (SELECT DISTINCT h.rank AS r, e.chunk_id FROM hop1 h JOIN ev e ON h.source = e.source AND h.relation = e.relation AND h.target = e.target),
+    first AS (SELECT chunk_id, min(r) AS r FROM each GROUP BY chunk_id), capped AS (SELECT chunk_id, CAST(row_number() OVER (ORDER BY r, chunk_id) AS INTEGER) AS rank FROM first QUALIFY rank <= 14)
+    SELECT c.rank, c.chunk_id, CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR) AS o_orderdate, o.o_orderpriority FROM capped c JOIN orders o ON o.o_orderkey = c.chunk_id"""))
+def provenance_chunks(spark, d):
+    seeds, proof = _fixed_seeds(spark, d), A.evidence(spark, d)
+    facts = retrieval.settled(retrieval.expand(proof, seeds), retrieval.HOP1)
+    chunks = table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_orderdate").cast("date").cast("string").alias("o_orderdate"), "o_orderpriority")
+    return retrieval.provenance(facts, retrieval.touching(proof, seeds), chunks).select("rank", "chunk_id", "o_orderdate", "o_orderpriority")
+
+
+@query(with_(EDGES, then="SELECT source, relation, target, evidence_count FROM edges WHERE lower(source) = lower('SUPPLIER#000000001')"))
+def node_neighbors(spark, d):
+    # The name is tested before edges are counted.
+    return kg_store.edges(retrieval.neighbors(A.evidence(spark, d), "SUPPLIER#000000001")).select("source", "relation", "target", "evidence_count")
+
+
+@query(with_(NODES, SUPPORT, HITS.format(k=6), LEXICAL, BRIDGE, then="SELECT 'vector' AS channel, CAST(vec_id AS VARCHAR) AS item, rank FROM hits UNION ALL SELECT 'lexical', key, rank FROM lexical UNION ALL SELECT 'bridge', key, rank FROM bridge"))
+def compare_channels(spark, d):
+    one = _hits(spark, d).select(F.lit("vector").alias("channel"), F.col("vec_id").cast("string").alias("item"), "rank")
+    two = retrieval.lexical_seeds(F.lit(A.QUESTION), A.nodes(spark, d)).select(F.lit("lexical").alias("channel"), F.col("key").alias("item"), "rank")
+    return one.unionByName(two).unionByName(_bridge(spark, d).select(F.lit("bridge").alias("channel"), F.col("key").alias("item"), "rank"))
+
+
+@query("WITH " + HYBRID + f"SELECT {', '.join(FACT_COLUMNS)} FROM facts")
+def hybrid_query(spark, d):
+    return retrieval.two_hops(A.evidence(spark, d), _merged(spark, d), _focal(spark, d))[2].select(FACT_COLUMNS)
+
+
+@query(with_(EDGES, NODES, SUPPORT, HITS.format(k=5), BRIDGE, then=f"""
+    , lex1 AS (SELECT key, name, entity_type, 'lexical' AS seed_source, CAST(row_number() OVER (ORDER BY length(name) DESC, key) AS INTEGER) AS rank FROM nodes WHERE name <> '' AND (contains(lower('{A.QUESTION}'), lower(name)) OR len(list_filter(aliases, lambda a: length(a) >= 4 AND contains(lower('{A.QUESTION}'), lower(a)))) > 0) QUALIFY rank <= 8),
+    both_seeds AS (SELECT key, 0 AS c, rank AS r FROM lex1 UNION ALL SELECT key, 1, rank FROM bridge), once AS (SELECT * FROM both_seeds QUALIFY row_number() OVER (PARTITION BY key ORDER BY c, r) = 1),
+    seeds AS (SELECT key, row_number() OVER (ORDER BY c, r) AS rank FROM once QUALIFY rank <= 6)
+    SELECT CAST(row_number() OVER (ORDER BY evidence_count DESC, source, relation, target, source_key, target_key) AS INTEGER) AS rank, source_key, relation, target_key, evidence_count
+    FROM edges WHERE source_key IN (SELECT key FROM seeds) OR target_key IN (SELECT key FROM seeds) QUALIFY rank <= 30"""))
+def hybrid_query_v1(spark, d):
+    nodes = A.nodes(spark, d)
+    hits = _hits(spark, d, 5).select(F.col("vec_id").alias("chunk_id"))
+    lexical = retrieval.lexical_seeds_v1(F.lit(A.QUESTION), nodes).withColumn("seed_source", F.lit("lexical"))
+    seeds = retrieval.merge_seeds(lexical, retrieval.bridge_seeds(hits, A.support(spark, d), nodes), 6)
+    return retrieval.rank_facts_v1(kg_store.edges(retrieval.touching(A.evidence(spark, d), seeds))).select("rank", "source_key", "relation", "target_key", "evidence_count")
+
+
+# --- ad-hoc graph queries ----------------------------------------------------------------------------------------
+
+
+@query(with_(NODES, then="SELECT entity_type, count(*) AS n FROM nodes GROUP BY entity_type"))
+def entity_type_counts(spark, d):
+    return A.nodes(spark, d).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "entity_type")
+
+
+@query(with_(EDGES, then="SELECT relation, count(*) AS n, CAST(sum(evidence_count) AS BIGINT) AS evidence FROM edges GROUP BY relation"))
+def relation_type_counts(spark, d):
+    edges = kg_store.edges(A.evidence(spark, d))
+    return edges.groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.sum("evidence_count").alias("evidence")).orderBy(F.col("n").desc(), "relation")
+
+
+@query("SELECT DISTINCT source AS paper_id, source || '.pdf' AS source_file FROM documents WHERE source IS NOT NULL")
+def cookbook_paper_nodes(spark, d):
+    return A.pages(spark, d).filter("paper_id is not null").select("paper_id", "source_file").distinct()
+
+
+@query(with_(EDGES, then="SELECT relation, target, evidence_count FROM edges WHERE source = 'Supplier#000000001' AND relation IN ('USES', 'ADDRESSES', 'EVALUATES_ON', 'MEASURED_BY', 'COMPARED_WITH')"))
+def cookbook_subgraph(spark, d):
+    around = A.evidence(spark, d).filter((F.col("source") == "Supplier#000000001") & F.col("relation").isin("USES", "ADDRESSES", "EVALUATES_ON", "MEASURED_BY", "COMPARED_WITH"))
+    return kg_store.edges(around).select("relation", "target", "evidence_count")
+
+
+@query(with_(EDGES, then="SELECT relation, target, target_type FROM edges WHERE source = 'Supplier#000000001'"))
+def cookbook_relations_of(spark, d):
+    return kg_store.edges(A.evidence(spark, d).filter(F.col("source") == "Supplier#000000001")).select("relation", "target", "target_type").orderBy("relation", "target")
+
+
+@query("SELECT n_name AS paper, s_name AS target FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def cookbook_introduces(spark, d):
+    return A.introduces(spark, d).select("paper", "target")
+
+
+@query(with_(SUPPORT, then="SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate, chunk_id FROM sup JOIN orders ON o_orderkey = chunk_id WHERE entity_key = 'Concept::brand#13' ORDER BY o_orderdate, chunk_id LIMIT 20"))
+def cookbook_provenance(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_orderdate").cast("date").cast("string").alias("o_orderdate"))
+    return A.support(spark, d).filter("entity_key = 'Concept::brand#13'").join(orders, "chunk_id").orderBy("o_orderdate", "chunk_id").limit(20).select("o_orderdate", "chunk_id")
+
+
+@query(with_(EDGES, then="SELECT source, target, evidence_count FROM edges WHERE relation = 'COMPARED_WITH' AND source IN ('Supplier#000000000', 'Supplier#000000001')"))
+def cookbook_compared(spark, d):
+    named = A.evidence(spark, d).filter((F.col("relation") == "COMPARED_WITH") & F.col("source").isin("Supplier#000000000", "Supplier#000000001"))
+    return kg_store.edges(named).select("source", "target", "evidence_count")
+
+
+@query(with_(EDGES, then="SELECT source, relation, evidence_count FROM edges WHERE relation IN ('USES', 'PRODUCES') AND target = 'Brand#13'"))
+def cookbook_uses_or_produces(spark, d):
+    into = A.evidence(spark, d).filter(F.col("relation").isin("USES", "PRODUCES") & (F.col("target") == "Brand#13"))
+    return kg_store.edges(into).select("source", "relation", "evidence_count")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_windows(spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)

@@ -4,7 +4,8 @@ Vectors become integer arrays. Within a tree, each x gets one more coordinate sq
 squared norm, so that the Euclidean order from a query equals the order of inner products: squared distance is
 |q|^2 + M - 2 q.x. A tree has pages of vectors, each with a routing vector, a covering radius and its distance from
 the parent's routing vector. Pages are visited by their least possible distance; entries whose stored parent distance
-already excludes them by the triangle inequality are never compared.
+already excludes them by the triangle inequality are never compared. Queries are searched side by side: in each round,
+every query that still has a promising page visits its best one, and those at the same page share a product.
 
 The table is dealt out over trees of at most ``tree_rows`` vectors on average; queries visit every tree as a stream,
 so a task holds one tree and one Arrow batch of queries. The k best of each tree are merged by rank.
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from lodestone.session import ensure_importable
 
-PAGE, FANOUT, SLACK = 256, 16, 1e-7
+PAGE, FANOUT, SLACK = 1024, 8, 1e-7
+_RANK = 20  # bits of a key for the place of an id in its tree
 
 
 class Node:
@@ -48,6 +50,7 @@ class MTree:
         self.last = np.sqrt(np.maximum(self.top - self.norms, 0.0))
         self.order = np.arange(len(ids))
         self.computed = 0
+        self.pages: list[Node] = []
         self.root = self._grow(0, len(ids)) if len(ids) else None
         self.x, self.ids, self.last, self.norms = self.x[self.order], self.ids[self.order], self.last[self.order], self.norms[self.order]
         self.place = np.empty(len(ids), np.int64)
@@ -55,6 +58,16 @@ class MTree:
         self.parent = np.zeros(len(ids))
         if self.root:
             self._measure(self.root)
+            # Entries of a page lie in the order of their parent distance, so those in reach are a range.
+            sort = np.concatenate([p.lo + np.argsort(self.parent[p.lo : p.hi], kind="stable") for p in self.pages])
+            moved = np.empty(len(ids), np.int64)
+            moved[sort] = np.arange(len(ids))
+            self.x, self.ids, self.parent, self.last, self.norms = self.x[sort], self.ids[sort], self.parent[sort], self.last[sort], self.norms[sort]
+            self._renumber(self.root, moved)
+            by_id = np.argsort(self.ids, kind="stable")
+            self.rank = np.empty(len(ids), np.int64)
+            self.rank[by_id] = np.arange(len(ids))
+            self.by_id = by_id
         # Doubles hold the inner products exactly unless components are large.
         self.exact = self.x.astype(np.int64) if len(ids) and np.abs(self.x).max() >= 2**22 else None
 
@@ -98,11 +111,81 @@ class MTree:
         distance = self._between(node.route, rows)
         node.radius = float(distance.max())
         if not node.children:
+            self.pages.append(node)
             self.parent[node.lo : node.hi] = distance
         for child in node.children:
             self._measure(child)
             child.parent_distance = float(self._between(node.route, np.array([child.route]))[0])
 
+    def _renumber(self, node: Node, moved: np.ndarray) -> None:
+        node.route = int(moved[node.route])
+        for child in node.children:
+            self._renumber(child, moved)
+
+    def search_many(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As ``search``, for each query, if scores fit a key of score and id; else one by one."""
+        largest = max(float(np.abs(self.x).max(initial=0)), float(np.abs(queries).max(initial=0)))
+        if self.root is None or len(self.ids) >= 1 << _RANK or largest**2 * self.x.shape[1] >= 1 << 42:
+            return [self.search(q, o, k) for q, o in zip(queries, own.tolist(), strict=True)]
+        n, none = len(queries), -(1 << 63)
+        base = np.einsum("ij,ij->i", queries, queries) + self.top
+        slack = SLACK * (1 + base)
+        routes = np.array([p.route for p in self.pages])
+        radius = np.array([p.radius for p in self.pages])
+        # Bounds pass down the tree: a page is as far as the farthest bound among the nodes that hold it.
+        at = np.sqrt(np.maximum(base[:, None] - 2 * (queries @ self.x[routes].T), 0))
+        bound = np.maximum(at - radius, 0)
+        self._narrow(self.root, queries, base, bound)
+        self.computed += n * len(routes)
+        order = np.argsort(bound, axis=1, kind="stable")
+        best = np.full((n, k), none, np.int64)
+        worst = np.full(n, np.inf)
+        lo_own, hi_own = np.searchsorted(self.ids[self.by_id], own, "left"), np.searchsorted(self.ids[self.by_id], own, "right")
+        live = np.arange(n)
+        for turn in range(len(routes)):
+            page_of = order[live, turn]
+            least = bound[live, page_of]
+            going = least * least <= worst[live] + slack[live]
+            live, page_of = live[going], page_of[going]
+            if not live.size:
+                break
+            for number in np.unique(page_of):
+                page, who = self.pages[number], live[page_of == number]
+                reach = np.sqrt(worst[who] + slack[who])
+                near = at[who, number]
+                lo = page.lo + int(np.searchsorted(self.parent[page.lo : page.hi], float((near - reach).min()), "left"))
+                hi = page.lo + int(np.searchsorted(self.parent[page.lo : page.hi], float((near + reach).max()), "right"))
+                if lo >= hi:
+                    continue
+                self.computed += (hi - lo) * len(who)
+                key = (queries[who] @ self.x[lo:hi].T).astype(np.int64) << _RANK
+                key -= self.rank[lo:hi]
+                for row in np.flatnonzero(hi_own[who] > lo_own[who]).tolist():
+                    mine = self.by_id[lo_own[who[row]] : hi_own[who[row]]]
+                    key[row, mine[(mine >= lo) & (mine < hi)] - lo] = none
+                better = np.flatnonzero((key > best[who].min(axis=1)[:, None]).any(axis=1))
+                if better.size:
+                    mine = who[better]
+                    both = np.concatenate([best[mine], key[better]], axis=1)
+                    best[mine] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                    low = best[mine].min(axis=1)
+                    worst[mine] = np.where(low == none, np.inf, base[mine] - 2.0 * (low + (1 << _RANK) >> _RANK) + 2)
+        out = []
+        for row in np.sort(best, axis=1)[:, ::-1]:
+            row = row[row != none]
+            rank = -row & (1 << _RANK) - 1
+            out.append((self.ids[self.by_id[rank]], row + rank >> _RANK))
+        return out
+
+    def _narrow(self, node: Node, queries: np.ndarray, base: np.ndarray, bound: np.ndarray) -> None:
+        if not node.children:
+            return
+        distance = np.sqrt(np.maximum(base - 2 * (queries @ self.x[node.route]), 0))
+        inside = [i for i, p in enumerate(self.pages) if node.lo <= p.lo and p.hi <= node.hi]
+        bound[:, inside] = np.maximum(bound[:, inside], np.maximum(distance - node.radius, 0)[:, None])
+        for child in node.children:
+            self._narrow(child, queries, base, bound)
+
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids and inner products of the k best candidates, ties to the smaller id."""
         if self.root is None:
@@ -186,11 +269,11 @@ def _searcher(k: int, page: int):
                 if tree is None:
                     width = max(r.shape[1] for r in rows)
                     tree = MTree(np.concatenate(ids), np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for r in rows]), page)
-                out_q, out_v, out_s = [], [], []
-                for q, own_id in zip(_matrix(queries.column("v"), tree.x.shape[1]), queries.column("vec_id").to_numpy(), strict=True):
-                    found, score = tree.search(q, own_id, k)
-                    out_q.append(np.full(len(found), own_id)), out_v.append(found), out_s.append(score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
+                asked = queries.column("vec_id").to_numpy()
+                for at in range(0, len(asked), 1024):
+                    found = tree.search_many(_matrix(queries.column("v").slice(at, 1024), tree.x.shape[1]), asked[at : at + 1024], k)
+                    columns = [np.repeat(asked[at : at + 1024], [len(v) for v, _ in found]), np.concatenate([v for v, _ in found]), np.concatenate([s for _, s in found])]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["query_id", "vec_id", "score"])
 
     return run
 

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestone import schemas
 
@@ -15,17 +16,17 @@ UNICODE_SPACE = r"(?U)\s+"
 ASCII_SPACE = r"[ \t\n\r\f]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKD", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(s: pd.Series) -> pd.Series:
     return s.map(str.casefold, na_action="ignore")
 
@@ -74,8 +75,8 @@ def chunk_id(paper: Column, page: Column, index: Column) -> Column:
 
 def unfenced(text: Column) -> Column:
     """JSON without the Markdown fence around it."""
-    inner = F.regexp_replace(F.trim(text), r"^```(?:json)?", "")
-    return F.trim(F.regexp_replace(inner, r"```$", ""))
+    inner = F.regexp_replace(text, r"^\s*(?:```(?:json)?)?\s*", "")
+    return F.regexp_replace(inner, r"\s*(?:```)?\s*$", "")
 
 
 def rewritten(answer: Column, question: Column) -> Column:

@@ -1,22 +1,16 @@
-"""Record schemas and the fixed vocabularies of the knowledge graph."""
+"""Record schemas, as DDL, and the fixed vocabularies of the knowledge graph."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _s(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
 EVIDENCE = "ARRAY<STRUCT<chunk_id: STRING, page: INT>>"
-PAGES = _s("source_file STRING, page INT, text STRING, n_invalid INT")
-CHUNKS = _s("chunk_id STRING, paper_id STRING, source_file STRING, page INT, chunk_index INT, token_start INT, token_end INT, token_count INT, char_start INT, char_end INT, text STRING")
+PAGES = "source_file STRING, page INT, text STRING, n_invalid INT"
+CHUNKS = "chunk_id STRING, paper_id STRING, source_file STRING, page INT, chunk_index INT, token_start INT, token_end INT, token_count INT, char_start INT, char_end INT, text STRING"
+CHUNK_COLUMNS = [c.split()[0] for c in CHUNKS.split(", ")]
 FOCAL = "ARRAY<STRUCT<name: STRING, type: STRING, aliases: ARRAY<STRING>>>"
 PROFILES = f"MAP<STRING, STRUCT<focal_entities: {FOCAL}>>"
 ENTITY = f"STRUCT<name: STRING, type: STRING, aliases: ARRAY<STRING>, evidence: {EVIDENCE}>"
 RELATION = f"STRUCT<source: STRING, type: STRING, target: STRING, evidence: {EVIDENCE}>"
-RAW = _s(f"source_file STRING, paper_id STRING, batch_number INT, chunk_ids ARRAY<STRING>, focal_entities {FOCAL}, entities ARRAY<{ENTITY}>, relations ARRAY<{RELATION}>")
+RAW = f"source_file STRING, paper_id STRING, batch_number INT, chunk_ids ARRAY<STRING>, focal_entities {FOCAL}, entities ARRAY<{ENTITY}>, relations ARRAY<{RELATION}>"
 
 # Entity types, relation types, the target types each relation allows, and the rank of relations.
 ENTITY_TYPES = ["Method", "Model", "Concept", "Task", "Dataset", "Metric"]

@@ -59,7 +59,7 @@ def summary(pages: DataFrame) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    chunks.select(*schemas.CHUNKS.names).write.mode("overwrite").json(path)
+    chunks.select(*schemas.CHUNK_COLUMNS).write.mode("overwrite").json(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -17,8 +17,10 @@ from lodestone.llm.common import shared_dir
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; the rest are rejected. The predicted language becomes theirs."""
     prototypes = langid.train(docs.select("doc_id", "text", "lang"))
-    guessed = langid.predict(docs, prototypes, keep=tuple(docs.columns), out=("_lang", "_likeness")).filter("_lang <> 'und'")
-    return guessed.withColumn("lang", guessed["_lang"].cast(docs.schema["lang"].dataType)).select(*docs.columns)
+    out = ("predicted language of this row", "likeness of this row")  # names that no table has
+    guessed = langid.predict(docs, prototypes, keep=tuple(docs.columns), out=out)
+    guessed = guessed.filter(guessed[out[0]] != "und")
+    return guessed.withColumn("lang", guessed[out[0]].cast(docs.schema["lang"].dataType)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

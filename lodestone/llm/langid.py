@@ -148,7 +148,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str,
     ensure_importable(docs.sparkSession)
     rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(_guesser(prototypes, dimensions, list(keep), out), f"{kinds}, {out[0]} string, {out[1]} double")
+    return rows.mapInArrow(_guesser(prototypes, dimensions, list(keep), out), f"{kinds}, `{out[0]}` string, `{out[1]}` double")
 
 
 def held_out(doc_id: str = "doc_id"):

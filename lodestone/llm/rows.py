@@ -17,5 +17,5 @@ def keyed(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     doc = F.coalesce("doc_id", F.lit(LAST))
     repeated = not rows.groupBy(doc.alias("doc")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-    tag = F.xxhash64("text").cast("int") if repeated else F.lit(0)
+    tag = F.hash("text") if repeated else F.lit(0)
     return rows.select("doc_id", doc.alias("doc"), tag.alias("tag"), "text")

@@ -200,12 +200,12 @@ def representatives(docs: DataFrame, words: int = WORDS, near: int = NEAR, share
     classes = _classes(marked.select(F.col("doc_id").cast("long").alias("doc_id"), "fp"), near, share)
     lead = marked.join(classes, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = written(lead.groupBy("root", "doc_id").agg(F.min("_t").alias("_t"), F.count(F.lit(1)).alias("n")), "simhash-stay")
-    left = docs.withColumn("_t", F.xxhash64("text")).alias("d")
+    left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("_t")).alias("d")
     kept = left.join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._t") == F.col("s._t"))).select("d.*")
     if not stay.filter("n > 1").isEmpty():  # an id repeats: of equal rows, one
         same = Window.partitionBy("doc_id", "_t").orderBy(F.lit(0))
         kept = kept.withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_n")
-    return kept.drop("_t")
+    return kept.select("row.*")
 
 
 def hex_digits(column: str):

@@ -92,12 +92,17 @@ def settled(capped: DataFrame, cap: int) -> DataFrame:
     return capped.sparkSession.createDataFrame(rows, capped.schema)
 
 
-def touching(evidence: DataFrame, seeds: DataFrame, relations: list[str] | None = None) -> DataFrame:
-    """Evidence of edges with a seed at either end. The seeds, a few dozen at most, become a list of keys, so this is a
-    filter below the count of edges: only the seeds' part of the graph is aggregated."""
-    keys = sorted({r["key"] for r in seeds.select("key").limit(LEXICAL + BRIDGE + MERGED + 1).collect()})
-    ends = F.col("source_key").isin(keys) | F.col("target_key").isin(keys) if keys else F.lit(False)
-    return evidence.filter(F.col("relation").isin(relations or list(schemas.RELATION_RANK)) & ends)
+def touching(evidence: DataFrame, seeds: DataFrame, relations: list[str] | None = None, few: int = 64) -> DataFrame:
+    """Evidence of edges with a seed at either end, without repeats, below the count of edges: only the seeds' part of
+    the graph is aggregated. Up to ``few`` seeds become a filter; more are joined on each end."""
+    rows = evidence.filter(F.col("relation").isin(relations or list(schemas.RELATION_RANK)))
+    known = seeds.select("key").distinct()
+    keys = sorted(r["key"] for r in known.limit(few + 1).collect())
+    if len(keys) <= few:
+        return rows.filter(F.col("source_key").isin(keys) | F.col("target_key").isin(keys) if keys else F.lit(False))
+    out = rows.join(known, rows["source_key"] == known["key"], "left_semi")
+    into = rows.join(known, rows["target_key"] == known["key"], "left_semi").join(known, rows["source_key"] == known["key"], "left_anti")
+    return out.unionByName(into)
 
 
 def expand(evidence: DataFrame, seeds: DataFrame, cap: int = HOP1) -> DataFrame:

@@ -150,6 +150,8 @@ def test_seeds_and_hops(spark):
     chunks = spark.createDataFrame([(2, "two"), (4, "four")], "chunk_id long, text string")
     got = retrieval.provenance(facts, ev, chunks, 3).orderBy("rank").collect()
     assert [r["chunk_id"] for r in got] == [2]  # unknown ids use up the cap
+    some = nodes.select("key").filter("key in ('Method::m0', 'Method::m1')")
+    assert sorted(retrieval.touching(ev, some, few=1).collect()) == sorted(retrieval.touching(ev, some).collect())
     bridge = retrieval.bridge_seeds(chunks, spark.createDataFrame([("Concept::c", 2), ("Method::m1", 2), ("Method::m1", 4)], "entity_key string, chunk_id long"), nodes)
     assert [(r["key"], r["support_count"]) for r in bridge.orderBy("rank").collect()] == [("Method::m1", 2), ("Concept::c", 1)]
     assert [r["key"] for r in retrieval.merge_seeds(lex, bridge, 2).orderBy("rank").collect()] == ["Method::m0", "Method::m1"]

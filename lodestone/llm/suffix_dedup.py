@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import discard, tidy, written
 from lodestone.llm.rows import keyed
 from lodestone.llm.tokens import steps
 from lodestone.session import ensure_importable
@@ -129,31 +129,40 @@ def _hulls(length: int):
     return run
 
 
-def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(text: np.ndarray, depth: int, whole_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes sorted by their first ``depth`` bytes, ties by position, and for each in that order how many bytes,
-    up to depth, it shares with the one before. Bytes past the end are below all others."""
-    n = len(text)
-    padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(depth + 8, np.uint64)])
-    rank, width, levels = padded[: n + depth], 1, []
-
-    def ranked(key: np.ndarray) -> np.ndarray:
-        return np.unique(key, return_inverse=True)[1].astype(np.uint64)
+    up to depth, it shares with the one before. Bytes past the end are below all others.
 
-    levels.append((1, rank))
+    With ``whole_only``, what is shared is depth or 0, the text is taken to go on with zero bytes, and ranks begin with
+    eight bytes at once.
+    """
+    n = len(text)
+    scale = np.uint64(n + depth + 300)
+    if whole_only and depth >= 8:
+        padded = np.concatenate([text.astype(np.uint64), np.zeros(depth + 8, np.uint64)])
+        rank, width = padded[: n + depth], 8
+        for k in range(1, 8):
+            rank = rank << np.uint64(8) | padded[k : k + n + depth]
+        rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+    else:
+        rank, width = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(depth, np.uint64)]), 1
+    levels = [(width, rank)]
     while 2 * width <= depth:
-        rank = ranked(rank[: len(rank) - width] * np.uint64(n + depth + 300) + rank[width:])
+        rank = np.unique(rank[: len(rank) - width] * scale + rank[width:], return_inverse=True)[1].astype(np.uint64)
         rank = np.concatenate([rank, np.zeros(width, np.uint64)])
         width *= 2
         levels.append((width, rank))
-    full = rank[:n] * np.uint64(n + depth + 300) + rank[depth - width : depth - width + n]
+    full = rank[:n] * scale + rank[depth - width : depth - width + n]
     order = np.argsort(full, kind="stable")
     shared = np.zeros(n, np.int64)
-    a, b = order[1:].copy(), order[:-1].copy()
+    a, b = order[1:], order[:-1]
     same = full[a] == full[b]
-    run = np.zeros(n - 1 if n else 0, np.int64)
+    if whole_only:
+        shared[1:] = np.where(same, depth, 0)
+        return order, shared
+    run = np.zeros(max(0, n - 1), np.int64)
     for width, rank in reversed(levels):
-        fits = run + width <= depth
-        equal = fits & (rank[np.minimum(a + run, len(rank) - 1)] == rank[np.minimum(b + run, len(rank) - 1)])
+        equal = (run + width <= depth) & (rank[np.minimum(a + run, len(rank) - 1)] == rank[np.minimum(b + run, len(rank) - 1)])
         run += np.where(equal, width, 0)
     shared[1:] = np.where(same, depth, np.minimum(run, n - np.maximum(a, b)))
     return order, shared
@@ -161,12 +170,12 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def longest_factors(text: np.ndarray, depth: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """For each position, the longest factor, up to ``depth`` bytes, that also begins earlier, and that also begins
-    later; where below ``least``, 0.
+    later; where below ``least``, 0. With ``least`` at depth, the text is taken to go on with zero bytes.
 
     In suffix order, the nearest suffix before (and after) that begins at a smaller position is found by following the
     links of those already known; so is the nearest at a larger one.
     """
-    order, shared = suffix_order(text, depth)
+    order, shared = suffix_order(text, depth, least >= depth)
     n = len(order)
     out = []
     for sign in (1, -1):
@@ -270,36 +279,43 @@ def _strings(length: int):
 
 
 def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", crowd: int = CROWD, block: int = _BLOCK) -> DataFrame:
-    """``docs`` as of ``rows.keyed``. Stretches to remove: doc, tag, lo, hi (bytes; they may overlap)."""
+    """``docs`` as of ``rows.keyed``. The stretches to remove of each: doc, tag, cuts (array of lo, hi in bytes; they
+    may overlap, and hi may lie past the end)."""
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
-    found = written(docs.select("doc", "tag", "text").mapInArrow(_anchors(length), "anchor long, hull long, doc long, tag int, pos int"), "suffix-anchors")
+    found = written(docs.select("doc", "tag", "text").mapInArrow(tidy(_anchors(length)), "anchor long, hull long, doc long, tag int, pos int"), "suffix-anchors")
     place = F.struct("doc", "tag", "pos")
     hulls = found.groupBy("anchor", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     hulls = written(hulls, "suffix-hulls")
     groups = hulls.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total > 1")
     groups = hulls.join(groups, "anchor")
     groups = written(groups.filter("n > 1 or kinds > 1"), "suffix-groups")
+    discard(hulls)
     whole = found.join(groups.filter("n > 1").select("anchor", "hull", "first"), ["anchor", "hull"])
     if keep == "first":
         whole = whole.filter(place != F.col("first"))
-    # The end may lie past the text's; it is cut off when applied.
-    ready = whole.select("doc", "tag", F.greatest(F.col("pos") - (length - PIECE), F.lit(0)).alias("lo"), (F.col("pos") + length).alias("hi"))
+    ready = written(whole.select("doc", "tag", F.greatest(F.col("pos") - (length - PIECE), F.lit(0)).alias("lo"), (F.col("pos") + length).alias("hi")), "suffix-whole")
+    discard(found)
     asks = groups.filter("kinds > 1").select("first.*", "anchor", (F.col("kinds") > crowd).alias("crowded"))
     per_doc = asks.groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "pos", "crowded")).alias("asks"))
-    fetched = docs.select("doc", "tag", "text").join(per_doc, ["doc", "tag"]).mapInArrow(_hulls(length), "anchor long, doc long, tag int, start int, at int, crowded boolean, hull binary")
+    fetched = docs.select("doc", "tag", "text").join(per_doc, ["doc", "tag"]).mapInArrow(tidy(_hulls(length)), "anchor long, doc long, tag int, start int, at int, crowded boolean, hull binary")
     fetched = written(fetched, "suffix-fetched")
+    discard(groups)
     blocks = fetched.filter("not crowded").repartition("anchor").sortWithinPartitions("anchor", "doc", "tag", "start")
-    ready = ready.unionByName(blocks.mapInArrow(_blocks(length, keep, block), "doc long, tag int, lo int, hi int"))
+    out = ready.unionByName(blocks.mapInArrow(tidy(_blocks(length, keep, block)), "doc long, tag int, lo int, hi int"))
+    used = [ready, fetched]
     crowded = fetched.filter("crowded")
     if not crowded.isEmpty():
-        strings = written(crowded.mapInArrow(_strings(length), "string long, doc long, tag int, lo int").distinct(), "suffix-strings")
+        strings = written(crowded.mapInArrow(tidy(_strings(length)), "string long, doc long, tag int, lo int").distinct(), "suffix-strings")
         where = F.struct("doc", "tag", "lo")
         twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("first")).filter("n > 1")
         more = strings.join(twice, "string")
         more = more.filter(where != F.col("first")) if keep == "first" else more
-        ready = ready.unionByName(more.select("doc", "tag", "lo", (F.col("lo") + length).alias("hi")))
-    return ready
+        out = out.unionByName(more.select("doc", "tag", "lo", (F.col("lo") + length).alias("hi")))
+        used.append(strings)
+    out = written(out.groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts")), "suffix-cuts")
+    discard(*used)
+    return out
 
 
 def _cutter(keep_text: bool):
@@ -332,8 +348,6 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep: str = "none", keep_
         raise ValueError(f"length is {2 * PIECE} at least")
     ensure_importable(docs.sparkSession)
     rows = keyed(docs)
-    found = written(spans(rows, length, keep, crowd, block), "suffix-spans")
-    # Overlapping stretches of a document are merged as far as they come together before the shuffle.
-    cuts = found.groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
+    cuts = spans(rows, length, keep, crowd, block)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return rows.join(cuts, ["doc", "tag"], "left").select("doc_id", "text", "cuts").mapInArrow(_cutter(keep_text), kind)
+    return rows.join(cuts, ["doc", "tag"], "left").select("doc_id", "text", "cuts").mapInArrow(tidy(_cutter(keep_text)), kind)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import tidy
 from lodestone.llm.tokens import steps
 from lodestone.session import ensure_importable
 
@@ -112,7 +113,7 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, train_rows: int = T
     n = known.count()
     if n > train_rows:  # a sample by hash, of about train_rows rows
         known = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * train_rows / n))
-    sums = known.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(_bundler(dimensions), "lang string, dim int, v long")
+    sums = known.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(tidy(_bundler(dimensions)), "lang string, dim int, v long")
     found: dict[str, np.ndarray] = {}
     for r in sums.groupBy("lang", "dim").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.collect_list(F.struct("dim", "v")).alias("p")).collect():
         v = np.zeros(dimensions)
@@ -148,7 +149,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str,
     ensure_importable(docs.sparkSession)
     rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(_guesser(prototypes, dimensions, list(keep), out), f"{kinds}, `{out[0]}` string, `{out[1]}` double")
+    return rows.mapInArrow(tidy(_guesser(prototypes, dimensions, list(keep), out)), f"{kinds}, `{out[0]}` string, `{out[1]}` double")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import tokens
-from lodestone.llm.common import written
+from lodestone.llm.common import tidy, written
 from lodestone.session import ensure_importable
 
 SIZE = 2048
@@ -40,7 +40,7 @@ def _cutter(path: str, end_id: int, size: int):
 
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         coder = tokens.encoder(path)
-        for batch in batches:
+        for batch in (x for b in batches for x in tokens.slices(b)):
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for lo, hi in tokens.steps(texts):
                 flat, counts = coder.encode([x or "" for x in texts[lo:hi]])
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, size: int =
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     ensure_importable(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = written(rows.mapInArrow(_cutter(path or tokens.default_path(), end_id, size), PIECES), "pack-pieces")
+    pieces = written(rows.mapInArrow(tidy(_cutter(path or tokens.default_path(), end_id, size)), PIECES), "pack-pieces")
     counts = written(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -135,4 +135,4 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, size: int =
     ranked = pieces.join(offsets, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank")
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return ranked.mapInArrow(_placer(shortest_pack_first(histogram, size)), kind)
+    return ranked.mapInArrow(tidy(_placer(shortest_pack_first(histogram, size))), kind)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import tidy
 from lodestone.session import ensure_importable
 
 KINDS = ("email", "ip", "card", "phone")
@@ -265,7 +266,7 @@ def tag_row(length: int, spans: list[Span]) -> np.ndarray:
 _trained: dict = {}
 
 
-def trained(lines: int = 1200, steps: int = 140, batch: int = 48, rate: float = 0.02, seed: int = 4) -> Tagger:
+def trained(lines: int = 1500, steps: int = 220, batch: int = 48, rate: float = 0.02, seed: int = 4) -> Tagger:
     """The network after training on generated lines; the same on every call."""
     key = (lines, steps, batch, rate, seed)
     if key not in _trained:
@@ -393,7 +394,7 @@ def find(docs: DataFrame, least: float = 0.9) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (of the base patterns), base_sha256, spans (base and added)."""
     ensure_importable(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_finder(trained(), least), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(tidy(_finder(trained(), least)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -422,5 +423,5 @@ def _masker(model: Tagger, least: float, names: list[str]):
 def redact(docs: DataFrame, least: float = 0.9) -> DataFrame:
     """``docs`` with every span masked in its text, and n_chars, if there, counted again."""
     ensure_importable(docs.sparkSession)
-    out = docs.mapInArrow(_masker(trained(), least, docs.columns), docs.schema)
+    out = docs.mapInArrow(tidy(_masker(trained(), least, docs.columns)), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

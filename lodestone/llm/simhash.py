@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import tidy, written
 from lodestone.llm.components import components
 from lodestone.session import ensure_importable
 
@@ -155,7 +155,7 @@ def _compare(near: int):
 def _classes(marked: DataFrame, near: int, share: int) -> DataFrame:
     """``marked``: doc_id, fp. Per fingerprint: fp, root, component_id."""
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    spread = nodes.select("fp").mapInArrow(_spread, "anchor long, home boolean, fp long")
+    spread = nodes.select("fp").mapInArrow(tidy(_spread), "anchor long, home boolean, fp long")
     # Only anchors with over a share of homes, if any, need more shares.
     crowded = written(spread.filter("home").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > share), "simhash-crowded")
     if crowded.isEmpty():
@@ -167,7 +167,7 @@ def _classes(marked: DataFrame, near: int, share: int) -> DataFrame:
         # A home is compared within its share; as a copy it goes to all the others too.
         dealt = joined.withColumn("share", F.explode(every)).withColumn("home", F.col("home") & (F.col("share") == own)).drop("shares")
     grouped = dealt.repartition("anchor", "share").sortWithinPartitions("anchor", "share", F.col("home").desc())
-    roots = components(grouped.select("anchor", "share", "home", "fp").mapInArrow(_compare(near), "a long, b long"))
+    roots = components(grouped.select("anchor", "share", "home", "fp").mapInArrow(tidy(_compare(near)), "a long, b long"))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = written(placed, "simhash-roots")
     return placed.select("fp", "root").join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
@@ -176,7 +176,7 @@ def _classes(marked: DataFrame, near: int, share: int) -> DataFrame:
 def _marked(docs: DataFrame, words: int) -> DataFrame:
     ensure_importable(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(rows.mapInArrow(_fingerprints(words), "doc_id long, fp long"), "simhash")
+    return written(rows.mapInArrow(tidy(_fingerprints(words)), "doc_id long, fp long"), "simhash")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, near: int = NEAR, share: int = SHARE) -> DataFrame:
@@ -196,7 +196,7 @@ def representatives(docs: DataFrame, words: int = WORDS, near: int = NEAR, share
     words_of = docs.select("doc_id", "text", F.xxhash64("text").alias("_t"))
     ensure_importable(docs.sparkSession)
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _t long, fp long"
-    marked = written(words_of.mapInArrow(_fingerprints(words, ("doc_id", "_t")), kind), "simhash")
+    marked = written(words_of.mapInArrow(tidy(_fingerprints(words, ("doc_id", "_t"))), kind), "simhash")
     classes = _classes(marked.select(F.col("doc_id").cast("long").alias("doc_id"), "fp"), near, share)
     lead = marked.join(classes, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = written(lead.groupBy("root", "doc_id").agg(F.min("_t").alias("_t"), F.count(F.lit(1)).alias("n")), "simhash-stay")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import rangecoder, tokens
-from lodestone.llm.common import written
+from lodestone.llm.common import tidy, written
 from lodestone.session import ensure_importable
 
 MAGIC, HEAD = b"LSTK", struct.Struct("<4sHHIQQI")
@@ -86,7 +86,7 @@ def _writer(path: str, end_id: int, bits: int, shard_ids: int):
             file = pack_file(docs, np.concatenate(sizes), np.concatenate(flats), bits)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([x], pa.int64()) for x in (nth, len(docs), held)], pa.array([file], pa.binary())], ["range", "nth", "n_docs", "n_ids", "file"])
 
-        for batch in batches:
+        for batch in (x for b in batches for x in tokens.slices(b)):
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for lo, hi in tokens.steps(texts, 1_000_000):
                 flat, counts = coder.encode([x or "" for x in texts[lo:hi]])
@@ -120,12 +120,12 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 2, bits
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(_writer(path or tokens.default_path(), end_id, bits, shard_ids), SHARDS), "token-shards")
+    return written(ordered.mapInArrow(tidy(_writer(path or tokens.default_path(), end_id, bits, shard_ids)), SHARDS), "token-shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32. Only a row a shard goes into the running total."""
     before = Window.orderBy("range", "nth").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select("range", "nth", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
-    rows = shards.select("range", "nth", "file").mapInArrow(_read, ROWS)
+    rows = shards.select("range", "nth", "file").mapInArrow(tidy(_read), ROWS)
     return rows.join(starts, ["range", "nth"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -15,8 +15,8 @@ from itertools import repeat
 
 import numpy as np
 
-MEMO_UNITS = 1_500_000
-STEP_CHARS = 4_000_000
+MEMO_UNITS = 600_000
+STEP_CHARS = 1_000_000
 _RUN = re.compile(r"\s \s")
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -106,6 +106,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def slices(batch, rows: int = 512):
+    """Short pieces of an Arrow batch, so that only their texts are Python strings at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def steps(texts: list[str | None], chars: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of a batch of which each has about so many characters, to bound memory."""
     lo, held = 0, 0

@@ -17,6 +17,8 @@ import numpy as np
 
 MEMO_UNITS = 600_000
 STEP_CHARS = 1_000_000
+JOINED = 2_000
+SPACE = "\u0120"  # fixed value: how a byte-level vocabulary writes the byte 0x20
 _RUN = re.compile(r"\s \s")
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -35,6 +37,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo_units = memo_units
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for x, i in vocabulary.items() if SPACE in x]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -46,22 +51,37 @@ class Encoder:
     def _learn(self, units: list[str]) -> None:
         if len(self.index) + len(units) > self.memo_units:
             self._forget()
-        found = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        base, sizes = len(self.index), np.fromiter(map(len, ids), np.int32, len(ids))
-        total = int(sizes.sum())
-        while base + len(units) > len(self.starts):
+        plain, rest = [], []
+        for u in units:
+            (plain if len(u) > 1 and u[0] == " " and not u[1].isspace() else rest).append(u)
+        flat, sizes = self._joined(plain)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        flat = np.concatenate([flat, *[np.array(x, np.uint32) for x in ids]])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+        base, n = len(self.index), len(units)
+        while base + n > len(self.starts):
             self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        while self.used + total > len(self.flat):
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.starts[base : base + len(units)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[base : base + len(units)] = sizes
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.used += total
-        for k, unit in enumerate(units):
-            self.index[unit] = base + k
-            if len(unit) < 2 or unit[1].isspace():
-                self.odd.add(base + k)
+        self.starts[base : base + n] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[base : base + n] = sizes
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.index.update(zip(plain + rest, range(base, base + n), strict=True))
+        self.odd.update(base + len(plain) + k for k, u in enumerate(rest) if len(u) < 2 or u[1].isspace())
+
+    def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of units that each begin with their only space, many units a text.
+
+        A unit's ids are the same in any text of such units, and those with a space in them begin a unit.
+        """
+        texts = ["".join(units[i : i + JOINED]) for i in range(0, len(units), JOINED)]
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.uint32), *ids])
+        begins = np.flatnonzero(self.spaced[flat])
+        if len(begins) != len(units):
+            raise ValueError("the tokenizer joins characters across a space")
+        return flat, np.diff(begins, append=len(flat))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""

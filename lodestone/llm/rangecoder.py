@@ -1,114 +1,219 @@
 """Adaptive context-mixing range coder for token ids, in blocks that are reset and can be decoded on their own.
 
-An id is coded as its bits, highest first. Three models predict each bit from the bits so far, with none, one or two
-ids before (orders 0 to 2, the latter two hashed); their predictions are mixed in the logistic domain by weights that
-learn from each bit, and the mix drives a 32-bit binary arithmetic coder. Blocks run side by side in numpy, one lane
-each, so the loop is over the ids of a block, not of the corpus.
+Three models predict the next id. Order 0 is a distribution over all ids: bucket frequencies, counted again as the block
+goes on. Orders 1 and 2 each name one id, the one that last followed the same one or two ids (hashed), with a confidence.
+Their distributions are mixed by weights that each block learns for each state of the two confidences, and the interval
+of an id in the mix drives a range coder with 52-bit ranges, 16-bit words and deferred carries. One interval codes an
+id. Blocks run side by side in numpy, one lane each, so the loop is over the ids of a block, not of the corpus.
+All arithmetic is on integers, but for one division of integers that a float64 gives exactly.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BLOCK, LANES, SLOTS = 2048, 1024, 14  # ids a block; blocks side by side; a model's table has 2^SLOTS entries
-_RATE, _LEARN = 4, np.float32(0.02)
-_P = (np.arange(4096) + 0.5) / 4096
-_STRETCH = np.log(_P / (1 - _P)).astype(np.float32)
-#: Probabilities in 1/4096 for mixes from -12 to 12 by 1/64; a table, so that all machines agree.
-_SQUASH = np.clip(np.round(4096 / (1 + np.exp(-(np.arange(-768, 769) / 64)))), 1, 4095).astype(np.uint32)
+BLOCK, LANES = 2048, 2048  # ids a block; blocks side by side
+SLOTS1, SLOTS2 = 11, 12  # tables of orders 1 and 2 have 2^SLOTS entries a lane
+MOST_BITS = 16
+_TOTAL, _COARSE, _UNIT, _KEEP = 28, 12, 23, 36  # log2: the mix; bucket frequencies; a 32nd of the mix; least range
+_RATE = 4  # weights move by 1/2^_RATE of their error
+_WORD = np.uint64((1 << _KEEP) - 1)
+
+
+def _buckets() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each id its bucket; of each bucket its first id and log2 of its width. Sixteen buckets from 2^k to 2^(k+1)."""
+    ids = np.arange(1 << MOST_BITS)
+    shift = np.maximum(np.frexp(ids)[1] - 5, 0)
+    bucket = 16 * shift + (ids >> shift)
+    first = np.searchsorted(bucket, np.arange(bucket[-1] + 1))
+    return bucket, first, shift[first]
+
+
+_BUCKET, _FIRST, _SHIFT = _buckets()
+_N, _WIDE = len(_FIRST), 1 << int(np.ceil(np.log2(len(_FIRST))))
+_SCALE = _UNIT - _COARSE - _SHIFT  # log2 of an id's share of one unit of its bucket's frequency
+_OFFSET = (np.arange(1 << MOST_BITS) - _FIRST[_BUCKET]).astype(np.int32)
+
+
+def _first_weights() -> tuple[np.ndarray, np.ndarray]:
+    """Of 2^16, the chance that order 2 is right, and order 1 where it names another id, by 8 * confidence 2 + 2 * confidence 1 + same id."""
+    state = np.arange(32)
+    two = np.array([0, 20_000, 39_000, 56_000])[state >> 3]
+    one = (65536 - two) * np.array([0, 10, 23, 39])[state >> 1 & 3] // 65
+    return two, np.where(state & 1, 0, one)
 
 
 class _Model:
-    def __init__(self, lanes: int, bits: int):
-        self.table = np.full(3 * lanes << SLOTS, 1 << 15, np.uint16)
-        self.base = (np.arange(3 * lanes, dtype=np.int64) << SLOTS).reshape(3, lanes)
-        self.weights = np.full((bits, 3, lanes), 0.4, np.float32)
-        self.prev1, self.prev2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.mask = np.uint32((1 << SLOTS) - 1)
-        self.salt = np.zeros((3, lanes), np.uint32)
-
-    def begin(self) -> None:
-        self.salt[1] = (self.prev1 + np.uint32(1)) * np.uint32(0x9E3779B1)
-        self.salt[2] = (self.salt[1] ^ (self.prev2 + np.uint32(7))) * np.uint32(0x85EBCA6B)
-
-    def predict(self, node: np.ndarray, depth: int) -> np.ndarray:
-        slot = (self.salt + node) * np.uint32(0xC2B2AE35)
-        slot ^= slot >> np.uint32(15)
-        slot[0] = node
-        self.at = self.base + (slot & self.mask)
-        self.p = self.table[self.at]
-        self.s = _STRETCH[self.p >> 4]
-        self.w = self.weights[depth]
-        mixed = self.w[0] * self.s[0] + self.w[1] * self.s[1] + self.w[2] * self.s[2]
-        self.mix = _SQUASH[np.rint(np.clip(mixed, -12, 12) * np.float32(64)).astype(np.int64) + 768]
-        return self.mix
-
-    def update(self, bit: np.ndarray) -> None:
-        error = (bit.astype(np.float32) - self.mix.astype(np.float32) * np.float32(1 / 4096)) * _LEARN
-        self.w += self.s * error
-        p = self.p.astype(np.int32)
-        self.table[self.at] = p + (((bit.astype(np.int32) * 65535) - p) >> _RATE)
-
-    def end(self, ids: np.ndarray) -> None:
-        self.prev2, self.prev1 = self.prev1, ids
+    def __init__(self, lanes: int):
+        lane = np.arange(lanes)
+        self.table1, self.table2 = np.zeros(lanes << SLOTS1, np.int32), np.zeros(lanes << SLOTS2, np.int32)
+        self.base1, self.base2, self.states, self.rows = lane << SLOTS1, lane << SLOTS2, lane << 5, lane * _WIDE
+        self.right2, self.right1 = (np.tile(x.astype(np.int32), lanes) for x in _first_weights())
+        self.prev1, self.prev2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.counts = np.zeros((lanes, _N), np.int64)
 
     def keep(self, lanes: int) -> None:
         """Go on with the first lanes only."""
-        self.base, self.weights = self.base[:, :lanes], self.weights[:, :, :lanes]
-        self.prev1, self.prev2, self.salt = self.prev1[:lanes], self.prev2[:lanes], self.salt[:, :lanes]
+        for name in ("base1", "base2", "states", "rows", "prev1", "prev2", "counts"):
+            setattr(self, name, getattr(self, name)[:lanes])
+
+    def recount(self, seen: np.ndarray) -> None:
+        """Order 0 after ``seen``, the ids of all lanes since the last count, one row a step."""
+        at = (_BUCKET[seen] + np.arange(seen.shape[1]) * _N).ravel()
+        self.counts = self.counts + np.bincount(at, minlength=self.counts.size).reshape(self.counts.shape)
+        total = int(self.counts[0].sum()) * 2 + _N
+        share = 1 + (2 * self.counts + 1) * ((1 << _COARSE) - _N) // total
+        edges = np.full((len(share), _WIDE), 1 << 30, np.int32)
+        edges[:, 0] = 0
+        np.cumsum(share[:, :-1], axis=1, out=edges[:, 1:_N])
+        share[:, -1] = (1 << _COARSE) - edges[:, _N - 1]
+        wide = np.zeros((len(share), _WIDE), np.int32)
+        wide[:, :_N] = share << _SCALE
+        self.edges, self.wide = edges.ravel(), wide.ravel()  # of buckets their starts, and the width of each of their ids
+
+    def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of ids in order 0, whose whole is 2^_UNIT."""
+        at = self.rows + _BUCKET.take(ids)
+        wide = self.wide.take(at)
+        return (self.edges.take(at) << (_UNIT - _COARSE)) + wide * _OFFSET.take(ids), wide
+
+    def find(self, target: np.ndarray) -> np.ndarray:
+        """The ids at places of order 0."""
+        coarse, at, step = target >> (_UNIT - _COARSE), self.rows.copy(), _WIDE >> 1
+        while step:
+            at += (self.edges.take(at + step) <= coarse) * step
+            step >>= 1
+        inside = (target - (self.edges.take(at) << (_UNIT - _COARSE))) // self.wide.take(at)
+        return _FIRST.take(at - self.rows) + inside
 
+    def predict(self) -> None:
+        mix = (self.prev1.view(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+        mixed = mix ^ (self.prev2.view(np.uint32) + np.uint32(7)) * np.uint32(0x85EBCA6B)
+        self.at1 = self.base1 + (mix >> np.uint32(32 - SLOTS1))
+        self.at2 = self.base2 + (mixed >> np.uint32(32 - SLOTS2))
+        self.entry1, self.entry2 = self.table1.take(self.at1), self.table2.take(self.at2)
+        self.id1, self.id2, self.sure1, self.sure2 = self.entry1 >> 2, self.entry2 >> 2, self.entry1 & 3, self.entry2 & 3
+        self.state = self.states + (self.sure2 << 3 | self.sure1 << 1 | (self.id1 == self.id2))
+        self.was1, self.was2 = self.right1.take(self.state), self.right2.take(self.state)
+        w2 = self.was2 >> 11
+        w1 = np.minimum(self.was1 >> 11, 31 - w2)
+        self.w0, self.w1, self.w2 = 32 - w1 - w2, w1 << _UNIT, w2 << _UNIT
 
-def _split(low: np.ndarray, high: np.ndarray, p: np.ndarray) -> np.ndarray:
-    span = high - low
-    return low + (span >> np.uint32(12)) * p + ((span & np.uint32(4095)) * p >> np.uint32(12))
+    def mixed(self, ids: np.ndarray, start: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of ids in the mix, given those in order 0."""
+        low = self.w0 * start + self.w1 * (self.id1 < ids) + self.w2 * (self.id2 < ids)
+        return low, self.w0 * wide + self.w1 * (self.id1 == ids) + self.w2 * (self.id2 == ids)
+
+    def look_up(self, target: np.ndarray) -> np.ndarray:
+        """The ids at places of the mix."""
+        left = target.copy()
+        fixed = np.full(len(target), -1, np.int32)
+        swap = self.id1 < self.id2
+        masses = ((np.where(swap, self.id1, self.id2), np.where(swap, self.w1, self.w2)), (np.where(swap, self.id2, self.id1), np.where(swap, self.w2, self.w1)))
+        open_ = np.ones(len(target), bool)
+        for ids, mass in masses:  # in the order of ids: before, at, or after the id that is named
+            start, wide = self.span(ids)
+            begin = self.w0 * start
+            end = begin + self.w0 * wide + mass
+            after = left >= end
+            fixed = np.where(open_ & ~after & (left >= begin), ids, fixed)
+            open_ &= after
+            left -= mass * open_
+        free = np.flatnonzero(fixed < 0)
+        if free.size:
+            fixed[free] = self._find(left[free] // self.w0[free], free)
+        return fixed
+
+    def _find(self, target: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+        rows, self.rows = self.rows, self.rows.take(lanes)
+        found = self.find(target)
+        self.rows = rows
+        return found
+
+    def update(self, ids: np.ndarray) -> None:
+        hit1, hit2 = self.id1 == ids, self.id2 == ids
+        self.right2[self.state] = self.was2 + ((hit2 * 65536 - self.was2) >> _RATE)
+        self.right1[self.state] = self.was1 + (((hit1 & ~hit2) * 65536 - self.was1) >> _RATE)
+        fresh = ids << 2 | 1
+        self.table1[self.at1] = np.where(hit1 & (self.sure1 > 0), self.entry1 + (self.sure1 < 3), np.where(self.sure1 > 1, self.entry1 - 1, fresh))
+        self.table2[self.at2] = np.where(hit2 & (self.sure2 > 0), self.entry2 + (self.sure2 < 3), np.where(self.sure2 > 1, self.entry2 - 1, fresh))
+        self.prev2, self.prev1 = self.prev1, ids
+
+
+def _segments(sizes: np.ndarray) -> list[tuple[int, int, int, int | None]]:
+    """Steps from, to, lanes that go on, and from where order 0 is counted again before, if it is.
+
+    It is counted at the same steps in any block, often at first. The last lane may end early.
+    """
+    last, most = int(sizes[-1]), int(sizes.max())
+    counted = sorted({0, *(16 << k for k in range(4)), *range(256, most, 256)})
+    cuts = sorted({last, most, *(x for x in counted if x < most)})
+    since = dict(zip(counted, [0, *counted], strict=False))
+    return [(a, b, int((sizes > a).sum()), since.get(a)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def encode(ids: np.ndarray, bits: int = 16, block: int = BLOCK) -> list[bytes]:
-    """The payload of each block of ``ids`` (below 2**bits), any number of blocks up to memory."""
+    """The payload of each block of ``ids`` (below 2**bits, of at most 16 bits), any number of blocks up to memory."""
+    ids = np.asarray(ids, np.uint32)
+    if len(ids) and int(ids.max()) >> min(bits, MOST_BITS):
+        raise ValueError("an id is too large")
     out: list[bytes] = []
     for first in range(0, len(ids), block * LANES):
-        out += _encode(np.asarray(ids[first : first + block * LANES], np.uint32), bits, block)
+        out += _encode(ids[first : first + block * LANES], block)
     return out
 
 
-def _encode(ids: np.ndarray, bits: int, block: int) -> list[bytes]:
-    lanes = -(-len(ids) // block)
-    sizes = np.full(lanes, block)
-    sizes[-1] = len(ids) - block * (lanes - 1)
-    grid = np.zeros(lanes * block, np.uint32)
+def _sizes(n: int, block: int) -> np.ndarray:
+    sizes = np.full(-(-n // block), block)
+    sizes[-1] = n - block * (len(sizes) - 1)
+    return sizes
+
+
+def _encode(ids: np.ndarray, block: int) -> list[bytes]:
+    sizes = _sizes(len(ids), block)
+    lanes = len(sizes)
+    grid = np.zeros(lanes * block, np.uint16)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    model = _Model(lanes, bits)
-    low, high = np.zeros(lanes, np.uint32), np.full(lanes, 0xFFFFFFFF, np.uint32)
-    data, used = np.zeros((lanes, 2 * block + 64), np.uint8), np.zeros(lanes, np.int64)
-    live = lanes
-    for t in range(int(sizes.max())):
-        if live == lanes and t >= sizes[-1]:
-            live = lanes - 1
+    model = _Model(lanes)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 52, np.uint64)
+    room = 2 * block + 8  # two words an id at most
+    words, at = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room
+    for begin, end, live, since in _segments(sizes):
+        if live < len(model.rows):
             model.keep(live)
-        now = grid[t, :live]
-        model.begin()
-        node = np.ones(live, np.uint32)
-        lo, hi = low[:live], high[:live]
-        for depth in range(bits):
-            bit = now >> np.uint32(bits - 1 - depth) & np.uint32(1)
-            middle = _split(lo, hi, model.predict(node, depth))
-            one = bit.astype(bool)
-            np.copyto(hi, middle, where=one)
-            np.copyto(lo, middle + np.uint32(1), where=~one)
-            model.update(bit)
-            node = node << np.uint32(1) | bit
-            while (ready := np.flatnonzero((lo ^ hi) < np.uint32(1 << 24))).size:
-                if int(used[ready].max()) >= data.shape[1] - 8:
-                    data = np.pad(data, ((0, 0), (0, data.shape[1])))
-                data[ready, used[ready]] = hi[ready] >> np.uint32(24)
-                used[ready] += 1
-                lo[ready] <<= np.uint32(8)
-                hi[ready] = hi[ready] << np.uint32(8) | np.uint32(255)
-        model.end(now)
-    for k in range(4):
-        data[np.arange(lanes), used + k] = high >> np.uint32(24 - 8 * k)
-    return [data[i, : used[i] + 4].tobytes() for i in range(lanes)]
+        if since is not None:
+            model.recount(grid[since:begin, :live])
+        seen = grid[begin:end, :live].astype(np.int32)
+        starts, wides = model.span(seen)
+        lo, rng, put = low[:live], span[:live], at[:live]
+        for now, start, wide in zip(seen, starts, wides, strict=True):
+            model.predict()
+            a, w = model.mixed(now, start, wide)
+            unit = rng >> np.uint64(_TOTAL)
+            lo += unit * a.astype(np.uint64)
+            np.multiply(unit, w.astype(np.uint64), out=rng)
+            ready = np.flatnonzero(rng < 1 << _KEEP)
+            while ready.size:
+                part, where = lo.take(ready), put.take(ready)
+                words[where] = part >> np.uint64(_KEEP)
+                put[ready] = where + 1
+                lo[ready] = (part & _WORD) << np.uint64(16)
+                grown = rng.take(ready) << np.uint64(16)
+                rng[ready] = grown
+                ready = ready[grown < 1 << _KEEP]
+            model.update(now)
+    for _ in range(4):
+        words[at] = low >> np.uint64(_KEEP)
+        low = (low & _WORD) << np.uint64(16)
+        at += 1
+    grid = words.reshape(lanes, room)
+    while (carry := grid >> 16).any():
+        grid &= 0xFFFF
+        grid[:, :-1] += carry[:, 1:]
+    used = at - np.arange(lanes) * room
+    coded = grid.astype("<u2")
+    return [coded[i, : used[i]].tobytes() for i in range(lanes)]
 
 
 def decode(payloads: list[bytes], n: int, bits: int = 16, block: int = BLOCK) -> np.ndarray:
@@ -116,43 +221,43 @@ def decode(payloads: list[bytes], n: int, bits: int = 16, block: int = BLOCK) ->
     parts = [np.zeros(0, np.uint32)]
     for first in range(0, len(payloads), LANES):
         count = min(block * LANES, n - first * block)
-        parts.append(_decode(payloads[first : first + LANES], count, bits, block))
+        parts.append(_decode(payloads[first : first + LANES], count, block))
     return np.concatenate(parts)
 
 
-def _decode(payloads: list[bytes], n: int, bits: int, block: int) -> np.ndarray:
-    lanes = len(payloads)
-    sizes = np.full(lanes, block)
-    sizes[-1] = n - block * (lanes - 1)
-    width = max(map(len, payloads)) + 8
-    data = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in payloads), np.uint8).reshape(lanes, width)
-    grid = np.zeros((block, lanes), np.uint32)
-    model = _Model(lanes, bits)
-    low, high = np.zeros(lanes, np.uint32), np.full(lanes, 0xFFFFFFFF, np.uint32)
-    code = data[:, :4].astype(np.uint32) @ np.array([1 << 24, 1 << 16, 1 << 8, 1], np.uint32)
-    used = np.full(lanes, 4, np.int64)
-    live = lanes
-    for t in range(int(sizes.max())):
-        if live == lanes and t >= sizes[-1]:
-            live = lanes - 1
+def _decode(payloads: list[bytes], n: int, block: int) -> np.ndarray:
+    sizes = _sizes(n, block)
+    lanes, room = len(sizes), max(map(len, payloads)) // 2 + 4
+    words = np.frombuffer(b"".join(p.ljust(2 * room, b"\0") for p in payloads), "<u2").astype(np.uint64)
+    at = np.arange(lanes) * room
+    code, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 52, np.uint64)  # code has 12 bits below those of a range
+    for _ in range(4):
+        code = code << np.uint64(16) | words[at]
+        at += 1
+    grid = np.zeros((block, lanes), np.int32)
+    model = _Model(lanes)
+    for begin, end, live, since in _segments(sizes):
+        if live < len(model.rows):
             model.keep(live)
-        model.begin()
-        node = np.ones(live, np.uint32)
-        lo, hi, x = low[:live], high[:live], code[:live]
-        for depth in range(bits):
-            middle = _split(lo, hi, model.predict(node, depth))
-            one = x <= middle
-            np.copyto(hi, middle, where=one)
-            np.copyto(lo, middle + np.uint32(1), where=~one)
-            bit = one.astype(np.uint32)
-            model.update(bit)
-            node = node << np.uint32(1) | bit
-            while (ready := np.flatnonzero((lo ^ hi) < np.uint32(1 << 24))).size:
-                lo[ready] <<= np.uint32(8)
-                hi[ready] = hi[ready] << np.uint32(8) | np.uint32(255)
-                x[ready] = x[ready] << np.uint32(8) | data[ready, np.minimum(used[ready], width - 1)]
-                used[ready] += 1
-        now = node - np.uint32(1 << bits) if bits < 32 else node
-        grid[t, :live] = now
-        model.end(now)
-    return np.ascontiguousarray(grid.T).reshape(-1)[: n]
+        if since is not None:
+            model.recount(grid[since:begin, :live])
+        seen = grid[begin:end, :live]
+        x, rng, get = code[:live], span[:live], at[:live]
+        for now in seen:
+            model.predict()
+            unit = rng >> np.uint64(_TOTAL)
+            place = ((x >> np.uint64(12)).astype(np.float64) / unit.astype(np.float64))
+            now[:] = model.look_up(np.minimum(place, (1 << _TOTAL) - 1).astype(np.int32))
+            a, w = model.mixed(now, *model.span(now))
+            x -= unit * a.astype(np.uint64) << np.uint64(12)
+            np.multiply(unit, w.astype(np.uint64), out=rng)
+            ready = np.flatnonzero(rng < 1 << _KEEP)
+            while ready.size:
+                where = get.take(ready)
+                x[ready] = x.take(ready) << np.uint64(16) | words.take(where)
+                get[ready] = where + 1
+                grown = rng.take(ready) << np.uint64(16)
+                rng[ready] = grown
+                ready = ready[grown < 1 << _KEEP]
+            model.update(now.copy())
+    return np.ascontiguousarray(grid.T).reshape(-1)[:n].astype(np.uint32)

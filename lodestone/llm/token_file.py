@@ -26,7 +26,7 @@ from lodestone.llm.common import tidy, written
 from lodestone.session import ensure_importable
 
 MAGIC, HEAD = b"LSTK", struct.Struct("<4sHHIQQI")
-VERSION = 1
+VERSION = 2
 #: A shard is closed at so many ids.
 SHARD_IDS = rangecoder.BLOCK * rangecoder.LANES
 SHARDS = "range int, nth long, n_docs long, n_ids long, file binary"

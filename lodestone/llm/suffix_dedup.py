@@ -129,12 +129,12 @@ def _hulls(length: int):
     return run
 
 
-def suffix_order(text: np.ndarray, depth: int, whole_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(text: np.ndarray, depth: int, whole_only: bool = False, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes sorted by their first ``depth`` bytes, ties by position, and for each in that order how many bytes,
     up to depth, it shares with the one before. Bytes past the end are below all others.
 
     With ``whole_only``, what is shared is depth or 0, the text is taken to go on with zero bytes, and ranks begin with
-    eight bytes at once.
+    eight bytes at once; of the suffixes, only those that begin at the positions ``among`` are sorted, if given.
     """
     n = len(text)
     scale = np.uint64(n + depth + 300)
@@ -153,8 +153,8 @@ def suffix_order(text: np.ndarray, depth: int, whole_only: bool = False) -> tupl
         width *= 2
         levels.append((width, rank))
     full = rank[:n] * scale + rank[depth - width : depth - width + n]
-    order = np.argsort(full, kind="stable")
-    shared = np.zeros(n, np.int64)
+    order = np.argsort(full, kind="stable") if among is None else among[np.argsort(full[among], kind="stable")]
+    shared = np.zeros(len(order), np.int64)
     a, b = order[1:], order[:-1]
     same = full[a] == full[b]
     if whole_only:
@@ -168,14 +168,15 @@ def suffix_order(text: np.ndarray, depth: int, whole_only: bool = False) -> tupl
     return order, shared
 
 
-def longest_factors(text: np.ndarray, depth: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def longest_factors(text: np.ndarray, depth: int, least: int = 1, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each position, the longest factor, up to ``depth`` bytes, that also begins earlier, and that also begins
-    later; where below ``least``, 0. With ``least`` at depth, the text is taken to go on with zero bytes.
+    later; where below ``least``, 0. With ``least`` at depth, the text is taken to go on with zero bytes, and only
+    factors that begin at the ascending positions ``among`` count, if given.
 
     In suffix order, the nearest suffix before (and after) that begins at a smaller position is found by following the
     links of those already known; so is the nearest at a larger one.
     """
-    order, shared = suffix_order(text, depth, least >= depth)
+    order, shared = suffix_order(text, depth, least >= depth, among)
     n = len(order)
     out = []
     for sign in (1, -1):
@@ -196,7 +197,7 @@ def longest_factors(text: np.ndarray, depth: int, least: int = 1) -> tuple[np.nd
                 link[live] = link[at]
                 live = live[(link[live] >= 0) & (common[live] >= least)]
             best = np.maximum(best, found if way == 1 else found[::-1])
-        result = np.zeros(n, np.int64)
+        result = np.zeros(len(text), np.int64)
         result[order] = best
         out.append(result)
     return out[0], out[1]
@@ -230,11 +231,12 @@ def _block(rows: list[tuple], length: int, keep: str) -> list[tuple[int, int, in
         pieces.append(more)
         at += len(more)
     text = np.frombuffer(b"".join(pieces), np.uint8)
-    earlier, later = longest_factors(text, length, length)
+    # Strings count only where they lie within one hull: neither their own nor another place may reach into the next.
+    inside = np.concatenate([np.arange(at, at + max(0, size - length + 1)) for _, _, _, at, size in where])
+    earlier, later = longest_factors(text, length, length, inside)
     repeated = earlier >= length if keep == "first" else (earlier >= length) | (later >= length)
     out = []
     for doc, tag, start, at, size in where:
-        # A string counts only where it lies within one document.
         begins = np.flatnonzero(repeated[at : at + max(0, size - length + 1)])
         if len(begins):
             out += [(doc, tag, start + int(a), start + int(b)) for a, b in _runs(covered(begins, size, length))]

@@ -186,6 +186,34 @@ def test_suffix_random(spark, length, keep, crowd, block):
     assert suffix_rows(df, length=length, keep=keep, crowd=crowd, block=block) == slow_suffix(docs, length, keep)
 
 
+def texts_cut_in_passages(seed, n=60):
+    """Texts that end or begin inside a passage which goes on in others, and long runs of one character."""
+    r = random.Random(seed)
+    shared = ["a" * 30 + "".join(r.choice("abc") for _ in range(300)) for _ in range(3)]
+    out = [(0, "z" * 300), (1, "z" * 90 + "\x00\x00"), (2, "z" * 79), (3, "\x00" * 100)]
+    for i in range(4, n):
+        s = r.choice(shared)
+        a = r.randrange(120)
+        b = a + r.randint(85, 200)
+        out.append((i, s[a:b] + r.choice(["", "a", "aa", "\x00", "\x00\x00\x00", "z" * 85])))
+    return out
+
+
+@pytest.mark.parametrize(("length", "keep", "block"), [(80, "none", 1 << 20), (80, "none", 2000), (80, "first", 1 << 20), (80, "first", 2000)])
+def test_suffix_hull_ends(spark, length, keep, block):
+    docs = texts_cut_in_passages(block)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert suffix_rows(df, length=length, keep=keep, block=block) == slow_suffix(docs, length, keep)
+
+
+def test_suffix_block_ends():
+    text = ("".join(random.Random(1).choice("bcd") for _ in range(79))).encode()
+    hulls = [(1, 0, 0, b"xx" + text), (2, 0, 0, b"a" * 81), (3, 0, 0, text + b"a" + b"y" * 20), (4, 0, 0, b"ww" + text), (5, 0, 0, text + b"\x00")]
+    for keep in ("none", "first"):
+        found = suffix_dedup._block(list(hulls), 80, keep)
+        assert found == [(2, 0, 0 if keep == "none" else 1, 81)][: len(found)] and {f[0] for f in found} <= {2}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_longest_factors(seed):
     g = np.random.default_rng(seed)

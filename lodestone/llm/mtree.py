@@ -278,17 +278,20 @@ def _searcher(k: int, page: int):
     return run
 
 
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+
+
 def quantized(vector: Column, scale: int = 64) -> Column:
-    """floor(scale * x) of each component, as double."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    """floor(scale * x) of each component, as double; null where x is not finite, for floor would make a number of it."""
+    return F.transform(vector, lambda x: F.when(_finite(x.cast("double")), F.floor(x.cast("double") * scale).cast("double")))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, tree_rows: int = 8192, page: int = PAGE) -> DataFrame:
     """``vectors``: vec_id, v (array<double> of whole numbers). Per query row its k best: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     ensure_importable(spark)
-    whole = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "v").filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", whole)).distinct()
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "v").filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", _finite)).distinct()
     n = rows.count()
     parts = max(1, -(-n // tree_rows), min(spark.sparkContext.defaultParallelism, n // 1024))
     stored = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("ask"), "vec_id", "v")

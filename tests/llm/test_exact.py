@@ -10,7 +10,7 @@ import pytest
 from conftest import ODD
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprint, mixing, mtree, packing, rangecoder, token_file, tokens
+from lodestone.llm import entries, fingerprint, mixing, mtree, packing, rangecoder, token_file, tokens
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -152,6 +152,18 @@ def test_topk(spark):
     assert mtree.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_topk_entry(spark, tmp_path, kind):
+    r = random.Random(4)
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [r.randint(-99, 99) / 128 for _ in range(5)]) for i in range(200)]
+    rows += [(1000, [nan] * 5), (1001, [0.5, inf, 0.5, 0.5, 0.5]), (1002, [0.5, -inf, 0.5, 0.5, 0.5]), (1020, [inf] * 5), (1040, [0.5, 0.5, nan, 0.5, 0.5]), (1060, [0.5, None, 0.5, 0.5, 0.5]), (1080, []), (1100, None), (None, [0.5] * 5)]
+    spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole = [(i, v and [np.floor(64 * x) if x is not None and np.isfinite(x) else None for x in v]) for i, v in rows]
+    got = entries.op10_topk(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == brute_topk(whole, 20)
+
+
 @pytest.mark.parametrize("scale", [1, 1e7])
 def test_tree(scale):
     g = np.random.default_rng(4)

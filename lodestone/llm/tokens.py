@@ -3,7 +3,8 @@
 Byte-level pre-tokenization always starts a new piece at a space that precedes a character other than white space, and
 never joins a character to white space after it. So a text is encoded unit by unit, a unit being a space and what
 follows up to the next space, and each worker remembers the ids of units it has seen. A text where a space stands
-between white space, whose runs such cuts would split, is encoded in one go.
+between white space, whose runs such cuts would split, is encoded in one go; so is a text that holds the string of an
+added token, which is that token's id, as the library has it.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo_units = memo_units
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -85,7 +86,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
-        whole = {i for i, x in enumerate(texts) if "\x00" in x}
+        apart = ["\x00", *self.added]
+        whole = {i for i, x in enumerate(texts) if any(a in x for a in apart)}
         cut = [[] if i in whole else x.replace(" ", "\x00 ").split("\x00") for i, x in enumerate(texts)]
         units = [u for x in cut for u in x]
         per = np.fromiter(map(len, cut), np.int64, len(cut))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from conftest import ODD
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lodestone.llm import entries, fingerprint, mixing, mtree, packing, rangecoder, token_file, tokens
 
@@ -189,6 +190,22 @@ def test_encoder():
             assert flat[a : a + k].tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens(spark):
+    fresh = Tokenizer.from_file(tokens.default_path())  # as the library loads it
+    texts = ["it's  ok <|endoftext|> yes", "<|endoftext|>", "a<|endoftext|>b <|endoftext|>", " \n <|endoftext|> \n x", "<|endoftext| > and <|endof text|>", "plain words", "\x00<|endoftext|>"]
+    want = [fresh.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sum(50256 in x for x in want) == 5
+    for memo in (tokens.MEMO_UNITS, 3):
+        flat, n = tokens.Encoder(tokens.default_path(), memo).encode(texts)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    packed = {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in packing.pack(docs, end_id=1).collect()}
+    assert packed == {i: (len(x) + 1, zlib.crc32(np.array([*x, 1], "<u4").tobytes())) for i, x in enumerate(want)}
+    filed = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_file.read_shards(token_file.write_shards(docs)).collect()}
+    starts = np.cumsum([0, *[len(x) + 1 for x in want]]).tolist()
+    assert filed == {i: (starts[i], len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(want)}
+
+
 def ids_of(text, end):
     coder = tokens.encoder(tokens.default_path())
     return np.array([*coder.tokenizer.encode(text or "", add_special_tokens=False).ids, end], "<u4")

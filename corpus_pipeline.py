@@ -15,8 +15,13 @@ from lodestone.llm.common import shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; the rest are rejected. The predicted language becomes theirs."""
+    """Documents in a language that was learned; the rest are rejected. The predicted language becomes theirs.
+
+    Where nothing could be learned, only texts without a letter are rejected, and languages stay as they are.
+    """
     prototypes = langid.train(docs.select("doc_id", "text", "lang"))
+    if not prototypes:
+        return langid.lettered(docs)
     out = ("predicted language of this row", "likeness of this row")  # names that no table has
     guessed = langid.predict(docs, prototypes, keep=tuple(docs.columns), out=out)
     guessed = guessed.filter(guessed[out[0]] != "und")

@@ -152,5 +152,17 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str,
     return rows.mapInArrow(tidy(_guesser(prototypes, dimensions, list(keep), out)), f"{kinds}, `{out[0]}` string, `{out[1]}` double")
 
 
+def _with_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [any(map(str.isalpha, x or "")) for x in batch.column("text").to_pylist()]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows whose text has a letter."""
+    ensure_importable(docs.sparkSession)
+    return docs.mapInArrow(tidy(_with_letters), docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

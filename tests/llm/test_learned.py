@@ -139,6 +139,22 @@ def test_pipeline(spark, small):
     assert sum(r["length"] for r in states[4]) == tokens_in
 
 
+def test_pipeline_without_languages(spark, odd, none, small):
+    import corpus_pipeline
+
+    bare = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language(spark, bare, small)
+    assert kept.columns == odd.columns
+    want = [d[0] for d in ODD if any(c.isalpha() for c in d[1] or "")]
+    rows = kept.collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(want) and all(r["lang"] is None for r in rows)
+    assert corpus_pipeline.language(spark, none, small).count() == 0
+    docs = kept
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        docs = stage(spark, docs, small)
+    assert docs.count() > 0
+
+
 def test_registered(spark, small):
     import sys
 

@@ -29,7 +29,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; shingles of five words, at most 3 of 64 bits differ."""
+    """One document of each group of near-duplicates; shingles of five words, at most 3 of 64 bits differ.
+
+    Most pairs that are 0.8 alike by shingles differ in more bits and stay; the README has the measured recall.
+    """
     return simhash.representatives(docs)
 
 

@@ -40,10 +40,9 @@ def _cutter(path: str, end_id: int, size: int):
 
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         coder = tokens.encoder(path)
-        for batch in (x for b in batches for x in tokens.slices(b)):
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for lo, hi in tokens.steps(texts):
-                flat, counts = coder.encode([x or "" for x in texts[lo:hi]])
+        for batch in batches:
+            doc_ids = batch.column("doc_id").to_pylist()
+            for lo, hi, flat, counts in coder.encode_column(batch.column("text")):
                 rows, at = [], 0
                 for doc_id, n in zip(doc_ids[lo:hi], counts.tolist(), strict=True):
                     ids = np.append(flat[at : at + n], np.uint32(end_id)).astype("<u4").tobytes()

@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import ODD
 from pyspark.sql import functions as F
@@ -190,12 +191,29 @@ def test_encoder():
             assert flat[a : a + k].tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_against_the_library():
+    fresh = Tokenizer.from_file(tokens.default_path())
+    r = random.Random(5)
+    parts = ["a", "Bc", " ", "  ", "\n", "\t", "'", "'s", "'LL", "'re", ".", ",", "!", "-", "1", "23", "é", "ß", "—", "\u2003", "\u3000", "\u200b", "\x00", "\x1c", "\x85", "中文", "😀", "²", "½", " the", "don't", "<|endoftext|>", "x" * 20, "Ġ", "_", "@"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(20_000)]
+    want = [x.ids for x in fresh.encode_batch(texts, add_special_tokens=False)]
+    for memo in (tokens.MEMO_PIECES, 300):
+        coder, got = tokens.Encoder(tokens.default_path(), memo), []
+        for _, _, flat, counts in coder.encode_column(pa.array(texts)):
+            got += [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
+        assert got == want
+    long = " ".join(texts) * 30  # cut into steps
+    assert len(long.encode()) > tokens.LONG_BYTES
+    flat, counts = tokens.Encoder(tokens.default_path()).encode([long])
+    assert flat.tolist() == fresh.encode(long, add_special_tokens=False).ids and counts.tolist() == [len(flat)]
+
+
 def test_added_tokens(spark):
     fresh = Tokenizer.from_file(tokens.default_path())  # as the library loads it
     texts = ["it's  ok <|endoftext|> yes", "<|endoftext|>", "a<|endoftext|>b <|endoftext|>", " \n <|endoftext|> \n x", "<|endoftext| > and <|endof text|>", "plain words", "\x00<|endoftext|>"]
     want = [fresh.encode(x, add_special_tokens=False).ids for x in texts]
     assert sum(50256 in x for x in want) == 5
-    for memo in (tokens.MEMO_UNITS, 3):
+    for memo in (tokens.MEMO_PIECES, 3):
         flat, n = tokens.Encoder(tokens.default_path(), memo).encode(texts)
         assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == want
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -206,9 +224,8 @@ def test_added_tokens(spark):
     assert filed == {i: (starts[i], len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(want)}
 
 
-def ids_of(text, end):
-    coder = tokens.encoder(tokens.default_path())
-    return np.array([*coder.tokenizer.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+def ids_of(text, end, fresh=Tokenizer.from_file(tokens.default_path())):
+    return np.array([*fresh.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 def test_packing(odd, none):
@@ -265,6 +282,25 @@ def test_range_coder_learns():
     assert 8 * sum(map(len, rangecoder.encode(ids))) / len(ids) < 9
 
 
+def test_range_coder_beats_order_0():
+    """Ids that follow each other by a chain: fewer bits than their frequencies alone would take, and less with a prior."""
+    g = np.random.default_rng(2)
+    after = g.integers(0, 3000, (3000, 4))
+    ids = np.zeros(60_000, np.uint32)
+    for i in range(1, len(ids)):
+        ids[i] = after[ids[i - 1], min(int(g.exponential(0.8)), 3)] if g.random() < 0.9 else g.integers(0, 3000)
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    order_0 = float(-(share * np.log2(share)).sum())
+    prior = rangecoder.Prior.of(ids)
+    assert np.array_equal(rangecoder.Prior.frombytes(prior.tobytes()).span, prior.span)
+    blocks = rangecoder.encode(ids, 16, 20_000, prior)
+    assert np.array_equal(rangecoder.decode(blocks, len(ids), 16, 20_000, prior), ids)
+    taken = [8 * sum(map(len, x)) / len(ids) for x in (blocks, rangecoder.encode(ids, 16, 20_000))]
+    assert taken[0] < order_0 - 1 and taken[0] < taken[1]
+    with pytest.raises(ValueError):
+        rangecoder.encode(np.array([4000]), 16, 64, prior)
+
+
 def test_file_damage():
     ids = np.arange(3000, dtype=np.uint32)
     file = token_file.pack_file([5, None], np.array([1000, 2000]), ids, 16)
@@ -278,12 +314,11 @@ def test_file_damage():
 
 
 def test_token_files(odd, none):
-    docs = odd.filter("doc_id <> 9 or doc_id is null")
     got = defaultdict(list)
-    for r in token_file.read_shards(token_file.write_shards(docs, shard_ids=150)).collect():
+    for r in token_file.read_shards(token_file.write_shards(odd, shard_ids=150)).collect():
         got[r["doc_id"]].append(r)
     at = 0
-    for doc_id, text, *_ in sorted((x for x in ODD if x[0] != 9), key=lambda x: -1 if x[0] is None else x[0]):
+    for doc_id, text, *_ in sorted(ODD, key=lambda x: -1 if x[0] is None else x[0]):
         ids = ids_of(text, 2)
         assert any((r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes())) for r in got[doc_id])
         at += len(ids)

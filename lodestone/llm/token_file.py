@@ -1,8 +1,8 @@
 """Token ids in a binary file format, and back.
 
-A shard file has a header (magic, version, bits an id, ids a block, documents, ids), the documents' ids and sizes, a
-directory of blocks (bytes and crc32 of the coded block), and the blocks, each coded on its own by ``rangecoder``. Any
-damage is found on reading. Shards are written by Spark as rows of a table in the shared folder, one file a row, in
+A shard file has a header (magic, version, bits an id, ids a block, documents, ids), the documents' ids and sizes, the
+frequencies of its ids to which every block's model is reset, a directory of blocks (bytes and crc32 of the coded
+block), and the blocks, each coded on its own by ``rangecoder``. Any damage is found on reading. Shards are written by Spark as rows of a table in the shared folder, one file a row, in
 ascending order of doc_id: by ranges of doc_id, then in order within a range. No Python code opens a path, so any
 store that Spark writes to will do.
 
@@ -26,7 +26,7 @@ from lodestone.llm.common import tidy, written
 from lodestone.session import ensure_importable
 
 MAGIC, HEAD = b"LSTK", struct.Struct("<4sHHIQQI")
-VERSION = 2
+VERSION = 3
 #: A shard is closed at so many ids.
 SHARD_IDS = rangecoder.BLOCK * rangecoder.LANES
 SHARDS = "range int, nth long, n_docs long, n_ids long, file binary"
@@ -38,11 +38,12 @@ class Damaged(ValueError):
 
 
 def pack_file(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
-    blocks = rangecoder.encode(ids, bits)
+    prior = rangecoder.Prior.of(ids)
+    blocks, counts = rangecoder.encode(ids, bits, prior=prior), prior.tobytes()
     known = np.array([x is not None for x in doc_ids], np.uint8)
     side = zlib.compress(known.tobytes() + np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.asarray(sizes, "<i8").tobytes(), 1)
     directory = np.array([(len(b), zlib.crc32(b)) for b in blocks], "<u4").reshape(-1, 2).tobytes()
-    rest = struct.pack("<II", len(side), zlib.crc32(side)) + side + struct.pack("<I", zlib.crc32(directory)) + directory
+    rest = struct.pack("<II", len(side), zlib.crc32(side)) + side + struct.pack("<II", len(counts), zlib.crc32(counts)) + counts + struct.pack("<I", zlib.crc32(directory)) + directory
     head = HEAD.pack(MAGIC, VERSION, bits, rangecoder.BLOCK, len(doc_ids), len(ids), len(blocks))
     return head + struct.pack("<I", zlib.crc32(head)) + rest + b"".join(blocks)
 
@@ -53,12 +54,14 @@ def unpack_file(file: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     at = HEAD.size
     if magic != MAGIC or version != VERSION or struct.unpack_from("<I", file, at)[0] != zlib.crc32(file[:at]):
         raise Damaged("header")
-    length, crc = struct.unpack_from("<II", file, at + 4)
-    at += 12
-    side = file[at : at + length]
-    if zlib.crc32(side) != crc:
-        raise Damaged("documents")
-    side, at = zlib.decompress(side), at + length
+    parts, at = [], at + 4
+    for what in ("documents", "frequencies"):
+        length, crc = struct.unpack_from("<II", file, at)
+        parts.append(file[at + 8 : at + 8 + length])
+        at += 8 + length
+        if zlib.crc32(parts[-1]) != crc:
+            raise Damaged(what)
+    side, prior = zlib.decompress(parts[0]), rangecoder.Prior.frombytes(parts[1])
     known, numbers = np.frombuffer(side, np.uint8, n_docs), np.frombuffer(side, "<i8", 2 * n_docs, n_docs)
     directory = file[at + 4 : at + 4 + 8 * n_blocks]
     if zlib.crc32(directory) != struct.unpack_from("<I", file, at)[0]:
@@ -71,7 +74,7 @@ def unpack_file(file: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         if zlib.crc32(blocks[-1]) != crc:
             raise Damaged(f"block {len(blocks) - 1}")
     doc_ids = [x if k else None for x, k in zip(numbers[:n_docs].tolist(), known.tolist(), strict=True)]
-    return doc_ids, numbers[n_docs:], rangecoder.decode(blocks, n_ids, bits, block)
+    return doc_ids, numbers[n_docs:], rangecoder.decode(blocks, n_ids, bits, block, prior)
 
 
 def _writer(path: str, end_id: int, bits: int, shard_ids: int):
@@ -86,11 +89,10 @@ def _writer(path: str, end_id: int, bits: int, shard_ids: int):
             file = pack_file(docs, np.concatenate(sizes), np.concatenate(flats), bits)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([x], pa.int64()) for x in (nth, len(docs), held)], pa.array([file], pa.binary())], ["range", "nth", "n_docs", "n_ids", "file"])
 
-        for batch in (x for b in batches for x in tokens.slices(b)):
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for lo, hi in tokens.steps(texts, 1_000_000):
-                flat, counts = coder.encode([x or "" for x in texts[lo:hi]])
-                flat = np.insert(flat, np.cumsum(counts), np.uint32(end_id)) if len(counts) else flat
+        for batch in batches:
+            doc_ids = batch.column("doc_id").to_pylist()
+            for lo, hi, flat, counts in coder.encode_column(batch.column("text")):
+                flat = np.insert(flat, np.cumsum(counts), np.uint32(end_id))
                 docs, held = docs + doc_ids[lo:hi], held + len(flat)
                 sizes.append(counts + 1)
                 flats.append(flat)

@@ -36,13 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    held, system = _file_system(spark, path)
+    system.deleteOnExit(held)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return held, held.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors cost nothing.
 
-    Shuffle files behind the written table are released at once.
+    Shuffle files behind the written table are released at once. What ``discard`` has not removed goes when the
+    driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
@@ -55,9 +69,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Remove tables of ``written`` that no plan still to run reads."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        path, system = _file_system(df.sparkSession, df.written_to)
+        system.delete(path, True)
 
 
 def tidy(run):

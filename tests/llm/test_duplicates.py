@@ -20,7 +20,37 @@ def slow_fingerprint(text, words=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def slow_components(fps):
+def slow_wide(text, words=5):
+    """Segments over distinct words, and longs over shingles, bit by bit."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    shingles = [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
+
+    def spun(x, n):
+        out = 0
+        for k in range(1, n + 1):
+            z = (xxhash.xxh64_intdigest(x, 42) + k * 0x9E3779B97F4A7C15) % 2**64
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+            out |= (z ^ z >> 31) << 64 * (k - 1)
+        return out
+
+    def most(features):
+        h = [spun(x, 2) for x in features]
+        return sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    return most(set(w)), most(shingles)
+
+
+def slow_alike(a, b):
+    """Whether two wide fingerprints meet at an anchor of a segment and differ in few bits of the rest."""
+    if (a[1] ^ b[1]).bit_count() > simhash.ALIKE:
+        return False
+    halves = [np.array([x[0] >> 32 * k & 0xFFFFFFFF for k in range(4)], np.uint32) for x in (a, b)]
+    (at, n), (bt, m) = (simhash.anchors(h) for h in halves)
+    return bool(((at[:, :1] == bt) & m).any() or ((bt[:, :1] == at) & n).any())
+
+
+def slow_components(fps, linked=lambda a, b: (a ^ b).bit_count() <= 3):
     up = list(range(len(fps)))
 
     def root(i):
@@ -30,7 +60,7 @@ def slow_components(fps):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
+            if linked(fps[i], fps[j]):
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
     return [root(i) for i in range(len(fps))]
@@ -65,20 +95,43 @@ def test_simhash_near(spark, share):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     rows = simhash.near_duplicates(df, words=3, share=share).collect()
     check_classes(rows, docs)
-    assert {r["doc_id"] for r in simhash.representatives(df, words=3).collect()} == {r["component_id"] for r in rows}
+    wide = [slow_wide(t) for _, t in docs]
+    assert [w for w in wide[0]] == [int(x[0]) | int(x[1]) << 64 for x in simhash.wide_fingerprint(docs[0][1]).reshape(2, 2)]
+    assert sorted(r["doc_id"] for r in simhash.representatives(df, share=share).collect()) == sorted(set(slow_components(wide, slow_alike)))
 
 
 def test_representatives_odd(odd, none):
     kept = simhash.representatives(odd)
     assert kept.columns == odd.columns
     least = defaultdict(list)
-    for d, root in zip(ODD, slow_components([slow_fingerprint(d[1], 5) for d in ODD])):
+    for d, root in zip(ODD, slow_components([slow_wide(d[1]) for d in ODD], slow_alike)):
         least[root].append(d[0])
     want = [min((x for x in ids if x is not None), default=None) for ids in least.values()]
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(want)
     assert simhash.representatives(none).count() == 0
 
 
+def test_representatives_recall(spark):
+    """Of pairs whose five-word shingles are 0.8 alike or more nine in ten are caught; other texts stay."""
+    r = random.Random(11)
+    common = [f"c{i}" for i in range(60)]
+    word = lambda: r.choice(common) if r.random() < 0.5 else f"w{r.randrange(10**5)}"
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    docs, alike, apart = [], [], []
+    for i in range(240):
+        a = [word() for _ in range(r.choice([120, 300, 600]))]
+        b = list(a)
+        for at in r.sample(range(len(b)), max(1, int(len(b) * r.choice([0.01, 0.02, 0.25])))):
+            b[at] = word()
+        j = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        (alike if j >= 0.8 else apart if j < 0.4 else []).append(2 * i + 1)
+        docs += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    kept = {row["doc_id"] for row in simhash.representatives(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert kept >= {2 * i for i in range(240)}
+    assert len(alike) > 80 and sum(d not in kept for d in alike) / len(alike) >= 0.9
+    assert len(apart) > 40 and kept >= set(apart)
+
+
 def test_anchor_cover():
     g = np.random.default_rng(7)
     half = np.concatenate([g.integers(0, 1 << 32, 2000, dtype=np.uint32), np.array([0, 1, 1 << 31, (1 << 32) - 1], np.uint32)])
@@ -95,8 +148,8 @@ def test_links_connect(seed):
     g = np.random.default_rng(seed)
     base = g.integers(0, 1 << 63, 4, dtype=np.uint64)
     fps = np.unique(np.concatenate([b ^ (np.uint64(1) << g.integers(0, 64, 60, dtype=np.uint64)) ^ (np.uint64(1) << g.integers(0, 64, 60, dtype=np.uint64)) for b in base]))
-    out = []
-    simhash._links(fps, fps, 3, out)
+    out, rows = [], np.stack([fps, fps], axis=1)
+    simhash._links(rows, rows, 3, out)
     assert len(out) <= 2 * len(fps)
     assert all(((a ^ b).bit_count() <= 64) for a, b in out)
     up = {int(x): int(x) for x in fps}

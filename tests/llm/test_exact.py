@@ -146,8 +146,9 @@ def test_topk(spark):
     rows += [(400 + i, rows[0][1]) for i in range(60)] + [rows[20]]
     rows += [(1001, None), (1020, [1.0, None, 2.0, 0.0, 0.0]), (1040, [float("nan")] * 5), (1060, [float("inf")] * 5), (1080, []), (None, [1.0] * 5)]
     df = spark.createDataFrame(rows, "vec_id long, v array<double>")
-    for tree_rows, page in ((10_000, 1024), (50, 8)):
-        got = mtree.search(df, F.col("vec_id") % 20 == 0, 20, tree_rows, page)
+    clashing = df.select("*", *[F.lit(1).alias(c) for c in ("cell", "part", "ask", "gap", "least", "rank", "query_id", "score")])
+    for given, tree_rows, page, sample in ((df, 10_000, 1024, 4096), (clashing, 50, 8, 100), (df, 50, 8, 5)):
+        got = mtree.search(given, F.col("vec_id") % 20 == 0, 20, tree_rows, page, sample=sample)
         assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_topk(rows, 20)
     few = spark.createDataFrame(rows[:3], df.schema)
     assert sorted(map(tuple, mtree.search(few, F.col("vec_id") % 20 == 0).collect())) == brute_topk(rows[:3], 20)
@@ -181,6 +182,48 @@ def test_tree(scale):
         assert single[0].tolist() == found.tolist()
 
 
+def clustered(g, clusters, each, width=16, spread=3):
+    centres = np.repeat(g.standard_normal((clusters, width)) * 40, each, axis=0)
+    return np.floor(centres + g.standard_normal(centres.shape) * spread)
+
+
+def test_tree_prunes():
+    """Of vectors in clusters only a part is compared; best-first search one by one compares fewer still."""
+    g = np.random.default_rng(6)
+    x = clustered(g, 40, 100)[g.permutation(4000)]
+    ids = np.arange(4000)
+    shares = []
+    for many in (True, False):
+        tree = mtree.MTree(ids, x, page=64)
+        tree.computed = 0
+        asked = np.arange(0, 4000, 20)
+        found = tree.search_many(x[asked], asked, 20) if many else [tree.search(x[i], i, 20) for i in asked]
+        shares.append(tree.computed / (len(asked) * len(x)))
+        score = (x @ x.T).astype(np.int64)
+        for i, (near, _) in zip(asked, found, strict=True):
+            rest = ids[ids != i]
+            assert near.tolist() == rest[np.lexsort((rest, -score[i, rest]))[:20]].tolist()
+    assert max(shares) < 0.25, shares
+
+
+def test_cells_prune(spark):
+    """Queries go only to cells in reach, and the result is whole."""
+    g = np.random.default_rng(7)
+    x = clustered(g, 20, 100)
+    rows = [(int(i), v.tolist()) for i, v in zip(g.permutation(2000), x, strict=True)]
+    top = float((x**2).sum(axis=1).max())
+    pivots = mtree.pivots_of(x, 20, top)
+    gaps = mtree._gaps(x, np.sqrt(top - (x**2).sum(axis=1)), pivots)
+    owner = gaps.argmin(axis=1)
+    radius = np.array([gaps[owner == c, c].max(initial=0) for c in range(len(pivots))])
+    asked, least = x[::20], np.sort(x @ x[::20].T, axis=0)[-21]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(asked.tolist(), pa.list_(pa.float64())), pa.array(least)], ["vec_id", "v", "least"])
+    sent = sum(b.num_rows for b in mtree._router(pivots, top, radius, np.ones(len(pivots), np.int64))([batch]))
+    assert 100 <= sent < 0.4 * 100 * len(pivots)
+    got = mtree.search(spark.createDataFrame(rows, "vec_id long, v array<double>"), F.col("vec_id") % 20 == 0, tree_rows=100, page=32)
+    assert sorted(map(tuple, got.collect())) == brute_topk(rows, 20)
+
+
 def test_encoder():
     coder = tokens.Encoder(tokens.default_path())
     texts = ["a   b", "a \n b", "x\n \n y", "  lead", "trail  ", "a  b", " ", "", "it's  ok <|endoftext|> yes", "a\x00 b", "1 \t 2", "né  　 x", "word " * 300]

@@ -110,7 +110,7 @@ def test_pii_odd(odd, none):
 
 def test_pipeline(spark, small):
     import corpus_pipeline
-    from test_duplicates import slow_components, slow_fingerprint
+    from test_duplicates import slow_alike, slow_components, slow_wide
     from test_exact import ids_of
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near-duplicates", "personal data", "mixing", "packing"]
@@ -125,8 +125,8 @@ def test_pipeline(spark, small):
     assert all(s[0].asDict().keys() == start[0].asDict().keys() for s in states[:4])
     assert {r["doc_id"] for r in states[0]} == {r["doc_id"] for r in start} - {10_001, 10_002}
     assert all(r["lang"] for r in states[0])
-    fps = sorted((r["doc_id"], slow_fingerprint(r["text"], 5)) for r in states[0])
-    roots = slow_components([f for _, f in fps])
+    fps = sorted((r["doc_id"], slow_wide(r["text"])) for r in states[0])
+    roots = slow_components([f for _, f in fps], slow_alike)
     assert sorted(r["doc_id"] for r in states[1]) == sorted({fps[r][0] for r in roots})
     text = {r["doc_id"]: r["text"] for r in states[1]}
     assert {r["doc_id"] for r in states[2]} == set(text)

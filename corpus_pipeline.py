@@ -6,12 +6,10 @@ stage, for want of a letter; extra columns are carried up to the mix.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import langid, mixing, packing, pii, simhash
-from lodestone.llm.common import shared_dir
+from lodestone.llm.common import shared_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; shingles of five words, at most 3 of 64 bits differ.
-
-    Most pairs that are 0.8 alike by shingles differ in more bits and stay; the README has the measured recall.
-    """
+    """One document of each group of near-duplicates: five-word shingles 0.8 alike or more, as fingerprints tell it."""
     return simhash.representatives(docs)
 
 
@@ -59,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = shared_path(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         docs.write.parquet(f"{base}/{k}")

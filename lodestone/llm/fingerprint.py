@@ -5,7 +5,9 @@ merge into the sketch of the whole, and two sketches estimate resemblance, conta
 k shingles the figures are exact.
 
 Defined cases: a null text counts as empty; an empty or blank text has the empty sketch; a text with fewer words than
-a shingle is one shingle; two empty sketches resemble each other by 1, an empty and a filled one by 0.
+a shingle is one shingle; two empty sketches resemble each other by 1, an empty and a filled one by 0. Null doc_ids come
+last, equal ids in descending order of text, so of repeated rows each is the next of one other; a single document is its
+own next; an empty table gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -66,12 +68,22 @@ def as_text(a: str) -> Column:
     return F.translate(F.base64(F.unhex(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), digits, "0")), ""))), "\r\n", "")
 
 
+def _below(bounds: list[int], x: Column) -> Column:
+    """How many of the ascending ``bounds`` are below x: first by every n-th, then by those between two of these."""
+    n = max(1, int(len(bounds) ** 0.5))
+    count = lambda some: F.size(F.filter(some, lambda b: b < x))
+    array = lambda some: F.array(*[F.lit(b) for b in some]).cast("array<bigint>")
+    steps = [bounds[i : i + n] for i in range(0, len(bounds), n)]
+    coarse = count(array([part[-1] for part in steps]))  # steps that are wholly below
+    return coarse * n + count(F.element_at(F.array(*map(array, [*steps, []])), coarse + 1))
+
+
 def in_id_order(docs: DataFrame) -> tuple[DataFrame, WindowSpec]:
     """``docs`` (doc_id, text) dealt out by ranges of doc_id, and a window over which lead() is the next document by
     descending doc_id (equal ids: descending text; null ids last); the last document's next is the first.
 
-    Drop rows marked _ghost after the window. Rows are dealt out by ranges of doc_id, so no task holds more than a range; the first row of each range also goes
-    to the range above it. What reaches the driver is one boundary and one id a range.
+    Drop rows marked _ghost after the window. A task holds a range of doc_id; the first row of each range also goes to
+    the range above it. What reaches the driver is one boundary and one id a range, of at most 20,000 ranges.
     """
     spark = docs.sparkSession
     parts = min(20_000, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -79,7 +91,7 @@ def in_id_order(docs: DataFrame) -> tuple[DataFrame, WindowSpec]:
     ids = docs.select(key.alias("id"))
     quantiles = F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)]) if parts > 1 else F.array(F.lit(0.5))
     bounds = sorted(set(ids.agg(F.percentile_approx("id", quantiles, F.lit(max(10_000, 20 * parts)))).head()[0] or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b < F.col("_id")))
+    bucket = _below(bounds, F.col("_id"))
     tops = ids.withColumnRenamed("id", "_id").groupBy(bucket.alias("b")).agg(F.max("_id").alias("top")).orderBy("b").collect()
     keyed = docs.withColumn("_id", key).withColumn("_b", bucket).withColumn("_ghost", F.lit(False))
     both = keyed
@@ -89,7 +101,7 @@ def in_id_order(docs: DataFrame) -> tuple[DataFrame, WindowSpec]:
         ghosts = keyed.filter(F.col("_id").isin(list(above))).withColumn("_b", F.element_at(pairs, F.col("_id"))).withColumn("_ghost", F.lit(True))
         both = keyed.unionByName(ghosts)
     down = Window.partitionBy("_b").orderBy("_ghost", F.col("_id").desc(), F.col("text").desc())
-    return both.repartition(parts, "_b"), down
+    return both.repartitionByRange(parts, "_b"), down  # by range: a hash would put several in a task
 
 
 def edited_pairs(docs: DataFrame, k: int = K) -> DataFrame:

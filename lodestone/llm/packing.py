@@ -131,7 +131,8 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, size: int =
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    ranked = pieces.join(offsets, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # Offsets are a row for each part and length: they grow with the input, so they are not broadcast.
+    ranked = pieces.join(offsets.hint("merge"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank")
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return ranked.mapInArrow(tidy(_placer(shortest_pack_first(histogram, size))), kind)

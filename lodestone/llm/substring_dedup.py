@@ -135,7 +135,7 @@ def _windows(window: int):
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` as of ``rows.keyed``. The stretches of words to remove of each: doc, tag, cuts (array of lo, hi; they
     may overlap, and hi may lie past the end)."""
-    every = written(docs.select("doc", "tag", "text").mapInArrow(tidy(_seeds(window)), "seed long, hull long, doc long, tag int, pos int"), "repeat-seeds")
+    every = written(docs.select("doc", "tag", "text").mapInArrow(tidy(_seeds(window)), "seed long, hull long, doc long, tag long, pos int"), "repeat-seeds")
     shared = written(every.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("seed"), "repeat-shared")
     places = written(every.join(shared, "seed"), "repeat-places")
     discard(every, shared)
@@ -145,7 +145,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     discard(places, hulls)
     ready = judged.filter("whole").select("doc", "tag", F.greatest(F.col("pos") + (SEED_WORDS - window), F.lit(0)).alias("lo"), (F.col("pos") + window).alias("hi"))
     asks = judged.filter("not whole").groupBy("doc", "tag").agg(F.collect_set("pos").alias("asks"))
-    found = docs.select("doc", "tag", "text").join(asks, ["doc", "tag"]).mapInArrow(tidy(_windows(window)), "h1 long, h2 long, doc long, tag int, pos int")
+    found = docs.select("doc", "tag", "text").join(asks, ["doc", "tag"]).mapInArrow(tidy(_windows(window)), "h1 long, h2 long, doc long, tag long, pos int")
     found = written(found, "repeat-windows")
     first = found.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
     single = found.join(first, ["h1", "h2"]).filter(F.col("doc") > F.col("lo")).select("doc", "tag", F.col("pos").alias("lo"), (F.col("pos") + window).alias("hi"))

@@ -122,7 +122,7 @@ def _hulls(length: int):
                     at = ask["pos"]
                     start = max(0, at - left)
                     out.append((ask["anchor"], doc, tag, start, at - start, ask["crowded"], data[start : at + right]))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
             columns = zip(*out, strict=True) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "doc", "tag", "start", "at", "crowded", "hull"])
 
@@ -251,7 +251,7 @@ def _blocks(length: int, keep: str, block: int):
         def flush():
             found = _block(rows, length, keep) if len(rows) > 1 else []
             columns = zip(*found, strict=True) if found else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["doc", "tag", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc", "tag", "lo", "hi"])
 
         for batch in batches:
             for anchor, doc, tag, start, data in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "tag", "start", "hull")), strict=True):
@@ -273,9 +273,10 @@ def _strings(length: int):
             out = []
             for doc, tag, start, at, data in zip(*(batch.column(c).to_pylist() for c in ("doc", "tag", "start", "at", "hull")), strict=True):
                 for k in range(max(0, at + PIECE - length), min(at, len(data) - length) + 1):
-                    out.append((xxhash.xxh3_64_intdigest(data[k : k + length]), doc, tag, start + k))
+                    out.append((xxhash.xxh3_128_digest(data[k : k + length]), doc, tag, start + k))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(columns[0], np.uint64).view(np.int64)), *[pa.array(c, k) for c, k in zip(columns[1:], (pa.int64(), pa.int32(), pa.int32()), strict=True)]], ["string", "doc", "tag", "lo"])
+            h1, h2 = np.frombuffer(b"".join(columns[0]), "<i8").reshape(-1, 2).T.copy()
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), *[pa.array(c, k) for c, k in zip(columns[1:], (pa.int64(), pa.int64(), pa.int32()), strict=True)]], ["h1", "h2", "doc", "tag", "lo"])
 
     return run
 
@@ -285,7 +286,7 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", crowd: int
     may overlap, and hi may lie past the end)."""
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
-    found = written(docs.select("doc", "tag", "text").mapInArrow(tidy(_anchors(length)), "anchor long, hull long, doc long, tag int, pos int"), "suffix-anchors")
+    found = written(docs.select("doc", "tag", "text").mapInArrow(tidy(_anchors(length)), "anchor long, hull long, doc long, tag long, pos int"), "suffix-anchors")
     place = F.struct("doc", "tag", "pos")
     hulls = found.groupBy("anchor", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     hulls = written(hulls, "suffix-hulls")
@@ -300,18 +301,18 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", crowd: int
     discard(found)
     asks = groups.filter("kinds > 1").select("first.*", "anchor", (F.col("kinds") > crowd).alias("crowded"))
     per_doc = asks.groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "pos", "crowded")).alias("asks"))
-    fetched = docs.select("doc", "tag", "text").join(per_doc, ["doc", "tag"]).mapInArrow(tidy(_hulls(length)), "anchor long, doc long, tag int, start int, at int, crowded boolean, hull binary")
+    fetched = docs.select("doc", "tag", "text").join(per_doc, ["doc", "tag"]).mapInArrow(tidy(_hulls(length)), "anchor long, doc long, tag long, start int, at int, crowded boolean, hull binary")
     fetched = written(fetched, "suffix-fetched")
     discard(groups)
     blocks = fetched.filter("not crowded").repartition("anchor").sortWithinPartitions("anchor", "doc", "tag", "start")
-    out = ready.unionByName(blocks.mapInArrow(tidy(_blocks(length, keep, block)), "doc long, tag int, lo int, hi int"))
+    out = ready.unionByName(blocks.mapInArrow(tidy(_blocks(length, keep, block)), "doc long, tag long, lo int, hi int"))
     used = [ready, fetched]
     crowded = fetched.filter("crowded")
     if not crowded.isEmpty():
-        strings = written(crowded.mapInArrow(tidy(_strings(length)), "string long, doc long, tag int, lo int").distinct(), "suffix-strings")
+        strings = written(crowded.mapInArrow(tidy(_strings(length)), "h1 long, h2 long, doc long, tag long, lo int").distinct(), "suffix-strings")
         where = F.struct("doc", "tag", "lo")
-        twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("first")).filter("n > 1")
-        more = strings.join(twice, "string")
+        twice = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("first")).filter("n > 1")
+        more = strings.join(twice, ["h1", "h2"])
         more = more.filter(where != F.col("first")) if keep == "first" else more
         out = out.unionByName(more.select("doc", "tag", "lo", (F.col("lo") + length).alias("hi")))
         used.append(strings)

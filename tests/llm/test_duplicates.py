@@ -304,6 +304,19 @@ def passage_rows(df, window=13):
     return sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.deduplicate(df, window).collect())
 
 
+def test_rows_of_repeated_ids(spark):
+    """Rows of an id are told apart by a number, not by a hash that texts might share."""
+    from lodestone.llm.rows import keyed
+
+    shared = "".join(random.Random(9).choice("abcdefgh ") for _ in range(300))
+    docs = [(None, f"{i} unique") for i in range(50)] + [(None, shared + " x"), (3, shared + " y"), (3, "alone"), (4, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    named = keyed(df).collect()
+    assert len({(r["doc"], r["tag"]) for r in named}) == len(docs)
+    gone = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in suffix_dedup.deduplicate(df, length=200).collect()}
+    assert gone[None, 302] == gone[3, 302] == 301 and sum(gone.values()) == 602
+
+
 def test_passages_odd(odd, none):
     assert passage_rows(odd) == slow_passages(ODD, 13)
     assert substring_dedup.deduplicate(none).count() == 0

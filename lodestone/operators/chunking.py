@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone import schemas
 from lodestone.functions import text as X
 
 SIZE, OVERLAP, BATCH, HEADS = 220, 40, 12, 8
@@ -18,31 +19,47 @@ def windows(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, pattern:
     clean = pages.withColumn("_t", X.collapse(F.col("text"), pattern)).filter("_t <> ''")
     split = clean.withColumn("_w", F.split("_t", " ")).withColumn("_n", F.size("_w"))
     last = F.greatest(F.ceil((F.col("_n") - size) / step), F.lit(0)).cast("int")
-    each = split.select("paper_id", "source_file", "page", "_w", "_n", F.explode(F.sequence(F.lit(0), last)).alias("_i"))
-    start = F.col("_i") * step
-    each = each.select("paper_id", "source_file", "page", (F.col("_i") + 1).alias("chunk_index"), start.alias("token_start"), F.least(start + size, F.col("_n")).alias("token_end"), "_w")
-    before = F.length(F.array_join(F.slice("_w", 1, F.greatest(F.col("token_start"), F.lit(1))), " "))
-    held = each.withColumn("token_count", F.col("token_end") - F.col("token_start")).withColumn("char_start", F.when(F.col("token_start") == 0, 0).otherwise(before + 1))
-    held = held.withColumn("text", F.array_join(F.slice("_w", F.col("token_start") + 1, F.col("token_count")), " "))
-    out = held.withColumn("char_end", F.col("char_start") + F.length("text")).withColumn("chunk_id", X.chunk_id(F.col("paper_id"), F.col("page").cast("int"), F.col("chunk_index")))
-    return out.select("chunk_id", "paper_id", "source_file", F.col("page").cast("int").alias("page"), "chunk_index", "token_start", "token_end", "token_count", "char_start", "char_end", "text")
+    split = split.withColumn("_i", F.sequence(F.lit(0), last))
+    joined = lambda i, n: F.array_join(F.slice("_w", i * step + 1, F.lit(n)), " ")
+    # Where each window begins: the lengths of the steps before it, each with the space that ends it.
+    none = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"))
+    added = F.aggregate(F.transform("_i", lambda i: F.length(joined(i, step)) + 1), none, lambda s, n: F.struct(F.concat(s["starts"], F.array(s["at"])).alias("starts"), (s["at"] + n).alias("at")))
+    split = split.withColumn("_s", added["starts"])
+    # A row holds the tokens of its own window only.
+    window = lambda i: F.struct((i + 1).alias("chunk_index"), (i * step).alias("token_start"), F.least(i * step + size, F.col("_n")).alias("token_end"), F.get("_s", i).alias("char_start"), joined(i, size).alias("text"))
+    each = split.select("paper_id", "source_file", "page", F.explode(F.transform("_i", window)).alias("w")).select("paper_id", "source_file", "page", "w.*")
+    held = each.withColumn("token_count", F.col("token_end") - F.col("token_start")).withColumn("char_end", F.col("char_start") + F.length("text"))
+    return held.withColumn("chunk_id", X.chunk_id(F.col("paper_id"), F.col("page"), F.col("chunk_index"))).select(*schemas.CHUNK_COLUMNS)
 
 
 def per_paper(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("page").alias("n_pages"))
 
 
-def _in_paper() -> Window:
-    return Window.partitionBy("paper_id").orderBy("page", "chunk_index")
+def _positions(chunks: DataFrame) -> DataFrame:
+    """Adds position: the chunk's place in its paper. chunk_index counts the chunks of a page from 1, so only a number
+    a page, not the chunks, is brought together by paper."""
+    upto = Window.partitionBy("paper_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    pages = chunks.groupBy("paper_id", "page").agg(F.count(F.lit(1)).alias("_n"))
+    before = pages.select(F.col("paper_id").alias("_paper"), F.col("page").alias("_page"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    same = F.col("paper_id").eqNullSafe(F.col("_paper")) & F.col("page").eqNullSafe(F.col("_page"))
+    return chunks.join(before, same).withColumn("position", (F.col("_before") + F.col("chunk_index")).cast("int")).drop("_paper", "_page", "_before")
 
 
 def batches(chunks: DataFrame, size: int = BATCH) -> DataFrame:
     """Adds batch_number: ``size`` consecutive chunks of a paper."""
-    return chunks.withColumn("batch_number", (F.floor((F.row_number().over(_in_paper()) - 1) / size) + 1).cast("int"))
+    return _positions(chunks).withColumn("batch_number", (F.floor((F.col("position") - 1) / size) + 1).cast("int")).drop("position")
+
+
+def batch_lists(chunks: DataFrame, size: int = BATCH) -> DataFrame:
+    """One row a batch: paper_id, batch_number, its chunk ids in order; a list has ``size`` entries at most."""
+    placed = _positions(chunks).withColumn("batch_number", (F.floor((F.col("position") - 1) / size) + 1).cast("int"))
+    listed = placed.groupBy("paper_id", "batch_number").agg(F.sort_array(F.collect_list(F.struct("position", "chunk_id"))).alias("x"))
+    return listed.select("paper_id", "batch_number", F.transform("x", lambda c: c["chunk_id"]).alias("chunk_ids"))
 
 
 def heads(chunks: DataFrame, n: int = HEADS) -> DataFrame:
-    return chunks.withColumn("position", F.row_number().over(_in_paper())).filter(F.col("position") <= n)
+    return _positions(chunks).filter(F.col("position") <= n)
 
 
 def expected_batches(chunks: DataFrame, size: int = BATCH) -> DataFrame:

@@ -52,6 +52,11 @@ def type_votes(mentions: DataFrame, overrides: dict[str, str] | None = None) ->
     return names.join(won, "key", "left").select("key", "name", F.coalesce(F.element_at(table, F.col("name")), "voted", F.lit("Concept")).alias("type"))
 
 
+def first_entities(mentions: DataFrame) -> DataFrame:
+    """``mentions``: key, name, type, seq. The older rule: of each name and type the first mention stays, whole."""
+    return mentions.groupBy("key", "type").agg(F.min_by(F.struct(*[c for c in mentions.columns if c not in ("key", "type")]), "seq").alias("m")).select("key", "type", "m.*")
+
+
 def entity_pool(mentions: DataFrame) -> DataFrame:
     """``mentions``: key, name, aliases, evidence, source_file, seq. One row a key: the first spelling, and the sets of
     aliases (by lower case, none like the name), evidence and source files.

@@ -20,11 +20,11 @@ def edges(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy(*keys).agg(F.countDistinct("chunk_id").alias("evidence_count"))
 
 
-def edges_with_chunks(evidence: DataFrame) -> DataFrame:
-    """As ``edges``, with the chunks in order."""
+def edges_with_proof(evidence: DataFrame) -> DataFrame:
+    """As ``edges``, with the files, pages and chunks behind each, sorted, without repeats."""
     keys = ["source_key", "source", "source_type", "relation", "target_key", "target", "target_type"]
-    out = evidence.groupBy(*keys).agg(F.sort_array(F.collect_set("chunk_id")).alias("evidence_chunk_ids"))
-    return out.withColumn("evidence_count", F.size("evidence_chunk_ids").cast("long"))
+    sets = [F.sort_array(F.collect_set(c)).alias(name) for c, name in (("source_file", "source_files"), ("page", "evidence_pages"), ("chunk_id", "evidence_chunk_ids"))]
+    return evidence.groupBy(*keys).agg(*sets).withColumn("evidence_count", F.size("evidence_chunk_ids").cast("long"))
 
 
 def support(entities: DataFrame, chunks: DataFrame) -> DataFrame:

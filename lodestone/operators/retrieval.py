@@ -94,17 +94,48 @@ def settled(capped: DataFrame, cap: int) -> DataFrame:
 
 def touching(evidence: DataFrame, seeds: DataFrame, relations: list[str] | None = None, few: int = 64) -> DataFrame:
     """Evidence of edges with a seed at either end, without repeats, below the count of edges: only the seeds' part of
-    the graph is aggregated. Up to ``few`` seeds become a filter; more are joined on each end."""
+    the graph is aggregated. Up to ``few`` seeds become filters, one for each end, so that each reaches the table it is
+    about before anything is joined, and parts of the graph whose type no seed has fall away; more seeds are joined on
+    each end."""
     rows = evidence.filter(F.col("relation").isin(relations or list(schemas.RELATION_RANK)))
     known = seeds.select("key").distinct()
     keys = sorted(r["key"] for r in known.limit(few + 1).collect())
+    if not keys:
+        return rows.filter(F.lit(False))
     if len(keys) <= few:
-        return rows.filter(F.col("source_key").isin(keys) | F.col("target_key").isin(keys) if keys else F.lit(False))
+        kinds = sorted({k.split("::")[0] for k in keys})
+        out = rows.filter(F.col("source_type").isin(kinds) & F.col("source_key").isin(keys))
+        return out.unionByName(rows.filter(F.col("target_type").isin(kinds) & F.col("target_key").isin(keys) & ~F.col("source_key").isin(keys)))
     out = rows.join(known, rows["source_key"] == known["key"], "left_semi")
     into = rows.join(known, rows["target_key"] == known["key"], "left_semi").join(known, rows["source_key"] == known["key"], "left_anti")
     return out.unionByName(into)
 
 
+def with_proof(facts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Capped facts with what supports them: source_files, evidence_pages and evidence_chunk_ids, each sorted, without
+    repeats. ``evidence``: rows of the facts' edges with chunk_id and, if they are known, source_file and page."""
+    keys = ["source_key", "relation", "target_key"]
+    held = evidence.join(F.broadcast(facts.select(*keys)), keys, "left_semi")
+    known = [(c, name) for c, name in (("source_file", "source_files"), ("page", "evidence_pages"), ("chunk_id", "evidence_chunk_ids")) if c in evidence.columns]
+    proof = held.groupBy(*keys).agg(*[F.sort_array(F.collect_set(c)).alias(name) for c, name in known])
+    return facts.join(proof, keys, "left")
+
+
+def with_ends(facts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Capped facts with the names and types that the nodes at their ends have. ``nodes``: key, name, entity_type."""
+    out = facts.drop("source", "source_type", "target", "target_type")
+    for end in ("source", "target"):
+        at = nodes.select(F.col("key").alias(f"{end}_key"), F.col("name").alias(end), F.col("entity_type").alias(f"{end}_type"))
+        out = at.join(F.broadcast(out), f"{end}_key")
+    return out.select(*facts.columns)
+
+
+def named_entity(answer: str | None, nodes: DataFrame) -> DataFrame:
+    """The node that a model's answer names, whatever its case; none where it answers NONE or names no node."""
+    name = (answer or "").strip().strip('"').lower()
+    return nodes.filter(F.lower("name") == name) if name and name != "none" else nodes.filter(F.lit(False))
+
+
 def expand(evidence: DataFrame, seeds: DataFrame, cap: int = HOP1) -> DataFrame:
     """Ranked facts one hop around at most a few dozen seeds, in stored direction."""
     return rank_facts(edges(touching(evidence, seeds)), cap)

@@ -3,44 +3,112 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 
 TOP_K = 6
+PARTS = 64  # folders of a table of the stored index
 
 
 def top_k(vectors: DataFrame, query: list[float], id_col: str, k: int = TOP_K, vector: str = "embedding") -> DataFrame:
-    """The k rows most like one query vector: rank, the row without its vector, cosine and score = (1 + cosine) / 2."""
+    """The k rows most like one query vector: rank, the row without its vector, cosine and score = (1 + cosine) / 2.
+
+    Ranks go by the whole cosine; it is shown with six digits.
+    """
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.withColumn("cosine", F.round(X.cosine(F.col(vector), q), 6)).drop(vector)
+    scored = vectors.withColumn("cosine", X.cosine(F.col(vector), q)).drop(vector)
     best = scored.orderBy(F.col("cosine").desc(), id_col).limit(k)
-    return ranked(best, F.col("cosine").desc(), F.col(id_col)).withColumn("score", (1 + F.col("cosine")) / 2)
+    return ranked(best, F.col("cosine").desc(), F.col(id_col)).withColumn("cosine", F.round("cosine", 6)).withColumn("score", (1 + F.col("cosine")) / 2)
 
 
 def ranked(rows: DataFrame, *order) -> DataFrame:
     """Adds rank to a result that a limit has bounded already."""
-    from pyspark.sql import Window
-
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def ranked_by_groups(rows: DataFrame, groups: dict[str, Column], order: list[Column]) -> DataFrame:
+    """Adds rank over all rows, whatever their number. ``groups`` are named expressions that come first in the order;
+    rows are numbered within a group, and only a count a group is summed up over groups."""
+    named = rows.select("*", *[c.alias(g) for g, c in groups.items()])
+    upto = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
+    before = named.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).select(*groups, F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    place = named.withColumn("_nth", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+    return place.join(before, list(groups)).withColumn("rank", F.col("_before") + F.col("_nth")).select(*rows.columns, "rank")
+
+
+def _projections(tables: int, length: float, seed: int):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+
+    return BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=length, numHashTables=tables, seed=seed)
+
+
 def lsh_top_k(vectors: DataFrame, query: list[float], id_col: str, k: int = TOP_K, vector: str = "embedding", tables: int = 12, length: float = 0.6, seed: int = 1) -> DataFrame:
     """As ``top_k``, over the candidates that share a random-projection bucket with the query in some table."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.linalg import Vectors
 
     rows = vectors.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=length, numHashTables=tables, seed=seed)
-    near = lsh.fit(rows).approxNearestNeighbors(rows, Vectors.dense([float(x) for x in query]), k * 5)
+    near = _projections(tables, length, seed).fit(rows).approxNearestNeighbors(rows, Vectors.dense([float(x) for x in query]), k * 5)
     return top_k(near.drop("_v", "_h", "distCol"), query, id_col, k, vector)
 
 
+class Index:
+    """A stored index of vectors: fitted projections, and the rows by bucket, so a search reads its buckets only.
+
+    It is absent, building (a build has begun and not ended, or failed) or online.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _there(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
+    def state(self) -> str:
+        return "online" if self._there("buckets/_SUCCESS") else "building" if self._there("") else "absent"
+
+    def create(self, vectors: DataFrame, id_col: str, vector: str = "embedding", tables: int = 12, length: float = 0.6, seed: int = 1) -> None:
+        """A row for each vector and table, dealt out by table and a hash of its bucket."""
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
+        self.drop()
+        rows = vectors.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+        model = _projections(tables, length, seed).fit(rows)
+        model.write().save(f"{self.path}/model")
+        each = model.transform(rows).select(id_col, F.col(vector).alias("_x"), F.posexplode("_h").alias("_table", "_hash"))
+        held = each.withColumn("_bucket", vector_to_array("_hash")[0].cast("long")).drop("_hash").withColumn("_part", F.pmod(F.xxhash64("_bucket"), F.lit(PARTS)).cast("int"))
+        held.repartition("_table", "_part").write.partitionBy("_table", "_part").parquet(f"{self.path}/buckets")
+
+    def search(self, query: list[float], id_col: str, k: int = TOP_K) -> DataFrame:
+        """As ``top_k``, over the vectors that share a bucket with the query in some table."""
+        if self.state() != "online":
+            raise ValueError(f"the index is {self.state()}")
+        from pyspark.ml.feature import BucketedRandomProjectionLSHModel
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
+        asked = self.spark.createDataFrame([([float(x) for x in query],)], "x array<double>").select(array_to_vector("x").alias("_v"))
+        hashed = BucketedRandomProjectionLSHModel.load(f"{self.path}/model").transform(asked)
+        at = hashed.select(F.posexplode("_h").alias("t", "h")).select("t", vector_to_array("h")[0].cast("long").alias("b")).collect()  # a row a table
+        held = self.spark.read.parquet(f"{self.path}/buckets")
+        here = self.spark.createDataFrame([tuple(r) for r in at], "_table int, _bucket long")
+        places = {(r["_table"], r["_part"]) for r in here.withColumn("_part", F.pmod(F.xxhash64("_bucket"), F.lit(PARTS)).cast("int")).collect()}
+        mine = held.filter(reduce(or_, [(F.col("_table") == t) & (F.col("_part") == p) for t, p in sorted(places)]))
+        near = mine.join(F.broadcast(here), ["_table", "_bucket"], "left_semi").select(id_col, F.col("_x").alias("embedding")).dropDuplicates([id_col])
+        return top_k(near, query, id_col, k)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def embed(rows: DataFrame, model: Callable[[list[str]], np.ndarray], dimensions: int, text: str = "text", out: str = "embedding") -> DataFrame:
     """Adds unit vectors by a model that maps a batch of texts to a matrix; a wrong width fails the task."""
 
@@ -57,15 +125,16 @@ def embed(rows: DataFrame, model: Callable[[list[str]], np.ndarray], dimensions:
 
 
 def hashing_model(dimensions: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """Counts of words by hash, signed by hash: the same on every machine."""
+    """Counts of words by hash, signed by hash: the same on every machine. A word's MD5 gives 32 bits: the column is
+    their remainder, the first bit the sign."""
 
     def model(texts: list[str]) -> np.ndarray:
-        import zlib
+        import hashlib
 
         out = np.zeros((len(texts), dimensions), np.float32)
         for i, text in enumerate(texts):
             for word in text.lower().split():
-                h = zlib.crc32(word.encode())
+                h = int.from_bytes(hashlib.md5(word.encode("utf-8", "replace")).digest()[:4])
                 out[i, h % dimensions] += 1 if h >> 31 else -1
         return out
 

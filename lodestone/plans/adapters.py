@@ -13,7 +13,7 @@ QUESTION = "How does Supplier#000000001 using Brand#13 or brand 7 compare on FUR
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return docs.select(F.col("source").alias("paper_id"), F.concat("source", F.lit(".pdf")).alias("source_file"), F.col("doc_id").cast("int").alias("page"), "text")
+    return docs.select(F.col("source").alias("paper_id"), F.concat("source", F.lit(".pdf")).alias("source_file"), F.col("doc_id").cast("bigint").alias("page"), "text")
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -28,9 +28,9 @@ def query_vector(spark: SparkSession, d: str) -> list[float]:
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each edge and order that supports it. Rows of an edge may repeat for an order; edges count distinct
-    orders."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+    """One row for each edge, order and line that supports it; of compared suppliers, the first line of the first. Rows of
+    an edge may repeat for an order; edges count distinct orders."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
     supplier = table(spark, d, "supplier").select("s_suppkey", "s_name")
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     named = li.join(supplier, li["l_suppkey"] == supplier["s_suppkey"])
@@ -39,13 +39,14 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
         return rows.select(
             X.entity_key(F.lit("Method"), F.col("s_name")).alias("source_key"), F.col("s_name").alias("source"), F.lit("Method").alias("source_type"), F.lit(relation).alias("relation"),
             X.entity_key(F.lit(kind), F.col(target)).alias("target_key"), F.col(target).alias("target"), F.lit(kind).alias("target_type"), F.col("l_orderkey").alias("chunk_id"),
+            F.col("l_linenumber").cast("int").alias("page"), F.concat(F.lit("src"), (F.col("l_orderkey") % 6).cast("string"), F.lit(".pdf")).alias("source_file"),
         )
 
     part = table(spark, d, "part").select("p_partkey", "p_brand")
     customer = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     ordered = named.join(orders, named["l_orderkey"] == orders["o_orderkey"])
     sold = ordered.join(customer, ordered["o_custkey"] == customer["c_custkey"])
-    pair = named.select("l_orderkey", "l_suppkey", "s_name").distinct()
+    pair = named.groupBy("l_orderkey", "l_suppkey", "s_name").agg(F.min("l_linenumber").alias("l_linenumber"))
     other = pair.select("l_orderkey", F.col("l_suppkey").alias("_other"), F.col("s_name").alias("other_name"))
     compared = pair.join(other, "l_orderkey").filter("l_suppkey < _other")
     return (
@@ -114,3 +115,28 @@ def relation_mentions(spark: SparkSession, d: str) -> DataFrame:
         F.array(F.struct(F.col("l_orderkey").cast("string").alias("chunk_id"), F.col("l_linenumber").cast("int").alias("page"))).alias("evidence"),
         F.concat(F.lit("src"), (F.col("l_orderkey") % 6).cast("string")).alias("source_file"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"),
     )
+
+
+def raw_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as extraction records: a focal method, parts as entities, and relations among them, some of each wrong."""
+    from lodestone import schemas
+
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    number, chunk, n = (F.col("l_orderkey") % 6).cast("string"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("int")
+    pick = lambda options, x: F.element_at(F.array(*[F.lit(o) if isinstance(o, str) else o for o in options]), (x % len(options) + 1).cast("int"))
+    proof = lambda c: F.array(F.struct(c.alias("chunk_id"), n.alias("page")))
+    entity = F.struct(
+        F.when(n % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"), pick(["Method", "Concept", "Task", "Dataset", "Metric", "Gadget"], F.col("p_size")).alias("type"), F.array("p_brand").alias("aliases"), proof(chunk).alias("evidence"),
+    )
+    relation = F.struct(
+        pick(["PAPER", F.concat(F.lit("F"), number), F.concat(F.lit("focal "), number), F.col("p_name")], n).alias("source"), pick(["USES", "INTRODUCES", "EVALUATES_ON", "COMPARED_WITH", "BASED_ON"], F.col("p_partkey")).alias("type"),
+        pick([F.col("p_brand"), F.col("p_name"), F.concat(F.lit("F"), number)], F.col("p_size")).alias("target"), proof(F.when(F.col("p_partkey") % 7 == 0, F.lit("zz")).otherwise(chunk)).alias("evidence"),
+    )
+    lines = li.join(part, li["l_partkey"] == part["p_partkey"]).select("l_orderkey", F.struct(n.alias("n"), F.col("p_partkey").alias("p"), entity.alias("e"), relation.alias("r")).alias("x"))
+    listed = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    focal = F.array(F.struct(F.concat(F.lit("Focal "), number).alias("name"), F.lit("Method").alias("type"), F.array(F.concat(F.lit("F"), number)).alias("aliases")))
+    return listed.select(
+        F.concat(F.lit("src"), number, F.lit(".pdf")).alias("source_file"), F.concat(F.lit("src"), number).alias("paper_id"), F.col("l_orderkey").cast("int").alias("batch_number"), F.array(chunk).alias("chunk_ids"),
+        focal.cast(schemas.FOCAL).alias("focal_entities"), F.transform("x", lambda y: y["e"]).alias("entities"), F.transform("x", lambda y: y["r"]).alias("relations"),
+    )

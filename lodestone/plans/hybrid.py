@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import retrieval, vectors
+from lodestone.operators.kg_store import edges
+from lodestone.sources import prompts
 from lodestone.sources.models import echo
 
 
 @dataclass
 class Corpus:
     """Tables a question is put to. chunk_vectors: chunk_id, embedding; chunks: chunk_id, text and more; nodes: key,
-    name, entity_type, aliases; evidence as of kg_store.edges; support: entity_key, chunk_id; introduces: paper,
+    name, entity_type, aliases; evidence as of kg_store.edges, with source_file and page if they are known; support: entity_key, chunk_id; introduces: paper,
     target_key, target."""
 
     chunk_vectors: DataFrame
@@ -56,26 +58,42 @@ def answer(corpus: Corpus, question: str, embed: Callable[[str], list[float]], r
     seeds = retrieval.settled(retrieval.merge_seeds(lexical, bridge), retrieval.MERGED)
     focal = corpus.introduces.select(F.col("target_key").alias("key"))
     _, more, facts = retrieval.two_hops(corpus.evidence, seeds, focal)
-    facts = retrieval.settled(facts, retrieval.HOP1 + retrieval.HOP2)
-    every = seeds.select("key").unionByName(more.select("key"))
+    every = seeds.select("key", "name", "entity_type", "seed_source").unionByName(more.select("key", "name", "entity_type", "seed_source"))
+    around = retrieval.touching(corpus.evidence, every)
+    facts = retrieval.settled(retrieval.with_proof(facts, around), retrieval.HOP1 + retrieval.HOP2)
     papers = retrieval.introductions(every, corpus.introduces)
-    proof = retrieval.provenance(facts, retrieval.touching(corpus.evidence, every), corpus.chunks)
-    prompt = evidence_prompt(question, hits.join(corpus.chunks, "chunk_id"), facts, proof, papers)
+    proof = retrieval.provenance(facts, around, corpus.chunks)
+    named = retrieval.merge_seeds(seeds, more, retrieval.MERGED + retrieval.SECONDARY)
+    prompt = prompts.answer(sections(question, asked, named, papers, hits.join(corpus.chunks, "chunk_id"), facts, proof))
     return Answer(asked, hits, seeds, facts, proof, papers, prompt, write(prompt))
 
 
-def evidence_prompt(question: str, hits: DataFrame, facts: DataFrame, proof: DataFrame, papers: DataFrame) -> str:
-    """Sections of capped, ranked evidence; a few dozen lines in all."""
+def sections(question: str, query: str, seeds: DataFrame, papers: DataFrame, hits: DataFrame, facts: DataFrame, proof: DataFrame) -> DataFrame:
+    """The evidence for an answer as rows: section, rank, line. Each part is capped and ranked."""
+    spark = facts.sparkSession
+    s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    listed = lambda c: F.array_join(F.coalesce(F.col(c).cast("array<string>"), F.array().cast("array<string>")), ", ")
+    asked = spark.createDataFrame([("question", 1, question), ("query", 1, query)], "section string, rank int, line string")
 
-    def section(title: str, rows: DataFrame, *parts) -> str:
-        text = retrieval.context(rows, F.concat(F.lit("- "), *parts)).head()["context"]
-        return f"## {title}\n{text or 'none'}"
+    def part(name: str, rows: DataFrame, *line) -> DataFrame:
+        return rows.select(F.lit(name).alias("section"), F.col("rank").cast("int").alias("rank"), F.concat(*line).alias("line"))
 
-    s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return "\n\n".join([
-        f"Answer from the evidence below only, and name what supports each statement.\n\nQuestion: {question}",
-        section("Papers", papers, s("paper"), F.lit(" introduces "), s("target")),
-        section("Facts", facts, s("source"), F.lit(" "), s("relation"), F.lit(" "), s("target"), F.lit(" ("), s("evidence_count"), F.lit(")")),
-        section("Passages behind the facts", proof, F.lit("["), s("chunk_id"), F.lit("] "), s("text")),
-        section("Passages like the question", hits, F.lit("["), s("chunk_id"), F.lit("] "), s("text")),
-    ])
+    place = lambda rows: [x for c, before in (("source_file", ", "), ("page", " page ")) if c in rows.columns for x in (F.lit(before), s(c))]
+    proved = [x for c, before in (("source_files", "files"), ("evidence_pages", "pages"), ("evidence_chunk_ids", "chunks")) if c in facts.columns for x in (F.lit(f"; {before}: "), listed(c))]
+    score = [F.lit(", score "), F.format_string("%.4f", F.col("score"))] if "score" in hits.columns else []
+    out = asked.unionByName(part("seeds", seeds, s("name"), F.lit(" ("), s("entity_type"), F.lit(", "), s("seed_source"), F.lit(")")))
+    out = out.unionByName(part("papers", papers, s("paper"), F.lit(" introduces "), s("target")))
+    out = out.unionByName(part("vector", hits, F.lit("["), s("chunk_id"), *place(hits), *score, F.lit("] "), s("text")))
+    out = out.unionByName(part("facts", facts, s("source"), F.lit(" "), s("relation"), F.lit(" "), s("target"), F.lit(" ("), s("evidence_count"), F.lit(")"), *proved))
+    return out.unionByName(part("proof", proof, F.lit("["), s("chunk_id"), *place(proof), F.lit("] "), s("text")))
+
+
+def named_entity_facts(question: str, model: Callable[[str], str], nodes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The one-entity question: a model names the entity, or NONE; the edges out of the node of that name."""
+    at = retrieval.named_entity(model(prompts.entity(question)), nodes).select("key")
+    return edges(evidence.join(F.broadcast(at), evidence["source_key"] == at["key"], "left_semi"))
+
+
+def compared(question: str, model: Callable[[str], str], contexts: dict[str, str]) -> dict[str, str]:
+    """Answers without evidence, and from each context."""
+    return {"model": model(prompts.direct(question))} | {name: model(prompts.from_context(question, x)) for name, x in contexts.items()}

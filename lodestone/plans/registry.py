@@ -11,6 +11,9 @@ from lodestone import schemas
 from lodestone.functions import text as X
 from lodestone.operators import chunking, kg_build, kg_store, retrieval, vectors
 from lodestone.plans import adapters as A
+from lodestone.plans import hybrid
+from lodestone.sources import files, prompts
+from lodestone.sources.models import echo
 from lodestone.session import ensure_importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,20 +27,20 @@ CHUNKS = r"""
     toks AS (SELECT paper_id, page, string_split(t, ' ') AS w FROM clean WHERE t <> ''),
     cut AS (SELECT paper_id, page, w, i, i * 180 AS s, least(i * 180 + 220, len(w)) AS e FROM toks, unnest(range(CAST(greatest(ceil((len(w) - 220) / 180.0), 0) AS BIGINT) + 1)) AS u(i)),
     chunks AS (
-        SELECT format('{}_p{:03d}_c{:03d}', paper_id, page, i + 1) AS chunk_id, paper_id, paper_id || '.pdf' AS source_file, CAST(page AS INTEGER) AS page, CAST(i + 1 AS INTEGER) AS chunk_index,
+        SELECT format('{}_p{:03d}_c{:03d}', paper_id, page, i + 1) AS chunk_id, paper_id, paper_id || '.pdf' AS source_file, page, CAST(i + 1 AS INTEGER) AS chunk_index,
                CAST(s AS INTEGER) AS token_start, CAST(e AS INTEGER) AS token_end, CAST(e - s AS INTEGER) AS token_count,
                CAST(CASE WHEN s = 0 THEN 0 ELSE length(array_to_string(w[1:s], ' ')) + 1 END AS INTEGER) AS char_start, array_to_string(w[s + 1:e], ' ') AS text
         FROM cut)
 """
 EDGES = """
-    li AS (SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
-    pair AS (SELECT DISTINCT l_orderkey, l_suppkey, s_name FROM li),
+    li AS (SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS INTEGER) AS page, 'src' || CAST(l_orderkey % 6 AS VARCHAR) || '.pdf' AS source_file, l_returnflag, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+    pair AS (SELECT l_orderkey, l_suppkey, s_name, min(page) AS page, any_value(source_file) AS source_file FROM li GROUP BY 1, 2, 3),
     ev AS (
-        SELECT s_name AS source, 'USES' AS relation, p_brand AS target, 'Concept' AS target_type, l_orderkey AS chunk_id FROM li JOIN part ON l_partkey = p_partkey
-        UNION ALL SELECT s_name, 'EVALUATES_ON', c_mktsegment, 'Dataset', l_orderkey FROM li JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-        UNION ALL SELECT s_name, 'MEASURED_BY', l_returnflag, 'Metric', l_orderkey FROM li
-        UNION ALL SELECT s_name, 'ADDRESSES', o_orderpriority, 'Task', l_orderkey FROM li JOIN orders ON l_orderkey = o_orderkey
-        UNION ALL SELECT a.s_name, 'COMPARED_WITH', b.s_name, 'Method', a.l_orderkey FROM pair a JOIN pair b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey),
+        SELECT s_name AS source, 'USES' AS relation, p_brand AS target, 'Concept' AS target_type, l_orderkey AS chunk_id, page, source_file FROM li JOIN part ON l_partkey = p_partkey
+        UNION ALL SELECT s_name, 'EVALUATES_ON', c_mktsegment, 'Dataset', l_orderkey, page, source_file FROM li JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+        UNION ALL SELECT s_name, 'MEASURED_BY', l_returnflag, 'Metric', l_orderkey, page, source_file FROM li
+        UNION ALL SELECT s_name, 'ADDRESSES', o_orderpriority, 'Task', l_orderkey, page, source_file FROM li JOIN orders ON l_orderkey = o_orderkey
+        UNION ALL SELECT a.s_name, 'COMPARED_WITH', b.s_name, 'Method', a.l_orderkey, a.page, a.source_file FROM pair a JOIN pair b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey),
     edges AS (
         SELECT 'Method::' || lower(source) AS source_key, source, 'Method' AS source_type, relation, target_type || '::' || lower(target) AS target_key, target, target_type, count(DISTINCT chunk_id) AS evidence_count
         FROM ev GROUP BY source, relation, target, target_type)
@@ -55,8 +58,8 @@ SUPPORT = """
 """
 HITS = """
     q AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id = 0),
-    scored AS (SELECT vec_id, label, round(list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), q.v), 6) AS cosine FROM embeddings, q),
-    hits AS (SELECT vec_id, label, cosine, CAST(row_number() OVER (ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank FROM scored QUALIFY rank <= {k})
+    scored AS (SELECT vec_id, label, list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), q.v) AS whole FROM embeddings, q),
+    hits AS (SELECT vec_id, label, round(whole, 6) AS cosine, CAST(row_number() OVER (ORDER BY whole DESC, vec_id) AS INTEGER) AS rank FROM scored QUALIFY rank <= {k})
 """
 PRIORITY = "CASE relation WHEN 'USES' THEN 0 WHEN 'PRODUCES' THEN 1 WHEN 'ADDRESSES' THEN 2 WHEN 'SOLVES' THEN 3 WHEN 'EVALUATES_ON' THEN 4 WHEN 'MEASURED_BY' THEN 5 WHEN 'IMPROVES' THEN 6 WHEN 'COMPARED_WITH' THEN 7 ELSE 99 END"
 ORDER = f"{PRIORITY}, evidence_count DESC, lower(source), lower(target), source_key, target_key"
@@ -77,9 +80,9 @@ MERGED = """
 """
 
 
-def _hop(name: str, seeds: str, cap: int) -> str:
+def _hop(name: str, seeds: str, cap: int, where: str = "") -> str:
     return f"""
-    {name} AS (SELECT *, CAST(row_number() OVER (ORDER BY {ORDER}) AS INTEGER) AS rank FROM edges WHERE source_key IN (SELECT key FROM {seeds}) OR target_key IN (SELECT key FROM {seeds}) QUALIFY rank <= {cap})
+    {name} AS (SELECT *, CAST(row_number() OVER (ORDER BY {ORDER}) AS INTEGER) AS rank FROM edges WHERE {where}(source_key IN (SELECT key FROM {seeds}) OR target_key IN (SELECT key FROM {seeds})) QUALIFY rank <= {cap})
 """
 
 
@@ -116,6 +119,18 @@ RELATIONS = """
             WHEN source_kind = 'Paper' AND relation <> 'INTRODUCES' THEN 'paper_source' WHEN source_kind <> 'Paper' AND source_key IS NULL THEN 'source_unresolved' END AS drop_reason
         FROM rel)
 """
+PROOF = ["source_files", "evidence_pages", "evidence_chunk_ids"]
+PROVED = """
+    proved AS (SELECT f.rank, any_value(f.source) AS source, f.relation, any_value(f.target) AS target, f.source_key, f.target_key, any_value(f.evidence_count) AS evidence_count, array_to_string(list_sort(list_distinct(list(e.source_file))), ', ') AS source_files,
+                      array_to_string(list_sort(list_distinct(list(e.page))), ', ') AS evidence_pages, array_to_string(list_sort(list_distinct(list(e.chunk_id))), ', ') AS evidence_chunk_ids
+               FROM facts f JOIN ev e ON f.source = e.source AND f.relation = e.relation AND f.target = e.target AND f.target_type = e.target_type GROUP BY f.rank, f.relation, f.source_key, f.target_key)
+"""
+SEEDED = """
+    named AS (SELECT key, name, entity_type, seed_source, rank FROM merged UNION ALL SELECT key, name, entity_type, seed_source, rank + (SELECT count(*) FROM merged) FROM secondary),
+    papers AS (SELECT paper, target, CAST(row_number() OVER (ORDER BY paper, target, target_key) AS INTEGER) AS rank FROM (SELECT DISTINCT n_name AS paper, s_name AS target, 'Method::' || lower(s_name) AS target_key FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE target_key IN (SELECT key FROM named)),
+    each_chunk AS (SELECT DISTINCT f.rank AS r, e.chunk_id FROM facts f JOIN ev e ON f.source = e.source AND f.relation = e.relation AND f.target = e.target AND f.target_type = e.target_type),
+    proof AS (SELECT chunk_id, CAST(row_number() OVER (ORDER BY min(r), chunk_id) AS INTEGER) AS rank FROM each_chunk GROUP BY chunk_id QUALIFY rank <= 14)
+"""
 FACT_COLUMNS = ["rank", "source_key", "source", "source_type", "relation", "target_key", "target", "target_type", "evidence_count"]
 
 
@@ -130,6 +145,11 @@ def query(sql: str | None = None):
     return add
 
 
+def _shown(rows: DataFrame, gap: str = ",") -> DataFrame:
+    """Lists of evidence as text."""
+    return rows.select(*[F.array_join(F.col(c).cast("array<string>"), gap).alias(c) if c in PROOF else c for c in rows.columns])
+
+
 def with_(*parts: str, then: str) -> str:
     return "WITH " + ",".join(parts) + then
 
@@ -148,7 +168,7 @@ def extract_pages(spark, d):
     return table(spark, d, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
 
 
-@query(r"SELECT source || '.pdf' AS source_file, CAST(doc_id AS INTEGER) AS page, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL AND trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) <> ''")
+@query(r"SELECT source || '.pdf' AS source_file, doc_id AS page, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL AND trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) <> ''")
 def parse_pages(spark, d):
     from lodestone.sources.page_text import parsed, rendered
 
@@ -181,6 +201,13 @@ def batches(spark, d):
     return chunking.batches(A.chunks(spark, d)).select("paper_id", "chunk_id", "batch_number")
 
 
+@query(with_(CHUNKS, then="""
+    , placed AS (SELECT paper_id, chunk_id, row_number() OVER (PARTITION BY paper_id ORDER BY page, chunk_index) AS n FROM chunks)
+    SELECT paper_id, CAST(floor((n - 1) / 12) + 1 AS INTEGER) AS batch_number, string_agg(chunk_id, ' ' ORDER BY n) AS chunk_ids FROM placed GROUP BY 1, 2"""))
+def batch_lists(spark, d):
+    return chunking.batch_lists(A.chunks(spark, d)).select("paper_id", "batch_number", F.array_join("chunk_ids", " ").alias("chunk_ids"))
+
+
 @query(with_(CHUNKS, then="SELECT paper_id, chunk_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY page, chunk_index) AS INTEGER) AS position FROM chunks QUALIFY position <= 8"))
 def profile_heads(spark, d):
     return chunking.heads(A.chunks(spark, d)).select("paper_id", "chunk_id", "position")
@@ -206,10 +233,19 @@ def keyword_filter(spark, d):
     return table(spark, d, "documents").filter(F.contains(F.lower(F.concat("source", F.lit(".pdf"))), F.lower(F.lit("SRC1")))).select("doc_id", "source")
 
 
-@query()
+@query(with_(CHUNKS, then=r"""
+    , word AS (SELECT chunk_id, unnest(string_split_regex(trim(lower(text), ' '), '\s+')) AS w FROM chunks),
+    hashed AS (SELECT chunk_id, CAST('0x' || left(md5(w), 8) AS UBIGINT) AS h FROM word WHERE w <> ''),
+    cell AS (SELECT chunk_id, CAST(h % 64 AS INTEGER) AS j, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS v FROM hashed GROUP BY 1, 2),
+    norm AS (SELECT chunk_id, greatest(sqrt(sum(v * v)), 1e-12) AS n FROM cell GROUP BY 1)
+    SELECT chunk_id, string_agg(CAST(j AS VARCHAR) || ':' || CAST(CAST(round(v / n * 1000) AS BIGINT) AS VARCHAR), ' ' ORDER BY j) AS vector FROM cell JOIN norm USING (chunk_id) WHERE v <> 0 GROUP BY 1"""))
 def embed_hash(spark, d):
+    """Vectors of all chunks; shown as the columns that are not zero, in thousandths."""
     ensure_importable(spark)
-    return vectors.embed(table(spark, d, "benchmark").select("item_id", "text"), vectors.hashing_model(), 64).drop("text")
+    embedded = vectors.embed(A.chunks(spark, d).select("chunk_id", "text"), vectors.hashing_model(), 64)
+    cells = F.filter(F.transform("embedding", lambda x, j: F.struct(j.alias("j"), x.cast("double").alias("x"))), lambda c: c["x"] != 0)
+    shown = F.transform(cells, lambda c: F.concat(c["j"].cast("string"), F.lit(":"), F.round(c["x"] * 1000).cast("bigint").cast("string")))
+    return embedded.select("chunk_id", F.array_join(shown, " ").alias("vector")).filter("vector <> ''")
 
 
 # --- vectors -----------------------------------------------------------------------------------------------------
@@ -256,6 +292,13 @@ def kg_edges(spark, d):
     return kg_store.edges(A.evidence(spark, d))
 
 
+@query(with_(EDGES, then="""
+    SELECT 'Method::' || lower(source) AS source_key, relation, target_type || '::' || lower(target) AS target_key, count(DISTINCT chunk_id) AS evidence_count, array_to_string(list_sort(list_distinct(list(source_file))), ',') AS source_files,
+           array_to_string(list_sort(list_distinct(list(page))), ',') AS evidence_pages, array_to_string(list_sort(list_distinct(list(chunk_id))), ',') AS evidence_chunk_ids FROM ev GROUP BY 1, 2, 3"""))
+def kg_edges_evidence(spark, d):
+    return _shown(kg_store.edges_with_proof(A.evidence(spark, d)).select("source_key", "relation", "target_key", "evidence_count", *PROOF))
+
+
 @query(with_(SUPPORT, then="SELECT * FROM sup"))
 def kg_support(spark, d):
     return A.support(spark, d)
@@ -301,6 +344,11 @@ def evidence_merge(spark, d):
     return each.groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("e")), ",").alias("evidence"))
 
 
+@query(with_(MENTIONS, then="SELECT key, type, arg_min(name, seq) AS name, min(seq) AS seq, arg_min(alias, seq) AS alias FROM mentions GROUP BY key, type"))
+def dedup_first(spark, d):
+    return kg_build.first_entities(A.mentions(spark, d)).select("key", "type", "name", "seq", F.col("aliases")[0].alias("alias"))
+
+
 @query(with_(MENTIONS, then="SELECT key, count(DISTINCT chunk_id) AS evidence_count, count(DISTINCT page) AS n_pages FROM mentions GROUP BY key"))
 def evidence_lists(spark, d):
     merged = A.mentions(spark, d).select("key", F.explode("evidence").alias("e")).groupBy("key").agg(F.collect_set("e").alias("evidence"))
@@ -336,6 +384,33 @@ def drop_reasons(spark, d):
     return A.relation_mentions(spark, d).groupBy(F.coalesce(kg_build.drop_reason(), F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(with_(MENTIONS, RELATIONS, then="""
+    , spelled AS (SELECT key, seq, 0 AS nth, lower(trim(name)) AS s FROM mentions UNION ALL SELECT key, seq, 1, lower(trim(alias)) FROM mentions),
+    lookup AS (SELECT s, arg_max(key, (seq, nth)) AS key FROM spelled GROUP BY s)
+    SELECT DISTINCT r.source_kind, CASE WHEN r.source_kind = 'Paper' THEN r.source ELSE a.key END AS source, r.relation, t.key AS target_key
+    FROM (SELECT *, replace(source, 'M', 'Brand#') AS spelling FROM rel) r JOIN lookup t ON t.s = lower(trim(r.target)) LEFT JOIN lookup a ON a.s = lower(trim(r.spelling))
+    WHERE r.source_kind = 'Paper' AND r.relation = 'INTRODUCES' OR r.source_kind = 'Entity' AND r.relation <> 'INTRODUCES' AND a.key IS NOT NULL"""))
+def kg_load(spark, d):
+    """Relations whose ends are known, as they are loaded: from papers, and from entities found by name or alias."""
+    lookup = kg_store.load_lookup(A.mentions(spark, d).select("key", "name", "aliases", "seq"))
+    rows = A.relation_mentions(spark, d).select("source_kind", F.col("source").alias("paper"), F.regexp_replace("source", "M", "Brand#").alias("source"), "relation", "target")
+    own, papers = kg_store.loadable(rows, lookup)
+    stated = papers.select("source_kind", F.col("paper").alias("source"), "relation", "target_key").distinct()
+    return own.select("source_kind", F.col("source_key").alias("source"), "relation", "target_key").unionByName(stated)
+
+
+@query(with_(MENTIONS, RELATIONS, then="""
+    , pooled AS (SELECT source_kind, lower(source) AS s, relation, lower(target) AS t FROM judged WHERE drop_reason IS NULL GROUP BY 1, 2, 3, 4)
+    SELECT 'entity' AS what, type, count(*) AS count FROM (SELECT DISTINCT key, type FROM mentions) GROUP BY type UNION ALL SELECT 'relation', relation, count(*) FROM pooled GROUP BY relation
+    UNION ALL SELECT 'dropped', drop_reason, count(*) FROM judged WHERE drop_reason IS NOT NULL GROUP BY drop_reason UNION ALL SELECT 'raw', 'entities', count(*) FROM mentions UNION ALL SELECT 'raw', 'relations', count(*) FROM rel"""))
+def kg_stats(spark, d):
+    """What a graph file says of itself: counts by type, why relations were dropped, occurrences before merging."""
+    said, rel = A.mentions(spark, d), A.relation_mentions(spark, d).withColumn("reason", kg_build.drop_reason())
+    raw = said.agg(F.count(F.lit(1)).alias("n")).select(F.lit("entities").alias("what"), "n").unionByName(rel.agg(F.count(F.lit(1)).alias("n")).select(F.lit("relations").alias("what"), "n"))
+    dropped = rel.filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return files.graph_stats(kg_build.first_entities(said), kg_build.relation_pool(rel.filter("reason is null")), dropped, raw)
+
+
 @query(with_(RELATIONS, then="SELECT target, count(*) AS n FROM rel WHERE target <> '' AND NOT regexp_matches(lower(target), '\\bet al\\.?\\b') GROUP BY target"))
 def noise_filter(spark, d):
     return A.relation_mentions(spark, d).filter(~X.is_noise(F.col("target"))).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
@@ -374,16 +449,18 @@ def introduces_repair(spark, d):
     return kg_store.introductions_of(profiles, lookup, table(spark, d, "nation").select(F.col("n_name").alias("source_file")), nodes)
 
 
-@query(with_(NODES, then="SELECT CAST(row_number() OVER (ORDER BY entity_type, lower(name), name) AS INTEGER) AS rank, key FROM nodes QUALIFY rank <= 1000"))
+@query(with_(NODES, then="SELECT row_number() OVER (ORDER BY entity_type, lower(name), name) AS rank, key FROM nodes"))
 def entities_sorted(spark, d):
-    order = [F.col("entity_type"), F.lower("name"), F.col("name")]
-    return vectors.ranked(A.nodes(spark, d).orderBy(*order).limit(1000), *order).select("rank", "key")
+    """All entities in order; rows are numbered within a type and the first letters of the name."""
+    groups = {"_type": F.col("entity_type"), "_head": F.substring(F.lower("name"), 1, 12)}
+    return vectors.ranked_by_groups(A.nodes(spark, d), groups, [F.lower("name"), F.col("name")]).select("rank", "key")
 
 
-@query(with_(EDGES, then="SELECT CAST(row_number() OVER (ORDER BY lower(source), relation, lower(target), source_key, target_key) AS INTEGER) AS rank, source_key, relation, target_key FROM edges QUALIFY rank <= 1000"))
+@query(with_(EDGES, then="SELECT row_number() OVER (ORDER BY lower(source), relation, lower(target), source_key, target_key) AS rank, source_key, relation, target_key FROM edges"))
 def relations_sorted(spark, d):
-    order = [F.lower("source"), F.col("relation"), F.lower("target"), F.col("source_key"), F.col("target_key")]
-    return vectors.ranked(kg_store.edges(A.evidence(spark, d)).orderBy(*order).limit(1000), *order).select("rank", "source_key", "relation", "target_key")
+    """All relations in order; rows are numbered within a source."""
+    order = [F.col("relation"), F.lower("target"), F.col("source_key"), F.col("target_key")]
+    return vectors.ranked_by_groups(kg_store.edges(A.evidence(spark, d)), {"_source": F.lower("source")}, order).select("rank", "source_key", "relation", "target_key")
 
 
 @query("SELECT p_name, regexp_full_match(p_name, '[A-Za-z_][A-Za-z0-9_]*') AS safe, count(*) AS n FROM part GROUP BY 1")
@@ -397,44 +474,90 @@ def fence_strip(spark, d):
     return kg_build.parsed(fenced, "answer", "k BIGINT").select("event_id", "record.k")
 
 
-def _profiles(spark):
-    one = '{"focal_entities": [{"name": "  Deep  Field ", "type": "Method", "aliases": ["DF", "deep field", ""]}, {"name": "x", "type": "Task", "aliases": []}]}'
-    return spark.createDataFrame([("a.pdf", "```json\n" + one + "\n```"), ("b.pdf", "[]"), ("c.pdf", '{"focal_entities": 3}'), ("d.pdf", None)], "source_file string, answer string")
+PROFILES = r"""
+    answers AS (SELECT s_name || '.pdf' AS source_file, CASE s_suppkey % 5
+        WHEN 0 THEN '{"focal_entities": [{"name": "  ' || s_name || '  ", "type": "Method", "aliases": ["' || lower(s_name) || '", "S  ' || s_suppkey || '", ""]}, {"name": "x", "type": "Task", "aliases": []}]}'
+        WHEN 1 THEN '[]' WHEN 2 THEN '{"focal_entities": 3}' WHEN 4 THEN '{"focal_entities": [{"name": "", "type": "Method", "aliases": ["q"]}, {"name": "N' || s_suppkey || '", "type": "Model", "aliases": [" a   b "]}]}' END AS j FROM supplier),
+    listed AS (SELECT source_file, CASE WHEN json_type(j, '$.focal_entities') = 'ARRAY' THEN CAST(json_extract(j, '$.focal_entities') AS JSON[]) ELSE CAST([] AS JSON[]) END AS f FROM answers),
+    each_focal AS (SELECT source_file, p, trim(regexp_replace(json_extract_string(f[p], '$.name'), '\s+', ' ', 'g')) AS name, json_extract_string(f[p], '$.type') AS type, CAST(json_extract(f[p], '$.aliases') AS VARCHAR[]) AS aliases FROM listed, unnest(range(1, len(f) + 1)) AS u(p)),
+    good AS (SELECT source_file, p, name, type, array_to_string(list_filter(list_transform(aliases, lambda a: trim(regexp_replace(a, '\s+', ' ', 'g'))), lambda a: a <> '' AND lower(a) <> lower(name)), ',') AS aliases FROM each_focal WHERE name <> '' AND type IN ('Method', 'Model')),
+    profiles AS (SELECT l.source_file, coalesce(string_agg(name || '|' || type || '|' || aliases, ';' ORDER BY p), '') AS focal FROM listed l LEFT JOIN good g ON g.source_file = l.source_file GROUP BY 1)
+"""
 
 
-@query()
-def profile_validate(spark, d):
-    rows = kg_build.parsed(_profiles(spark), "answer", f"focal_entities {schemas.FOCAL}")
+def _answers(spark, d):
+    """What a model might say of each supplier as a paper: right, empty, of another shape, or nothing."""
+    key, name = F.col("s_suppkey").cast("string"), F.col("s_name")
+    one = F.concat(F.lit('```json\n{"focal_entities": [{"name": "  '), name, F.lit('  ", "type": "Method", "aliases": ["'), F.lower(name), F.lit('", "S  '), key, F.lit('", ""]}, {"name": "x", "type": "Task", "aliases": []}]}\n```'))
+    two = F.concat(F.lit('{"focal_entities": [{"name": "", "type": "Method", "aliases": ["q"]}, {"name": "N'), key, F.lit('", "type": "Model", "aliases": [" a   b "]}]}'))
+    kind = F.col("s_suppkey") % 5
+    return table(spark, d, "supplier").select(F.concat("s_name", F.lit(".pdf")).alias("source_file"), F.when(kind == 0, one).when(kind == 1, "[]").when(kind == 2, '{"focal_entities": 3}').when(kind == 4, two).alias("answer"))
+
+
+def _profiled(spark, d):
+    rows = kg_build.parsed(_answers(spark, d), "answer", f"focal_entities {schemas.FOCAL}")
     return rows.select("source_file", kg_build.valid_profile(F.col("record.focal_entities")).alias("focal"))
 
 
-@query()
+@query(with_(PROFILES, then="SELECT source_file, focal FROM profiles"))
+def profile_validate(spark, d):
+    shown = F.array_join(F.transform("focal", lambda f: F.concat_ws("|", f["name"], f["type"], F.array_join(f["aliases"], ","))), ";")
+    return _profiled(spark, d).select("source_file", shown.alias("focal"))
+
+
+@query(with_(PROFILES, then="SELECT source_file FROM profiles WHERE focal = ''"))
 def profile_cache(spark, d):
     """Papers without a cached, non-empty profile."""
-    cached = profile_validate(spark, d).filter(F.size("focal") > 0)
-    return chunking.pending(_profiles(spark).select("source_file"), cached, ["source_file"])
+    cached = _profiled(spark, d).filter(F.size("focal") > 0)
+    return chunking.pending(_answers(spark, d).select("source_file"), cached, ["source_file"])
+
+
+BATCHES = """
+    line AS (SELECT l_orderkey AS o, CAST(l_linenumber AS INTEGER) AS line_number, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n, CAST(l_orderkey % 6 AS VARCHAR) AS f, * FROM lineitem JOIN part ON l_partkey = p_partkey),
+    ent AS (SELECT o, n, CASE WHEN line_number % 3 = 0 THEN upper(p_name) ELSE p_name END AS name, ['Method', 'Concept', 'Task', 'Dataset', 'Metric', 'Gadget'][CAST(p_size % 6 + 1 AS INTEGER)] AS type, p_brand AS alias FROM line),
+    firsts AS (SELECT o, min(n) AS n, arg_min(name, n) AS name, arg_min(type, n) AS type, arg_min(alias, n) AS alias FROM ent WHERE type <> 'Gadget' GROUP BY o, lower(name)),
+    spelled AS (SELECT o, n, 0 AS q, name AS s, name, type FROM firsts UNION ALL SELECT o, n, 1, alias, name, type FROM firsts),
+    found AS (SELECT o, lower(s) AS s, arg_max(name, (n, q)) AS name, arg_max(type, (n, q)) AS type FROM spelled GROUP BY 1, 2),
+    focal AS (SELECT DISTINCT o, unnest(['focal ' || f, 'f' || f]) AS s, 'Focal ' || f AS name, 'Method' AS type FROM line),
+    known AS (SELECT o, s, name, type, true AS own FROM focal UNION ALL SELECT o, s, name, type, false FROM found a WHERE NOT EXISTS (SELECT 1 FROM focal b WHERE a.o = b.o AND a.s = b.s)),
+    stated AS (SELECT o, n, f, ['PAPER', 'F' || f, 'focal ' || f, p_name][CAST(line_number % 4 + 1 AS INTEGER)] AS source, ['USES', 'INTRODUCES', 'EVALUATES_ON', 'COMPARED_WITH', 'BASED_ON'][CAST(p_partkey % 5 + 1 AS INTEGER)] AS relation,
+                      [p_brand, p_name, 'F' || f][CAST(p_size % 3 + 1 AS INTEGER)] AS target, CASE WHEN p_partkey % 7 = 0 THEN 'zz' ELSE CAST(o AS VARCHAR) END || ':' || CAST(line_number AS VARCHAR) AS evidence FROM line),
+    ended AS (SELECT r.*, a.name AS source_name, a.type AS source_type, coalesce(a.own, false) AS source_own, b.name AS target_name, b.type AS target_type, coalesce(b.own, false) AS target_own, r.source = 'PAPER' AS paper
+              FROM stated r LEFT JOIN known a ON a.o = r.o AND a.s = lower(r.source) LEFT JOIN known b ON b.o = r.o AND b.s = lower(r.target))
+"""
+ALLOWED = "CASE relation WHEN 'USES' THEN target_type IN ('Concept', 'Method', 'Model') WHEN 'EVALUATES_ON' THEN target_type = 'Dataset' WHEN 'COMPARED_WITH' THEN target_type IN ('Method', 'Model') ELSE false END"
+RULES = {
+    "full": f"relation <> 'BASED_ON' AND CASE WHEN paper THEN relation = 'INTRODUCES' AND target_own ELSE relation <> 'INTRODUCES' AND source_own AND {ALLOWED} END",
+    "v3": "CASE WHEN paper THEN relation = 'INTRODUCES' AND target_own WHEN relation = 'BASED_ON' THEN source_type = 'Concept' AND target_type = 'Concept' ELSE relation <> 'INTRODUCES' AND source_own AND source_type IN ('Method', 'Model') END",
+    "v2": "CASE WHEN paper THEN relation = 'INTRODUCES' AND target_type IN ('Method', 'Model') WHEN relation = 'BASED_ON' THEN source_type IS NOT NULL ELSE relation <> 'INTRODUCES' AND source_type IN ('Method', 'Model') END",
+}
 
 
-def _raw(spark):
-    e = lambda c, p: {"chunk_id": c, "page": p}
-    rows = [
-        ("a.pdf", "a", 1, ["c1", "c2"], [{"name": "Deep Field", "type": "Method", "aliases": ["DF"]}],
-         [{"name": "deep field", "type": "Method", "aliases": [], "evidence": [e("c1", 1)]}, {"name": "Loss", "type": "Concept", "aliases": ["objective"], "evidence": [e("c1", 1)]}, {"name": "Speed", "type": "Metric", "aliases": [], "evidence": []}],
-         [{"source": "PAPER", "type": "INTRODUCES", "target": "DF", "evidence": [e("c1", 1)]}, {"source": "DF", "type": "USES", "target": "Objective", "evidence": [e("c9", 2)]}, {"source": "df", "type": "USES", "target": "loss", "evidence": [e("c2", 2)]},
-          {"source": "PAPER", "type": "USES", "target": "Loss", "evidence": []}, {"source": "Loss", "type": "USES", "target": "Deep Field", "evidence": []}, {"source": "DF", "type": "USES", "target": "Speed", "evidence": []}, {"source": "DF", "type": "BASED_ON", "target": "Loss", "evidence": []}]),
-        ("b.pdf", "b", 1, ["c3"], [], [], []),
-    ]
-    return spark.createDataFrame(rows, schemas.RAW)
+def _kept(policy: str) -> str:
+    return with_(BATCHES, then=f"""
+        , kept AS (SELECT *, CASE WHEN paper THEN 'PAPER' ELSE source_name END AS shown FROM ended WHERE target_name IS NOT NULL AND {RULES[policy]})
+        SELECT 'src' || any_value(f) || '.pdf' AS source_file, CAST(o AS INTEGER) AS batch_number, arg_min(shown, n) AS source, relation, arg_min(target_name, n) AS target, arg_min_null(source_type, n) AS source_type, arg_min(target_type, n) AS target_type, arg_min(evidence, n) AS evidence
+        FROM kept GROUP BY o, lower(shown), relation, lower(target_name)""")
 
 
-@query()
+def _validated(spark, d, policy):
+    proof = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["chunk_id"], e["page"].cast("string"))), ",")
+    return kg_build.validated(A.raw_batches(spark, d), policy).withColumn("evidence", proof)
+
+
+@query(_kept("full"))
 def batch_validate(spark, d):
-    return kg_build.validated(_raw(spark))
+    return _validated(spark, d, "full")
 
 
-@query()
+@query(_kept("v3"))
 def batch_validate_v3(spark, d):
-    return kg_build.validated(_raw(spark), policy="v3")
+    return _validated(spark, d, "v3")
+
+
+@query(_kept("v2"))
+def batch_validate_v2(spark, d):
+    return _validated(spark, d, "v2")
 
 
 # --- retrieval ---------------------------------------------------------------------------------------------------
@@ -483,10 +606,11 @@ def expand_1hop(spark, d):
     return retrieval.expand(A.evidence(spark, d), _fixed_seeds(spark, d)).select(FACT_COLUMNS)
 
 
-@query(with_(EDGES, NODES, FIXED_SEEDS, _hop("hop1", "seeds", 32), SECONDARY.format(seeds="seeds"), then="SELECT * FROM secondary"))
+@query(with_(EDGES, NODES, FIXED_SEEDS, _hop("hop1", "seeds", 32, "relation = 'COMPARED_WITH' AND "), SECONDARY.format(seeds="seeds"), then="SELECT * FROM secondary"))
 def secondary_seeds(spark, d):
     seeds = _fixed_seeds(spark, d)
-    return retrieval.secondary_seeds(retrieval.expand(A.evidence(spark, d), seeds), seeds, _focal(spark, d))
+    facts = retrieval.rank_facts(kg_store.edges(retrieval.touching(A.evidence(spark, d), seeds, ["COMPARED_WITH"])), retrieval.HOP1)
+    return retrieval.secondary_seeds(facts, seeds, _focal(spark, d))
 
 
 @query(with_(EDGES, NODES, FIXED_SEEDS, _hop("hop1", "seeds", 32), SECONDARY.format(seeds="seeds"), _hop("hop2", "secondary", 28), ALL_FACTS, then=f"SELECT {', '.join(FACT_COLUMNS)} FROM facts"))
@@ -534,10 +658,12 @@ def node_neighbors(spark, d):
     return kg_store.edges(retrieval.neighbors(A.evidence(spark, d), "SUPPLIER#000000001")).select("source", "relation", "target", "evidence_count")
 
 
-@query(with_(NODES, SUPPORT, HITS.format(k=6), LEXICAL, BRIDGE, then="SELECT 'vector' AS channel, CAST(vec_id AS VARCHAR) AS item, rank FROM hits UNION ALL SELECT 'lexical', key, rank FROM lexical UNION ALL SELECT 'bridge', key, rank FROM bridge"))
+@query(with_(NODES, SUPPORT, HITS.format(k=6), LEXICAL, BRIDGE, then=f"SELECT 'model' AS channel, '{prompts.direct(A.QUESTION)}' AS item, 1 AS rank UNION ALL SELECT 'vector', CAST(vec_id AS VARCHAR), rank FROM hits UNION ALL SELECT 'lexical', key, rank FROM lexical UNION ALL SELECT 'bridge', key, rank FROM bridge"))
 def compare_channels(spark, d):
     one = _hits(spark, d).select(F.lit("vector").alias("channel"), F.col("vec_id").cast("string").alias("item"), "rank")
     two = retrieval.lexical_seeds(F.lit(A.QUESTION), A.nodes(spark, d)).select(F.lit("lexical").alias("channel"), F.col("key").alias("item"), "rank")
+    alone = hybrid.compared(A.QUESTION, echo, {})["model"]
+    one = one.unionByName(spark.createDataFrame([("model", alone, 1)], "channel string, item string, rank int"))
     return one.unionByName(two).unionByName(_bridge(spark, d).select(F.lit("bridge").alias("channel"), F.col("key").alias("item"), "rank"))
 
 
@@ -546,6 +672,51 @@ def hybrid_query(spark, d):
     return retrieval.two_hops(A.evidence(spark, d), _merged(spark, d), _focal(spark, d))[2].select(FACT_COLUMNS)
 
 
+def _hybrid(spark, d):
+    """Evidence, hits, seeds of both hops, and ranked facts with what supports them."""
+    proof, seeds = A.evidence(spark, d), retrieval.settled(_merged(spark, d), retrieval.MERGED)
+    _, more, facts = retrieval.two_hops(proof, seeds, _focal(spark, d))
+    facts = retrieval.settled(facts, retrieval.HOP1 + retrieval.HOP2)
+    around = retrieval.touching(proof, seeds.select("key").unionByName(more.select("key")))
+    return around, seeds, more, retrieval.settled(retrieval.with_proof(facts, around), retrieval.HOP1 + retrieval.HOP2)
+
+
+@query("WITH " + HYBRID + "," + PROVED + "SELECT rank, source_key, relation, target_key, evidence_count, source_files, evidence_pages, evidence_chunk_ids FROM proved")
+def hybrid_facts(spark, d):
+    facts = _hybrid(spark, d)[3]
+    return _shown(facts.select("rank", "source_key", "relation", "target_key", "evidence_count", *PROOF), ", ")
+
+
+@query("WITH " + HYBRID + "," + PROVED + "," + SEEDED + f"""
+    SELECT 'question' AS section, 1 AS rank, '{A.QUESTION}' AS line UNION ALL SELECT 'query', 1, '{A.QUESTION}'
+    UNION ALL SELECT 'seeds', rank, name || ' (' || entity_type || ', ' || seed_source || ')' FROM named
+    UNION ALL SELECT 'papers', rank, paper || ' introduces ' || target FROM papers
+    UNION ALL SELECT 'vector', rank, '[' || CAST(vec_id AS VARCHAR) || ', ' || d.source || '.pdf page ' || CAST(doc_id AS VARCHAR) || ', score ' || format('{{:.4f}}', (1 + cosine) / 2) || '] ' || coalesce(text, '') FROM hits JOIN documents d ON doc_id = vec_id
+    UNION ALL SELECT 'facts', rank, source || ' ' || relation || ' ' || target || ' (' || CAST(evidence_count AS VARCHAR) || '); files: ' || source_files || '; pages: ' || evidence_pages || '; chunks: ' || evidence_chunk_ids FROM proved
+    UNION ALL SELECT 'proof', rank, '[' || CAST(chunk_id AS VARCHAR) || ', src' || CAST(chunk_id % 6 AS VARCHAR) || '.pdf] ' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' ' || o_orderpriority FROM proof JOIN orders ON o_orderkey = chunk_id""")
+def evidence_prompt(spark, d):
+    """The lines of the evidence prompt, by section and rank."""
+    around, seeds, more, facts = _hybrid(spark, d)
+    named = retrieval.merge_seeds(seeds, more, retrieval.MERGED + retrieval.SECONDARY)
+    papers = retrieval.introductions(named, A.introduces(spark, d))
+    docs = A.pages(spark, d).select(F.col("page").alias("vec_id"), "source_file", "page", "text")
+    hits = docs.join(F.broadcast(_hits(spark, d)), "vec_id").withColumnRenamed("vec_id", "chunk_id")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.concat(F.lit("src"), (F.col("o_orderkey") % 6).cast("string"), F.lit(".pdf")).alias("source_file"), F.concat_ws(" ", F.col("o_orderdate").cast("date").cast("string"), "o_orderpriority").alias("text"))
+    return hybrid.sections(A.QUESTION, A.QUESTION, named, papers, hits, facts, retrieval.provenance(facts, around, orders))
+
+
+@query(with_(EDGES, NODES, then=f"SELECT CAST(row_number() OVER (ORDER BY {ORDER}) AS INTEGER) AS rank, s.name AS source, s.entity_type AS source_type, relation, t.name AS target, t.entity_type AS target_type FROM edges JOIN nodes s ON s.key = source_key JOIN nodes t ON t.key = target_key QUALIFY rank <= 60"))
+def fact_endpoints(spark, d):
+    facts = retrieval.rank_facts(kg_store.edges(A.evidence(spark, d)), 60)
+    return retrieval.with_ends(facts, A.nodes(spark, d)).select("rank", "source", "source_type", "relation", "target", "target_type")
+
+
+@query(with_(EDGES, then="SELECT source, relation, target, target_type, evidence_count FROM edges WHERE lower(source) = 'supplier#000000003'"))
+def toy_hybrid(spark, d):
+    """The one-entity question, with a stand-in for the model that names the entity."""
+    return hybrid.named_entity_facts("What is Supplier#000000003 compared with?", lambda prompt: "Supplier#000000003", A.nodes(spark, d), A.evidence(spark, d)).select("source", "relation", "target", "target_type", "evidence_count")
+
+
 @query(with_(EDGES, NODES, SUPPORT, HITS.format(k=5), BRIDGE, then=f"""
     , lex1 AS (SELECT key, name, entity_type, 'lexical' AS seed_source, CAST(row_number() OVER (ORDER BY length(name) DESC, key) AS INTEGER) AS rank FROM nodes WHERE name <> '' AND (contains(lower('{A.QUESTION}'), lower(name)) OR len(list_filter(aliases, lambda a: length(a) >= 4 AND contains(lower('{A.QUESTION}'), lower(a)))) > 0) QUALIFY rank <= 8),
     both_seeds AS (SELECT key, 0 AS c, rank AS r FROM lex1 UNION ALL SELECT key, 1, rank FROM bridge), once AS (SELECT * FROM both_seeds QUALIFY row_number() OVER (PARTITION BY key ORDER BY c, r) = 1),

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 EVIDENCE = "ARRAY<STRUCT<chunk_id: STRING, page: INT>>"
 PAGES = "source_file STRING, page INT, text STRING, n_invalid INT"
-CHUNKS = "chunk_id STRING, paper_id STRING, source_file STRING, page INT, chunk_index INT, token_start INT, token_end INT, token_count INT, char_start INT, char_end INT, text STRING"
+CHUNKS = "chunk_id STRING, paper_id STRING, source_file STRING, page BIGINT, chunk_index INT, token_start INT, token_end INT, token_count INT, char_start INT, char_end INT, text STRING"
 CHUNK_COLUMNS = [c.split()[0] for c in CHUNKS.split(", ")]
 FOCAL = "ARRAY<STRUCT<name: STRING, type: STRING, aliases: ARRAY<STRING>>>"
 PROFILES = f"MAP<STRING, STRUCT<focal_entities: {FOCAL}>>"
 ENTITY = f"STRUCT<name: STRING, type: STRING, aliases: ARRAY<STRING>, evidence: {EVIDENCE}>"
 RELATION = f"STRUCT<source: STRING, type: STRING, target: STRING, evidence: {EVIDENCE}>"
+CANONICAL_ENTITY = f"name STRING, type STRING, aliases ARRAY<STRING>, evidence {EVIDENCE}, source_files ARRAY<STRING>"
+CANONICAL_RELATION = f"source_kind STRING, source STRING, relation STRING, target STRING, target_type STRING, evidence {EVIDENCE}, source_files ARRAY<STRING>"
 RAW = f"source_file STRING, paper_id STRING, batch_number INT, chunk_ids ARRAY<STRING>, focal_entities {FOCAL}, entities ARRAY<{ENTITY}>, relations ARRAY<{RELATION}>"
 
-# Entity types, relation types, the target types each relation allows, and the rank of relations.
+# Entity types, relation types, the target types each relation allows, the rank of relations, and names that
+# are too general or are tools.
 ENTITY_TYPES = ["Method", "Model", "Concept", "Task", "Dataset", "Metric"]
 RELATION_TYPES = ["INTRODUCES", "USES", "ADDRESSES", "EVALUATES_ON", "MEASURED_BY", "IMPROVES", "COMPARED_WITH", "PRODUCES", "SOLVES"]
 TARGET_TYPES = {

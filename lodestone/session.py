@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
+from dataclasses import MISSING, dataclass, fields
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +25,28 @@ def local_session(app: str = "lodestone", cpus: int | str = "*", partitions: int
     return spark
 
 
+@dataclass(frozen=True)
+class Config:
+    """What an installation sets: where tables are kept, and what its models are reached by."""
+
+    store: str
+    model_key: str
+    embedder: str = "hashing"
+    dimensions: int = 64
+
+    @staticmethod
+    def read(spark: SparkSession, environ: Mapping[str, str] = os.environ) -> Config:
+        """From spark.lodestone.* settings, then LODESTONE_* variables; a setting without a default has to be there."""
+        found = {}
+        for f in fields(Config):
+            value = spark.conf.get(f"spark.lodestone.{f.name}", None) or environ.get(f"LODESTONE_{f.name.upper()}")
+            if value:
+                found[f.name] = int(value) if f.name == "dimensions" else value
+        if missing := [f.name for f in fields(Config) if f.default is MISSING and f.name not in found]:
+            raise ValueError(f"not configured: {', '.join(missing)}")
+        return Config(**found)
+
+
 def ensure_importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it.
 

@@ -72,17 +72,55 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, focal_entities of a profile file: one JSON object by source file."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", schemas.PROFILES).alias("m"))
+    """source_file, focal_entities of a profile file: one JSON object by source file, or several."""
+    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n(?=\{)")).alias("value"))
+    whole = lines.select(F.from_json("value", schemas.PROFILES).alias("m"))
     return whole.select(F.explode("m").alias("source_file", "p")).select("source_file", "p.focal_entities")
 
 
-def write_graph(entities: DataFrame, relations: DataFrame, path: str) -> None:
-    """Entities and relations as JSON lines, and their counts by type."""
+def write_profiles(profiles: DataFrame, path: str) -> None:
+    """``profiles``: source_file, focal_entities. JSON lines of one object by source file, as ``read_profiles`` reads."""
+    one = F.create_map("source_file", F.struct("focal_entities"))
+    profiles.select(F.to_json(one).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_graph(entities: DataFrame, relations: DataFrame, path: str, dropped: DataFrame | None = None, raw: DataFrame | None = None) -> None:
+    """Entities and relations as JSON lines, and what became of them: counts by type, of ``dropped`` (reason, n) by
+    reason, and of ``raw`` (what, n), the occurrences before they were merged."""
     entities.write.mode("overwrite").json(f"{path}/entities")
     relations.write.mode("overwrite").json(f"{path}/relations")
-    counts = entities.groupBy(F.lit("entity").alias("what"), "type").count().unionByName(relations.groupBy(F.lit("relation").alias("what"), F.col("relation").alias("type")).count())
-    counts.write.mode("overwrite").json(f"{path}/stats")
+    graph_stats(entities, relations, dropped, raw).write.mode("overwrite").json(f"{path}/stats")
+
+
+def graph_stats(entities: DataFrame, relations: DataFrame, dropped: DataFrame | None = None, raw: DataFrame | None = None) -> DataFrame:
+    """what, type, count."""
+    n = F.count(F.lit(1)).alias("count")
+    out = entities.groupBy(F.lit("entity").alias("what"), "type").agg(n).unionByName(relations.groupBy(F.lit("relation").alias("what"), F.col("relation").alias("type")).agg(n))
+    if dropped is not None:
+        out = out.unionByName(dropped.select(F.lit("dropped").alias("what"), F.col("reason").alias("type"), F.col("n").alias("count")))
+    if raw is not None:
+        out = out.unionByName(raw.select(F.lit("raw").alias("what"), F.col("what").alias("type"), F.col("n").alias("count")))
+    return out
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, relations and counts as ``write_graph`` wrote them; fields that are missing are null."""
+    kinds = (schemas.CANONICAL_ENTITY, schemas.CANONICAL_RELATION, "what STRING, type STRING, count BIGINT")
+    return tuple(spark.read.schema(kind).json(f"{path}/{name}") for kind, name in zip(kinds, ("entities", "relations", "stats"), strict=True))
+
+
+def write_experiment(batches: DataFrame, path: str) -> None:
+    """Extraction records of a trial: the folder is written anew, and a batch whose extraction failed is a record with
+    no entities and no relations, unlike in ``streaming.ingest``."""
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    batches.select("batch_number", "source_file", "chunk_ids", empty("entities", schemas.ENTITY), empty("relations", schemas.RELATION)).write.mode("overwrite").json(path)
+
+
+def preview(pages: DataFrame, source_file: str, n: int = 2000) -> DataFrame:
+    """The beginning of one file's text, pages in order."""
+    mine = pages.filter(F.col("source_file") == source_file).orderBy("page").limit(n)  # no more pages than characters count
+    whole = mine.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", F.substring(F.coalesce("text", F.lit("")), 1, n).alias("t")))), lambda p: p["t"]), "\n").alias("text"))
+    return whole.select(F.lit(source_file).alias("source_file"), F.substring("text", 1, n).alias("preview"))
 
 
 def replace_table(rows: DataFrame, path: str) -> None:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestone.session import ensure_importable
 
@@ -35,6 +38,19 @@ def ask(rows: DataFrame, model: Callable[[str], str], prompt: str = "prompt", ou
     return rows.mapInPandas(run, schema)
 
 
+def ask_json(rows: DataFrame, model: Callable[[str], str], schema: str, prompt: str = "prompt", out: str = "record", pause: float = 0.0) -> DataFrame:
+    """Adds a model's answer as a record: an answer that is no JSON object or list, fence or not, counts as a failed
+    attempt, of which there are three."""
+
+    def checked(text: str) -> str:
+        answer = re.sub(r"^\s*```(?:json)?\s*|\s*```\s*$", "", model(text))
+        if not isinstance(json.loads(answer), dict | list):
+            raise ValueError("no record")
+        return answer
+
+    return ask(rows, checked, prompt, "_answer", pause).withColumn(out, F.from_json("_answer", schema)).drop("_answer")
+
+
 def echo(prompt: str) -> str:
     """The stand-in for a model that writes answers: the evidence as it was put together."""
     return prompt

@@ -36,7 +36,7 @@ def parsed(files: DataFrame, pattern: str = X.UNICODE_SPACE) -> DataFrame:
     banner = r"={5,}\s*PAGE\s+(\d+)\s*={5,}"
     numbers, texts = F.regexp_extract_all("value", F.lit(banner), F.lit(1)), F.slice(F.split("value", banner), 2, 2**31 - 1)
     each = files.select(F.when(F.trim(name) != "", F.trim(name)).otherwise(stem).alias("source_file"), F.explode(F.arrays_zip(numbers.alias("page"), texts.alias("text"))).alias("p"))
-    return each.select("source_file", F.col("p.page").cast("int").alias("page"), X.collapse(F.col("p.text"), pattern).alias("text"))
+    return each.select("source_file", F.col("p.page").cast("bigint").alias("page"), X.collapse(F.col("p.text"), pattern).alias("text"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,28 +12,42 @@ from pyspark.sql.streaming import StreamingQuery
 from lodestone import schemas
 from lodestone.operators.chunking import pending
 
+BUCKETS = 64
+
 
 def chunk_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     return spark.readStream.schema(schemas.CHUNKS).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def ingest(chunks: DataFrame, extract: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: tuple[str, ...] = ("chunk_id",)) -> StreamingQuery:
-    """Runs ``extract`` over the chunks that ``out`` doesn't hold yet and appends its rows, which carry ``keys``.
+def ingest(chunks: DataFrame, extract: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: tuple[str, ...] = ("chunk_id",), done: str | None = None) -> StreamingQuery:
+    """Runs ``extract`` over the chunks whose keys, such as (source_file, batch_number), are not done yet, and appends
+    its rows to ``out``.
 
-    A batch that is run again after a failure finds its rows there and adds none.
+    What is done stands in a table of its own (``done``, beside ``out`` by default), also where nothing was extracted;
+    it is partitioned by a hash of the keys, and only a batch's own partitions are read. A batch writes to folders of
+    its own, so one that is run again after a failure takes the place of its first try.
     """
+    done = done or f"{out.rstrip('/')}-done"
+    tag = f"{zlib.crc32(checkpoint.encode()):08x}"
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        spark, run = batch.sparkSession, f"{tag}-{number}"
+        batch = batch.withColumn("_bucket", bucket).persist()
         try:
-            done = spark.read.parquet(out).select(*keys)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            fresh = batch
-        else:
-            fresh = pending(batch, done, list(keys))
-        extract(fresh.dropDuplicates(list(keys))).write.mode("append").parquet(out)
+            mine = [r["_bucket"] for r in batch.select("_bucket").distinct().collect()]  # BUCKETS at most
+            try:
+                known = spark.read.parquet(done).filter(F.col("_bucket").isin(mine) & (F.col("run") != run)).select(*keys)
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                fresh = batch
+            else:
+                fresh = pending(batch, known, list(keys))
+            extract(fresh.drop("_bucket").dropDuplicates([*keys, *(["chunk_id"] if "chunk_id" in batch.columns and "chunk_id" not in keys else [])])).write.mode("overwrite").parquet(f"{out}/run={run}")
+            fresh.select(*keys, "_bucket").distinct().write.mode("overwrite").partitionBy("_bucket").parquet(f"{done}/run={run}")
+        finally:
+            batch.unpersist()
 
     return chunks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

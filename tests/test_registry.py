@@ -3,7 +3,7 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["corpus_stats", "parse_pages", "chunk_windows", "vector_topk", "kg_edges", "entity_pool", "relation_pool", "type_vote", "drop_reasons", "merge_seeds", "hybrid_query", "provenance_chunks"]
+QUICK = ["corpus_stats", "parse_pages", "chunk_windows", "vector_topk", "kg_edges", "entity_pool", "relation_pool", "type_vote", "drop_reasons", "merge_seeds", "evidence_prompt", "provenance_chunks", "batches", "batch_lists", "embed_hash", "entities_sorted", "relations_sorted", "kg_edges_evidence", "kg_load", "kg_stats", "fact_endpoints", "profile_validate", "batch_validate", "batch_validate_v3", "batch_validate_v2", "secondary_seeds", "compare_channels"]
 
 
 @pytest.fixture(scope="module")

@@ -6,6 +6,8 @@ local relation, and turned into a filter on the large tables.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,12 +94,21 @@ def settled(capped: DataFrame, cap: int) -> DataFrame:
     return capped.sparkSession.createDataFrame(rows, capped.schema)
 
 
-def touching(evidence: DataFrame, seeds: DataFrame, relations: list[str] | None = None, few: int = 64) -> DataFrame:
+@dataclass(frozen=True)
+class Evidence:
+    """Stored evidence twice: in order of the source's key, and of the target's, so that a filter on either reads a part."""
+
+    by_source: DataFrame
+    by_target: DataFrame
+
+
+def touching(evidence: DataFrame | Evidence, seeds: DataFrame, relations: list[str] | None = None, few: int = 64) -> DataFrame:
     """Evidence of edges with a seed at either end, without repeats, below the count of edges: only the seeds' part of
     the graph is aggregated. Up to ``few`` seeds become filters, one for each end, so that each reaches the table it is
     about before anything is joined, and parts of the graph whose type no seed has fall away; more seeds are joined on
     each end."""
-    rows = evidence.filter(F.col("relation").isin(relations or list(schemas.RELATION_RANK)))
+    sides = (evidence.by_source, evidence.by_target) if isinstance(evidence, Evidence) else (evidence, evidence)
+    rows, into = (x.filter(F.col("relation").isin(relations or list(schemas.RELATION_RANK))) for x in sides)
     known = seeds.select("key").distinct()
     keys = sorted(r["key"] for r in known.limit(few + 1).collect())
     if not keys:
@@ -105,9 +116,9 @@ def touching(evidence: DataFrame, seeds: DataFrame, relations: list[str] | None
     if len(keys) <= few:
         kinds = sorted({k.split("::")[0] for k in keys})
         out = rows.filter(F.col("source_type").isin(kinds) & F.col("source_key").isin(keys))
-        return out.unionByName(rows.filter(F.col("target_type").isin(kinds) & F.col("target_key").isin(keys) & ~F.col("source_key").isin(keys)))
+        return out.unionByName(into.filter(F.col("target_type").isin(kinds) & F.col("target_key").isin(keys) & ~F.col("source_key").isin(keys)))
     out = rows.join(known, rows["source_key"] == known["key"], "left_semi")
-    into = rows.join(known, rows["target_key"] == known["key"], "left_semi").join(known, rows["source_key"] == known["key"], "left_anti")
+    into = into.join(known, into["target_key"] == known["key"], "left_semi").join(known, into["source_key"] == known["key"], "left_anti")
     return out.unionByName(into)
 
 
@@ -136,7 +147,7 @@ def named_entity(answer: str | None, nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.lower("name") == name) if name and name != "none" else nodes.filter(F.lit(False))
 
 
-def expand(evidence: DataFrame, seeds: DataFrame, cap: int = HOP1) -> DataFrame:
+def expand(evidence: DataFrame | Evidence, seeds: DataFrame, cap: int = HOP1) -> DataFrame:
     """Ranked facts one hop around at most a few dozen seeds, in stored direction."""
     return rank_facts(edges(touching(evidence, seeds)), cap)
 
@@ -152,7 +163,7 @@ def secondary_seeds(facts: DataFrame, seeds: DataFrame, focal: DataFrame, cap: i
     return ranked(best, F.col("o")).drop("o").withColumn("seed_source", F.lit("graph_neighbor"))
 
 
-def two_hops(evidence: DataFrame, seeds: DataFrame, focal: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def two_hops(evidence: DataFrame | Evidence, seeds: DataFrame, focal: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """First-hop facts, secondary seeds, and all facts of both hops, ranked."""
     seeds = settled(seeds, MERGED)
     first = settled(expand(evidence, seeds, HOP1), HOP1)

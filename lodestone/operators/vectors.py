@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.session import file_system
 
 TOP_K = 6
 PARTS = 64  # folders of a table of the stored index
@@ -69,8 +70,8 @@ class Index:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _there(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+        path, system = file_system(self.spark, f"{self.path}/{name}" if name else self.path)
+        return system.exists(path)
 
     def state(self) -> str:
         return "online" if self._there("buckets/_SUCCESS") else "building" if self._there("") else "absent"
@@ -105,8 +106,8 @@ class Index:
         return top_k(near, query, id_col, k)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        path, system = file_system(self.spark, self.path)
+        system.delete(path, True)
 
 
 def embed(rows: DataFrame, model: Callable[[list[str]], np.ndarray], dimensions: int, text: str = "text", out: str = "embedding") -> DataFrame:

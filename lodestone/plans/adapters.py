@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.operators.retrieval import Evidence
 from lodestone.session import table
+from lodestone.sources.store import kept
 
 QUESTION = "How does Supplier#000000001 using Brand#13 or brand 7 compare on FURNITURE and 3-MEDIUM orders?"
 
@@ -58,7 +60,40 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+GRAPH = ["lineitem", "supplier", "orders", "customer", "part"]
+
+
+def _kept(spark: SparkSession, d: str, name: str, build, order: list[str], tables: list[str] = GRAPH) -> DataFrame:
+    def sorted_parts() -> DataFrame:
+        return build().repartitionByRange(*order).sortWithinPartitions(*order)
+
+    return kept(spark, name, [f"{d}/{t}.parquet" for t in tables], sorted_parts)
+
+
+def graph(spark: SparkSession, d: str) -> Evidence:
+    """The evidence as it is stored, built once for a state of the tables."""
+    by = lambda end: _kept(spark, d, f"evidence-{end}", lambda: evidence(spark, d), [f"{end}_key", "relation"])
+    return Evidence(by("source"), by("target"))
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges as they are stored."""
+    from lodestone.operators import kg_store
+
+    return _kept(spark, d, "edges", lambda: kg_store.edges(graph(spark, d).by_source), ["source_key", "relation"])
+
+
 def nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes as they are stored."""
+    return _kept(spark, d, "nodes", lambda: _nodes(spark, d), ["key"])
+
+
+def support(spark: SparkSession, d: str) -> DataFrame:
+    """The support as it is stored, by chunk."""
+    return _kept(spark, d, "support", lambda: _support(spark, d), ["chunk_id"])
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
     def kind(rows: DataFrame, column: str, name: str, alias: bool = False) -> DataFrame:
         spelled = F.array(F.regexp_replace(F.lower(column), "#", " ")) if alias else F.array().cast("array<string>")
         return rows.select(F.col(column).alias("name"), F.lit(name).alias("type"), spelled.alias("aliases")).filter("name is not null").distinct()
@@ -75,7 +110,7 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     return keyed(every).select("key", "name", "entity_type", "aliases")
 
 
-def support(spark: SparkSession, d: str) -> DataFrame:
+def _support(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers and brands by the orders they appear in."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     supplier, part = table(spark, d, "supplier").select("s_suppkey", "s_name"), table(spark, d, "part").select("p_partkey", "p_brand")

@@ -289,14 +289,14 @@ def kg_nodes(spark, d):
 
 @query(with_(EDGES, then="SELECT * FROM edges"))
 def kg_edges(spark, d):
-    return kg_store.edges(A.evidence(spark, d))
+    return A.edges(spark, d)
 
 
 @query(with_(EDGES, then="""
     SELECT 'Method::' || lower(source) AS source_key, relation, target_type || '::' || lower(target) AS target_key, count(DISTINCT chunk_id) AS evidence_count, array_to_string(list_sort(list_distinct(list(source_file))), ',') AS source_files,
            array_to_string(list_sort(list_distinct(list(page))), ',') AS evidence_pages, array_to_string(list_sort(list_distinct(list(chunk_id))), ',') AS evidence_chunk_ids FROM ev GROUP BY 1, 2, 3"""))
 def kg_edges_evidence(spark, d):
-    return _shown(kg_store.edges_with_proof(A.evidence(spark, d)).select("source_key", "relation", "target_key", "evidence_count", *PROOF))
+    return _shown(kg_store.edges_with_proof(A.graph(spark, d).by_source).select("source_key", "relation", "target_key", "evidence_count", *PROOF))
 
 
 @query(with_(SUPPORT, then="SELECT * FROM sup"))
@@ -306,7 +306,7 @@ def kg_support(spark, d):
 
 @query(with_(NODES, EDGES, SUPPORT, then="SELECT 'nodes' AS what, count(*) AS n FROM nodes UNION ALL SELECT 'introduces', count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'support', count(*) FROM sup"))
 def kg_counts(spark, d):
-    parts = {"nodes": A.nodes(spark, d), "introduces": A.introduces(spark, d), "edges": kg_store.edges(A.evidence(spark, d)), "support": A.support(spark, d)}
+    parts = {"nodes": A.nodes(spark, d), "introduces": A.introduces(spark, d), "edges": A.edges(spark, d), "support": A.support(spark, d)}
     out = None
     for name, df in parts.items():
         one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
@@ -460,7 +460,7 @@ def entities_sorted(spark, d):
 def relations_sorted(spark, d):
     """All relations in order; rows are numbered within a source."""
     order = [F.col("relation"), F.lower("target"), F.col("source_key"), F.col("target_key")]
-    return vectors.ranked_by_groups(kg_store.edges(A.evidence(spark, d)), {"_source": F.lower("source")}, order).select("rank", "source_key", "relation", "target_key")
+    return vectors.ranked_by_groups(A.edges(spark, d), {"_source": F.lower("source")}, order).select("rank", "source_key", "relation", "target_key")
 
 
 @query("SELECT p_name, regexp_full_match(p_name, '[A-Za-z_][A-Za-z0-9_]*') AS safe, count(*) AS n FROM part GROUP BY 1")
@@ -603,24 +603,24 @@ def merge_seeds(spark, d):
 
 @query(with_(EDGES, NODES, FIXED_SEEDS, _hop("hop1", "seeds", 32), then=f"SELECT {', '.join(FACT_COLUMNS)} FROM hop1"))
 def expand_1hop(spark, d):
-    return retrieval.expand(A.evidence(spark, d), _fixed_seeds(spark, d)).select(FACT_COLUMNS)
+    return retrieval.expand(A.graph(spark, d), _fixed_seeds(spark, d)).select(FACT_COLUMNS)
 
 
 @query(with_(EDGES, NODES, FIXED_SEEDS, _hop("hop1", "seeds", 32, "relation = 'COMPARED_WITH' AND "), SECONDARY.format(seeds="seeds"), then="SELECT * FROM secondary"))
 def secondary_seeds(spark, d):
     seeds = _fixed_seeds(spark, d)
-    facts = retrieval.rank_facts(kg_store.edges(retrieval.touching(A.evidence(spark, d), seeds, ["COMPARED_WITH"])), retrieval.HOP1)
+    facts = retrieval.rank_facts(kg_store.edges(retrieval.touching(A.graph(spark, d), seeds, ["COMPARED_WITH"])), retrieval.HOP1)
     return retrieval.secondary_seeds(facts, seeds, _focal(spark, d))
 
 
 @query(with_(EDGES, NODES, FIXED_SEEDS, _hop("hop1", "seeds", 32), SECONDARY.format(seeds="seeds"), _hop("hop2", "secondary", 28), ALL_FACTS, then=f"SELECT {', '.join(FACT_COLUMNS)} FROM facts"))
 def expand_2hop(spark, d):
-    return retrieval.two_hops(A.evidence(spark, d), _fixed_seeds(spark, d), _focal(spark, d))[2].select(FACT_COLUMNS)
+    return retrieval.two_hops(A.graph(spark, d), _fixed_seeds(spark, d), _focal(spark, d))[2].select(FACT_COLUMNS)
 
 
 @query(with_(EDGES, then="SELECT source_key, relation, target_key, max(evidence_count) AS evidence_count FROM edges GROUP BY 1, 2, 3"))
 def fact_dedup(spark, d):
-    edges = kg_store.edges(A.evidence(spark, d)).select("source_key", "relation", "target_key", "evidence_count")
+    edges = A.edges(spark, d).select("source_key", "relation", "target_key", "evidence_count")
     weaker = edges.withColumn("evidence_count", F.col("evidence_count") - 1)
     both = edges.withColumn("hop", F.lit(1)).unionByName(weaker.withColumn("hop", F.lit(2)))
     return retrieval.dedupe_facts(both).drop("hop")
@@ -628,12 +628,12 @@ def fact_dedup(spark, d):
 
 @query(with_(EDGES, then=f"SELECT CAST(row_number() OVER (ORDER BY {ORDER}) AS INTEGER) AS rank, source_key, relation, target_key, evidence_count FROM edges QUALIFY rank <= 60"))
 def rank_facts(spark, d):
-    return retrieval.rank_facts(kg_store.edges(A.evidence(spark, d)), 60).select("rank", "source_key", "relation", "target_key", "evidence_count")
+    return retrieval.rank_facts(A.edges(spark, d), 60).select("rank", "source_key", "relation", "target_key", "evidence_count")
 
 
 @query(with_(EDGES, then="SELECT CAST(row_number() OVER (ORDER BY evidence_count DESC, source, relation, target, source_key, target_key) AS INTEGER) AS rank, source_key, relation, target_key, evidence_count FROM edges QUALIFY rank <= 30"))
 def rank_facts_v1(spark, d):
-    return retrieval.rank_facts_v1(kg_store.edges(A.evidence(spark, d))).select("rank", "source_key", "relation", "target_key", "evidence_count")
+    return retrieval.rank_facts_v1(A.edges(spark, d)).select("rank", "source_key", "relation", "target_key", "evidence_count")
 
 
 @query(with_(NODES, FIXED_SEEDS, then="SELECT n_name AS paper, 'Method::' || lower(s_name) AS target_key, s_name AS target, CAST(row_number() OVER (ORDER BY n_name, s_name) AS INTEGER) AS rank FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE 'Method::' || lower(s_name) IN (SELECT key FROM seeds)"))
@@ -646,7 +646,7 @@ def introductions(spark, d):
     first AS (SELECT chunk_id, min(r) AS r FROM each GROUP BY chunk_id), capped AS (SELECT chunk_id, CAST(row_number() OVER (ORDER BY r, chunk_id) AS INTEGER) AS rank FROM first QUALIFY rank <= 14)
     SELECT c.rank, c.chunk_id, CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR) AS o_orderdate, o.o_orderpriority FROM capped c JOIN orders o ON o.o_orderkey = c.chunk_id"""))
 def provenance_chunks(spark, d):
-    seeds, proof = _fixed_seeds(spark, d), A.evidence(spark, d)
+    seeds, proof = _fixed_seeds(spark, d), A.graph(spark, d)
     facts = retrieval.settled(retrieval.expand(proof, seeds), retrieval.HOP1)
     chunks = table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_orderdate").cast("date").cast("string").alias("o_orderdate"), "o_orderpriority")
     return retrieval.provenance(facts, retrieval.touching(proof, seeds), chunks).select("rank", "chunk_id", "o_orderdate", "o_orderpriority")
@@ -654,8 +654,7 @@ def provenance_chunks(spark, d):
 
 @query(with_(EDGES, then="SELECT source, relation, target, evidence_count FROM edges WHERE lower(source) = lower('SUPPLIER#000000001')"))
 def node_neighbors(spark, d):
-    # The name is tested before edges are counted.
-    return kg_store.edges(retrieval.neighbors(A.evidence(spark, d), "SUPPLIER#000000001")).select("source", "relation", "target", "evidence_count")
+    return retrieval.neighbors(A.edges(spark, d), "SUPPLIER#000000001").select("source", "relation", "target", "evidence_count")
 
 
 @query(with_(NODES, SUPPORT, HITS.format(k=6), LEXICAL, BRIDGE, then=f"SELECT 'model' AS channel, '{prompts.direct(A.QUESTION)}' AS item, 1 AS rank UNION ALL SELECT 'vector', CAST(vec_id AS VARCHAR), rank FROM hits UNION ALL SELECT 'lexical', key, rank FROM lexical UNION ALL SELECT 'bridge', key, rank FROM bridge"))
@@ -669,12 +668,12 @@ def compare_channels(spark, d):
 
 @query("WITH " + HYBRID + f"SELECT {', '.join(FACT_COLUMNS)} FROM facts")
 def hybrid_query(spark, d):
-    return retrieval.two_hops(A.evidence(spark, d), _merged(spark, d), _focal(spark, d))[2].select(FACT_COLUMNS)
+    return retrieval.two_hops(A.graph(spark, d), _merged(spark, d), _focal(spark, d))[2].select(FACT_COLUMNS)
 
 
 def _hybrid(spark, d):
     """Evidence, hits, seeds of both hops, and ranked facts with what supports them."""
-    proof, seeds = A.evidence(spark, d), retrieval.settled(_merged(spark, d), retrieval.MERGED)
+    proof, seeds = A.graph(spark, d), retrieval.settled(_merged(spark, d), retrieval.MERGED)
     _, more, facts = retrieval.two_hops(proof, seeds, _focal(spark, d))
     facts = retrieval.settled(facts, retrieval.HOP1 + retrieval.HOP2)
     around = retrieval.touching(proof, seeds.select("key").unionByName(more.select("key")))
@@ -707,14 +706,14 @@ def evidence_prompt(spark, d):
 
 @query(with_(EDGES, NODES, then=f"SELECT CAST(row_number() OVER (ORDER BY {ORDER}) AS INTEGER) AS rank, s.name AS source, s.entity_type AS source_type, relation, t.name AS target, t.entity_type AS target_type FROM edges JOIN nodes s ON s.key = source_key JOIN nodes t ON t.key = target_key QUALIFY rank <= 60"))
 def fact_endpoints(spark, d):
-    facts = retrieval.rank_facts(kg_store.edges(A.evidence(spark, d)), 60)
+    facts = retrieval.rank_facts(A.edges(spark, d), 60)
     return retrieval.with_ends(facts, A.nodes(spark, d)).select("rank", "source", "source_type", "relation", "target", "target_type")
 
 
 @query(with_(EDGES, then="SELECT source, relation, target, target_type, evidence_count FROM edges WHERE lower(source) = 'supplier#000000003'"))
 def toy_hybrid(spark, d):
     """The one-entity question, with a stand-in for the model that names the entity."""
-    return hybrid.named_entity_facts("What is Supplier#000000003 compared with?", lambda prompt: "Supplier#000000003", A.nodes(spark, d), A.evidence(spark, d)).select("source", "relation", "target", "target_type", "evidence_count")
+    return hybrid.named_entity_facts("What is Supplier#000000003 compared with?", lambda prompt: "Supplier#000000003", A.nodes(spark, d), A.graph(spark, d).by_source).select("source", "relation", "target", "target_type", "evidence_count")
 
 
 @query(with_(EDGES, NODES, SUPPORT, HITS.format(k=5), BRIDGE, then=f"""
@@ -728,7 +727,7 @@ def hybrid_query_v1(spark, d):
     hits = _hits(spark, d, 5).select(F.col("vec_id").alias("chunk_id"))
     lexical = retrieval.lexical_seeds_v1(F.lit(A.QUESTION), nodes).withColumn("seed_source", F.lit("lexical"))
     seeds = retrieval.merge_seeds(lexical, retrieval.bridge_seeds(hits, A.support(spark, d), nodes), 6)
-    return retrieval.rank_facts_v1(kg_store.edges(retrieval.touching(A.evidence(spark, d), seeds))).select("rank", "source_key", "relation", "target_key", "evidence_count")
+    return retrieval.rank_facts_v1(kg_store.edges(retrieval.touching(A.graph(spark, d), seeds))).select("rank", "source_key", "relation", "target_key", "evidence_count")
 
 
 # --- ad-hoc graph queries ----------------------------------------------------------------------------------------
@@ -741,7 +740,7 @@ def entity_type_counts(spark, d):
 
 @query(with_(EDGES, then="SELECT relation, count(*) AS n, CAST(sum(evidence_count) AS BIGINT) AS evidence FROM edges GROUP BY relation"))
 def relation_type_counts(spark, d):
-    edges = kg_store.edges(A.evidence(spark, d))
+    edges = A.edges(spark, d)
     return edges.groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.sum("evidence_count").alias("evidence")).orderBy(F.col("n").desc(), "relation")
 
 
@@ -752,13 +751,13 @@ def cookbook_paper_nodes(spark, d):
 
 @query(with_(EDGES, then="SELECT relation, target, evidence_count FROM edges WHERE source = 'Supplier#000000001' AND relation IN ('USES', 'ADDRESSES', 'EVALUATES_ON', 'MEASURED_BY', 'COMPARED_WITH')"))
 def cookbook_subgraph(spark, d):
-    around = A.evidence(spark, d).filter((F.col("source") == "Supplier#000000001") & F.col("relation").isin("USES", "ADDRESSES", "EVALUATES_ON", "MEASURED_BY", "COMPARED_WITH"))
-    return kg_store.edges(around).select("relation", "target", "evidence_count")
+    around = A.edges(spark, d).filter((F.col("source") == "Supplier#000000001") & F.col("relation").isin("USES", "ADDRESSES", "EVALUATES_ON", "MEASURED_BY", "COMPARED_WITH"))
+    return around.select("relation", "target", "evidence_count")
 
 
 @query(with_(EDGES, then="SELECT relation, target, target_type FROM edges WHERE source = 'Supplier#000000001'"))
 def cookbook_relations_of(spark, d):
-    return kg_store.edges(A.evidence(spark, d).filter(F.col("source") == "Supplier#000000001")).select("relation", "target", "target_type").orderBy("relation", "target")
+    return A.edges(spark, d).filter(F.col("source") == "Supplier#000000001").select("relation", "target", "target_type").orderBy("relation", "target")
 
 
 @query("SELECT n_name AS paper, s_name AS target FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -774,14 +773,14 @@ def cookbook_provenance(spark, d):
 
 @query(with_(EDGES, then="SELECT source, target, evidence_count FROM edges WHERE relation = 'COMPARED_WITH' AND source IN ('Supplier#000000000', 'Supplier#000000001')"))
 def cookbook_compared(spark, d):
-    named = A.evidence(spark, d).filter((F.col("relation") == "COMPARED_WITH") & F.col("source").isin("Supplier#000000000", "Supplier#000000001"))
-    return kg_store.edges(named).select("source", "target", "evidence_count")
+    named = A.edges(spark, d).filter((F.col("relation") == "COMPARED_WITH") & F.col("source").isin("Supplier#000000000", "Supplier#000000001"))
+    return named.select("source", "target", "evidence_count")
 
 
 @query(with_(EDGES, then="SELECT source, relation, evidence_count FROM edges WHERE relation IN ('USES', 'PRODUCES') AND target = 'Brand#13'"))
 def cookbook_uses_or_produces(spark, d):
-    into = A.evidence(spark, d).filter(F.col("relation").isin("USES", "PRODUCES") & (F.col("target") == "Brand#13"))
-    return kg_store.edges(into).select("source", "relation", "evidence_count")
+    into = A.edges(spark, d).filter(F.col("relation").isin("USES", "PRODUCES") & (F.col("target") == "Brand#13"))
+    return into.select("source", "relation", "evidence_count")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Mapping
 from dataclasses import MISSING, dataclass, fields
 
@@ -61,3 +62,27 @@ def ensure_importable(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder serves a single-machine master; any other master is refused, since a
+    machine-local folder would lose files there.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="lodestone-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    path, system = file_system(spark, folder)
+    system.deleteOnExit(path)
+    return folder
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's path and file system."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return held, held.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())

@@ -6,13 +6,16 @@ the current one stays for readers that have begun; older ones go. All paths go t
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import chunking, kg_store
+from lodestone.session import file_system, shared_dir
 
 SEMANTIC = ("nodes", "edges", "support", "introduces")
 
@@ -22,8 +25,7 @@ class Store:
         self.spark, self.base = spark, base.rstrip("/")
 
     def _at(self, path: str):
-        held = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return held, held.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        return file_system(self.spark, path)
 
     def versions(self, name: str) -> list[int]:
         path, system = self._at(f"{self.base}/{name}")
@@ -70,6 +72,23 @@ class Store:
         return self.spark.createDataFrame([(name, bool(known), (known or [0])[-1], self.read(name).count() if known else 0)], "name string, present boolean, version int, n long")
 
 
+def kept(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is built once for each state of its input files (their paths, lengths and times), in the shared
+    folder, and read from there by all who ask for it after."""
+    seen = []
+    for path in inputs:
+        at, system = file_system(spark, path)
+        for x in [at] if system.getFileStatus(at).isFile() else [y.getPath() for y in system.listStatus(at)]:
+            status = system.getFileStatus(x)
+            seen.append((x.toString(), status.getLen(), status.getModificationTime()))
+    state = hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()[:24]
+    path = f"{shared_dir(spark).rstrip('/')}/kept/{name}-{state}"
+    done, system = file_system(spark, f"{path}/_SUCCESS")
+    if not system.exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def put_chunks(store: Store, chunks: DataFrame) -> None:
     """Papers are merged; the chunks of these papers replace those that were stored, and so does their provenance."""
     store.upsert("papers", chunks.select("paper_id", "source_file").distinct(), ["paper_id"])

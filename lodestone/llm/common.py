@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import file_system, shared_dir
+
 #: A word is a maximal run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,35 +21,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Where it is unset, a temporary folder serves a single-machine master; any other master is refused, since a
-    machine-local folder would lose files there.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="lodestone-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    held, system = _file_system(spark, path)
+    held, system = file_system(spark, path)
     system.deleteOnExit(held)
     return path
 
 
-def _file_system(spark: SparkSession, path: str):
-    held = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return held, held.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors cost nothing.
 
@@ -69,7 +49,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Remove tables of ``written`` that no plan still to run reads."""
     for df in tables:
-        path, system = _file_system(df.sparkSession, df.written_to)
+        path, system = file_system(df.sparkSession, df.written_to)
         system.delete(path, True)
 
 

@@ -1,5 +1,6 @@
 """Mixing, fingerprints, search, packing and token files, against brute force or round trips."""
 
+import base64
 import hashlib
 import random
 import zlib
@@ -8,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from conftest import ODD
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -81,17 +83,42 @@ def test_mix_clamps(spark):
     assert got == pytest.approx(want)
 
 
+def slow_sketch(text, k=fingerprint.K):
+    """Spark's xxhash64 of each word, chained over each five words' hashes; the k smallest of their upper 40 bits."""
+    w = words(text)
+    each = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+    if not w:
+        found = []
+    elif len(w) < 5:
+        found = [xxhash.xxh64_intdigest(" ".join(w).encode(), 42)]
+    else:
+        found = []
+        for i in range(len(w) - 4):
+            h = 42
+            for x in each[i : i + 5]:
+                h = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), h)
+            found.append(h)
+    return sorted({h >> 24 for h in found})[:k]
+
+
+def slow_likeness(a, b, k=fingerprint.K):
+    merged = sorted({*a, *b})[:k]
+    return len({*a} & {*b} & {*merged}) / len(merged) if merged else 1.0
+
+
 def check_edited(rows, docs):
     order = sorted(docs, key=lambda d: (d[0] if d[0] is not None else -(1 << 63), d[1] or ""), reverse=True)
     want = defaultdict(list)
     for i, (doc_id, text, *_) in enumerate(order):
         a, b = text or "", order[(i + 1) % len(order)][1] or ""
         k = len(a) // 3
-        want[doc_id].append((len(a), hashlib.sha256((a[: len(a) - k] + b[:k]).encode()).hexdigest()))
+        edited = a[: len(a) - k] + b[:k]
+        one, two, three = (slow_sketch(x) for x in (a, edited, b))
+        shown = [base64.b64encode(b"".join(h.to_bytes(5, "big") for h in x)).decode() for x in (one, two)]
+        want[doc_id].append((len(a), hashlib.sha256(edited.encode()).hexdigest(), *shown, round(slow_likeness(one, two), 9), round(slow_likeness(one, three), 9)))
     got = defaultdict(list)
     for r in rows:
-        got[r["doc_id"]].append((r["n_chars"], r["edited_sha256"]))
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        got[r["doc_id"]].append((r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
@@ -111,6 +138,11 @@ def test_fingerprints_one(spark):
     check_edited(fingerprint.edited_pairs(spark.createDataFrame([docs[0][:2]], "doc_id long, text string")).collect(), docs)
 
 
+def test_fingerprints_tables(spark, small):
+    docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    check_edited(entries.op9_fingerprints(spark, small).collect(), docs)
+
+
 def test_fingerprint_estimates(spark):
     r = random.Random(2)
     base = [str(r.random()) for _ in range(4000)]

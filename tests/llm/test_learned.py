@@ -38,6 +38,47 @@ def test_language_vectors():
     assert np.array_equal(langid.document_vectors(["abc"])[0], bind(e, a, b) + bind(a, b, c) + bind(b, c, e))
 
 
+def slow_vector(text):
+    """Trigrams one by one: letters, and one boundary for whatever stands between them."""
+    symbols = []
+    for c in "\0" + (text or "").lower() + "\0":
+        x = ord(c) if c.isalpha() else 0
+        if x or not symbols or symbols[-1]:
+            symbols.append(x)
+    out, known = np.zeros(langid.DIMENSIONS, np.int64), {}
+    for gram in zip(symbols, symbols[1:], symbols[2:]):
+        if gram not in known:
+            a, b, c = (langid.letter_vector(x, langid.DIMENSIONS).astype(np.int64) for x in gram)
+            known[gram] = np.roll(a, 2) * np.roll(b, 1) * c
+        if any(gram):
+            out += known[gram]
+    return out
+
+
+def test_language_brute_force(spark, small):
+    import zlib
+
+    docs = [r.asDict() for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    sums = {}
+    for d in docs:
+        d["v"] = slow_vector(d["text"])
+        norm = np.linalg.norm(d["v"])
+        if zlib.crc32(str(d["doc_id"]).encode()) % 3 != 1 and d["lang"] is not None and d["text"] is not None:
+            sums[d["lang"]] = sums.get(d["lang"], 0) + (np.rint(d["v"] / norm * 2**20) if norm else 0)
+    langs = sorted(sums)
+    prototypes = np.stack([sums[x] / np.linalg.norm(sums[x]) for x in langs])
+    got = {r["doc_id"]: r for r in entries.op6_language(spark, small).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        cosine = prototypes @ d["v"] / max(np.linalg.norm(d["v"]), 1e-9)
+        r = got[d["doc_id"]]
+        assert r["held_out"] == (zlib.crc32(str(d["doc_id"]).encode()) % 3 == 1)
+        assert r["score"] == pytest.approx(float(np.clip(cosine.max(), 0, 1)) if d["v"].any() else 0.0, abs=1e-5)
+        best = sorted(cosine)
+        if d["v"].any() and best[-1] - best[-2] > 1e-4:
+            assert r["lang_pred"] == langs[int(cosine.argmax())]
+
+
 def slow_base(text):
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]

@@ -173,8 +173,11 @@ def test_vectors(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
     want = np.argsort(-x @ x[5], kind="stable")[:6].tolist()
     assert [r["id"] for r in vectors.top_k(df, x[5].tolist(), "id").orderBy("rank").collect()] == want
-    near = [r["id"] for r in vectors.lsh_top_k(df, x[5].tolist(), "id").collect()]
-    assert 5 in near and len(set(near) & set(want)) >= 4
+    caught = 0
+    for i in range(0, 300, 30):
+        want = set(np.argsort(-x @ x[i], kind="stable")[:6].tolist())
+        caught += len(want & {r["id"] for r in vectors.lsh_top_k(df, x[i].tolist(), "id").collect()})
+    assert caught / 60 >= 0.9
     rows = vectors.embed(spark.createDataFrame([("a b",), ("a b",), (None,)], "text string"), vectors.hashing_model(8), 8).collect()
     assert rows[0]["embedding"] == rows[1]["embedding"] and sum(v * v for v in rows[0]["embedding"]) == pytest.approx(1)
     with pytest.raises(Exception, match="instead of 9"):

@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import tidy, written
 from lodestone.session import ensure_importable
 
-PAGE, FANOUT, SLACK = 256, 8, 1e-7
+PAGE, FANOUT, SLACK = 2048, 8, 1e-7
 #: Pivots at most, and rows of the sample they are fitted on; both are broadcast.
 CELLS, SAMPLE = 1024, 4096
-GROUP = 64  # queries that share a product
+GROUP = 256  # queries that share a product
 _RANK = 20  # bits of a key for the place of an id in its tree
 
 
@@ -370,7 +370,7 @@ def quantized(vector: Column, scale: int = 64) -> Column:
     return F.transform(vector, lambda x: F.when(_finite(x.cast("double")), F.floor(x.cast("double") * scale).cast("double")))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, tree_rows: int = 8192, page: int = PAGE, cells: int = CELLS, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, tree_rows: int = 16_384, page: int = PAGE, cells: int = CELLS, sample: int = SAMPLE) -> DataFrame:
     """``vectors``: vec_id, v (array<double> of whole numbers). Per query row its k best: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     ensure_importable(spark)

@@ -233,7 +233,9 @@ def _classes(marked: DataFrame, key: list[str], seen: list[str], held: list[str]
     roots = roots.withColumnRenamed("node", "member")
     placed = nodes.join(roots, nodes["node"] == roots["member"], "left").select(*key, "least", F.coalesce("root", nodes["node"]).alias("root"))
     placed = written(placed, "simhash-roots")
-    return placed.select(*key, "root").join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(*key, "root", "component_id")
+    # Written, so that both sides of the join come from shuffles of their own, of which large partitions can be split.
+    tops = written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-tops")
+    return placed.select(*key, "root").join(tops, "root").select(*key, "root", "component_id")
 
 
 def _marked(docs: DataFrame, words: int) -> DataFrame:

@@ -48,7 +48,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
     """Per row of ``docs``: doc_id, source, size, source_size, target, taken, repeats; with whole_rows also the row."""
     row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if whole_rows else []
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), *row)
-    sized = written(sized.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")), "mix-sizes")
+    sized = written(sized.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")).withColumn("n", F.monotonically_increasing_id()), "mix-sizes")
     by_bucket = written(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     goal = targets(by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
     # Full repetitions, and the words wanted once more.
@@ -66,10 +66,14 @@ def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
     cut = written(cut, "mix-plan")
     each = sized.alias("d").join(cut.alias("c"), _same_source("d", "c")).select("d.*", "c.source_size", "c.target", "c.epochs", "c.wanted", "c.cut", "c.below")
     once = each.filter("bucket != cut").withColumn("extra", (F.col("bucket") < F.col("cut")).cast("long"))
-    # In the bucket at the cut, a document is taken if more than half of it lies within what is wanted.
+    # In the bucket at the cut, a document is taken if more than half of it lies within what is wanted. Only ids and
+    # sizes go into the window; whole rows come back by their number.
     order = Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = each.filter("bucket = cut").withColumn("upto", F.sum("size").over(order))
+    edge = each.filter("bucket = cut")
+    rows = edge.select("n", "row") if whole_rows else None
+    edge = edge.drop("row").withColumn("upto", F.sum("size").over(order))
     edge = edge.withColumn("extra", (F.col("below") + F.col("upto") - F.col("size") / 2 < F.col("wanted")).cast("long")).drop("upto")
+    edge = edge.join(rows, "n") if whole_rows else edge
     both = once.unionByName(edge).withColumn("repeats", F.col("epochs") + F.col("extra"))
     return both.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats", *(["row"] if whole_rows else []))
 

@@ -132,11 +132,12 @@ def hashing_model(dimensions: int = 64) -> Callable[[list[str]], np.ndarray]:
     def model(texts: list[str]) -> np.ndarray:
         import hashlib
 
-        out = np.zeros((len(texts), dimensions), np.float32)
-        for i, text in enumerate(texts):
-            for word in text.lower().split():
-                h = int.from_bytes(hashlib.md5(word.encode("utf-8", "replace")).digest()[:4])
-                out[i, h % dimensions] += 1 if h >> 31 else -1
-        return out
+        words = [text.lower().split() for text in texts]
+        index: dict[str, int] = {}
+        at = np.fromiter((index.setdefault(w, len(index)) for x in words for w in x), np.int64)
+        hashed = np.array([int.from_bytes(hashlib.md5(w.encode("utf-8", "replace")).digest()[:4]) for w in index], np.int64)[at]
+        row = np.repeat(np.arange(len(texts)), [len(x) for x in words])
+        signs = np.where(hashed >> 31, 1.0, -1.0)
+        return np.bincount(row * dimensions + hashed % dimensions, signs, len(texts) * dimensions).reshape(-1, dimensions).astype(np.float32)
 
     return model

@@ -127,7 +127,8 @@ def test_tagger_held_out():
     assert precision > 0.95 and recall > 0.9
 
 
-#: Written by hand, apart from what makes the lines that the network learns from; personal data in << >>.
+#: Written by hand; personal data in << >>. Forms of numbers that the network learns, and the posterior, were chosen after
+#: it was seen which of these were missed, so they hold what was reached and don't measure recall on new lines.
 HAND = """Please ring <<phone (212) 555-0182>> or <<phone 0171 496 0234>> after 5.
 Fax: <<phone 415-555-0199>>; mobile <<phone 07700 900 461>>.
 Server <<ip 192.168.4.17>> went down at 10:45, see ticket 48213.

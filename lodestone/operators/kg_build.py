@@ -123,50 +123,3 @@ def relation_pool(relations: DataFrame) -> DataFrame:
 def without_orphans(entities: DataFrame, used: DataFrame) -> DataFrame:
     """Entities whose key something uses; ``used``: key."""
     return entities.join(used.select("key").distinct(), "key", "left_semi")
-
-
-def validated(raw: DataFrame, policy: str = "full", strict_evidence: bool = False) -> DataFrame:
-    """Extraction records, validated batch by batch; one row a batch and relation that stays.
-
-    full: the source is the paper (INTRODUCES a focal entity only) or a focal entity, by name or alias, and target
-    types are as allowed. v3: the source is a focal entity or the paper as in full, target types are not looked at, and
-    BASED_ON may join concepts. v2: sources of type Method or Model, the paper introduces a Method or Model. Of equal
-    relations, without case, the first stays. Relations that name no entity of the batch go; so do all entities of a
-    batch without relations. With ``strict_evidence``, evidence outside the batch's chunks goes too.
-    """
-    r = raw.withColumn("focal", valid_profile(F.col("focal_entities"))).withColumn("entities", F.coalesce("entities", F.array().cast(f"array<{schemas.ENTITY}>")))
-    batch = ["source_file", "batch_number"]
-    focal = r.select(*batch, F.posexplode("focal").alias("p", "f")).select(*batch, "p", F.posexplode(F.concat(F.array("f.name"), F.col("f.aliases"))).alias("q", "alias"), F.col("f.name").alias("focal_name"), F.col("f.type").alias("focal_type"))
-    focal = focal.groupBy(*batch, F.lower("alias").alias("alias")).agg(F.max_by(F.struct("focal_name", "focal_type"), F.struct("p", "q")).alias("f")).select(*batch, "alias", "f.*")
-    seen = r.select(*batch, F.posexplode("entities").alias("p", "e")).select(*batch, "p", X.collapse(F.col("e.name")).alias("name"), F.col("e.type").alias("type"), F.coalesce("e.aliases", F.array().cast("array<string>")).alias("aliases"))
-    seen = seen.filter((F.col("name") != "") & F.col("type").isin(schemas.ENTITY_TYPES))
-    first = seen.groupBy(*batch, F.lower("name").alias("key")).agg(F.min_by(F.struct("name", "type", "aliases", "p"), "p").alias("e")).select(*batch, "key", "e.*")
-    named = first.select(*batch, "p", F.posexplode(F.concat(F.array("name"), "aliases")).alias("q", "alias"), "name", "type")
-    named = named.groupBy(*batch, F.lower("alias").alias("alias")).agg(F.max_by(F.struct("name", "type"), F.struct("p", "q")).alias("e")).select(*batch, "alias", "e.*")
-    known = named.join(focal, [*batch, "alias"], "full").select(*batch, "alias", F.coalesce("focal_name", "name").alias("name"), F.coalesce("focal_type", "type").alias("type"), F.col("focal_name").isNotNull().alias("is_focal"))
-    types = [*schemas.RELATION_TYPES, *(["BASED_ON"] if policy in ("v2", "v3") else [])]
-    rel = r.select(*batch, "chunk_ids", F.posexplode("relations").alias("p", "r")).select(*batch, "chunk_ids", "p", X.collapse(F.col("r.source")).alias("source"), F.col("r.type").alias("relation"), X.collapse(F.col("r.target")).alias("target"), clean_evidence(F.col("r.evidence")).alias("evidence"))
-    rel = rel.filter((F.col("source") != "") & (F.col("target") != "") & F.col("relation").isin(types))
-
-    def side(rows: DataFrame, column: str) -> DataFrame:
-        k = known.select(*batch, F.col("alias").alias(f"_{column}"), F.col("name").alias(f"{column}_name"), F.col("type").alias(f"{column}_type"), F.col("is_focal").alias(f"{column}_focal"))
-        return rows.withColumn(f"_{column}", F.lower(column)).join(k, [*batch, f"_{column}"], "left").drop(f"_{column}")
-
-    both = side(side(rel, "source"), "target").withColumn("paper", F.col("source") == "PAPER")
-    allowed = F.element_at(F.create_map(*[x for t, kinds in schemas.TARGET_TYPES.items() for x in (F.lit(t), F.array(*map(F.lit, kinds)))]), F.col("relation"))
-    introduces = F.col("relation") == "INTRODUCES"
-    focal_source, method_source = F.coalesce("source_focal", F.lit(False)), F.coalesce(F.col("source_type").isin(schemas.FOCAL_TYPES), F.lit(False))
-    to_focal = introduces & F.coalesce("target_focal", F.lit(False))
-    concepts = (F.col("relation") == "BASED_ON") & (F.col("source_type") == "Concept") & (F.col("target_type") == "Concept")
-    rules = {
-        "full": F.when(F.col("paper"), to_focal).otherwise(~introduces & focal_source & F.coalesce(F.array_contains(allowed, F.col("target_type")), F.lit(False))),
-        "v3": F.when(F.col("paper"), to_focal).when(F.col("relation") == "BASED_ON", concepts).otherwise(~introduces & focal_source & method_source),
-        "v2": F.when(F.col("paper"), introduces & F.col("target_type").isin(schemas.FOCAL_TYPES)).when(F.col("relation") == "BASED_ON", F.col("source_type").isNotNull()).otherwise(~introduces & method_source),
-    }
-    good = both.filter(F.col("target_name").isNotNull() & F.coalesce(rules[policy], F.lit(False)))
-    spelled = F.when(F.col("paper"), F.lit("PAPER")).otherwise(F.col("source_name")).alias("source")
-    good = good.select(*batch, "chunk_ids", "p", spelled, "relation", F.col("target_name").alias("target"), "source_type", "target_type", "evidence")
-    if strict_evidence:
-        good = good.withColumn("evidence", F.filter("evidence", lambda e: F.coalesce(F.array_contains(F.col("chunk_ids"), e["chunk_id"]), F.lit(False))))
-    once = good.groupBy(*batch, F.lower("source").alias("_s"), "relation", F.lower("target").alias("_t")).agg(F.min_by(F.struct("source", "target", "source_type", "target_type", "evidence"), "p").alias("x"))
-    return once.select(*batch, "x.source", "relation", "x.target", "x.source_type", "x.target_type", "x.evidence")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.operators.chunking import latest
 
 
 def nodes(entities: DataFrame) -> DataFrame:
@@ -57,11 +58,20 @@ def introductions_of(profiles: DataFrame, lookup: DataFrame, papers: DataFrame,
 
 
 def loadable(relations: DataFrame, lookup: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``relations``: source_kind, source, relation, target. INTRODUCES edges come from papers, all others from
-    entities; endpoints that stand for nothing drop the relation. The edges between entities, and those from papers."""
+    """``relations``: source_kind, source, relation, target and more. INTRODUCES edges come from papers, all others from
+    entities; endpoints that stand for nothing drop the relation. The edges between entities, and those from papers.
+
+    Of relations with the same ends the last in load order stays, whole: by ``seq`` if there is such a column, else by
+    source, relation and target without case, as graph files are sorted, then by content.
+    """
     t = lookup.select(F.col("spelled").alias("_t"), F.col("key").alias("target_key"))
     s = lookup.select(F.col("spelled").alias("_s"), F.col("key").alias("source_key"))
     ended = relations.withColumn("_t", F.lower(F.trim("target"))).join(t, "_t").drop("_t")
     own = ended.filter((F.col("source_kind") == "Entity") & (F.col("relation") != "INTRODUCES")).withColumn("_s", F.lower(F.trim("source"))).join(s, "_s").drop("_s")
     papers = ended.filter((F.col("source_kind") == "Paper") & (F.col("relation") == "INTRODUCES"))
-    return own.dropDuplicates(["source_key", "relation", "target_key"]), papers.dropDuplicates(["source", "target_key"])
+    order = ["seq"] if "seq" in relations.columns else [F.lower("source"), "relation", F.lower("target")]
+
+    def last(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return latest(rows, keys, [*order, *[c for c in rows.columns if c not in keys]])
+
+    return last(own, ["source_key", "relation", "target_key"]), last(papers, ["source", "target_key"])

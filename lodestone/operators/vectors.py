@@ -8,7 +8,7 @@ from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
@@ -34,16 +34,6 @@ def ranked(rows: DataFrame, *order) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def ranked_by_groups(rows: DataFrame, groups: dict[str, Column], order: list[Column]) -> DataFrame:
-    """Adds rank over all rows, whatever their number. ``groups`` are named expressions that come first in the order;
-    rows are numbered within a group, and only a count a group is summed up over groups."""
-    named = rows.select("*", *[c.alias(g) for g, c in groups.items()])
-    upto = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
-    before = named.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).select(*groups, F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
-    place = named.withColumn("_nth", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
-    return place.join(before, list(groups)).withColumn("rank", F.col("_before") + F.col("_nth")).select(*rows.columns, "rank")
-
-
 def _projections(tables: int, length: float, seed: int):
     from pyspark.ml.feature import BucketedRandomProjectionLSH
 

@@ -24,6 +24,13 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return windows(pages(spark, d), pattern=X.ASCII_SPACE)
 
 
+def page_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many windows each page has."""
+    from lodestone.operators.chunking import counted
+
+    return counted(pages(spark, d), pattern=X.ASCII_SPACE)
+
+
 def query_vector(spark: SparkSession, d: str) -> list[float]:
     """The question's vector: one row."""
     return table(spark, d, "embeddings").filter("vec_id = 0").head()["embedding"]
@@ -93,6 +100,34 @@ def support(spark: SparkSession, d: str) -> DataFrame:
     return _kept(spark, d, "support", lambda: _support(spark, d), ["chunk_id"])
 
 
+def name_index(spark: SparkSession, d: str) -> DataFrame:
+    """Names and aliases of the nodes by their parts, as they are stored."""
+    from lodestone.operators import names
+
+    return _kept(spark, d, "names", lambda: names.index(nodes(spark, d)), ["part", "key"])
+
+
+def adjacent(spark: SparkSession, d: str) -> DataFrame:
+    """The best edges at each node, as they are stored."""
+    from lodestone.operators import questions
+
+    return _kept(spark, d, "adjacent", lambda: questions.adjacent(edges(spark, d)), ["node"])
+
+
+def asked(spark: SparkSession, d: str, question: str = QUESTION) -> DataFrame:
+    """One question as a table."""
+    return spark.createDataFrame([(0, question)], "qid long, question string")
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """A question for each supplier, of the part and the customer with its number, and the vector with its number."""
+    supplier, part = table(spark, d, "supplier").select("s_suppkey", "s_name"), table(spark, d, "part").select("p_partkey", "p_brand")
+    customer, vectors = table(spark, d, "customer").select("c_custkey", "c_mktsegment"), table(spark, d, "embeddings").select("vec_id", "embedding")
+    named = supplier.join(part, supplier["s_suppkey"] == part["p_partkey"]).join(customer, F.col("s_suppkey") == customer["c_custkey"]).join(vectors, F.col("s_suppkey") == vectors["vec_id"])
+    text = F.concat(F.lit("How does "), "s_name", F.lit(" using "), "p_brand", F.lit(" compare on "), "c_mktsegment", F.lit(" orders?"))
+    return named.select(F.col("s_suppkey").cast("long").alias("qid"), text.alias("question"), F.col("embedding").alias("vector"))
+
+
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
     def kind(rows: DataFrame, column: str, name: str, alias: bool = False) -> DataFrame:
         spelled = F.array(F.regexp_replace(F.lower(column), "#", " ")) if alias else F.array().cast("array<string>")
@@ -161,9 +196,10 @@ def raw_batches(spark: SparkSession, d: str) -> DataFrame:
     number, chunk, n = (F.col("l_orderkey") % 6).cast("string"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("int")
     pick = lambda options, x: F.element_at(F.array(*[F.lit(o) if isinstance(o, str) else o for o in options]), (x % len(options) + 1).cast("int"))
     proof = lambda c: F.array(F.struct(c.alias("chunk_id"), n.alias("page")))
-    entity = F.struct(
-        F.when(n % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"), pick(["Method", "Concept", "Task", "Dataset", "Metric", "Gadget"], F.col("p_size")).alias("type"), F.array("p_brand").alias("aliases"), proof(chunk).alias("evidence"),
-    )
+    # Some entities go by the name that is an alias of others, and some claim the alias of the focal method.
+    name = F.when(n % 7 == 5, F.col("p_brand")).when(n % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    aliases = F.when(F.col("p_partkey") % 11 == 0, F.array(F.col("p_brand"), F.concat(F.lit("F"), number))).otherwise(F.array("p_brand"))
+    entity = F.struct(name.alias("name"), pick(["Method", "Concept", "Task", "Dataset", "Metric", "Gadget"], F.col("p_size")).alias("type"), aliases.alias("aliases"), proof(chunk).alias("evidence"))
     relation = F.struct(
         pick(["PAPER", F.concat(F.lit("F"), number), F.concat(F.lit("focal "), number), F.col("p_name")], n).alias("source"), pick(["USES", "INTRODUCES", "EVALUATES_ON", "COMPARED_WITH", "BASED_ON"], F.col("p_partkey")).alias("type"),
         pick([F.col("p_brand"), F.col("p_name"), F.concat(F.lit("F"), number)], F.col("p_size")).alias("target"), proof(F.when(F.col("p_partkey") % 7 == 0, F.lit("zz")).otherwise(chunk)).alias("evidence"),
@@ -171,7 +207,10 @@ def raw_batches(spark: SparkSession, d: str) -> DataFrame:
     lines = li.join(part, li["l_partkey"] == part["p_partkey"]).select("l_orderkey", F.struct(n.alias("n"), F.col("p_partkey").alias("p"), entity.alias("e"), relation.alias("r")).alias("x"))
     listed = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("x"))
     focal = F.array(F.struct(F.concat(F.lit("Focal "), number).alias("name"), F.lit("Method").alias("type"), F.array(F.concat(F.lit("F"), number)).alias("aliases")))
+    # Every other record names the focal method among its entities.
+    own = F.struct(F.concat(F.lit("focal "), number).alias("name"), F.lit("Method").alias("type"), F.array(F.concat(F.lit("F"), number), F.lit("the method")).alias("aliases"), F.array(F.struct(chunk.alias("chunk_id"), F.lit(0).alias("page"))).alias("evidence"))
+    said = F.transform("x", lambda y: y["e"])
     return listed.select(
         F.concat(F.lit("src"), number, F.lit(".pdf")).alias("source_file"), F.concat(F.lit("src"), number).alias("paper_id"), F.col("l_orderkey").cast("int").alias("batch_number"), F.array(chunk).alias("chunk_ids"),
-        focal.cast(schemas.FOCAL).alias("focal_entities"), F.transform("x", lambda y: y["e"]).alias("entities"), F.transform("x", lambda y: y["r"]).alias("relations"),
+        focal.cast(schemas.FOCAL).alias("focal_entities"), F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.array(own), said)).otherwise(said).alias("entities"), F.transform("x", lambda y: y["r"]).alias("relations"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone import schemas
 from lodestone.functions import text as X
-from lodestone.operators import chunking, kg_build, kg_store, retrieval, vectors
+from lodestone.operators import chunking, kg_build, kg_store, names, ordering, questions, records, retrieval, vectors
 from lodestone.plans import adapters as A
 from lodestone.plans import hybrid
 from lodestone.sources import files, prompts
@@ -181,14 +181,26 @@ def chunk_windows(spark, d):
     return A.chunks(spark, d)
 
 
+@query(with_(CHUNKS, then="SELECT * EXCLUDE (text), CAST(char_start + length(text) AS INTEGER) AS char_end FROM chunks"))
+def chunk_layout(spark, d):
+    return chunking.layout(A.pages(spark, d), pattern=X.ASCII_SPACE)
+
+
+@query(with_(CHUNKS, then="SELECT chunk_id, text FROM chunks WHERE chunk_index = 2"))
+def chunk_texts(spark, d):
+    """The text of some windows, cut from the pages that have them."""
+    second = chunking.layout(A.pages(spark, d), pattern=X.ASCII_SPACE).filter("chunk_index = 2")
+    return chunking.cut(second, A.pages(spark, d), X.ASCII_SPACE).select("chunk_id", "text")
+
+
 @query(with_(CHUNKS, then="SELECT paper_id, count(*) AS n_chunks, count(DISTINCT page) AS n_pages FROM chunks GROUP BY paper_id"))
 def chunks_per_paper(spark, d):
-    return chunking.per_paper(A.chunks(spark, d))
+    return chunking.per_paper(A.page_counts(spark, d))
 
 
 @query(with_(CHUNKS, then="SELECT count(DISTINCT paper_id) AS n_papers, count(DISTINCT chunk_id) AS n_chunks FROM chunks"))
 def corpus_counts(spark, d):
-    return A.chunks(spark, d).agg(F.countDistinct("paper_id").alias("n_papers"), F.countDistinct("chunk_id").alias("n_chunks"))
+    return chunking.chunk_ids(A.page_counts(spark, d)).agg(F.countDistinct("paper_id").alias("n_papers"), F.countDistinct("chunk_id").alias("n_chunks"))
 
 
 @query(with_(CHUNKS, then="SELECT paper_id, page, chunk_id, left(text, 500) AS preview FROM chunks ORDER BY paper_id, page, chunk_id LIMIT 3"))
@@ -198,24 +210,24 @@ def chunk_preview(spark, d):
 
 @query(with_(CHUNKS, then="SELECT paper_id, chunk_id, CAST(floor((row_number() OVER (PARTITION BY paper_id ORDER BY page, chunk_index) - 1) / 12) + 1 AS INTEGER) AS batch_number FROM chunks"))
 def batches(spark, d):
-    return chunking.batches(A.chunks(spark, d)).select("paper_id", "chunk_id", "batch_number")
+    return chunking.batches(chunking.numbered(A.page_counts(spark, d))).select("paper_id", "chunk_id", "batch_number")
 
 
 @query(with_(CHUNKS, then="""
     , placed AS (SELECT paper_id, chunk_id, row_number() OVER (PARTITION BY paper_id ORDER BY page, chunk_index) AS n FROM chunks)
     SELECT paper_id, CAST(floor((n - 1) / 12) + 1 AS INTEGER) AS batch_number, string_agg(chunk_id, ' ' ORDER BY n) AS chunk_ids FROM placed GROUP BY 1, 2"""))
 def batch_lists(spark, d):
-    return chunking.batch_lists(A.chunks(spark, d)).select("paper_id", "batch_number", F.array_join("chunk_ids", " ").alias("chunk_ids"))
+    return chunking.batch_lists(chunking.numbered(A.page_counts(spark, d))).select("paper_id", "batch_number", F.array_join("chunk_ids", " ").alias("chunk_ids"))
 
 
 @query(with_(CHUNKS, then="SELECT paper_id, chunk_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY page, chunk_index) AS INTEGER) AS position FROM chunks QUALIFY position <= 8"))
 def profile_heads(spark, d):
-    return chunking.heads(A.chunks(spark, d)).select("paper_id", "chunk_id", "position")
+    return chunking.heads(chunking.numbered(A.page_counts(spark, d))).select("paper_id", "chunk_id", F.col("position").cast("int").alias("position"))
 
 
 @query(with_(CHUNKS, then="SELECT CAST(sum(n) AS BIGINT) AS n_batches FROM (SELECT ceil(count(*) / 12.0) AS n FROM chunks GROUP BY paper_id)"))
 def expected_batches(spark, d):
-    return chunking.expected_batches(A.chunks(spark, d))
+    return chunking.expected_batches(A.page_counts(spark, d))
 
 
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -387,16 +399,18 @@ def drop_reasons(spark, d):
 @query(with_(MENTIONS, RELATIONS, then="""
     , spelled AS (SELECT key, seq, 0 AS nth, lower(trim(name)) AS s FROM mentions UNION ALL SELECT key, seq, 1, lower(trim(alias)) FROM mentions),
     lookup AS (SELECT s, arg_max(key, (seq, nth)) AS key FROM spelled GROUP BY s)
-    SELECT DISTINCT r.source_kind, CASE WHEN r.source_kind = 'Paper' THEN r.source ELSE a.key END AS source, r.relation, t.key AS target_key
+    SELECT r.source_kind, CASE WHEN r.source_kind = 'Paper' THEN r.source ELSE a.key END AS source, r.relation, t.key AS target_key, max(r.seq) AS seq, arg_max(r.target, r.seq) AS target, arg_max(r.chunk_id || ':' || CAST(r.page AS VARCHAR), r.seq) AS evidence, arg_max(r.source_file, r.seq) AS source_file
     FROM (SELECT *, replace(source, 'M', 'Brand#') AS spelling FROM rel) r JOIN lookup t ON t.s = lower(trim(r.target)) LEFT JOIN lookup a ON a.s = lower(trim(r.spelling))
-    WHERE r.source_kind = 'Paper' AND r.relation = 'INTRODUCES' OR r.source_kind = 'Entity' AND r.relation <> 'INTRODUCES' AND a.key IS NOT NULL"""))
+    WHERE r.source_kind = 'Paper' AND r.relation = 'INTRODUCES' OR r.source_kind = 'Entity' AND r.relation <> 'INTRODUCES' AND a.key IS NOT NULL GROUP BY 1, 2, 3, 4"""))
 def kg_load(spark, d):
-    """Relations whose ends are known, as they are loaded: from papers, and from entities found by name or alias."""
+    """Relations whose ends are known, as they are loaded: from papers, and from entities found by name or alias; of those
+    with the same ends the last, whole."""
     lookup = kg_store.load_lookup(A.mentions(spark, d).select("key", "name", "aliases", "seq"))
-    rows = A.relation_mentions(spark, d).select("source_kind", F.col("source").alias("paper"), F.regexp_replace("source", "M", "Brand#").alias("source"), "relation", "target")
-    own, papers = kg_store.loadable(rows, lookup)
-    stated = papers.select("source_kind", F.col("paper").alias("source"), "relation", "target_key").distinct()
-    return own.select("source_kind", F.col("source_key").alias("source"), "relation", "target_key").unionByName(stated)
+    rows = A.relation_mentions(spark, d).select("source_kind", F.col("source").alias("paper"), F.regexp_replace("source", "M", "Brand#").alias("source"), "relation", "target", "evidence", "source_file", "seq")
+    own, papers = kg_store.loadable(rows.withColumn("source", F.when(F.col("source_kind") == "Paper", F.col("paper")).otherwise(F.col("source"))), lookup)
+    proof = F.concat_ws(":", F.col("evidence")[0]["chunk_id"], F.col("evidence")[0]["page"].cast("string")).alias("evidence")
+    columns = ["relation", "target_key", "seq", "target", proof, "source_file"]
+    return own.select("source_kind", F.col("source_key").alias("source"), *columns).unionByName(papers.select("source_kind", "source", *columns))
 
 
 @query(with_(MENTIONS, RELATIONS, then="""
@@ -449,18 +463,17 @@ def introduces_repair(spark, d):
     return kg_store.introductions_of(profiles, lookup, table(spark, d, "nation").select(F.col("n_name").alias("source_file")), nodes)
 
 
-@query(with_(NODES, then="SELECT row_number() OVER (ORDER BY entity_type, lower(name), name) AS rank, key FROM nodes"))
+@query(with_(NODES, then="SELECT row_number() OVER (ORDER BY entity_type, lower(name), name, key) AS rank, key FROM nodes"))
 def entities_sorted(spark, d):
-    """All entities in order; rows are numbered within a type and the first letters of the name."""
-    groups = {"_type": F.col("entity_type"), "_head": F.substring(F.lower("name"), 1, 12)}
-    return vectors.ranked_by_groups(A.nodes(spark, d), groups, [F.lower("name"), F.col("name")]).select("rank", "key")
+    """All entities in order."""
+    return ordering.ranked_whole(A.nodes(spark, d).select("entity_type", "name", "key"), ["entity_type", F.lower("name"), "name", "key"]).select("rank", "key")
 
 
 @query(with_(EDGES, then="SELECT row_number() OVER (ORDER BY lower(source), relation, lower(target), source_key, target_key) AS rank, source_key, relation, target_key FROM edges"))
 def relations_sorted(spark, d):
-    """All relations in order; rows are numbered within a source."""
-    order = [F.col("relation"), F.lower("target"), F.col("source_key"), F.col("target_key")]
-    return vectors.ranked_by_groups(A.edges(spark, d), {"_source": F.lower("source")}, order).select("rank", "source_key", "relation", "target_key")
+    """All relations in order."""
+    edges = A.edges(spark, d).select("source", "relation", "target", "source_key", "target_key")
+    return ordering.ranked_whole(edges, [F.lower("source"), "relation", F.lower("target"), "source_key", "target_key"]).select("rank", "source_key", "relation", "target_key")
 
 
 @query("SELECT p_name, regexp_full_match(p_name, '[A-Za-z_][A-Za-z0-9_]*') AS safe, count(*) AS n FROM part GROUP BY 1")
@@ -513,53 +526,95 @@ def profile_cache(spark, d):
 
 
 BATCHES = """
-    line AS (SELECT l_orderkey AS o, CAST(l_linenumber AS INTEGER) AS line_number, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n, CAST(l_orderkey % 6 AS VARCHAR) AS f, * FROM lineitem JOIN part ON l_partkey = p_partkey),
-    ent AS (SELECT o, n, CASE WHEN line_number % 3 = 0 THEN upper(p_name) ELSE p_name END AS name, ['Method', 'Concept', 'Task', 'Dataset', 'Metric', 'Gadget'][CAST(p_size % 6 + 1 AS INTEGER)] AS type, p_brand AS alias FROM line),
-    firsts AS (SELECT o, min(n) AS n, arg_min(name, n) AS name, arg_min(type, n) AS type, arg_min(alias, n) AS alias FROM ent WHERE type <> 'Gadget' GROUP BY o, lower(name)),
-    spelled AS (SELECT o, n, 0 AS q, name AS s, name, type FROM firsts UNION ALL SELECT o, n, 1, alias, name, type FROM firsts),
-    found AS (SELECT o, lower(s) AS s, arg_max(name, (n, q)) AS name, arg_max(type, (n, q)) AS type FROM spelled GROUP BY 1, 2),
-    focal AS (SELECT DISTINCT o, unnest(['focal ' || f, 'f' || f]) AS s, 'Focal ' || f AS name, 'Method' AS type FROM line),
-    known AS (SELECT o, s, name, type, true AS own FROM focal UNION ALL SELECT o, s, name, type, false FROM found a WHERE NOT EXISTS (SELECT 1 FROM focal b WHERE a.o = b.o AND a.s = b.s)),
+    line AS (SELECT l_orderkey AS o, CAST(l_linenumber AS INTEGER) AS line_number, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n, CAST(l_orderkey % 6 AS VARCHAR) AS f, CAST(l_orderkey AS VARCHAR) AS chunk, * FROM lineitem JOIN part ON l_partkey = p_partkey),
+    named AS (
+        SELECT o, f, n, CASE WHEN line_number % 7 = 5 THEN p_brand WHEN line_number % 3 = 0 THEN upper(p_name) ELSE p_name END AS name, ['Method', 'Concept', 'Task', 'Dataset', 'Metric', 'Gadget'][CAST(p_size % 6 + 1 AS INTEGER)] AS type,
+               CASE WHEN p_partkey % 11 = 0 THEN [p_brand, 'F' || f] ELSE [p_brand] END AS aliases, [chunk || ':' || CAST(line_number AS VARCHAR)] AS evidence FROM line
+        UNION ALL SELECT DISTINCT o, f, 0, 'focal ' || f, 'Method', ['F' || f, 'the method'], [chunk || ':0'] FROM line WHERE o % 2 = 0),
+    ent AS (SELECT o, f, name, type, list_filter(aliases, lambda a: lower(a) <> lower(name)) AS aliases, evidence, row_number() OVER (PARTITION BY o ORDER BY n) AS n
+            FROM (SELECT * REPLACE (CASE WHEN {canonical} AND lower(name) IN ('focal ' || f, 'f' || f) THEN 'Focal ' || f ELSE name END AS name) FROM named WHERE type <> 'Gadget')),
     stated AS (SELECT o, n, f, ['PAPER', 'F' || f, 'focal ' || f, p_name][CAST(line_number % 4 + 1 AS INTEGER)] AS source, ['USES', 'INTRODUCES', 'EVALUATES_ON', 'COMPARED_WITH', 'BASED_ON'][CAST(p_partkey % 5 + 1 AS INTEGER)] AS relation,
-                      [p_brand, p_name, 'F' || f][CAST(p_size % 3 + 1 AS INTEGER)] AS target, CASE WHEN p_partkey % 7 = 0 THEN 'zz' ELSE CAST(o AS VARCHAR) END || ':' || CAST(line_number AS VARCHAR) AS evidence FROM line),
-    ended AS (SELECT r.*, a.name AS source_name, a.type AS source_type, coalesce(a.own, false) AS source_own, b.name AS target_name, b.type AS target_type, coalesce(b.own, false) AS target_own, r.source = 'PAPER' AS paper
-              FROM stated r LEFT JOIN known a ON a.o = r.o AND a.s = lower(r.source) LEFT JOIN known b ON b.o = r.o AND b.s = lower(r.target))
+                      [p_brand, p_name, 'F' || f][CAST(p_size % 3 + 1 AS INTEGER)] AS target, CASE WHEN p_partkey % 7 = 0 THEN 'zz' ELSE chunk END || ':' || CAST(line_number AS VARCHAR) AS evidence FROM line)
 """
-ALLOWED = "CASE relation WHEN 'USES' THEN target_type IN ('Concept', 'Method', 'Model') WHEN 'EVALUATES_ON' THEN target_type = 'Dataset' WHEN 'COMPARED_WITH' THEN target_type IN ('Method', 'Model') ELSE false END"
+MERGED_IN_ORDER = """
+    fold AS (
+        SELECT o, f, CAST(0 AS BIGINT) AS n, [{'name': 'Focal ' || f, 'type': 'Method', 'aliases': ['F' || f], 'evidence': CAST([] AS VARCHAR[])}] AS ents, [{'k': 'focal ' || f, 'p': 1}, {'k': 'f' || f, 'p': 1}] AS look FROM (SELECT DISTINCT o, f FROM line)
+        UNION ALL
+        SELECT o, f, n, CASE WHEN place IS NULL THEN list_append(ents, {'name': name, 'type': type, 'aliases': aliases, 'evidence': evidence})
+                             ELSE list_transform(ents, lambda e, i: CASE WHEN i <> place THEN e ELSE {'name': e.name, 'type': e.type, 'aliases': list_concat(e.aliases, list_filter(aliases, lambda a: NOT list_contains(list_transform(e.aliases, lambda b: lower(b)), lower(a)))), 'evidence': list_concat(e.evidence, evidence)} END) END,
+               CASE WHEN place IS NULL THEN list_concat(look, list_transform(list_prepend(name, aliases), lambda a: {'k': lower(a), 'p': CAST(len(ents) + 1 AS INTEGER)})) ELSE look END
+        FROM (SELECT d.o, d.f, e.n, d.ents, d.look, e.name, e.type, e.aliases, e.evidence, list_filter(d.look, lambda l: l.k = lower(e.name))[-1].p AS place FROM fold d JOIN ent e ON e.o = d.o AND e.n = d.n + 1)),
+    held AS (SELECT o, f, ents, look FROM fold QUALIFY row_number() OVER (PARTITION BY o ORDER BY n DESC) = 1),
+    ended AS (SELECT r.*, source = 'PAPER' AS paper, lower(source) IN ('focal ' || r.f, 'f' || r.f) AS own, 'Focal ' || r.f AS source_name, 'Method' AS source_type, h.ents[list_filter(h.look, lambda l: l.k = lower(target))[-1].p] AS t FROM stated r JOIN held h ON h.o = r.o)
+"""
+TOLD_APART = """
+    once AS (SELECT o, f, name, type, list_distinct(aliases) AS aliases, evidence, n FROM ent QUALIFY row_number() OVER (PARTITION BY o, lower(name), type ORDER BY n) = 1),
+    spelled AS (SELECT o, n, 0 AS q, lower(name) AS k FROM once UNION ALL SELECT o, n, 1, lower(unnest(aliases)) FROM once),
+    found AS (SELECT o, k, arg_max(n, {order}) AS n FROM spelled GROUP BY o, k),
+    known AS (SELECT found.o, found.k, name, type, len(list_filter(list_prepend(name, aliases), lambda a: lower(a) IN ('focal ' || f, 'f' || f))) > 0 AS own FROM found JOIN once ON once.o = found.o AND once.n = found.n),
+    ended AS (SELECT r.*, source = 'PAPER' AS paper, coalesce(a.own, false) AS own, a.name AS source_name, a.type AS source_type, CASE WHEN b.name IS NOT NULL THEN {'name': b.name, 'type': b.type, 'own': b.own} END AS t
+              FROM stated r LEFT JOIN known a ON a.o = r.o AND a.k = lower(source) LEFT JOIN known b ON b.o = r.o AND b.k = lower(target))
+"""
+FITS = "CASE relation WHEN 'USES' THEN t.type IN ('Concept', 'Method', 'Model') WHEN 'EVALUATES_ON' THEN t.type = 'Dataset' WHEN 'COMPARED_WITH' THEN t.type IN ('Method', 'Model') ELSE false END"
 RULES = {
-    "full": f"relation <> 'BASED_ON' AND CASE WHEN paper THEN relation = 'INTRODUCES' AND target_own ELSE relation <> 'INTRODUCES' AND source_own AND {ALLOWED} END",
-    "v3": "CASE WHEN paper THEN relation = 'INTRODUCES' AND target_own WHEN relation = 'BASED_ON' THEN source_type = 'Concept' AND target_type = 'Concept' ELSE relation <> 'INTRODUCES' AND source_own AND source_type IN ('Method', 'Model') END",
-    "v2": "CASE WHEN paper THEN relation = 'INTRODUCES' AND target_type IN ('Method', 'Model') WHEN relation = 'BASED_ON' THEN source_type IS NOT NULL ELSE relation <> 'INTRODUCES' AND source_type IN ('Method', 'Model') END",
+    "full": f"relation <> 'BASED_ON' AND CASE WHEN relation = 'INTRODUCES' THEN paper AND t.name = 'Focal ' || f ELSE own AND {FITS} END",
+    "v3": "CASE WHEN relation = 'INTRODUCES' THEN paper AND t.type IN ('Method', 'Model') AND t.own WHEN paper OR source_name IS NULL THEN false WHEN relation = 'BASED_ON' THEN source_type = 'Concept' AND t.type = 'Concept' ELSE source_type IN ('Method', 'Model') AND own END",
+    "v2": "CASE WHEN relation = 'INTRODUCES' THEN paper AND t.type IN ('Method', 'Model') WHEN paper OR source_name IS NULL THEN false WHEN relation = 'BASED_ON' THEN true ELSE source_type IN ('Method', 'Model') END",
 }
 
 
-def _kept(policy: str) -> str:
-    return with_(BATCHES, then=f"""
-        , kept AS (SELECT *, CASE WHEN paper THEN 'PAPER' ELSE source_name END AS shown FROM ended WHERE target_name IS NOT NULL AND {RULES[policy]})
-        SELECT 'src' || any_value(f) || '.pdf' AS source_file, CAST(o AS INTEGER) AS batch_number, arg_min(shown, n) AS source, relation, arg_min(target_name, n) AS target, arg_min_null(source_type, n) AS source_type, arg_min(target_type, n) AS target_type, arg_min(evidence, n) AS evidence
-        FROM kept GROUP BY o, lower(shown), relation, lower(target_name)""")
+def _staying(policy: str) -> str:
+    """The relations that stay, of each batch (o)."""
+    merged = {"full": MERGED_IN_ORDER, "v3": TOLD_APART.replace("{order}", "(n, q)"), "v2": TOLD_APART.replace("{order}", "(q, n)")}[policy]
+    batches = BATCHES.replace("{canonical}", "true" if policy == "full" else "false")
+    return f"""WITH RECURSIVE {batches}, {merged}
+        , kept AS (SELECT *, CASE WHEN relation = 'INTRODUCES' THEN 'PAPER' ELSE source_name END AS shown, CASE WHEN relation <> 'INTRODUCES' THEN source_type END AS shown_type FROM ended WHERE t IS NOT NULL AND {RULES[policy]})
+        , said AS (SELECT 'src' || any_value(f) || '.pdf' AS source_file, CAST(o AS INTEGER) AS batch_number, arg_min(shown, n) AS source, relation, arg_min(t.name, n) AS target, arg_min_null(shown_type, n) AS source_type, arg_min(t.type, n) AS target_type, arg_min(evidence, n) AS evidence
+                   FROM kept GROUP BY o, lower(shown), relation, lower(t.name))"""
 
 
 def _validated(spark, d, policy):
     proof = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["chunk_id"], e["page"].cast("string"))), ",")
-    return kg_build.validated(A.raw_batches(spark, d), policy).withColumn("evidence", proof)
+    return records.validated(A.raw_batches(spark, d), policy).withColumn("evidence", proof)
 
 
-@query(_kept("full"))
+@query(_staying("full") + "SELECT * FROM said")
 def batch_validate(spark, d):
     return _validated(spark, d, "full")
 
 
-@query(_kept("v3"))
+@query(_staying("v3") + "SELECT * FROM said")
 def batch_validate_v3(spark, d):
     return _validated(spark, d, "v3")
 
 
-@query(_kept("v2"))
+@query(_staying("v2") + "SELECT * FROM said")
 def batch_validate_v2(spark, d):
     return _validated(spark, d, "v2")
 
 
+@query(_staying("full") + """
+    , used AS (SELECT batch_number AS o, lower(source) AS k FROM said WHERE source <> 'PAPER' UNION SELECT batch_number, lower(target) FROM said),
+    each_entity AS (SELECT o, f, p - 1 AS n, ents[p] AS e FROM held, unnest(range(1, len(ents) + 1)) AS u(p))
+    SELECT 'src' || f || '.pdf' AS source_file, CAST(o AS INTEGER) AS batch_number, CAST(row_number() OVER (PARTITION BY o ORDER BY n) - 1 AS INTEGER) AS place, e.name AS name, e.type AS type, array_to_string(e.aliases, '|') AS aliases, array_to_string(e.evidence, ',') AS evidence
+    FROM each_entity WHERE o IN (SELECT o FROM used) AND (n = 0 OR (o, lower(e.name)) IN (SELECT (o, k) FROM used))""")
+def batch_entities(spark, d):
+    """The entities that validated batches keep, merged in the order in which they claim names."""
+    proof = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["chunk_id"], e["page"].cast("string"))), ",")
+    return records.kept_entities(A.raw_batches(spark, d)).withColumn("aliases", F.array_join("aliases", "|")).withColumn("evidence", proof)
+
+
+@query(_staying("full") + """
+    , per AS (SELECT batch_number, source_file, count(*) AS n_relations, string_agg(source || ' ' || relation || ' ' || target, '; ' ORDER BY lower(source), relation, lower(target)) AS relations FROM said GROUP BY 1, 2)
+    SELECT 'src' || f || '.pdf' AS source_file, CAST(o AS INTEGER) AS batch_number, CAST(o AS VARCHAR) AS chunk_ids, 'Focal ' || f AS focal, CAST(coalesce(n_relations, 0) AS BIGINT) AS n_relations, coalesce(relations, '') AS relations, n_relations IS NULL AS no_entities FROM (SELECT DISTINCT o, f FROM line) LEFT JOIN per ON batch_number = o""")
+def batch_records(spark, d):
+    """Validated batches as they are written, also those of which nothing stays."""
+    kept = records.records(A.raw_batches(spark, d))
+    line = F.transform("relations", lambda x: F.struct(F.lower(x["source"]), x["type"], F.lower(x["target"]), F.concat_ws(" ", x["source"], x["type"], x["target"]).alias("line")))
+    shown = F.array_join(F.transform(F.sort_array(line), lambda x: x["line"]), "; ").alias("relations")
+    return kept.select("source_file", "batch_number", F.array_join("chunk_ids", ",").alias("chunk_ids"), F.array_join(F.transform("focal_entities", lambda f: f["name"]), ",").alias("focal"), F.size("relations").cast("long").alias("n_relations"), shown, (F.size("entities") == 0).alias("no_entities"))
+
+
 # --- retrieval ---------------------------------------------------------------------------------------------------
 
 
@@ -569,10 +624,18 @@ def _bridge(spark, d):
 
 
 def _merged(spark, d):
-    lexical = retrieval.settled(retrieval.lexical_seeds(F.lit(A.QUESTION), A.nodes(spark, d)), retrieval.LEXICAL)
+    lexical = retrieval.settled(_lexical(spark, d), retrieval.LEXICAL)
     return retrieval.merge_seeds(lexical, retrieval.settled(_bridge(spark, d), retrieval.BRIDGE))
 
 
+def _lexical(spark, d):
+    return names.lexical_seeds(A.asked(spark, d), A.name_index(spark, d), retrieval.LEXICAL).drop("qid")
+
+
+def _lexical_v1(spark, d):
+    return names.lexical_seeds_v1(A.asked(spark, d), A.name_index(spark, d), retrieval.LEXICAL).drop("qid")
+
+
 def _fixed_seeds(spark, d):
     return A.nodes(spark, d).filter(F.col("key").isin([f"Method::supplier#00000000{i}" for i in range(3)]))
 
@@ -583,12 +646,12 @@ def _focal(spark, d):
 
 @query(with_(NODES, LEXICAL, then="SELECT * FROM lexical"))
 def lexical_seeds(spark, d):
-    return retrieval.lexical_seeds(F.lit(A.QUESTION), A.nodes(spark, d))
+    return _lexical(spark, d)
 
 
 @query(with_(NODES, then=f"SELECT key, name, entity_type, CAST(row_number() OVER (ORDER BY length(name) DESC, key) AS INTEGER) AS rank FROM nodes WHERE name <> '' AND (contains(lower('{A.QUESTION}'), lower(name)) OR len(list_filter(aliases, lambda a: length(a) >= 4 AND contains(lower('{A.QUESTION}'), lower(a)))) > 0) QUALIFY rank <= 8"))
 def lexical_seeds_v1(spark, d):
-    return retrieval.lexical_seeds_v1(F.lit(A.QUESTION), A.nodes(spark, d))
+    return _lexical_v1(spark, d)
 
 
 @query(with_(NODES, SUPPORT, HITS.format(k=6), BRIDGE, then="SELECT * FROM bridge"))
@@ -660,7 +723,7 @@ def node_neighbors(spark, d):
 @query(with_(NODES, SUPPORT, HITS.format(k=6), LEXICAL, BRIDGE, then=f"SELECT 'model' AS channel, '{prompts.direct(A.QUESTION)}' AS item, 1 AS rank UNION ALL SELECT 'vector', CAST(vec_id AS VARCHAR), rank FROM hits UNION ALL SELECT 'lexical', key, rank FROM lexical UNION ALL SELECT 'bridge', key, rank FROM bridge"))
 def compare_channels(spark, d):
     one = _hits(spark, d).select(F.lit("vector").alias("channel"), F.col("vec_id").cast("string").alias("item"), "rank")
-    two = retrieval.lexical_seeds(F.lit(A.QUESTION), A.nodes(spark, d)).select(F.lit("lexical").alias("channel"), F.col("key").alias("item"), "rank")
+    two = _lexical(spark, d).select(F.lit("lexical").alias("channel"), F.col("key").alias("item"), "rank")
     alone = hybrid.compared(A.QUESTION, echo, {})["model"]
     one = one.unionByName(spark.createDataFrame([("model", alone, 1)], "channel string, item string, rank int"))
     return one.unionByName(two).unionByName(_bridge(spark, d).select(F.lit("bridge").alias("channel"), F.col("key").alias("item"), "rank"))
@@ -725,11 +788,71 @@ def toy_hybrid(spark, d):
 def hybrid_query_v1(spark, d):
     nodes = A.nodes(spark, d)
     hits = _hits(spark, d, 5).select(F.col("vec_id").alias("chunk_id"))
-    lexical = retrieval.lexical_seeds_v1(F.lit(A.QUESTION), nodes).withColumn("seed_source", F.lit("lexical"))
+    lexical = _lexical_v1(spark, d).withColumn("seed_source", F.lit("lexical"))
     seeds = retrieval.merge_seeds(lexical, retrieval.bridge_seeds(hits, A.support(spark, d), nodes), 6)
     return retrieval.rank_facts_v1(kg_store.edges(retrieval.touching(A.graph(spark, d), seeds))).select("rank", "source_key", "relation", "target_key", "evidence_count")
 
 
+MANY = f"""
+    qs AS (SELECT s_suppkey AS qid, 'How does ' || s_name || ' using ' || p_brand || ' compare on ' || c_mktsegment || ' orders?' AS question FROM supplier JOIN part ON p_partkey = s_suppkey JOIN customer ON c_custkey = s_suppkey WHERE s_suppkey IN (SELECT vec_id FROM embeddings)),
+    ev0 AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+    m_hits AS (SELECT qid, e.vec_id, list_dot_product(e.v, q.v) AS cosine, CAST(row_number() OVER (PARTITION BY qid ORDER BY list_dot_product(e.v, q.v) DESC, e.vec_id) AS INTEGER) AS rank FROM qs JOIN ev0 q ON q.vec_id = qid CROSS JOIN ev0 e QUALIFY rank <= 6),
+    spelled AS (SELECT key, name, entity_type, unnest(list_distinct(list_concat([name], aliases))) AS m FROM nodes),
+    m_lex AS (SELECT qid, key, name, entity_type, arg_max(m, (length(m), m)) AS matched_text FROM qs, spelled WHERE regexp_matches(lower(question), '(^|[^a-z0-9])' || regexp_escape(lower(m)) || '([^a-z0-9]|$)') GROUP BY ALL),
+    m_lexical AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY length(matched_text) DESC, key) AS INTEGER) AS rank FROM m_lex QUALIFY rank <= 8),
+    m_counted AS (SELECT qid, entity_key, count(DISTINCT chunk_id) AS support_count FROM sup JOIN m_hits ON chunk_id = vec_id GROUP BY 1, 2),
+    m_bridge AS (SELECT qid, key, name, entity_type, support_count, row_number() OVER (PARTITION BY qid ORDER BY support_count DESC, name, key) AS rank FROM m_counted JOIN nodes ON entity_key = key QUALIFY rank <= 6),
+    m_both AS (SELECT qid, key, name, entity_type, 'lexical' AS seed_source, 0 AS c, rank AS r FROM m_lexical UNION ALL SELECT qid, key, name, entity_type, 'vector_bridge', 1, rank FROM m_bridge),
+    m_once AS (SELECT * FROM m_both QUALIFY row_number() OVER (PARTITION BY qid, key ORDER BY c, r) = 1),
+    m_seeds AS (SELECT qid, key, name, entity_type, seed_source, CAST(row_number() OVER (PARTITION BY qid ORDER BY c, r) AS INTEGER) AS rank FROM m_once QUALIFY rank <= 10),
+    m_near1 AS (SELECT DISTINCT s.qid, e.* FROM edges e JOIN m_seeds s ON s.key = e.source_key UNION SELECT s.qid, e.* FROM edges e JOIN m_seeds s ON s.key = e.target_key),
+    m_hop1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {ORDER}) AS rank FROM m_near1 QUALIFY rank <= 32),
+    m_ends AS (SELECT qid, rank AS r, 0 AS side, source_key AS key, source AS name, source_type AS entity_type FROM m_hop1 UNION ALL SELECT qid, rank, 1, target_key, target, target_type FROM m_hop1),
+    m_fresh AS (SELECT qid, key, name, entity_type, min((r, side)) AS o FROM m_ends WHERE entity_type IN ('Method', 'Model') AND key IN (SELECT 'Method::' || lower(s_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey) AND (qid, key) NOT IN (SELECT (qid, key) FROM m_seeds) GROUP BY ALL),
+    m_more AS (SELECT qid, key, name, entity_type, CAST(row_number() OVER (PARTITION BY qid ORDER BY o) AS INTEGER) AS rank FROM m_fresh QUALIFY rank <= 6),
+    m_near2 AS (SELECT s.qid, e.* FROM edges e JOIN m_more s ON s.key = e.source_key UNION SELECT s.qid, e.* FROM edges e JOIN m_more s ON s.key = e.target_key),
+    m_hop2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {ORDER}) AS rank FROM m_near2 QUALIFY rank <= 28),
+    m_either AS (SELECT * EXCLUDE (rank) FROM m_hop1 UNION SELECT * EXCLUDE (rank) FROM m_hop2),
+    m_facts AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY {ORDER}) AS INTEGER) AS rank FROM m_either QUALIFY rank <= 60)
+"""
+
+
+def _many(spark, d):
+    return questions.answers(A.questions(spark, d), table(spark, d, "embeddings"), "vec_id", A.name_index(spark, d), A.support(spark, d), A.nodes(spark, d), A.adjacent(spark, d), _focal(spark, d))
+
+
+@query(with_(EDGES, NODES, SUPPORT, MANY, then="SELECT qid, rank, source_key, relation, target_key, evidence_count FROM m_facts"))
+def questions_facts(spark, d):
+    """Facts of both hops for a question of each supplier."""
+    return _many(spark, d).facts.select("qid", "rank", "source_key", "relation", "target_key", "evidence_count")
+
+
+@query(with_(EDGES, NODES, SUPPORT, MANY, then="SELECT qid, 'seed' AS what, key AS item, rank FROM m_seeds UNION ALL SELECT qid, 'further', key, rank FROM m_more UNION ALL SELECT qid, 'hit', CAST(vec_id AS VARCHAR), rank FROM m_hits"))
+def questions_seeds(spark, d):
+    """What leads to the facts: hits, and seeds of both hops, for a question of each supplier."""
+    found = _many(spark, d)
+    shown = lambda df, what, item: df.select("qid", F.lit(what).alias("what"), F.col(item).cast("string").alias("item"), "rank")
+    return shown(found.seeds, "seed", "key").unionByName(shown(found.further, "further", "key")).unionByName(shown(found.hits, "hit", "vec_id"))
+
+
+@query(with_(EDGES, NODES, SUPPORT, MANY, then="""
+    , m_each AS (SELECT DISTINCT f.qid, f.rank AS r, e.chunk_id FROM m_facts f JOIN ev e ON f.source = e.source AND f.relation = e.relation AND f.target = e.target AND f.target_type = e.target_type),
+    m_first AS (SELECT qid, chunk_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY min(r), chunk_id) AS INTEGER) AS rank FROM m_each GROUP BY qid, chunk_id QUALIFY rank <= 14)
+    SELECT qid, rank, chunk_id, o_orderpriority FROM m_first JOIN orders ON o_orderkey = chunk_id"""))
+def questions_provenance(spark, d):
+    """The chunks behind the facts, for a question of each supplier."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), "o_orderpriority")
+    return questions.provenance(_many(spark, d).facts, A.graph(spark, d).by_source, orders).select("qid", "rank", "chunk_id", "o_orderpriority")
+
+
+@query(with_(NODES, EDGES, then=f"""
+    , ends AS (SELECT source_key AS node, * FROM edges UNION ALL SELECT target_key, * FROM edges WHERE source_key <> target_key)
+    SELECT node, source_key, relation, target_key, evidence_count FROM ends QUALIFY row_number() OVER (PARTITION BY node ORDER BY {ORDER}) <= 32"""))
+def adjacent_facts(spark, d):
+    """The best edges at each node."""
+    return questions.adjacent(A.edges(spark, d)).select("node", "source_key", "relation", "target_key", "evidence_count")
+
+
 # --- ad-hoc graph queries ----------------------------------------------------------------------------------------
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Mapping
 from dataclasses import MISSING, dataclass, fields
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "lodestone", cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -82,6 +83,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage is cut, and lost executors cost only their tasks. It goes when the
+    driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    held, system = file_system(spark, path)
+    system.deleteOnExit(held)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def file_system(spark: SparkSession, path: str):
     """Hadoop's path and file system."""
     held = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import schemas
-from lodestone.operators import chunking, kg_build, kg_store, retrieval, vectors
+from lodestone.operators import chunking, kg_build, kg_store, ordering, records, retrieval, vectors
 
 
 def slow_windows(text, size=220, overlap=40):
@@ -32,12 +32,57 @@ def test_windows(spark):
     assert rows[0]["chunk_id"] == "p_p001_c001" and chunking.windows(df).schema.names == schemas.CHUNK_COLUMNS
 
 
+def test_layout_and_cut(spark):
+    texts = {n: "  ".join(f"w{i}é" for i in range(n)) for n in (0, 1, 221, 1000)}
+    pages = spark.createDataFrame([("p", "p.pdf", n, t) for n, t in texts.items()] + [(None, None, 7, "no paper"), ("p", "p.pdf", 5000, None)], "paper_id string, source_file string, page int, text string")
+    whole, bounds = chunking.windows(pages), chunking.layout(pages)
+    assert bounds.columns == [c for c in schemas.CHUNK_COLUMNS if c != "text"]
+    assert sorted(map(str, bounds.collect())) == sorted(map(str, whole.drop("text").collect()))
+    assert sorted(map(str, chunking.cut(bounds, pages).collect())) == sorted(map(str, whole.collect()))
+    counts = chunking.counted(pages)
+    assert {(r["paper_id"], r["page"]): r["n_windows"] for r in counts.collect()} == {("p", 1): 1, ("p", 221): 2, ("p", 1000): 6, (None, 7): 1}
+    assert sorted(str(r["chunk_id"]) for r in chunking.chunk_ids(counts).collect()) == sorted(str(r["chunk_id"]) for r in whole.collect())
+    assert {r["paper_id"]: (r["n_chunks"], r["n_pages"]) for r in chunking.per_paper(counts).collect()} == {"p": (9, 3), None: (1, 1)}
+
+
 def test_batches(spark):
-    df = spark.createDataFrame([(f"p{i % 2}", i, 1, f"c{i:03d}") for i in range(50)], "paper_id string, page int, chunk_index int, chunk_id string")
-    rows = chunking.batches(df).collect()
-    assert max(r["batch_number"] for r in rows) == 3 and sum(r["batch_number"] == 3 for r in rows) == 2
-    assert chunking.expected_batches(df).head()["n_batches"] == 2 * math.ceil(25 / 12)
-    assert {r["position"] for r in chunking.heads(df).collect()} == set(range(1, 9))
+    counts = spark.createDataFrame([(f"p{i % 2}", i, 1 + i % 3) for i in range(50)] + [(None, 3, 4)], "paper_id string, page int, n_windows long").repartition(5)
+    want = {}
+    for paper, page, n in sorted(((r["paper_id"] or "", r["page"], r["n_windows"]) for r in counts.collect())):
+        want.setdefault(paper, []).extend((page, k + 1) for k in range(n))
+    placed = chunking.numbered(counts)
+    got = {(r["paper_id"] or "", r["page"], r["chunk_index"]): r["position"] for r in placed.collect()}
+    assert got == {(p, *x): k for p, v in want.items() for k, x in enumerate(v, 1)}
+    batched = chunking.batches(placed).collect()
+    assert all(r["batch_number"] == (got[r["paper_id"] or "", r["page"], r["chunk_index"]] - 1) // 12 + 1 for r in batched)
+    assert chunking.expected_batches(counts).head()["n_batches"] == sum(math.ceil(len(v) / 12) for v in want.values())
+    assert chunking.expected_batches(counts.limit(0)).head()["n_batches"] == 0 and chunking.numbered(counts.limit(0)).count() == 0
+    assert {r["position"] for r in chunking.heads(placed).collect()} == set(range(1, 9))
+    assert all(len(r["chunk_ids"]) <= 12 for r in chunking.batch_lists(placed).collect())
+
+
+def test_order_of_any_size(spark):
+    """One value has most of the rows; ranges cut through it."""
+    g = random.Random(2)
+    rows = [(g.choice(["hub"] * 8 + ["a", "z", None]), i, g.randint(0, 5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "name string, id int, v int").repartition(7)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        ranked = ordering.ranked_whole(df, ["name", F.col("id").desc()]).collect()
+        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", -r[1]))
+        assert [(r["name"], r["id"]) for r in sorted(ranked, key=lambda r: r["rank"])] == [r[:2] for r in order] and {r["rank"] for r in ranked} == set(range(1, 3001))
+        sums = {r["id"]: r["before"] for r in ordering.running_totals(df, ["name"], ["id"], "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    for name in ("hub", "a", "z", None):
+        total = 0
+        for _, i, v in sorted((r for r in rows if r[0] == name), key=lambda r: r[1]):
+            assert sums[i] == total
+            total += v
+    assert ordering.ranked_whole(df.limit(0), ["id"]).count() == 0
+    plan = ordering.ranked_whole(df, ["id"])._jdf.queryExecution().toString()
+    assert "Window" not in plan
 
 
 def test_latest_and_pending(spark):
@@ -90,22 +135,67 @@ def test_evidence(spark):
     assert (row["evidence_chunk_ids"], row["evidence_pages"], row["evidence_count"]) == (["c1", "c2"], [1, 3], 2)
 
 
+def _proof(c, p):
+    return {"chunk_id": c, "page": p}
+
+
+def _said(name, kind, aliases=(), *evidence):
+    return {"name": name, "type": kind, "aliases": list(aliases), "evidence": [_proof(*x) for x in evidence]}
+
+
+def _rel(source, kind, target, *evidence):
+    return {"source": source, "type": kind, "target": target, "evidence": [_proof(*x) for x in evidence]}
+
+
+def _record(spark, focal, entities, relations, chunks=("c1", "c2")):
+    return spark.createDataFrame([("a.pdf", "a", 1, list(chunks), focal, entities, relations)], schemas.RAW)
+
+
 def test_validated(spark):
-    e = lambda c, p: {"chunk_id": c, "page": p}
-    raw = [
-        ("a.pdf", "a", 1, ["c1", "c2"], [{"name": "Deep Field", "type": "Method", "aliases": ["DF"]}],
-         [{"name": "deep field", "type": "Method", "aliases": [], "evidence": [e("c1", 1)]}, {"name": "Loss", "type": "Concept", "aliases": ["objective"], "evidence": [e("c1", 1)]}, {"name": "Speed", "type": "Metric", "aliases": [], "evidence": []}],
-         [{"source": "PAPER", "type": "INTRODUCES", "target": "DF", "evidence": [e("c1", 1)]}, {"source": "DF", "type": "USES", "target": "Objective", "evidence": [e("c9", 2)]}, {"source": "df", "type": "USES", "target": "loss", "evidence": [e("c2", 2)]},
-          {"source": "PAPER", "type": "USES", "target": "Loss", "evidence": []}, {"source": "Loss", "type": "USES", "target": "Deep Field", "evidence": []}, {"source": "DF", "type": "USES", "target": "Speed", "evidence": []}, {"source": "DF", "type": "BASED_ON", "target": "Loss", "evidence": []}]),
-        ("b.pdf", "b", 1, ["c3"], [], [], []),
-    ]
-    _raw = lambda spark: spark.createDataFrame(raw, schemas.RAW)
-    names = lambda policy, **k: sorted((r["source"], r["relation"], r["target"]) for r in kg_build.validated(_raw(spark), policy, **k).collect())
+    focal = [{"name": "Deep Field", "type": "Method", "aliases": ["DF"]}]
+    entities = [_said("deep field", "Method", [], ("c1", 1)), _said("Loss", "Concept", ["objective"], ("c1", 1)), _said("Speed", "Metric")]
+    relations = [_rel("PAPER", "INTRODUCES", "DF", ("c1", 1)), _rel("DF", "USES", "Objective", ("c9", 2)), _rel("df", "USES", "loss", ("c2", 2)), _rel("PAPER", "USES", "Loss"), _rel("Loss", "USES", "Deep Field"), _rel("DF", "USES", "Speed"), _rel("DF", "BASED_ON", "Loss"), _rel("deep field", "USES", "Speed"), _rel("Deep Field", "BASED_ON", "Loss")]
+    raw = _record(spark, focal, entities, relations).unionByName(spark.createDataFrame([("b.pdf", "b", 1, ["c3"], [], [], [])], schemas.RAW))
+    names = lambda policy, **k: sorted((r["source"], r["relation"], r["target"]) for r in records.validated(raw, policy, **k).collect())
     assert names("full") == [("Deep Field", "USES", "Loss"), ("PAPER", "INTRODUCES", "Deep Field")]
-    assert ("Deep Field", "USES", "Speed") in names("v3") and ("Deep Field", "BASED_ON", "Loss") not in names("v3")
-    assert ("Deep Field", "BASED_ON", "Loss") in names("v2")
-    strict = {r["relation"]: r["evidence"] for r in kg_build.validated(_raw(spark), strict_evidence=True).collect()}
+    assert names("v3") == [("deep field", "USES", "Speed")]  # DF is no entity of the batch, and concepts only are based on concepts
+    assert names("v2") == [("deep field", "BASED_ON", "Loss"), ("deep field", "USES", "Speed")]
+    strict = {r["relation"]: r["evidence"] for r in records.validated(raw, strict_evidence=True).collect()}
     assert strict["USES"] == [] and len(strict["INTRODUCES"]) == 1
+    kept = {r["source_file"]: r for r in records.records(raw).collect()}
+    assert [e["name"] for e in kept["a.pdf"]["entities"]] == ["Deep Field", "Loss"] and kept["b.pdf"]["entities"] == [] and kept["a.pdf"]["chunk_ids"] == ["c1", "c2"]
+    assert {e["name"] for e in records.kept_entities(raw, "v2").collect()} == {"deep field", "Loss", "Speed"}
+    assert {e["name"] for e in records.kept_entities(raw, "v3").collect()} == {"deep field", "Speed"}
+
+
+def test_names_that_are_earlier_aliases(spark):
+    """An entity that goes by an earlier one's alias is that one; its own type does not count."""
+    focal = [{"name": "Foc", "type": "Method", "aliases": ["F"]}]
+    raw = _record(spark, focal, [_said("Alpha", "Concept", ["A"], ("c1", 1)), _said("A", "Task", ["Alef", "alef", "Alpha"], ("c1", 2), ("c1", 2)), _said("Alef", "Task", [], ("c2", 1))], [_rel("Foc", "ADDRESSES", "A"), _rel("F", "USES", "a"), _rel("Foc", "ADDRESSES", "alef")])
+    kept = records.records(raw).head()
+    # Alpha gains aliases and evidence; an alias that it gained is not looked up, so Alef is a task of its own.
+    assert [(r["source"], r["type"], r["target"]) for r in kept["relations"]] == [("Foc", "USES", "Alpha"), ("Foc", "ADDRESSES", "Alef")]
+    alpha = kept["entities"][1]
+    assert (alpha["name"], alpha["type"], alpha["aliases"]) == ("Alpha", "Concept", ["A", "Alef", "Alpha"])
+    assert [(e["chunk_id"], e["page"]) for e in alpha["evidence"]] == [("c1", 1), ("c1", 2), ("c1", 2)]
+    assert [e["name"] for e in kept["entities"]] == ["Foc", "Alpha", "Alef"]
+
+
+def test_claims_on_focal_aliases(spark):
+    """A later entity may claim the alias of a focal method as a target; as a source it stays the focal method."""
+    focal = [{"name": "Foc", "type": "Method", "aliases": ["F"]}]
+    raw = _record(spark, focal, [_said("Thing", "Concept", ["F"]), _said("f", "Dataset", ["deep"], ("c1", 7)), _said("no relation", "Task")], [_rel("F", "USES", "F"), _rel("PAPER", "INTRODUCES", "F"), _rel("PAPER", "INTRODUCES", "foc"), _rel("Foc", "EVALUATES_ON", "deep")])
+    kept = records.records(raw).head()
+    assert [(r["source"], r["type"], r["target"]) for r in kept["relations"]] == [("Foc", "USES", "Thing"), ("PAPER", "INTRODUCES", "Foc")]
+    foc = kept["entities"][0]
+    assert (foc["name"], foc["aliases"], foc["evidence"][0]["page"]) == ("Foc", ["F", "deep"], 7) and [e["name"] for e in kept["entities"]] == ["Foc", "Thing"]
+
+
+def test_records_of_odd_shapes(spark):
+    nothing = spark.createDataFrame([("a.pdf", None, None, None, None, None, None), ("b.pdf", "b", 2, ["c"], None, [None, _said(None, "Task"), _said(" x ", None)], [None, _rel(None, "USES", "x"), _rel("PAPER", None, "x")])], schemas.RAW)
+    for policy in ("full", "v2", "v3"):
+        assert [(r["entities"], r["relations"]) for r in records.records(nothing, policy).collect()] == [([], [])] * 2
+        assert records.validated(nothing.limit(0), policy).count() == 0
 
 
 def test_store(spark):

@@ -62,16 +62,98 @@ def test_ask(spark):
     assert {r["prompt"]: r["answer"] for r in models.ask(calls, model).collect()} == {"good": "GOOD", "bad": None}
 
 
-def test_ingest(spark, tmp_path):
+def _lines(ids):
+    return "".join(json.dumps({"chunk_id": i, "text": i}) + "\n" for i in ids)
+
+
+def _ingest(spark, tmp_path, extract, **more):
     source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    ingest.ingest(ingest.chunk_stream(spark, source), extract, out, mark, **more).awaitTermination()
+    return ingest.Journal(spark, out)
+
+
+def _states(journal):
+    return {r["chunk_id"]: (r["state"], r["attempts"]) for r in journal.ledger().collect()}
+
+
+def test_ingest(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    upper = lambda df: df.select("chunk_id", F.upper("text").alias("t"))
+    (tmp_path / "in" / "1.json").write_text(_lines(["a", "b"]))
+    _ingest(spark, tmp_path, upper)
+    (tmp_path / "in" / "2.json").write_text(_lines(["b", "c", "c"]))
+    journal = _ingest(spark, tmp_path, upper)
+    assert sorted(r["chunk_id"] for r in journal.rows().collect()) == ["a", "b", "c"]
+    assert _states(journal) == {x: ("done", 1) for x in "abc"} and journal.open().isEmpty()
+
+
+def test_failed_batches_stay_open(spark, tmp_path):
+    """A model that is down for one chunk, three times, leaves it open; the next run takes it up again."""
+    (tmp_path / "in").mkdir()
+    up = tmp_path / "up"
+
+    def model(text):
+        if text == "bad" and not up.exists():
+            raise RuntimeError("down")
+        return json.dumps({"k": text})
+
+    extract = lambda df: models.ask_json(df.select("chunk_id", "text"), model, "k STRING", "text")
+    (tmp_path / "in" / "1.json").write_text(_lines(["ok", "bad"]))
+    journal = _ingest(spark, tmp_path, extract)
+    assert _states(journal) == {"ok": ("done", 1), "bad": ("open", 1)}
+    assert [r["chunk_id"] for r in journal.rows().collect()] == ["ok"] and [r["text"] for r in journal.open().collect()] == ["bad"]
+    (tmp_path / "in" / "2.json").write_text(_lines(["ok", "new"]))
+    journal = _ingest(spark, tmp_path, extract)
+    assert _states(journal) == {"ok": ("done", 1), "bad": ("open", 2), "new": ("done", 1)}
+    up.write_text("")
+    journal = _ingest(spark, tmp_path, extract)  # no new file is needed
+    assert _states(journal)["bad"] == ("done", 3) and journal.open().isEmpty()
+    assert sorted((r["chunk_id"], r["record"]["k"]) for r in journal.rows().collect()) == [("bad", "bad"), ("new", "new"), ("ok", "ok")]
+
+
+def test_rows_and_ledger_agree_after_a_kill(spark, tmp_path, monkeypatch):
+    from lodestone.sources.manifest import Manifest
+
     (tmp_path / "in").mkdir()
-    rows = lambda ids: "".join(json.dumps({"chunk_id": i, "text": i}) + "\n" for i in ids)
-    run = lambda: ingest.ingest(ingest.chunk_stream(spark, source), lambda df: df.select("chunk_id", F.upper("text").alias("t")), out, mark).awaitTermination()
-    (tmp_path / "in" / "1.json").write_text(rows(["a", "b"]))
-    run()
-    (tmp_path / "in" / "2.json").write_text(rows(["b", "c", "c"]))
-    run()
-    assert sorted(r["chunk_id"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+    (tmp_path / "in" / "1.json").write_text(_lines(["a", "b"]))
+    upper = lambda df: df.select("chunk_id", F.upper("text").alias("t"))
+    whole = Manifest.commit
+
+    def killed(self, *args):
+        raise RuntimeError("killed before the commit")
+
+    monkeypatch.setattr(Manifest, "commit", killed)
+    with pytest.raises(Exception, match="killed"):
+        _ingest(spark, tmp_path, upper)
+    journal = ingest.Journal(spark, str(tmp_path / "out"))
+    assert journal.rows() is None and journal.ledger() is None
+
+    def killed_after(self, *args):
+        whole(self, *args)
+        raise RuntimeError("killed after the commit")
+
+    monkeypatch.setattr(Manifest, "commit", killed_after)
+    with pytest.raises(Exception, match="killed"):
+        _ingest(spark, tmp_path, upper)
+    monkeypatch.setattr(Manifest, "commit", whole)
+    journal = _ingest(spark, tmp_path, upper)
+    assert sorted(r["t"] for r in journal.rows().collect()) == ["A", "B"] and _states(journal) == {"a": ("done", 1), "b": ("done", 1)}
+
+
+def test_journal_levels(spark, tmp_path):
+    journal = ingest.Journal(spark, str(tmp_path / "j"))
+    one = lambda i: spark.createDataFrame([(f"c{i % 4}", i)], "chunk_id string, n int")
+    bad = lambda df: df.withColumn("record", F.when(F.col("n") >= 4, F.col("n")))
+    for i in range(7):
+        journal.attempt(one(i), bad, give_up=5)
+        journal.compact(most=3)
+    parts = journal.manifest.current()[1]["parts"]
+    assert sorted(p["level"] for p in parts) == [0, 1, 1]
+    assert _states(journal) == {"c0": ("done", 2), "c1": ("done", 2), "c2": ("done", 2), "c3": ("open", 1)}
+    assert sorted(r["n"] for r in journal.rows().collect()) == [4, 5, 6] and [r["n"] for r in journal.open().collect()] == [3]
+    for _ in range(4):
+        journal.attempt(journal.open(), bad, give_up=5)
+    assert _states(journal)["c3"] == ("failed", 5) and journal.open().isEmpty()
 
 
 def test_answer(spark):

@@ -7,7 +7,7 @@ from lodestone import schemas
 from lodestone.operators import chunking, kg_store, retrieval, vectors
 from lodestone.plans import hybrid
 from lodestone.session import Config
-from lodestone.sources import files, models, prompts, store
+from lodestone.sources import files, manifest, models, prompts, store
 
 
 def rows(df, *columns):
@@ -26,12 +26,66 @@ def test_store_tables(spark, tmp_path):
     s.replace("t", spark.createDataFrame([("d", 1), ("e", 1)], "k string, v int"), "v")
     assert rows(s.read("t"), "k", "v") == [("b", 2), ("c", 8), ("d", 1), ("e", 1)]
     assert len(s.versions("t")) == 2 and s.state("t").head()["n"] == 4
-    (tmp_path / "t" / "v99").mkdir()  # what a failed job left
-    assert s.versions("t")[-1] < 99
+    (tmp_path / "t" / "data" / "left").mkdir()  # what a failed job left
+    assert rows(s.read("t"), "k") == [("b",), ("c",), ("d",), ("e",)]
     s.drop("t")
     assert s.read("t") is None
 
 
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path), buckets=16)
+    s.upsert("t", spark.range(200).selectExpr("id AS k", "id AS v"), ["k"])
+    before = s.parts("t")
+    s.upsert("t", spark.createDataFrame([(3, 30), (500, 1)], "k long, v long"), ["k"])
+    after = s.parts("t")
+    moved = {b for b in after if after[b] != before.get(b)}
+    assert 1 <= len(moved) <= 2 and set(before) <= set(after)
+    assert all((tmp_path / "t" / after[b]).is_dir() for b in after)
+    want = {k: (30 if k == 3 else k) for k in range(200)} | {500: 1}
+    assert dict(rows(s.read("t"), "k", "v")) == want
+    s.replace("t", s.read("t").filter("k < 0"), "k", spark.createDataFrame([(k,) for k in range(150)], "k long"))  # a removal
+    assert dict(rows(s.read("t"), "k", "v")) == {k: v for k, v in want.items() if k >= 150}
+    for _ in range(3):
+        s.upsert("t", spark.createDataFrame([(500, 2)], "k long, v long"), ["k"])
+    held = {p.name for p in (tmp_path / "t" / "data").iterdir() if any(p.iterdir())}
+    assert len(s.versions("t")) == 2 and len(held) <= 20  # what no version names is gone
+    s.upsert("t", spark.createDataFrame([], "k long, v long"), ["k"])
+    assert s.read("t").count() == 51
+    s.upsert("u", spark.createDataFrame([], "k long, v long"), ["k"])
+    assert s.read("u") is None or s.read("u").isEmpty()
+
+
+def test_loads_do_not_depend_on_partitions(spark, tmp_path):
+    rel = [("Entity", "a", "USES", "b", i, [(f"c{i}", i)]) for i in range(8)] + [("Paper", "p", "INTRODUCES", "a", i, [(f"c{i}", i)]) for i in range(5)]
+    df = spark.createDataFrame(rel, f"source_kind string, source string, relation string, target string, seq int, evidence {schemas.EVIDENCE}")
+    lookup = spark.createDataFrame([("a", "Method::a"), ("b", "Concept::b")], "spelled string, key string")
+    for n in (1, 3, 8):
+        own, papers = kg_store.loadable(df.repartition(n), lookup)
+        assert [r["evidence"][0]["chunk_id"] for r in own.collect()] == ["c7"] and [r["seq"] for r in papers.collect()] == [4]
+        own, papers = kg_store.loadable(df.drop("seq").repartition(n), lookup)
+        assert [r["evidence"][0]["chunk_id"] for r in own.collect()] == ["c7"] and len(papers.collect()) == 1
+        s = store.Store(spark, str(tmp_path / str(n)), buckets=4)
+        s.upsert("t", df.select("source", "seq", "evidence").repartition(n), ["source"], ["seq"])
+        assert rows(s.read("t"), "source", "seq") == [("a", 7), ("p", 4)]
+
+
+def test_one_of_two_writers_begins_again(spark, tmp_path):
+    one, two = manifest.Manifest(spark, str(tmp_path)), manifest.Manifest(spark, str(tmp_path))
+    one.commit(0, {"n": 1})
+    with pytest.raises(manifest.Conflict):
+        two.commit(0, {"n": 9})
+    seen = []
+
+    def add(content):
+        seen.append(content["n"])
+        if len(seen) == 1:
+            one.commit(1, {"n": 5})
+        return {"n": content["n"] + 1}
+
+    assert two.change(add) == 3 and seen == [1, 5] and one.current() == (3, {"n": 6})
+    assert one.change(lambda content: None) == 3
+
+
 def test_store_graph(spark, tmp_path):
     s = store.Store(spark, str(tmp_path))
     pages = spark.createDataFrame([("a", "a.pdf", 1, "one two"), ("b", "b.pdf", 1, "three")], "paper_id string, source_file string, page int, text string")
@@ -127,8 +181,34 @@ def test_one_entity(spark):
     assert hybrid.compared("Q", lambda p: p[:6], {"vector": "ctx"}) == {"model": "Answer", "vector": "Answer"}
 
 
-def test_ranked_by_groups(spark):
-    names = [("b", "x1"), ("a", "z"), ("a", "y"), ("b", "x0"), ("c", "w")]
-    df = spark.createDataFrame(names, "t string, n string").repartition(3)
-    got = vectors.ranked_by_groups(df, {"_t": F.col("t"), "_h": F.substring("n", 1, 1)}, [F.col("n")]).orderBy("rank").collect()
-    assert [(r["t"], r["n"]) for r in got] == sorted(names) and [r["rank"] for r in got] == [1, 2, 3, 4, 5]
+def test_kept_tables(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "shared")
+    monkeypatch.setattr(store, "shared_dir", lambda spark: base)
+    (tmp_path / "in").write_text("1")
+    built = []
+
+    def build(n):
+        built.append(n)
+        return spark.range(n)
+
+    ask = lambda n: store.kept(spark, "t", [str(tmp_path / "in")], lambda: build(n)).count()
+    assert (ask(3), ask(7)) == (3, 3) and built == [3]
+    monkeypatch.setattr(store, "code_version", lambda: "another")  # the code has changed
+    assert (ask(7), ask(8)) == (7, 7) and built == [3, 7]
+    (tmp_path / "in").write_text("more")
+    assert ask(9) == 9 and len([p for p in (tmp_path / "shared" / "kept").iterdir() if not p.name.startswith(".")]) == 2
+
+    def fails():
+        raise RuntimeError("no")
+
+    monkeypatch.setattr(store, "code_version", lambda: "broken")
+    with pytest.raises(RuntimeError):
+        store.kept(spark, "t", [str(tmp_path / "in")], fails)
+
+    def beaten():  # another driver is first
+        monkeypatch.setattr(store, "code_version", lambda: "broken")
+        assert ask(4) == 4
+        return spark.range(5)
+
+    assert store.kept(spark, "t", [str(tmp_path / "in")], beaten).count() == 4
+    assert not [p for p in (tmp_path / "shared" / "kept").iterdir() if p.name.startswith(".")]

@@ -14,6 +14,8 @@ from lodestone import schemas
 #: Unicode white space; the plain class is ASCII only.
 UNICODE_SPACE = r"(?U)\s+"
 ASCII_SPACE = r"[ \t\n\r\f]+"
+#: What is between such white space.
+TOKENS = {UNICODE_SPACE: r"(?U)\S+", ASCII_SPACE: r"[^ \t\n\r\f]+"}
 
 
 @F.pandas_udf(StringType())

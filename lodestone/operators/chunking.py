@@ -61,10 +61,10 @@ def cut(bounds: DataFrame, pages: DataFrame, pattern: str = X.UNICODE_SPACE) ->
 
 
 def counted(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, pattern: str = X.UNICODE_SPACE) -> DataFrame:
-    """paper_id, page, n_windows of the pages that have any: tokens are counted, and none is cut out."""
-    clean = pages.select("paper_id", "page", X.collapse(F.col("text"), pattern).alias("_t")).filter("_t <> ''")
-    n = F.char_length("_t") - F.char_length(F.replace("_t", F.lit(" "), F.lit(""))) + 1
-    return clean.select("paper_id", "page", (_last(n, size, size - overlap) + 1).cast("long").alias("n_windows"))
+    """paper_id, page, n_windows of the pages that have any: tokens are counted, and none is cut out. ``pattern`` is one of
+    ``text.TOKENS``."""
+    clean = pages.withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(X.TOKENS[pattern])), F.lit(0))).filter("_n > 0")
+    return clean.select("paper_id", "page", (_last(F.col("_n"), size, size - overlap) + 1).cast("long").alias("n_windows"))
 
 
 def numbered(counts: DataFrame) -> DataFrame:

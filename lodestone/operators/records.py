@@ -36,7 +36,7 @@ def _once(rows: DataFrame, **columns: Column) -> DataFrame:
 
 def _last(pairs: Column, key: Column) -> Column:
     """Of pairs with a key k, the one that was written last; null if there is none."""
-    return F.try_element_at(F.filter(pairs, lambda p: p["k"] == key), F.lit(-1))
+    return _let(key, lambda k: F.try_element_at(F.filter(pairs, lambda p: p["k"] == k), F.lit(-1)))
 
 
 def _first_of(items: Column, key: Callable[[Column], Column]) -> Column:

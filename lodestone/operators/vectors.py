@@ -1,21 +1,19 @@
-"""Vector search for a question, exact or by random projections, and a hashing embedder for offline use."""
+"""Vector search for a question, exact or by random projections, and a hashing embedder for offline use.
+
+``vector_index`` has the stored index."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.session import file_system
 
 TOP_K = 6
-PARTS = 64  # folders of a table of the stored index
 
 
 def top_k(vectors: DataFrame, query: list[float], id_col: str, k: int = TOP_K, vector: str = "embedding") -> DataFrame:
@@ -50,56 +48,6 @@ def lsh_top_k(vectors: DataFrame, query: list[float], id_col: str, k: int = TOP_
     return top_k(near.drop("_v", "_h", "distCol"), query, id_col, k, vector)
 
 
-class Index:
-    """A stored index of vectors: fitted projections, and the rows by bucket, so a search reads its buckets only.
-
-    It is absent, building (a build has begun and not ended, or failed) or online.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _there(self, name: str) -> bool:
-        path, system = file_system(self.spark, f"{self.path}/{name}" if name else self.path)
-        return system.exists(path)
-
-    def state(self) -> str:
-        return "online" if self._there("buckets/_SUCCESS") else "building" if self._there("") else "absent"
-
-    def create(self, vectors: DataFrame, id_col: str, vector: str = "embedding", tables: int = 12, length: float = 0.6, seed: int = 1) -> None:
-        """A row for each vector and table, dealt out by table and a hash of its bucket."""
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-
-        self.drop()
-        rows = vectors.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-        model = _projections(tables, length, seed).fit(rows)
-        model.write().save(f"{self.path}/model")
-        each = model.transform(rows).select(id_col, F.col(vector).alias("_x"), F.posexplode("_h").alias("_table", "_hash"))
-        held = each.withColumn("_bucket", vector_to_array("_hash")[0].cast("long")).drop("_hash").withColumn("_part", F.pmod(F.xxhash64("_bucket"), F.lit(PARTS)).cast("int"))
-        held.repartition("_table", "_part").write.partitionBy("_table", "_part").parquet(f"{self.path}/buckets")
-
-    def search(self, query: list[float], id_col: str, k: int = TOP_K) -> DataFrame:
-        """As ``top_k``, over the vectors that share a bucket with the query in some table."""
-        if self.state() != "online":
-            raise ValueError(f"the index is {self.state()}")
-        from pyspark.ml.feature import BucketedRandomProjectionLSHModel
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-
-        asked = self.spark.createDataFrame([([float(x) for x in query],)], "x array<double>").select(array_to_vector("x").alias("_v"))
-        hashed = BucketedRandomProjectionLSHModel.load(f"{self.path}/model").transform(asked)
-        at = hashed.select(F.posexplode("_h").alias("t", "h")).select("t", vector_to_array("h")[0].cast("long").alias("b")).collect()  # a row a table
-        held = self.spark.read.parquet(f"{self.path}/buckets")
-        here = self.spark.createDataFrame([tuple(r) for r in at], "_table int, _bucket long")
-        places = {(r["_table"], r["_part"]) for r in here.withColumn("_part", F.pmod(F.xxhash64("_bucket"), F.lit(PARTS)).cast("int")).collect()}
-        mine = held.filter(reduce(or_, [(F.col("_table") == t) & (F.col("_part") == p) for t, p in sorted(places)]))
-        near = mine.join(F.broadcast(here), ["_table", "_bucket"], "left_semi").select(id_col, F.col("_x").alias("embedding")).dropDuplicates([id_col])
-        return top_k(near, query, id_col, k)
-
-    def drop(self) -> None:
-        path, system = file_system(self.spark, self.path)
-        system.delete(path, True)
-
-
 def embed(rows: DataFrame, model: Callable[[list[str]], np.ndarray], dimensions: int, text: str = "text", out: str = "embedding") -> DataFrame:
     """Adds unit vectors by a model that maps a batch of texts to a matrix; a wrong width fails the task."""
 

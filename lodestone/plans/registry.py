@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from lodestone import schemas
 from lodestone.functions import text as X
-from lodestone.operators import chunking, kg_build, kg_store, names, ordering, questions, records, retrieval, vectors
+from lodestone.operators import chunking, kg_build, kg_store, names, ordering, questions, records, retrieval, vector_index, vectors
 from lodestone.plans import adapters as A
 from lodestone.plans import hybrid
-from lodestone.sources import files, prompts
+from lodestone.sources import document, files, graph_state, prompts
 from lodestone.sources.models import echo
-from lodestone.session import ensure_importable, table
+from lodestone.session import ensure_importable, shared_path, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -277,6 +277,18 @@ def vector_lsh(spark, d):
     return vectors.lsh_top_k(table(spark, d, "embeddings"), A.query_vector(spark, d), "vec_id")
 
 
+@query("SELECT vec_id, CASE WHEN vec_id % 7 = 3 THEN -1 ELSE label END AS label FROM embeddings WHERE vec_id % 10 <> 0")
+def index_upkeep(spark, d):
+    """What a vector index holds after a build, an append, a change and a removal."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    index = vector_index.Index(spark, shared_path(spark, "index"))
+    index.create(rows.filter("vec_id % 3 <> 0"), "vec_id")
+    index.append(rows.filter("vec_id % 3 = 0"))
+    index.append(rows.filter("vec_id % 7 = 3").withColumn("label", F.lit(-1).cast(rows.schema["label"].dataType)))
+    index.delete(rows.filter("vec_id % 10 = 0"))
+    return index.rows().select("vec_id", "label")
+
+
 @query(with_(HITS.format(k=10), then="SELECT h.rank, h.vec_id, round((1 + h.cosine) / 2, 4) AS score, replace(left(d.text, 180), chr(10), ' ') AS preview FROM hits h JOIN documents d ON d.doc_id = h.vec_id"))
 def hits_view(spark, d):
     hits = _hits(spark, d, 10)
@@ -425,6 +437,43 @@ def kg_stats(spark, d):
     return files.graph_stats(kg_build.first_entities(said), kg_build.relation_pool(rel.filter("reason is null")), dropped, raw)
 
 
+@query(with_(MENTIONS, RELATIONS, then="""
+    , votes AS (SELECT key, type, count(*) AS n, min(seq) AS first_seq FROM mentions WHERE type <> 'Gadget' GROUP BY key, type), won AS (SELECT key, type FROM votes QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, first_seq) = 1),
+    pooled AS (SELECT source_kind, lower(source) AS s, relation, lower(target) AS t, arg_min(source, seq) AS source, arg_min(target, seq) AS target, count(DISTINCT (chunk_id, page)) AS n FROM judged WHERE drop_reason IS NULL GROUP BY 1, 2, 3, 4),
+    ents AS (SELECT m.key, arg_min(m.name, m.seq) AS name, coalesce(any_value(won.type), 'Concept') AS type, count(DISTINCT (chunk_id, page)) AS n FROM mentions m LEFT JOIN won ON won.key = m.key GROUP BY m.key)
+    SELECT 'entity' AS what, name AS item, type AS kind, n FROM ents UNION ALL SELECT 'relation', source || ' to ' || target, source_kind || ' ' || relation, n FROM pooled
+    UNION ALL SELECT 'paper', s_name || '.pdf', 'Method', 1 FROM supplier UNION ALL SELECT 'metadata', 'entities', 'all', count(*) FROM ents UNION ALL SELECT 'metadata', 'relations', 'all', count(*) FROM pooled
+    UNION ALL SELECT 'dropped', drop_reason, 'all', count(*) FROM judged WHERE drop_reason IS NOT NULL GROUP BY drop_reason"""))
+def canonical_document(spark, d):
+    """A graph written as one document, and what is read back from it."""
+    said, rel = A.mentions(spark, d), A.relation_mentions(spark, d).withColumn("reason", kg_build.drop_reason())
+    pool, votes = kg_build.entity_pool(said), kg_build.type_votes(said, {"no name": "Concept"}).select("key", "type")
+    entities = pool.join(votes, "key").select("name", "type", "aliases", "evidence", "source_files")
+    relations = kg_build.relation_pool(rel.filter("reason is null")).select("source_kind", "source", "relation", "target", "target_type", "evidence", "source_files")
+    focal = F.array(F.struct(F.col("s_name").alias("name"), F.lit("Method").alias("type"), F.array(F.lit("a, \"b\"")).alias("aliases")))
+    papers = table(spark, d, "supplier").select(F.concat("s_name", F.lit(".pdf")).alias("source_file"), focal.alias("focal_entities"))
+    path, entities, relations = shared_path(spark, "document"), written(entities, "entities"), written(relations, "relations")
+    dropped = rel.filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    document.write_document(papers, entities, relations, path, document.metadata_of(entities, relations, dropped))
+    back = document.read_document(spark, path)
+    row = lambda df, what, item, kind, n: df.select(F.lit(what).alias("what"), item.alias("item"), kind.alias("kind"), n.cast("long").alias("n"))
+    out = row(back.entities, "entity", F.col("name"), F.col("type"), F.size("evidence"))
+    out = out.unionByName(row(back.relations, "relation", F.concat_ws(" to ", "source", "target"), F.concat_ws(" ", "source_kind", "relation"), F.size("evidence")))
+    out = out.unionByName(row(back.papers, "paper", F.col("source_file"), F.col("focal_entities")[0]["type"], F.size(F.col("focal_entities")[0]["aliases"])))
+    out = out.unionByName(row(back.metadata, "metadata", F.lit("entities"), F.lit("all"), F.col("canonical_entities"))).unionByName(row(back.metadata, "metadata", F.lit("relations"), F.lit("all"), F.col("canonical_relations")))
+    return out.unionByName(row(back.metadata.select(F.explode("dropped_relation_reasons").alias("reason", "n")), "dropped", F.col("reason"), F.lit("all"), F.col("n")))
+
+
+@query(with_(EDGES.replace("'src' || CAST(l_orderkey % 6 AS VARCHAR) || '.pdf' AS source_file, l_returnflag, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey", "'src' || CAST(l_orderkey % 6 AS VARCHAR) || '.pdf' AS source_file, l_returnflag, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 6 <> 2"), then="SELECT source_key, relation, target_key, evidence_count FROM edges"))
+def graph_upkeep(spark, d):
+    """Edges after a graph was stored from some files, one more has come and another has gone."""
+    state = graph_state.GraphState(spark, shared_path(spark, "graph"))
+    proof = A.graph(spark, d).by_source
+    state.change(proof.filter("source_file != 'src5.pdf'"))
+    state.change(proof.filter("source_file = 'src5.pdf'"), proof.filter("source_file = 'src2.pdf'").select("source_file").distinct())
+    return state.edges().select("source_key", "relation", "target_key", "evidence_count")
+
+
 @query(with_(RELATIONS, then="SELECT target, count(*) AS n FROM rel WHERE target <> '' AND NOT regexp_matches(lower(target), '\\bet al\\.?\\b') GROUP BY target"))
 def noise_filter(spark, d):
     return A.relation_mentions(spark, d).filter(~X.is_noise(F.col("target"))).groupBy("target").agg(F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.plans.hybrid import Corpus, answer
-from lodestone.sources import files, models, page_text
+from lodestone.sources import document, files, models, page_text
 from lodestone.streaming import ingest
 
 
@@ -168,3 +168,58 @@ def test_answer(spark):
     assert answer(corpus, "M0?", lambda q: [0.0, 1.0], rewrite=lambda q: 1 / 0).query == "M0?"
     with pytest.raises(ValueError, match="empty"):
         answer(corpus, " ", lambda q: [1.0, 0.0])
+
+
+def _document(n, indent=None):
+    tricky = ['a, b', 'quote " and , comma', "back\\slash\\", "br{ace]s[}", "line\nbreak", "ünïcode ,  ", ""]
+    entity = lambda i: {"name": f"E{i} {tricky[i % 7]}", "type": "Concept", "aliases": tricky[: i % 4], "evidence": [{"chunk_id": f"c,{i}", "page": i}] * (i % 3), "source_files": ["a.pdf"]}
+    relation = lambda i: {"source_kind": "Entity", "source": f"E{i}", "relation": "USES", "target": tricky[i % 7], "target_type": "Concept", "evidence": [], "source_files": []}
+    return {
+        "metadata": {"raw_batch_records": 3, "entity_type_counts": {"Concept": n, 'x, "y"': 2}}, "papers": [{"source_file": f"p{i}, {tricky[i % 7]}", "focal_entities": [{"name": "N", "type": "Method", "aliases": tricky}]} for i in range(n % 5)],
+        "entities": [entity(i) for i in range(n)], "extra": {"a": [1, [2, {"b": 3}]]}, "word": "x, y", "relations": [relation(i) for i in range(n // 2)],
+    }
+
+
+@pytest.mark.parametrize(("n", "indent"), [(0, None), (1, 2), (23, None), (200, 2)])
+def test_document_of_any_form(spark, tmp_path, n, indent):
+    """Pretty or in one line; splits of a few hundred bytes cut it anywhere."""
+    whole = _document(n)
+    (tmp_path / "kg.json").write_text(json.dumps(whole, ensure_ascii=False, indent=indent))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = document.read_document(spark, str(tmp_path / "kg.json"))
+        as_dicts = lambda df: sorted((json.loads(x) for x in df.toJSON().collect()), key=str)
+        for name in ("papers", "entities", "relations"):
+            assert as_dicts(getattr(got, name)) == sorted(whole[name], key=str)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    said = got.metadata.head()
+    assert (said["raw_batch_records"], said["entity_type_counts"]) == (3, {"Concept": n, 'x, "y"': 2})
+
+
+def test_document_round_trip(spark, tmp_path):
+    from lodestone import schemas
+
+    whole = _document(120)
+    make = lambda name, kind: spark.createDataFrame([tuple(x[c] for c in [f.split()[0] for f in spark.createDataFrame([], kind).columns]) for x in whole[name]], kind)
+    entities, relations = make("entities", schemas.CANONICAL_ENTITY), make("relations", schemas.CANONICAL_RELATION)
+    papers = spark.createDataFrame([("p.pdf", [("N", "Method", ["a, b"])])], document.PAPERS)
+    raw = spark.createDataFrame([("batches", 7), ("entities", 9)], "what string, n long")
+    said = document.metadata_of(entities, relations, spark.createDataFrame([("why, not", 4)], "reason string, n long"), raw)
+    document.write_document(papers, entities, relations, str(tmp_path / "g"), said)
+    files_ = sorted((tmp_path / "g").glob("part-*"))
+    text = "".join(p.read_text() for p in files_)
+    parsed = json.loads(text)
+    assert [e["name"] for e in parsed["entities"]] == sorted((e["name"] for e in whole["entities"]), key=lambda x: (x.lower(), x)) and parsed["papers"][0]["source_file"] == "p.pdf"
+    assert parsed["metadata"]["dropped_relation_reasons"] == {"why, not": 4} and parsed["metadata"]["raw_batch_records"] == 7 and parsed["metadata"]["canonical_entities"] == 120
+    back = document.read_document(spark, str(tmp_path / "g"))
+    for a, b in ((back.entities, entities), (back.relations, relations), (back.papers, papers)):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert back.metadata.head().asDict() == said.head().asDict()
+    empty = spark.createDataFrame([], schemas.CANONICAL_ENTITY)
+    document.write_document(papers.limit(0), empty, relations.limit(0), str(tmp_path / "none"))
+    back = document.read_document(spark, str(tmp_path / "none"))
+    assert back.entities.isEmpty() and back.papers.isEmpty() and back.metadata.head()["canonical_entities"] == 0

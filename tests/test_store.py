@@ -1,13 +1,15 @@
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone import schemas
-from lodestone.operators import chunking, kg_store, retrieval, vectors
+from lodestone.operators import chunking, kg_store, retrieval, vector_index
 from lodestone.plans import hybrid
 from lodestone.session import Config
-from lodestone.sources import files, manifest, models, prompts, store
+from lodestone.sources import files, graph_state, manifest, models, prompts, store
 
 
 def rows(df, *columns):
@@ -112,28 +114,65 @@ def test_store_graph(spark, tmp_path):
     assert set(rows(edges, "target_key")) < set(rows(nodes, "key"))
 
 
-def test_vector_index(spark, tmp_path):
-    import numpy as np
+def recall_of(index, vectors, asked, k=6):
+    caught = total = 0
+    ids, x = [i for i, _ in vectors], np.array([v for _, v in vectors])
+    for i in asked:
+        want = {ids[j] for j in np.lexsort((ids, -x @ x[i]))[:k]}
+        caught, total = caught + len(want & {r[0] for r in index.search(x[i].tolist(), k=k).select(index.settings()["id"]).collect()}), total + len(want)
+    return caught / total
+
 
+def test_vector_index(spark, tmp_path):
     g = np.random.default_rng(3)
-    centres = g.standard_normal((30, 16))
-    x = np.repeat(centres, 40, axis=0) + 0.3 * g.standard_normal((1200, 16))
+    x = np.repeat(g.standard_normal((30, 16)), 40, axis=0) + 0.3 * g.standard_normal((1200, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
-    index = vectors.Index(spark, str(tmp_path / "index"))
+    rows_ = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows_, "id long, embedding array<float>")
+    index = vector_index.Index(spark, str(tmp_path / "index"))
     assert index.state() == "absent"
+    with pytest.raises(ValueError, match="absent"):
+        index.search([1.0] * 16)
     index.create(df, "id")
-    assert index.state() == "online"
-    caught = total = 0
-    for i in range(0, 1200, 150):
-        want = set(np.argsort(-x @ x[i], kind="stable")[:6].tolist())
-        found = {r["id"] for r in index.search(x[i].tolist(), "id").collect()}
-        caught, total = caught + len(want & found), total + len(want)
-    assert caught / total >= 0.9
+    assert index.state() == "online" and recall_of(index, rows_, range(0, 1200, 150)) >= 0.9
+    held = spark.read.parquet(index.manifest.path(index.settings()["parts"][0]["vectors"]))
+    assert held.count() == 1200 and index.settings()["probes"] < 1 << index.settings()["bits"]
     index.drop()
     assert index.state() == "absent"
 
 
+def test_recall_of_the_index_on_embeddings(spark, small, tmp_path):
+    df = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding")
+    vectors_ = [(r["vec_id"], r["embedding"]) for r in df.orderBy("vec_id").collect()]
+    index = vector_index.Index(spark, str(tmp_path / "index"))
+    index.create(df, "vec_id")
+    assert recall_of(index, vectors_, range(0, len(vectors_), len(vectors_) // 25)) >= 0.9
+
+
+def test_index_that_grows_is_as_one_built_anew(spark, tmp_path):
+    g = np.random.default_rng(4)
+    x = g.standard_normal((400, 8))
+    row = lambda i, v, label="a": (i, v.tolist(), label)
+    make = lambda rows: spark.createDataFrame(rows, "id long, embedding array<double>, label string")
+    one, two = (vector_index.Index(spark, str(tmp_path / n)) for n in ("one", "two"))
+    one.create(make([row(i, x[i]) for i in range(200)]), "id", bits=4, probes=3)
+    one.append(make([row(i, x[i]) for i in range(200, 400)]))
+    one.append(make([row(i, x[399 - i], "moved") for i in range(40)] + [(900, None, "x"), (901, [1.0], "x"), (902, [float("nan")] * 8, "x"), (None, x[0].tolist(), "x")]))
+    one.delete(spark.createDataFrame([(i,) for i in range(100, 150)] + [(5,), (777,)], "id long"))
+    one.append(make([row(5, x[7], "back")]))
+    want = {i: (x[i], "a") for i in range(400) if not 100 <= i < 150} | {i: (x[399 - i], "moved") for i in range(40)} | {5: (x[7], "back")}
+    two.create(make([row(i, v, label) for i, (v, label) in want.items()]), "id", bits=4, probes=3)
+    ask = lambda index, q: [tuple(r) for r in index.search(q).orderBy("rank").collect()]
+    before = [ask(one, x[i].tolist()) for i in (0, 5, 130, 250)]
+    assert before == [ask(two, x[i].tolist()) for i in (0, 5, 130, 250)]
+    assert {r["id"]: r["label"] for r in one.rows().collect()} == {i: label for i, (_, label) in want.items()}
+    one.compact()
+    assert len(one.settings()["parts"]) == 1 and before == [ask(one, x[i].tolist()) for i in (0, 5, 130, 250)]
+    assert one.search(x[0].tolist(), probes=16).count() == 6
+    two.create(make([]), "id")
+    assert ask(two, x[0].tolist()) == [] if two.settings()["width"] == 8 else two.rows().isEmpty()
+
+
 def test_ask_json(spark):
     tried = []
 
@@ -212,3 +251,72 @@ def test_kept_tables(spark, tmp_path, monkeypatch):
 
     assert store.kept(spark, "t", [str(tmp_path / "in")], beaten).count() == 4
     assert not [p for p in (tmp_path / "shared" / "kept").iterdir() if p.name.startswith(".")]
+
+
+def _evidence(rows):
+    key = lambda k, n: f"{k}::{n.lower()}"
+    return [(key("Method", s), s, "Method", r, key(k, t), t, k, c, p, f) for s, r, k, t, c, p, f in rows]
+
+
+EVIDENCE_KIND = "source_key string, source string, source_type string, relation string, target_key string, target string, target_type string, chunk_id string, page int, source_file string"
+
+
+def test_graph_follows_its_files(spark, tmp_path):
+    g = random.Random(6)
+    one = lambda f: [(f"M{g.randrange(30)}", g.choice(["USES", "ADDRESSES"]), "Concept", f"C{g.randrange(9)}", f"{f}-{g.randrange(5)}", 1, f) for _ in range(20)]
+    known = {f"f{i}.pdf": one(f"f{i}.pdf") for i in range(6)}
+    make = lambda names: spark.createDataFrame(_evidence([x for f in names for x in known[f]]), EVIDENCE_KIND)
+    state = graph_state.GraphState(spark, str(tmp_path / "g"), buckets=16)
+    with pytest.raises(ValueError, match="no graph"):
+        state.edges()
+
+    def check():
+        want = {tuple(r) for r in kg_store.edges(make(known)).collect()}
+        names = [c.split()[0] for c in graph_state.EDGE.split(", ")]
+        assert {tuple(r) for r in state.edges().select(*names).collect()} == want == {tuple(r) for r in state.edges(end="target").select(*names).collect()}
+        assert state.edges().count() == len(want) == state.edges(end="target").count()
+        some = ["Concept::c1", "Concept::c2"]
+        assert {tuple(r) for r in state.edges(some, "target").select(*names).collect()} == {r for r in want if r[4] in some}
+        by = {}
+        for r in want:
+            n, e = by.get(r[3], (0, 0))
+            by[r[3]] = (n + 1, e + r[7])
+        assert {r["relation"]: (r["n"], r["evidence"]) for r in state.counts().collect()} == by
+        assert state.evidence().count() == sum(map(len, known.values()))
+
+    state.change(make(known))
+    check()
+    known["new.pdf"] = [("M1", "USES", "Concept", "C0", "n-1", 1, "new.pdf"), ("M77", "USES", "Concept", "C77", "n-2", 1, "new.pdf")]
+    before = state.manifest.current()[1]
+    state.change(make(["new.pdf"]))
+    check()
+    after = state.manifest.current()[1]
+    assert sum(after["evidence"][b] != before["evidence"].get(b) for b in after["evidence"]) <= 2 and sum(after["into"][b] != before["into"].get(b) for b in after["into"]) <= 2
+    known["f1.pdf"] = one("f1.pdf")  # one file has changed, another goes
+    del known["f2.pdf"]
+    state.change(make(["f1.pdf"]), spark.createDataFrame([("f2.pdf",), ("never.pdf",)], "source_file string"))
+    check()
+    del known["new.pdf"]
+    state.change(make([]), spark.createDataFrame([("new.pdf",)], "source_file string"))
+    check()
+    version = state.manifest.current()[0]
+    state.change(make([]), spark.createDataFrame([("never.pdf",)], "source_file string"))
+    assert state.manifest.current()[0] == version
+
+
+def test_two_drivers_change_one_graph(spark, tmp_path, monkeypatch):
+    rows_of = lambda f, m: spark.createDataFrame(_evidence([(m, "USES", "Concept", "C", f"{f}-1", 1, f)]), EVIDENCE_KIND)
+    one, two = (graph_state.GraphState(spark, str(tmp_path / "g"), buckets=4) for _ in range(2))
+    one.change(rows_of("a.pdf", "A"))
+    whole, beaten = one._changed, []
+
+    def slow(content, *args):
+        made = whole(content, *args)
+        if not beaten:
+            beaten.append(1)
+            two.change(rows_of("b.pdf", "A"))  # the other is first
+        return made
+
+    monkeypatch.setattr(one, "_changed", slow)
+    one.change(rows_of("c.pdf", "A"))
+    assert [(r["source"], r["evidence_count"]) for r in one.edges().collect()] == [("A", 3)] and one.manifest.current()[0] == 3

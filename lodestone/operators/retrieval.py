@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestone import schemas
 from lodestone.functions import text as X
 from lodestone.operators.kg_store import edges
+from lodestone.operators.ordering import ranked_whole
 from lodestone.operators.vectors import ranked
 
 LEXICAL, BRIDGE, MERGED, SECONDARY, HOP1, HOP2, PROOF = 8, 6, 10, 6, 32, 28, 14
@@ -174,9 +175,9 @@ def two_hops(evidence: DataFrame | Evidence, seeds: DataFrame, focal: DataFrame)
 
 
 def introductions(seeds: DataFrame, introduces: DataFrame) -> DataFrame:
-    """Which papers introduce the seeds. ``introduces``: paper, target_key, target."""
+    """Which papers introduce the seeds, any number of them, ranked. ``introduces``: paper, target_key, target."""
     met = introduces.join(seeds.select(F.col("key").alias("target_key")).distinct(), "target_key").select("paper", "target_key", "target").distinct()
-    return ranked(met, F.col("paper"), F.col("target"), F.col("target_key"))
+    return ranked_whole(met, ["paper", "target", "target_key"]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def provenance(facts: DataFrame, fact_chunks: DataFrame, chunks: DataFrame, cap: int = PROOF) -> DataFrame:

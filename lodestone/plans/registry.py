@@ -784,12 +784,14 @@ def hybrid_query(spark, d):
 
 
 def _hybrid(spark, d):
-    """Evidence, hits, seeds of both hops, and ranked facts with what supports them."""
-    proof, seeds = A.graph(spark, d), retrieval.settled(_merged(spark, d), retrieval.MERGED)
-    _, more, facts = retrieval.two_hops(proof, seeds, _focal(spark, d))
-    facts = retrieval.settled(facts, retrieval.HOP1 + retrieval.HOP2)
+    """Evidence, seeds of both hops, ranked facts with what supports them, and hits; a table of one question."""
+    proof = A.graph(spark, d)
+    one = A.asked(spark, d).withColumn("vector", F.array(*[F.lit(float(x)) for x in A.query_vector(spark, d)]))
+    found = questions.answers(one, table(spark, d, "embeddings"), "vec_id", A.name_index(spark, d), A.support(spark, d), A.nodes(spark, d), A.adjacent(spark, d), _focal(spark, d))
+    facts, seeds, more = retrieval.settled(found.facts.drop("qid"), retrieval.HOP1 + retrieval.HOP2), found.seeds.drop("qid"), found.further.drop("qid")
     around = retrieval.touching(proof, seeds.select("key").unionByName(more.select("key")))
-    return around, seeds, more, retrieval.settled(retrieval.with_proof(facts, around), retrieval.HOP1 + retrieval.HOP2)
+    hits = found.hits.select("rank", "vec_id", F.round("cosine", 6).alias("cosine")).withColumn("score", (1 + F.col("cosine")) / 2)
+    return around, seeds, more, retrieval.settled(retrieval.with_proof(facts, around), retrieval.HOP1 + retrieval.HOP2), hits
 
 
 @query("WITH " + HYBRID + "," + PROVED + "SELECT rank, source_key, relation, target_key, evidence_count, source_files, evidence_pages, evidence_chunk_ids FROM proved")
@@ -807,11 +809,11 @@ def hybrid_facts(spark, d):
     UNION ALL SELECT 'proof', rank, '[' || CAST(chunk_id AS VARCHAR) || ', src' || CAST(chunk_id % 6 AS VARCHAR) || '.pdf] ' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' ' || o_orderpriority FROM proof JOIN orders ON o_orderkey = chunk_id""")
 def evidence_prompt(spark, d):
     """The lines of the evidence prompt, by section and rank."""
-    around, seeds, more, facts = _hybrid(spark, d)
+    around, seeds, more, facts, hits = _hybrid(spark, d)
     named = retrieval.merge_seeds(seeds, more, retrieval.MERGED + retrieval.SECONDARY)
     papers = retrieval.introductions(named, A.introduces(spark, d))
     docs = A.pages(spark, d).select(F.col("page").alias("vec_id"), "source_file", "page", "text")
-    hits = docs.join(F.broadcast(_hits(spark, d)), "vec_id").withColumnRenamed("vec_id", "chunk_id")
+    hits = docs.join(F.broadcast(hits), "vec_id").withColumnRenamed("vec_id", "chunk_id")
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.concat(F.lit("src"), (F.col("o_orderkey") % 6).cast("string"), F.lit(".pdf")).alias("source_file"), F.concat_ws(" ", F.col("o_orderdate").cast("date").cast("string"), "o_orderpriority").alias("text"))
     return hybrid.sections(A.QUESTION, A.QUESTION, named, papers, hits, facts, retrieval.provenance(facts, around, orders))
 
@@ -959,9 +961,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_windows(spark, sf_dir)
 
 
+def _all() -> None:
+    from lodestone.plans import files_and_tables  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_sql)

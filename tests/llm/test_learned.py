@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -163,6 +164,45 @@ def test_tagger_on_lines_by_hand():
     assert precision >= 0.9 and recall >= 0.9
 
 
+def marked(text):
+    """Lines with spans marked by hand."""
+    out = []
+    for line in text.strip().split("\n"):
+        plain, spans = "", []
+        for part in re.split(r"(<<\w+ .*?>>)", line):
+            if m := re.fullmatch(r"<<(\w+) (.*)>>", part):
+                spans.append((pii.KINDS.index(m[1]), len(plain), len(plain) + len(m[2])))
+            plain += m[2] if m else part
+        out.append((plain, spans))
+    return out
+
+
+def test_tagger_on_forms():
+    """104 spans by hand, written before the training whose network this is. Their first reading gave a recall of 0.87; one
+    rule (a span that can't be of its kind may be of another) came after it, so the figure now is a little favourable."""
+    lines = marked((Path(__file__).parent / "forms.txt").read_text())
+    assert sum(len(s) for _, s in lines) == 104
+    precision, recall = scores(lines, True)
+    assert precision >= 0.9 and recall >= 0.87
+
+
+def test_spans_around_base_spans():
+    text = "Appelez le 06.12.34.56.78 vite, ou k.o'neil@uni.edu"
+    base = pii.base_spans(text)
+    assert [text[s:e] for _, s, e in base] == ["neil@uni.edu", "06.12.34.56"]
+    assert pii.reconcile([(0.9, 3, 11, 25), (0.9, 0, 35, 51)], base, text) == [(3, 11, 25), (0, 35, 51)]
+    assert pii.reconcile([(0.9, 3, 12, 25), (0.9, 3, 10, 23)], base, text) == []  # one cuts into it, one adds no letter or digit
+    assert pii.masked(text, [*base, (3, 11, 25), (0, 35, 51)]) == "Appelez le [PHONE] vite, ou [EMAIL]"
+
+
+def test_tagger_is_kept(spark, monkeypatch):
+    one = pii.trained_for(spark)
+    monkeypatch.setattr(pii, "_trained", {})
+    monkeypatch.setattr(pii, "trained", lambda: 1 / 0)
+    two = pii.trained_for(spark)
+    assert all(np.array_equal(one.p[k], two.p[k]) for k in one.p)
+
+
 def test_windows_agree():
     model = pii.trained()
     text = "ther edon " * 20 + "call (555) 123-4567 now " + "stth 12 ou " * 30
@@ -174,8 +214,8 @@ def test_windows_agree():
 def test_reconcile():
     base = [(0, 10, 20)]
     found = [(0.9, 3, 15, 25), (0.9, 3, 30, 40), (0.95, 2, 35, 44), (0.95, 3, 30, 40), (0.99, 1, 41, 44)]
-    assert pii.reconcile(found, base) == [(3, 30, 40), (1, 41, 44)]
-    assert pii.reconcile([], base) == []
+    assert pii.reconcile(found, base, "x" * 60) == [(3, 30, 40), (1, 41, 44)]
+    assert pii.reconcile([], base, "") == []
 
 
 def test_pii_odd(odd, none):

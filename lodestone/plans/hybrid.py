@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.operators import retrieval, vectors
+from lodestone.operators import names, retrieval, vectors
 from lodestone.operators.kg_store import edges
 from lodestone.sources import prompts
 from lodestone.sources.models import echo
@@ -19,7 +19,7 @@ from lodestone.sources.models import echo
 class Corpus:
     """Tables a question is put to. chunk_vectors: chunk_id, embedding; chunks: chunk_id, text and more; nodes: key,
     name, entity_type, aliases; evidence as of kg_store.edges, with source_file and page if they are known; support: entity_key, chunk_id; introduces: paper,
-    target_key, target."""
+    target_key, target; name_index as of names.index, without which all nodes are looked at for each question."""
 
     chunk_vectors: DataFrame
     chunks: DataFrame
@@ -27,6 +27,7 @@ class Corpus:
     evidence: DataFrame
     support: DataFrame
     introduces: DataFrame
+    name_index: DataFrame | None = None
 
 
 @dataclass
@@ -53,7 +54,11 @@ def answer(corpus: Corpus, question: str, embed: Callable[[str], list[float]], r
         except Exception:  # noqa: BLE001  any failure of the rewriter leaves the question as it is
             asked = question
     hits = retrieval.settled(vectors.top_k(corpus.chunk_vectors, embed(asked), "chunk_id", k), k)
-    lexical = retrieval.settled(retrieval.lexical_seeds(F.lit(question), corpus.nodes), retrieval.LEXICAL)
+    if corpus.name_index is None:
+        met = retrieval.lexical_seeds(F.lit(question), corpus.nodes)
+    else:
+        met = names.lexical_seeds(spark.createDataFrame([(0, question)], "qid long, question string"), corpus.name_index, retrieval.LEXICAL).drop("qid")
+    lexical = retrieval.settled(met, retrieval.LEXICAL)
     bridge = retrieval.settled(retrieval.bridge_seeds(hits, corpus.support, corpus.nodes), retrieval.BRIDGE)
     seeds = retrieval.settled(retrieval.merge_seeds(lexical, bridge), retrieval.MERGED)
     focal = corpus.introduces.select(F.col("target_key").alias("key"))

@@ -123,10 +123,6 @@ def preview(pages: DataFrame, source_file: str, n: int = 2000) -> DataFrame:
     return whole.select(F.lit(source_file).alias("source_file"), F.substring("text", 1, n).alias("preview"))
 
 
-def replace_table(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").parquet(path)
-
-
 def table_state(spark: SparkSession, path: str) -> DataFrame:
     """Whether a table is there and how many rows it has."""
     try:

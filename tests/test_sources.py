@@ -1,8 +1,10 @@
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import names
 from lodestone.plans.hybrid import Corpus, answer
 from lodestone.sources import document, files, models, page_text
 from lodestone.streaming import ingest
@@ -164,6 +166,7 @@ def test_answer(spark):
         nodes, ev, spark.createDataFrame([("Concept::c", "k1")], "entity_key string, chunk_id string"), spark.createDataFrame([("p.pdf", "Method::m0", "M0")], "paper string, target_key string, target string"),
     )
     a = answer(corpus, "What does M0 use?", lambda q: [1.0, 0.1], rewrite=lambda q: '"m0 usage"')
+    assert answer(replace(corpus, name_index=names.index(nodes)), "What does M0 use?", lambda q: [1.0, 0.1], rewrite=lambda q: '"m0 usage"').text == a.text
     assert a.query == "m0 usage" and "M0 USES C (1)" in a.text and "p.pdf introduces M0" in a.text and "[k1] about m0" in a.text
     assert answer(corpus, "M0?", lambda q: [0.0, 1.0], rewrite=lambda q: 1 / 0).query == "M0?"
     with pytest.raises(ValueError, match="empty"):

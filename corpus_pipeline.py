@@ -27,22 +27,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles 0.8 alike or more, as fingerprints tell it."""
+    """One document of each group of near-duplicates: five-word shingles 0.8 alike or more, as fingerprints tell it.
+
+    Of a group the smallest doc_id stays; of rows that share it, the one with the smallest hash of its text, and of
+    equal rows one. Texts without a word are one group. An empty table stays empty.
+    """
     return simhash.representatives(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data masked in the texts."""
+    """Personal data masked in the texts; null texts stay null, and every row stays."""
     return pii.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; a document taken twice is two rows."""
+    """Sources at their target weights; a document taken twice is two rows.
+
+    A null source is a source. Repeated rows are documents of their own, and which of them are taken once more is drawn for
+    each; texts without a word add nothing to their source's size. An empty table stays empty.
+    """
     return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: one row a piece."""
+    """Sequences of at most 2048 tokens: one row a piece.
+
+    Repeated rows are packed each; an empty text is its end id alone; a long one is cut into pieces. An empty table gives
+    no pieces.
+    """
     return packing.pack(docs, end_id=1)
 
 

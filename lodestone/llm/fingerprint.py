@@ -7,7 +7,7 @@ k shingles the figures are exact.
 Defined cases: a null text counts as empty; an empty or blank text has the empty sketch; a text with fewer words than
 a shingle is one shingle; two empty sketches resemble each other by 1, an empty and a filled one by 0. Null doc_ids come
 last, equal ids in descending order of text, so of repeated rows each is the next of one other; a single document is its
-own next; an empty table gives no rows; further columns, whatever their names, are ignored.
+own next; a very long text is shingled whole, in its row; an empty table gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -84,6 +84,9 @@ class Journal:
         once = [*keys, *(["chunk_id"] if "chunk_id" in chunks.columns and "chunk_id" not in keys else [])]
         taken, made = m.folder(), m.folder()
         fresh = self._kept(fresh.dropDuplicates(once), taken)
+        if fresh.isEmpty():
+            self._forget(taken)
+            return
         found = self._kept(extract(fresh), made)  # models are asked once
         bad = failed if failed is not None else F.col("record").isNull() if "record" in found.columns else F.lit(False)
         good = found.groupBy(*keys).agg(F.max(bad.cast("int")).alias("_bad")).filter("_bad = 0").select(*keys)
@@ -109,11 +112,14 @@ class Journal:
         try:
             m.change(change)
         finally:
-            for folder in (taken, made):
-                path, system = file_system(self.spark, m.path(folder))
-                system.delete(path, True)
+            self._forget(taken, made)
         self.compact()
 
+    def _forget(self, *folders: str) -> None:
+        for folder in folders:
+            path, system = file_system(self.spark, self.manifest.path(folder))
+            system.delete(path, True)
+
     def compact(self, most: int = PARTS) -> None:
         """Merges the parts of a level where there are ``most`` of them."""
 

@@ -54,7 +54,7 @@ def test_many_questions_are_as_one_by_one(spark):
     support = spark.createDataFrame(list({(k, c) for k, *_ in nodes_ for c in g.sample(range(40), 5)}), "entity_key string, chunk_id long")
     introduces = spark.createDataFrame([(f"p{i}", f"Method::m{i}", f"M{i}") for i in range(0, 12, 2)], "paper string, target_key string, target string")
     embedded = spark.createDataFrame([(i, [g.gauss(0, 1) for _ in range(5)]) for i in range(40)] + [(98, None), (99, [float("nan")] * 5)], "chunk_id long, embedding array<double>")
-    asked = [(3, "What of M1 and method 7?", [1.0, 0, 0, 0, 0]), (4, "nothing here", [0.0, 1, 1, 0, 0]), (9, None, [0.5, 0.1, 0, 0, 1.0])]
+    asked = [(3, "What of M1 and method 7?", [1.0, 0.0, 0.0, 0.0, 0.0]), (4, "nothing here", [0.0, 1.0, 1.0, 0.0, 0.0]), (9, None, [0.5, 0.1, 0.0, 0.0, 1.0])]
     table = spark.createDataFrame([*asked, (10, "M3 only", None)], "qid long, question string, vector array<double>")
     edges, focal = kg_store.edges(evidence), introduces.select(F.col("target_key").alias("key"))
     for cap in (3, 32):

@@ -88,6 +88,17 @@ def test_one_of_two_writers_begins_again(spark, tmp_path):
     assert one.change(lambda content: None) == 3
 
 
+def test_vacuum(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path), buckets=4)
+    s.upsert("t", spark.createDataFrame([(1, 1), (2, 2)], "k long, v long"), ["k"])
+    left = tmp_path / "t" / "data" / ("0" * 32)
+    left.mkdir()
+    m = manifest.Manifest(spark, str(tmp_path / "t"))
+    assert m.vacuum() == 0 and left.exists()
+    assert m.vacuum(hours=0) == 1 and not left.exists() and rows(s.read("t"), "k") == [(1,), (2,)]
+    assert manifest.Manifest(spark, str(tmp_path / "none")).vacuum() == 0
+
+
 def test_store_graph(spark, tmp_path):
     s = store.Store(spark, str(tmp_path))
     pages = spark.createDataFrame([("a", "a.pdf", 1, "one two"), ("b", "b.pdf", 1, "three")], "paper_id string, source_file string, page int, text string")

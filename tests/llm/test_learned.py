@@ -286,5 +286,5 @@ def test_registered(spark, small):
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert {n.split("_")[0] for n in entries.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in entries.queries()} == {f"op{i}" for i in range(1, 14)}
     assert set(entries.queries()) | {"pipeline"} <= names and set(e.oracle_sql()) <= names

@@ -21,6 +21,7 @@ def local_session(app: str = "lodestone", cpus: int | str = "*", partitions: int
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites of columns take most of the time of building long plans
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -6,6 +6,7 @@ local relation, and turned into a filter on the large tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -97,10 +98,32 @@ def settled(capped: DataFrame, cap: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Evidence:
-    """Stored evidence twice: in order of the source's key, and of the target's, so that a filter on either reads a part."""
+    """Stored evidence twice: in order of the source's key, and of the target's, so that a filter on either reads a part. Or
+    ``near``, which gives evidence that has all edges with one of a few keys at an end, and may have others."""
 
     by_source: DataFrame
     by_target: DataFrame
+    near: Callable[[list[str]], DataFrame] | None = None
+
+
+def _sides(evidence: DataFrame | Evidence, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    if not isinstance(evidence, Evidence):
+        return evidence, evidence
+    if keys and evidence.near is not None:
+        near = evidence.near(keys)
+        return near, near
+    return evidence.by_source, evidence.by_target
+
+
+def leaving(evidence: DataFrame | Evidence, seeds: DataFrame, few: int = 64) -> DataFrame:
+    """Evidence of edges out of seeds."""
+    known = seeds.select("key").distinct()
+    keys = sorted(r["key"] for r in known.limit(few + 1).collect())
+    if len(keys) <= few:
+        rows, _ = _sides(evidence, keys)
+        return rows.filter(F.col("source_key").isin(keys)) if keys else rows.filter(F.lit(False))
+    rows, _ = _sides(evidence)
+    return rows.join(known, rows["source_key"] == known["key"], "left_semi")
 
 
 def touching(evidence: DataFrame | Evidence, seeds: DataFrame, relations: list[str] | None = None, few: int = 64) -> DataFrame:
@@ -108,10 +131,9 @@ def touching(evidence: DataFrame | Evidence, seeds: DataFrame, relations: list[s
     the graph is aggregated. Up to ``few`` seeds become filters, one for each end, so that each reaches the table it is
     about before anything is joined, and parts of the graph whose type no seed has fall away; more seeds are joined on
     each end."""
-    sides = (evidence.by_source, evidence.by_target) if isinstance(evidence, Evidence) else (evidence, evidence)
-    rows, into = (x.filter(F.col("relation").isin(relations or list(schemas.RELATION_RANK))) for x in sides)
     known = seeds.select("key").distinct()
     keys = sorted(r["key"] for r in known.limit(few + 1).collect())
+    rows, into = (x.filter(F.col("relation").isin(relations or list(schemas.RELATION_RANK))) for x in _sides(evidence, keys if len(keys) <= few else None))
     if not keys:
         return rows.filter(F.lit(False))
     if len(keys) <= few:

@@ -93,10 +93,10 @@ def sections(question: str, query: str, seeds: DataFrame, papers: DataFrame, hit
     return out.unionByName(part("proof", proof, F.lit("["), s("chunk_id"), *place(proof), F.lit("] "), s("text")))
 
 
-def named_entity_facts(question: str, model: Callable[[str], str], nodes: DataFrame, evidence: DataFrame) -> DataFrame:
+def named_entity_facts(question: str, model: Callable[[str], str], nodes: DataFrame, evidence: DataFrame | retrieval.Evidence) -> DataFrame:
     """The one-entity question: a model names the entity, or NONE; the edges out of the node of that name."""
     at = retrieval.named_entity(model(prompts.entity(question)), nodes).select("key")
-    return edges(evidence.join(F.broadcast(at), evidence["source_key"] == at["key"], "left_semi"))
+    return edges(retrieval.leaving(evidence, at))
 
 
 def compared(question: str, model: Callable[[str], str], contexts: dict[str, str]) -> dict[str, str]:

@@ -169,7 +169,8 @@ def bitmaps(rows: DataFrame, shortest: int = SHORTEST, many: int = MANY) -> Data
 def deduplicated(docs: DataFrame, shortest: int = SHORTEST, many: int = MANY) -> DataFrame:
     """doc_id, n_lines (before), n_dropped, kept (text), for every row."""
     rows = keyed(docs)
-    marked = rows.join(bitmaps(rows, shortest, many), ["doc", "tag"], "left")
+    # Texts go by document to the bitmaps at any size: these grow with the texts, so they are no table to send out whole.
+    marked = rows.join(bitmaps(rows, shortest, many).hint("shuffle_hash"), ["doc", "tag"], "left")
     less = _without(F.when(F.col("keep").isNotNull(), F.col("text")), F.col("keep"))
     n = (F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     return marked.select("doc_id", n.alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(less, F.col("text")).alias("kept"))

@@ -120,6 +120,11 @@ def test_lines(spark, odd, none):
     assert lines_of(line_dedup.deduplicated(docs, shortest=5, many=2)) == slow_lines(rows, 5, 2)
 
 
+def test_lines_join_one_way(spark, odd):
+    """Texts meet their bitmaps by document at any size; small bitmaps are not sent out whole either."""
+    assert "ShuffledHashJoin [doc" in line_dedup.deduplicated(odd)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines_of_one_key_in_many_tasks(spark, odd):
     """A key that most lines have is dealt to many tasks; another lies at the border of two."""
     rows = [(i, f"{LINE}\nown line of document {i} that nobody else has at all\n{LINE if i % 2 else 'tail'}", "en", "a") for i in range(600)]

@@ -315,6 +315,18 @@ def test_graph_follows_its_files(spark, tmp_path):
     assert state.manifest.current()[0] == version
 
 
+def test_graph_tells_spellings_apart(spark, tmp_path):
+    """Edges of one key and two spellings, of which one changes, by either end; evidence goes through one shuffle."""
+    make = lambda *rows: spark.createDataFrame(_evidence([(m, "USES", "Concept", "C", f"{f}-1", 1, f) for m, f in rows]), EVIDENCE_KIND)
+    state = graph_state.GraphState(spark, str(tmp_path / "g"), buckets=4)
+    state.change(make(("M1", "a"), ("m1", "b")))
+    state.change(make(("M1", "c")))
+    for end in ("source", "target"):
+        assert sorted((r["source"], r["evidence_count"]) for r in state.edges(end=end).collect()) == [("M1", 2), ("m1", 1)]
+    rows = make(("M1", "a"), ("m1", "b")).withColumn("_bucket", graph_state._bucket("source_key", 4))
+    assert graph_state._packed(rows)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_two_drivers_change_one_graph(spark, tmp_path, monkeypatch):
     rows_of = lambda f, m: spark.createDataFrame(_evidence([(m, "USES", "Concept", "C", f"{f}-1", 1, f)]), EVIDENCE_KIND)
     one, two = (graph_state.GraphState(spark, str(tmp_path / "g"), buckets=4) for _ in range(2))

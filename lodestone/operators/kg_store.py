@@ -21,9 +21,10 @@ def edges(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy(*keys).agg(F.countDistinct("chunk_id").alias("evidence_count"))
 
 
-def edges_with_proof(evidence: DataFrame) -> DataFrame:
-    """As ``edges``, with the files, pages and chunks behind each, sorted, without repeats."""
-    keys = ["source_key", "source", "source_type", "relation", "target_key", "target", "target_type"]
+def edges_with_proof(evidence: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """As ``edges``, with the files, pages and chunks behind each, sorted, without repeats. ``keys``: other columns that tell
+    edges apart, such as numbers for names."""
+    keys = keys or ["source_key", "source", "source_type", "relation", "target_key", "target", "target_type"]
     sets = [F.sort_array(F.collect_set(c)).alias(name) for c, name in (("source_file", "source_files"), ("page", "evidence_pages"), ("chunk_id", "evidence_chunk_ids"))]
     return evidence.groupBy(*keys).agg(*sets).withColumn("evidence_count", F.size("evidence_chunk_ids").cast("long"))
 

@@ -191,6 +191,14 @@ def test_claims_on_focal_aliases(spark):
     assert (foc["name"], foc["aliases"], foc["evidence"][0]["page"]) == ("Foc", ["F", "deep"], 7) and [e["name"] for e in kept["entities"]] == ["Foc", "Thing"]
 
 
+def test_raw_records_are_made_after_the_shuffle(spark, small):
+    from lodestone.plans import adapters
+
+    plan = adapters.raw_batches(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RepartitionByExpression", 1)
+    assert "evidence" in above and "evidence" not in below and "Method" not in below
+
+
 def test_records_of_odd_shapes(spark):
     nothing = spark.createDataFrame([("a.pdf", None, None, None, None, None, None), ("b.pdf", "b", 2, ["c"], None, [None, _said(None, "Task"), _said(" x ", None)], [None, _rel(None, "USES", "x"), _rel("PAPER", None, "x")])], schemas.RAW)
     for policy in ("full", "v2", "v3"):

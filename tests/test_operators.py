@@ -191,6 +191,14 @@ def test_claims_on_focal_aliases(spark):
     assert (foc["name"], foc["aliases"], foc["evidence"][0]["page"]) == ("Foc", ["F", "deep"], 7) and [e["name"] for e in kept["entities"]] == ["Foc", "Thing"]
 
 
+def test_texts_of_windows_count_no_characters(spark, small):
+    from lodestone.plans import adapters, registry
+
+    got, asked = chunking.texts(adapters.pages(spark, small), 7, 2), chunking.windows(adapters.pages(spark, small), 7, 2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, asked.select("chunk_id", "text").collect()))
+    assert "char_start" not in registry.queries()["embed_hash"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_raw_records_are_made_after_the_shuffle(spark, small):
     from lodestone.plans import adapters
 

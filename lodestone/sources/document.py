@@ -1,28 +1,40 @@
 """The whole graph as one JSON document: metadata, papers, entities and relations, in this order.
 
-A document may be of any size. It is read as pieces between commas, by all tasks that its splits give. Whether a piece
+A document may be of any size. It is read twice as pieces between commas, by all tasks that its splits give. Whether a piece
 begins within a string, and how deep it lies in brackets, are running sums over the pieces before it; so are the numbers of
-its elements. Only the pieces of one element are brought together. Line breaks, or none, make no difference, and a document
-may be in several files, whose text continues in order of their names.
+its elements. The first reading sums up each split for either answer to whether it begins within a string; with what lies
+before each split, the second gives elements. Only those that go over a batch of pieces are put together by a shuffle. Line breaks,
+or none, make no difference, and a document may be in several files, whose text continues in order of their names; a file may end
+anywhere but in a comma or within an escape.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import schemas
-from lodestone.operators.ordering import ranked_whole, running_totals
-from lodestone.session import written
+from lodestone.operators.ordering import ranked_whole
+from lodestone.session import ensure_importable, written
 
 PAPERS = f"source_file STRING, focal_entities {schemas.FOCAL}"
 METADATA = "raw_batch_records BIGINT, raw_entity_occurrences BIGINT, raw_relation_occurrences BIGINT, canonical_entities BIGINT, canonical_relations BIGINT, entity_type_counts MAP<STRING, BIGINT>, relation_type_counts MAP<STRING, BIGINT>, dropped_relation_reasons MAP<STRING, BIGINT>"
 SECTIONS = {"metadata": METADATA, "papers": PAPERS, "entities": schemas.CANONICAL_ENTITY, "relations": schemas.CANONICAL_RELATION}
 #: Begins a section: its key, and what kind of value it has.
 _KEY = r'^\s*\{?\s*"((?:[^"\\]|\\.)*)"\s*:\s*([\[{])'
-_WHERE = ["file", "block", "nth"]
+#: Bytes that matter to strings and brackets.
+_QUOTE, _ESCAPE, _OPEN, _CLOSE = 1, 2, 3, 4
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[list(b'"')], _KINDS[list(b"\\")], _KINDS[list(b"[{")], _KINDS[list(b"]}")] = _QUOTE, _ESCAPE, _OPEN, _CLOSE
+_SUMS = "file long, block long, inside int, quotes long, delta long, depth long, n long"
+_PARTS = "item long, depth long, split long, nth long, whole boolean, text binary"
 
 
 @dataclass
@@ -35,52 +47,161 @@ class Document:
     relations: DataFrame
 
 
-def _depth(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[\[{]")) - F.regexp_count(text, F.lit(r"[\]}]"))
-
-
-def _elements(spark: SparkSession, path: str) -> DataFrame:
-    """section, kind ('[' or '{'), item, text: an array's elements one by one, any other value whole."""
-    read = spark.read.option("lineSep", ",").text(path)
-    placed = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
-    pieces = written(placed, "pieces")
-    begins = pieces.filter("block = 0").groupBy("file").agg(F.min("nth").alias("nth")).withColumn("first", F.lit(True))  # a row a file
-    pieces = pieces.join(F.broadcast(begins), ["file", "nth"], "left").withColumn("first", F.coalesce("first", F.lit(False)))
-    bare = F.regexp_replace("value", r"\\.", "")
-    outside = lambda text: F.regexp_replace(F.regexp_replace(text, '"[^"]*"', ""), '"[^"]*$', "")
-    slim = pieces.select(
-        *_WHERE, "first", (F.char_length(bare) - F.char_length(F.replace(bare, F.lit('"'), F.lit("")))).cast("long").alias("quotes"),
-        _depth(outside(bare)).alias("d0"), _depth(outside(F.regexp_replace(bare, '^[^"]*"?', ""))).alias("d1"),
-    )
-    counted = running_totals(slim, [], _WHERE, "quotes", "_quotes").withColumn("inside", F.col("_quotes") % 2 == 1)
-    deep = running_totals(counted.withColumn("delta", F.when(F.col("inside"), F.col("d1")).otherwise(F.col("d0")).cast("long")), [], _WHERE, "delta", "depth")
-    starts = deep.withColumn("start", (~F.col("inside") & (F.col("depth") <= 2) & (~F.col("first") | (F.col("depth") == 0))).cast("long"))
-    numbered = running_totals(starts.select(*_WHERE, "first", "depth", "start"), [], _WHERE, "start", "before").select(*_WHERE, "first", "depth", "start", (F.col("before") + F.col("start")).alias("item"))
-    texts = pieces.select(*_WHERE, "value").join(numbered, _WHERE)
-    # Where a file ends there is no comma.
-    one = F.struct(*_WHERE, F.when(F.col("first") | (F.col("start") == 1), F.col("value")).otherwise(F.concat(F.lit(","), F.col("value"))).alias("x"))
-    items = texts.groupBy("item").agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda p: p["x"]), "").alias("text"), F.min(F.when(F.col("start") == 1, F.col("depth"))).alias("depth"))
-    items = written(items, "items")
-    heads = items.filter("depth < 2").select("item", F.regexp_extract("text", _KEY, 1).alias("section"), F.regexp_extract("text", _KEY, 2).alias("kind"))
-    known = sorted((r["item"], r["section"], r["kind"]) for r in heads.collect())  # the keys of the document
-    after = (items.agg(F.max("item")).head()[0] or 0) + 1
-    spans = [(a, b, s, k) for (a, s, k), b in zip(known, [*(x[0] for x in known[1:]), after], strict=False)]
-    parts = F.broadcast(spark.createDataFrame(spans, "begin long, end long, section string, kind string"))
-    inside = items.join(parts, (F.col("item") >= F.col("begin")) & (F.col("item") < F.col("end")))
-    clean = F.when(F.col("item") == F.col("begin"), F.regexp_replace("text", r'^\s*\{?\s*"(?:[^"\\]|\\.)*"\s*:\s*\[?', "")).otherwise(F.col("text"))
-    closed = F.when(F.col("item") == F.col("end") - 1, F.regexp_replace(clean, r"\]\s*\}?\s*$", "")).otherwise(clean)
-    arrays = inside.filter("kind = '['").select("section", "kind", "item", F.btrim(closed, F.lit(" \t\r\n")).alias("text")).filter("text like '{%'")
-    # Objects are as small as the metadata; the last may be followed by the document's own bracket.
-    objects = inside.filter("kind = '{'").groupBy("section", "kind", F.col("begin").alias("item")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item", clean.alias("x")))), lambda p: p["x"]), ",").alias("text"))
-    return written(arrays.unionByName(objects), "elements")
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """value, file (a number by its name), block (where its split begins); each split's pieces in their order."""
+    at = F.col("_metadata.file_block_start").alias("block")
+    return spark.read.option("lineSep", ",").text(path).select("value", F.xxhash64("_metadata.file_path").alias("file"), at)
+
+
+@dataclass
+class _Run:
+    """Pieces of one split that follow each other. Before each, and at the end: ``quotes``, and what brackets open more than they
+    close, outside strings if the run begins outside a string (``depth[0]``) or within one (``depth[1]``)."""
+
+    file: int
+    block: int
+    text: bytes
+    at: np.ndarray
+    quotes: np.ndarray
+    depth: tuple[np.ndarray, np.ndarray]
+
+    def outside(self, inside: int) -> np.ndarray:
+        """Which pieces begin outside strings, if the run begins outside (0) or within one (1)."""
+        return (self.quotes[:-1] + inside) % 2 == 0
+
+
+def _run(values: pa.Array, file: int, block: int) -> _Run:
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(pa.binary())), b",")
+    text = whole[0].as_py()
+    data = np.frombuffer(text, np.uint8)
+    at = np.concatenate([[0], np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
+    marks = np.flatnonzero(_KINDS[data])
+    kinds = _KINDS[data[marks]]
+    if (kinds == _ESCAPE).any():  # what an odd number of backslashes ends before is no mark
+        slashes = marks[kinds == _ESCAPE]
+        ends = np.flatnonzero(np.diff(slashes, append=-1) != 1)
+        odd = np.diff(ends, prepend=-1) % 2 == 1
+        kept = (kinds != _ESCAPE) & ~np.isin(marks, slashes[ends[odd]] + 1)
+        marks, kinds = marks[kept], kinds[kept]
+    quotes = np.cumsum(kinds == _QUOTE)
+    delta = (kinds == _OPEN).astype(np.int64) - (kinds == _CLOSE)
+    before = np.searchsorted(marks, at)
+    upto = lambda x: np.concatenate([[0], x])[before]
+    return _Run(file, block, text, at, upto(quotes), (upto(np.cumsum(delta * (quotes % 2 == 0))), upto(np.cumsum(delta * (quotes % 2 == 1)))))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Run]:
+    for batch in batches:
+        file, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("file", "block"))
+        cuts = np.flatnonzero((np.diff(file) != 0) | (np.diff(block) != 0)) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if a < b:
+                yield _run(batch.column("value").slice(a, b - a), int(file[a]), int(block[a]))
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each split, for either state at its beginning: its quotes, how much deeper it ends, and how many pieces begin outside
+    strings at each depth over that of its beginning. The first piece of a file is not counted."""
+
+    def rows(where, quotes, deltas, counts):
+        out = [(*where, i, quotes, deltas[i], depth, n) for i in (0, 1) for depth, n in (counts[i] or {0: 0}).items()]
+        names = [c.split()[0] for c in _SUMS.split(", ")]
+        kinds = [pa.int32() if c == "inside" else pa.int64() for c in names]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    now = None
+    for run in _runs(batches):
+        if (run.file, run.block) != now:
+            if now is not None:
+                yield rows(now, quotes, deltas, counts)
+            now, quotes, deltas, counts, first = (run.file, run.block), 0, [0, 0], (Counter(), Counter()), int(run.block == 0)
+        for i in (0, 1):
+            j = (i + quotes) % 2
+            for depth, n in zip(*np.unique(run.depth[j][:-1][first:][run.outside(j)[first:]], return_counts=True), strict=True):
+                counts[i][deltas[i] + int(depth)] += int(n)
+        deltas = [deltas[i] + int(run.depth[(i + quotes) % 2][-1]) for i in (0, 1)]
+        quotes, first = quotes + int(run.quotes[-1]), 0
+    if now is not None:
+        yield rows(now, quotes, deltas, counts)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], begins: dict[tuple[int, int], tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """Elements, or the parts of them that a batch has. ``begins``: of each split its number, whether it begins within a string, how
+    deep, and how many elements begin before it."""
+    now = None
+    for run in _runs(batches):
+        fresh = (run.file, run.block) != now
+        if fresh:
+            now, nth = (run.file, run.block), 0
+            split, inside, deep, item = begins[now]
+        first = fresh and run.block == 0
+        depth = deep + run.depth[inside]
+        start = run.outside(inside) & (depth[:-1] <= 2)
+        if first:
+            start[0] &= depth[0] == 0
+        at = np.union1d([0], np.flatnonzero(start))
+        items = item + np.cumsum(start)[at]
+        ends = np.append(run.at[at[1:]], run.at[-1]) - 1
+        texts = [run.text[a:b] for a, b in zip(run.at[at], ends, strict=True)]
+        if not start[0] and not first:  # where a file ends there is no comma
+            texts[0] = b"," + texts[0]
+        whole = start[at]
+        whole[-1] = False
+        columns = [pa.array(items, pa.int64()), pa.array(depth[at], pa.int64(), mask=~start[at]), pa.array(np.full(len(at), split), pa.int64()), pa.array(nth + np.arange(len(at)), pa.int64()), pa.array(whole), pa.array(texts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _PARTS.split(", ")])
+        inside, deep, item, nth = (inside + int(run.quotes[-1])) % 2, int(depth[-1]), int(items[-1]), nth + len(at)
+
+
+def _begins(spark: SparkSession, path: str) -> tuple[dict[tuple[int, int], tuple[int, int, int, int]], int]:
+    """What ``_parts`` has to know of each split, and how many elements there are. A few rows a split come to the driver."""
+    names = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("name"), F.xxhash64("_metadata.file_path").alias("file"))
+    place = {r["file"]: k for k, r in enumerate(sorted(names.collect(), key=lambda r: r["name"]))}
+    found: dict[tuple[int, int], dict[int, list]] = {}
+    for r in _pieces(spark, path).mapInArrow(_sums, _SUMS).collect():
+        found.setdefault((r["file"], r["block"]), {0: [], 1: []})[r["inside"]].append(r)
+    begins, inside, deep, item = {}, 0, 0, 0
+    for k, where in enumerate(sorted(found, key=lambda w: (place[w[0]], w[1]))):
+        begins[where] = (k, inside, deep, item)
+        mine = found[where][inside]
+        item += sum(r["n"] for r in mine if deep + r["depth"] <= 2) + int(where[1] == 0 and not inside and deep == 0)
+        inside, deep = (inside + mine[0]["quotes"]) % 2, deep + mine[0]["delta"]
+    return begins, item
+
+
+def _joined(parts: DataFrame) -> DataFrame:
+    """item, text of elements whose parts they are."""
+    one = F.struct("split", "nth", "text")
+    broken = parts.filter("not whole").groupBy("item").agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda p: p["text"]), "").alias("text"))
+    return parts.filter("whole").select("item", "text").unionByName(broken)
 
 
 def read_document(spark: SparkSession, path: str) -> Document:
     """Fields that are missing are null. A section that comes twice counts twice."""
-    elements = _elements(spark, path)
+    ensure_importable(spark)
+    begins, last = _begins(spark, path)
+    parts = _pieces(spark, path).mapInArrow(lambda batches: _parts(batches, begins), _PARTS)
+    parts = written(parts.withColumn("text", F.col("text").cast("string")), "parts")
+    top = parts.join(F.broadcast(parts.filter("depth < 2").select("item")), "item", "left_semi")
+    heads = _joined(top).select("item", F.regexp_extract("text", _KEY, 1).alias("section"), F.regexp_extract("text", _KEY, 2).alias("kind"))
+    known = sorted((r["item"], r["section"], r["kind"]) for r in heads.collect())  # the keys of the document
+    spans = [(a, b, s, k) for (a, s, k), b in zip(known, [*(x[0] for x in known[1:]), last + 1], strict=False)]
+
+    def values(begin: int, end: int, kind: str) -> DataFrame:
+        """text: an array's elements one by one, any other value whole."""
+        items = _joined(parts.filter(F.col("item").between(begin, end - 1)))
+        clean = F.when(F.col("item") == begin, F.regexp_replace("text", r'^\s*\{?\s*"(?:[^"\\]|\\.)*"\s*:\s*\[?', "")).otherwise(F.col("text"))
+        if kind == "[":
+            closed = F.when(F.col("item") == end - 1, F.regexp_replace(clean, r"\]\s*\}?\s*$", "")).otherwise(clean)
+            return items.select(F.btrim(closed, F.lit(" \t\r\n")).alias("text")).filter("text like '{%'")
+        # Objects are as small as the metadata; the last may be followed by the document's own bracket.
+        return items.groupBy().agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item", clean.alias("x")))), lambda p: p["x"]), ",").alias("text"))
 
     def section(name: str) -> DataFrame:
-        return elements.filter(F.col("section") == name).select(F.from_json("text", SECTIONS[name]).alias("x")).filter("x is not null").select("x.*")
+        out = spark.createDataFrame([], "text string")
+        for a, b, s, k in spans:
+            if s == name and k in ("[", "{"):
+                out = out.unionByName(values(a, b, k))
+        return out.select(F.from_json("text", SECTIONS[name]).alias("x")).filter("x is not null").select("x.*")
 
     return Document(*map(section, SECTIONS))
 

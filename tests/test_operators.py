@@ -127,6 +127,23 @@ def test_drop_reason(spark, row, want):
     assert df.select(kg_build.drop_reason().alias("r")).head()["r"] == want
 
 
+def test_relations_are_judged_once_a_row(spark, small):
+    """Rules don't repeat how their columns are computed, and relations are merged in one pass over them."""
+    from lodestone.plans import adapters as A
+
+    said = A.relation_mentions(spark, small).withColumn("reason", kg_build.drop_reason())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    pool = kg_build.relation_pool(said.filter("reason is null"))
+    assert plan(pool).count("l_linenumber#") and plan(pool).count("Relation [") == 2  # lines and parts
+    assert plan(said.filter("reason is null").select("seq")).count("Poisson-based methods") <= 4
+    counts = {r["reason"]: r["n"] for r in kg_build.dropped_counts(said).collect()}
+    assert counts == {r["reason"]: r["count"] for r in said.filter("reason is not null").groupBy("reason").count().collect()} and None not in counts
+    assert "Poisson" not in "".join(x for x in plan(kg_build.dropped_counts(said)).splitlines() if "Filter" in x or "Join" in x)
+    none = spark.createDataFrame([("Entity", "S", "USES", "T", "Concept", None, "a", 2), ("Entity", "s", "USES", "t", "Task", [("c", 1), (None, None)], "b", 1)], f"source_kind string, source string, relation string, target string, target_type string, evidence {schemas.EVIDENCE}, source_file string, seq int")
+    assert [(r["source"], r["target_type"], [tuple(e) for e in r["evidence"]], r["source_files"]) for r in kg_build.relation_pool(none).collect()] == [("s", "Task", [("c", 1)], ["a", "b"])]
+    assert [r["evidence"] for r in kg_build.relation_pool(none.limit(1)).collect()] == [[]]
+
+
 def test_evidence(spark):
     e = [("c1", 1), ("c1", 1), (None, None), (None, 3), ("c2", 1)]
     df = spark.createDataFrame([(e,)], f"e {schemas.EVIDENCE}").select(kg_build.clean_evidence(F.col("e")).alias("e"))

@@ -203,6 +203,27 @@ def test_document_of_any_form(spark, tmp_path, n, indent):
     assert (said["raw_batch_records"], said["entity_type_counts"]) == (3, {"Concept": n, 'x, "y"': 2})
 
 
+def test_document_is_read_by_elements(spark, tmp_path, monkeypatch):
+    """Elements go on whole, not their pieces, but for those that a batch cuts; batches may cut anywhere, and so may files."""
+    whole = _document(60)
+    text = json.dumps(whole, ensure_ascii=False)
+    for k, (a, b) in enumerate(((0, 2000), (2000, 2001), (2001, 9000), (9000, len(text)))):
+        (tmp_path / f"p{k}.txt").write_text(text[a:b], newline="")
+    kept, rows = document.written, []
+    monkeypatch.setattr(document, "written", lambda df, name: (out := kept(df, name), rows.append(out.count()))[0])
+    for size, most in (("10000", 120), ("3", 10**6)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            rows.clear()
+            got = document.read_document(spark, str(tmp_path))
+            for name in ("papers", "entities", "relations"):
+                assert sorted((json.loads(x) for x in getattr(got, name).toJSON().collect()), key=str) == sorted(whole[name], key=str)
+            assert got.metadata.head()["entity_type_counts"] == {"Concept": 60, 'x, "y"': 2}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sum(rows) <= most and text.count(",") > 5 * 120
+
+
 def test_document_round_trip(spark, tmp_path):
     from lodestone import schemas
 

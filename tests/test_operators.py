@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -131,14 +132,21 @@ def test_relations_are_judged_once_a_row(spark, small):
     """Rules don't repeat how their columns are computed, and relations are merged in one pass over them."""
     from lodestone.plans import adapters as A
 
-    said = A.relation_mentions(spark, small).withColumn("reason", kg_build.drop_reason())
+    said = A.relation_mentions(spark, small)
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
-    pool = kg_build.relation_pool(said.filter("reason is null"))
-    assert plan(pool).count("l_linenumber#") and plan(pool).count("Relation [") == 2  # lines and parts
-    assert plan(said.filter("reason is null").select("seq")).count("Poisson-based methods") <= 4
-    counts = {r["reason"]: r["n"] for r in kg_build.dropped_counts(said).collect()}
-    assert counts == {r["reason"]: r["count"] for r in said.filter("reason is not null").groupBy("reason").count().collect()} and None not in counts
-    assert "Poisson" not in "".join(x for x in plan(kg_build.dropped_counts(said)).splitlines() if "Filter" in x or "Join" in x)
+    kept = kg_build.kept_relations(said)
+    assert plan(kg_build.relation_pool(kept)).count("Relation [") == 2  # lines and parts
+    assert plan(kept.select("seq")).count("Poisson-based methods") <= 4
+    judged = said.withColumn("reason", kg_build.drop_reason())
+    assert kept.count() == judged.filter("reason is null").count() > 0
+    got = {r["reason"]: r["n"] for r in kg_build.dropped_counts(said).collect()}
+    assert got == {r["reason"]: r["count"] for r in judged.filter("reason is not null").groupBy("reason").count().collect()}
+    assert "Poisson" not in "".join(x for x in plan(kg_build.dropped_counts(said).groupBy("reason").agg(F.sum("n")).filter("reason is not null")).splitlines() if "Filter" in x or "Join" in x)
+    kinds = "source string, relation string, target string, target_key string, target_type string, source_kind string, source_key string"
+    values = [[None, " ", "s"], [None, "", "USES", "INTRODUCES", "EVALUATES_ON", "other"], [None, " ", "t", "Adam", "3d scene ", "A et al."], [None, "t"], [None, "Concept", "Dataset"], [None, "Paper", "Entity"], [None, "s"]]
+    odd = spark.createDataFrame([tuple(x) for x in itertools.product(*values)], kinds).withColumn("reason", kg_build.drop_reason())
+    assert kg_build.kept_relations(odd).count() == odd.filter("reason is null").count() > 0
+    assert {r["reason"]: r["n"] for r in kg_build.dropped_counts(odd).collect()} == {r["reason"]: r["count"] for r in odd.filter("reason is not null").groupBy("reason").count().collect()}
     none = spark.createDataFrame([("Entity", "S", "USES", "T", "Concept", None, "a", 2), ("Entity", "s", "USES", "t", "Task", [("c", 1), (None, None)], "b", 1)], f"source_kind string, source string, relation string, target string, target_type string, evidence {schemas.EVIDENCE}, source_file string, seq int")
     assert [(r["source"], r["target_type"], [tuple(e) for e in r["evidence"]], r["source_files"]) for r in kg_build.relation_pool(none).collect()] == [("s", "Task", [("c", 1)], ["a", "b"])]
     assert [r["evidence"] for r in kg_build.relation_pool(none.limit(1)).collect()] == [[]]

@@ -61,10 +61,14 @@ def candidates(questions: DataFrame, names: DataFrame, kinds: tuple[str, ...]) -
     """Rows of an index that share a part with a question. ``questions``: qid, question.
 
     A single question's parts, as many as its characters allow, become a filter on the index, which is stored in order of
-    parts; those of many are joined.
+    parts; those of many are joined, but for kinds that no name goes by.
     """
+    one = len(questions.limit(2).collect()) == 1
+    if not one:
+        known = {r["kind"] for r in names.select(F.substring("part", 1, 2).alias("kind")).distinct().collect()}
+        kinds = tuple(k for k in kinds if k in known) or kinds
     each = questions.select("qid", "question", F.explode(parts_of(F.col("question"), kinds)).alias("part"))
-    if len(questions.limit(2).collect()) == 1:
+    if one:
         found = [r["part"] for r in each.select("part").limit(FEW + 1).collect()]
         if len(found) <= FEW:
             names = names.filter(F.col("part").isin(found))

@@ -79,3 +79,47 @@ def test_many_questions_are_as_one_by_one(spark):
     proof = questions.provenance(got.facts, evidence, chunks)
     assert proof.groupBy("qid").agg(F.max("rank").alias("n")).filter("n > 14").isEmpty() and not proof.isEmpty()
     assert questions.hits(table.limit(0).select("qid", "vector"), embedded, "chunk_id").count() == 0
+
+
+def test_hits_are_those_of_sums_in_order(spark, monkeypatch):
+    g = random.Random(6)
+    vec = lambda: [g.choice([0.1, 0.2, 0.3, -0.7, 1e-9, g.gauss(0, 1)]) for _ in range(7)]
+    rows = [(f"v{i:04d}", vec()) for i in range(300)]
+    rows += [(f"w{i}", rows[i][1]) for i in range(20)] + [("x", [float("inf")] * 7), ("y", [1.0])]
+    asked = [(i, rows[i * 3][1]) for i in range(30)] + [(90, None)]
+    monkeypatch.setattr(questions, "MOST_BYTES", 7 * 8 * 8)  # several scans
+
+    def cosine(a, b):
+        s = 0.0
+        for x, y in zip(a, b, strict=True):
+            s += x * y
+        return s
+
+    table, embedded = spark.createDataFrame(asked, "qid long, vector array<double>"), spark.createDataFrame(rows, "chunk_id string, embedding array<double>")
+    got = {(r["qid"], r["rank"]): (r["chunk_id"], r["cosine"]) for r in questions.hits(table, embedded, "chunk_id", 5).collect()}
+    want = {}
+    for qid, q in asked[:-1]:
+        best = sorted((-cosine(v, q), i) for i, v in rows if len(v) == 7 and v[0] != float("inf"))[:5]
+        want |= {(qid, n): (i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert got == want
+
+
+def test_provenance_asks_for_facts_that_can_matter(spark):
+    keys = ["source_key", "relation", "target_key"]
+    facts = spark.createDataFrame([(1, 1, "a", "USES", "b", 2), (1, 2, "a", "USES", "c", 20), (1, 3, "a", "USES", "d", 30), (2, 1, "a", "USES", "d", 30)], "qid long, rank int, source_key string, relation string, target_key string, evidence_count long")
+    has = {"b": [50, 51], "c": range(20), "d": range(0, 60, 2)}
+    evidence = spark.createDataFrame([("a", "USES", t, c) for t, x in has.items() for c in x for _ in range(2)], "source_key string, relation string, target_key string, chunk_id long")
+    asked = []
+
+    def some(edges):
+        asked.extend(sorted(r["target_key"] for r in edges.collect()))
+        return evidence.join(edges, keys, "left_semi")
+
+    chunks = spark.range(60).select(F.col("id").alias("chunk_id"))
+    want = {(1, n, c) for n, c in enumerate([50, 51, *range(12)], 1)} | {(2, n, c) for n, c in enumerate(range(0, 28, 2), 1)}
+    for held in (evidence, some):
+        assert {(r["qid"], r["rank"], r["chunk_id"]) for r in questions.provenance(facts, held, chunks).collect()} == want
+    assert asked == ["b", "c", "d"]
+    asked.clear()
+    questions.provenance(facts.filter("qid = 1"), some, chunks).collect()
+    assert asked == ["b", "c"]

@@ -343,3 +343,28 @@ def test_two_drivers_change_one_graph(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(one, "_changed", slow)
     one.change(rows_of("c.pdf", "A"))
     assert [(r["source"], r["evidence_count"]) for r in one.edges().collect()] == [("A", 3)] and one.manifest.current()[0] == 3
+
+
+@pytest.mark.parametrize("few", [4096, 0])
+def test_a_change_packs_what_comes(spark, tmp_path, monkeypatch, few):
+    """Evidence that is stored isn't dealt out again, row by row; an edge without evidence goes, and one may come again."""
+    monkeypatch.setattr(graph_state, "FEW", few)
+    make = lambda *rows: spark.createDataFrame(_evidence([(m, "USES", "Concept", c, f"{f}-{i}", 1, f) for m, c, f, n in rows for i in range(n)]), EVIDENCE_KIND)
+    packed, whole = [], graph_state._packed
+    monkeypatch.setattr(graph_state, "_packed", lambda rows: (packed.append(rows.count()), whole(rows))[1])
+    state = graph_state.GraphState(spark, str(tmp_path / "g"), buckets=4)
+    said = lambda end: sorted((r["source"], r["target"], r["evidence_count"]) for r in state.edges(end=end).collect())
+    steps = [
+        ((("A", "x", "a", 30), ("A", "y", "b", 20)), [], [("A", "x", 30), ("A", "y", 20)]),
+        ((("A", "x", "c", 2),), ["b"], [("A", "x", 32)]),
+        ((("A", "y", "d", 1), ("B", "x", "d", 1)), ["a"], [("A", "x", 2), ("A", "y", 1), ("B", "x", 1)]),
+        ((("A", "y", "b", 3), ("A", "z", "d", 1)), [], [("A", "x", 2), ("A", "y", 3), ("A", "z", 1)]),
+    ]
+    for came, gone, want in steps:
+        state.change(make(*came), spark.createDataFrame([(f,) for f in gone], "source_file string"))
+        assert said("source") == want == said("target")
+        assert {r["relation"]: r["evidence"] for r in state.counts().collect()} == {"USES": sum(n for *_, n in want)}
+    assert packed == [50, 2, 2, 4]
+    held = {p.name for p in (tmp_path / "g" / "data").iterdir()}
+    named = {x.split("/")[1] for v in state.manifest.versions() for x in manifest._folders(state.manifest.read(v))}
+    assert len(held) <= len(named) + 2 * len(steps), "what came is left beside the state"
